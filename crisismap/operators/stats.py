@@ -73,44 +73,55 @@ def bin_index(value: Column, edges: Column) -> Column:
     return F.when((i >= 0) & (i < F.size(edges) - 1), i)
 
 
-def with_bins(df: DataFrame, col: str, edges: list[int], labels: list[str]) -> DataFrame:
-    """Attach ``bin`` (index) and ``count_bin`` (label) with data-dependent last edge."""
-    mx = df.agg(F.max(col).alias("_max"))
-    e = mx.select(bin_edges(F.col("_max"), edges).alias("_edges"))
+def _edges_per_group(df: DataFrame, col: str, edges: list[int], keys: list[str]) -> DataFrame:
+    """One row per group with its data-dependent edge list (groups = ``keys``, or one global row)."""
+    return df.groupBy(*keys).agg(bin_edges(F.max(col), edges).alias("_edges"))
+
+
+def _attach(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
+    return df.join(per_group, keys, "left") if keys else df.crossJoin(per_group)
+
+
+def with_bins(df: DataFrame, col: str, edges: list[int], labels: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Attach ``bin`` (index) and ``count_bin`` (label); the last edge depends on the group's max."""
+    keys = keys or []
     lab = F.array(*[F.lit(x) for x in labels])
-    out = df.crossJoin(e).withColumn("bin", bin_index(F.col(col), F.col("_edges")))
+    out = _attach(df, _edges_per_group(df, col, edges, keys), keys)
+    out = out.withColumn("bin", bin_index(F.col(col), F.col("_edges")))
     return out.withColumn("count_bin", F.try_element_at(lab, F.col("bin") + 1)).drop("_edges")
 
 
-def bins_table(df: DataFrame, col: str, edges: list[int], labels: list[str]) -> DataFrame:
-    """All bins of the data-dependent edge list (index, label, lower, upper)."""
-    mx = df.agg(F.max(col).alias("_max"))
-    e = mx.select(bin_edges(F.col("_max"), edges).alias("_edges"))
+def bins_table(df: DataFrame, col: str, edges: list[int], labels: list[str], keys: list[str] | None = None) -> DataFrame:
+    """All bins of the data-dependent edge list per group (index, label, lower, upper)."""
+    keys = keys or []
     lab = F.array(*[F.lit(x) for x in labels])
-    ex = e.select(F.posexplode("_edges").alias("bin", "lower"), "_edges")
+    e = _edges_per_group(df, col, edges, keys)
+    ex = e.select(*keys, F.posexplode("_edges").alias("bin", "lower"), "_edges")
     ex = ex.where(F.col("bin") < F.size("_edges") - 1).where(F.col("bin") < len(labels))
-    return ex.select("bin", F.element_at(lab, F.col("bin") + 1).alias("count_bin"), "lower",
+    return ex.select(*keys, "bin", F.element_at(lab, F.col("bin") + 1).alias("count_bin"), "lower",
                      F.element_at("_edges", F.col("bin") + 2).alias("upper"))
 
 
 def binned_crosstab(df: DataFrame, col: str, flag: str, edges: list[int], labels: list[str],
-                    names: tuple[str, str] = ("no_hazard", "hazard")) -> DataFrame:
+                    names: tuple[str, str] = ("no_hazard", "hazard"), keys: list[str] | None = None) -> DataFrame:
     """A10: bins x flag counts, pivoted with explicit flag values; empty bins kept as zeros."""
-    binned = with_bins(df, col, edges, labels).where(F.col("bin").isNotNull())
-    piv = (binned.groupBy("bin").pivot(flag, [False, True]).agg(F.count(F.lit(1)))
+    keys = keys or []
+    binned = with_bins(df, col, edges, labels, keys).where(F.col("bin").isNotNull())
+    piv = (binned.groupBy(*keys, "bin").pivot(flag, [False, True]).agg(F.count(F.lit(1)))
            .withColumnRenamed("false", names[0]).withColumnRenamed("true", names[1]))
-    allbins = bins_table(df, col, edges, labels)
-    return (allbins.join(piv, "bin", "left").fillna(0, subset=list(names))
-            .select("bin", "count_bin", "lower", "upper", *names))
+    allbins = bins_table(df, col, edges, labels, keys)
+    return (allbins.join(piv, [*keys, "bin"], "left").fillna(0, subset=list(names))
+            .select(*keys, "bin", "count_bin", "lower", "upper", *names))
 
 
-def describe(df: DataFrame, col: str, pcts: tuple = DESCRIBE_PCTS) -> DataFrame:
-    """Count, mean, sample std, min, exact linear percentiles, max of one column."""
+def describe(df: DataFrame, col: str, pcts: tuple = DESCRIBE_PCTS, keys: list[str] | None = None) -> DataFrame:
+    """Count, mean, sample std, min, exact linear percentiles, max of one column (per group)."""
+    keys = keys or []
     c = F.col(col).cast("double")
     q = F.percentile(c, F.array(*[F.lit(p) for p in pcts]))
-    out = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                 F.min(c).alias("min"), q.alias("_q"), F.max(c).alias("max"))
-    return out.select("count", "mean", "std", "min",
+    out = df.groupBy(*keys).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+                                F.min(c).alias("min"), q.alias("_q"), F.max(c).alias("max"))
+    return out.select(*keys, "count", "mean", "std", "min",
                       *[F.col("_q")[i].alias(f"p{_pname(p)}") for i, p in enumerate(pcts)], "max")
 
 
@@ -118,17 +129,12 @@ def _pname(p: float) -> str:
     return f"{p * 100:g}".replace(".", "_")
 
 
-def describe_by(df: DataFrame, key: str, col: str, pcts: tuple = TAIL_PCTS) -> DataFrame:
-    """Grouped describe, transposed to long form (key, stat, value)."""
-    c = F.col(col).cast("double")
-    q = F.percentile(c, F.array(*[F.lit(p) for p in pcts]))
-    wide = df.groupBy(key).agg(F.count(c).cast("double").alias("count"), F.avg(c).alias("mean"),
-                               F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q.alias("_q"),
-                               F.max(c).alias("max"))
-    stats = ["count", "mean", "std", "min", *[f"p{_pname(p)}" for p in pcts], "max"]
-    wide = wide.select(key, "count", "mean", "std", "min",
-                       *[F.col("_q")[i].alias(f"p{_pname(p)}") for i, p in enumerate(pcts)], "max")
-    return wide.unpivot([key], stats, "stat", "value")
+def describe_by(df: DataFrame, keys, col: str, pcts: tuple = TAIL_PCTS) -> DataFrame:
+    """Grouped describe, transposed to long form (keys..., stat, value)."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    wide = describe(df, col, pcts, keys).withColumn("count", F.col("count").cast("double"))
+    stats = [c for c in wide.columns if c not in keys]
+    return wide.unpivot(keys, stats, "stat", "value")
 
 
 def pearson(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:

@@ -82,21 +82,30 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     LEFT JOIN pages p ON p.page_id = CASE WHEN r.doc_id % 3 = 0 THEN r.doc_id % np.n_pages END
   ) q"""),
     "grid": ((), """
-  SELECT '4-' || i || '-' || j AS cell_id, 4 AS level, x0, y0, 'sq' AS shape FROM (
-    SELECT id // 14 AS i, id % 14 AS j, 2.0::DOUBLE + 2.0 * (id // 14) AS x0, 36.0::DOUBLE + 2.0 * (id % 14) AS y0
-    FROM range(280) t(id))
-  UNION ALL
-  SELECT '5-' || i || '-' || j || '-' || h AS cell_id, 5 AS level, x0, y0, h AS shape FROM (
-    SELECT id // 14 AS i, id % 14 AS j, 2.0::DOUBLE + 2.0 * (id // 14) AS x0, 36.0::DOUBLE + 2.0 * (id % 14) AS y0
-    FROM range(280) t(id)) CROSS JOIN (VALUES ('a'), ('b')) v(h)"""),
+  SELECT cell_id, level, x0, y0, shape,
+    CASE shape WHEN 'sq' THEN [p00, p10, p11, p01, p00] WHEN 'a' THEN [p00, p10, p11, p00]
+               ELSE [p00, p11, p01, p00] END AS ring
+  FROM (
+    SELECT *, struct_pack(lon := x0, lat := y0) AS p00, struct_pack(lon := x0 + 2.0, lat := y0) AS p10,
+      struct_pack(lon := x0 + 2.0, lat := y0 + 2.0) AS p11, struct_pack(lon := x0, lat := y0 + 2.0) AS p01
+    FROM (
+      SELECT '4-' || i || '-' || j AS cell_id, 4 AS level, x0, y0, 'sq' AS shape FROM (
+        SELECT id // 14 AS i, id % 14 AS j, 2.0::DOUBLE + 2.0 * (id // 14) AS x0, 36.0::DOUBLE + 2.0 * (id % 14) AS y0
+        FROM range(280) t(id))
+      UNION ALL
+      SELECT '5-' || i || '-' || j || '-' || h AS cell_id, 5 AS level, x0, y0, h AS shape FROM (
+        SELECT id // 14 AS i, id % 14 AS j, 2.0::DOUBLE + 2.0 * (id // 14) AS x0, 36.0::DOUBLE + 2.0 * (id % 14) AS y0
+        FROM range(280) t(id)) CROSS JOIN (VALUES ('a'), ('b')) v(h)))"""),
     "floods": ((), f"""
   SELECT s_suppkey AS flood_id,
     2 + ((s_suppkey * 37) % 248) / 8 AS cx, 36 + ((s_suppkey * 19) % 176) / 8 AS cy, 0.25::DOUBLE AS half,
+    {_box("(2 + ((s_suppkey * 37) % 248) / 8)", "(36 + ((s_suppkey * 19) % 176) / 8)", "0.25")} AS ring,
     'EU' AS equi7grid_cont, 'E' || (s_suppkey % 6) AS equi7grid_tile_id,
     CAST(DATE '2024-09-12' + CAST(s_suppkey % 3 AS INTEGER) AS DATE) AS file_date
   FROM supplier"""),
-    "footprints": ((), """
+    "footprints": ((), f"""
   SELECT 2 + ((n_nationkey * 37) % 248) / 8 AS fcx, 36 + ((n_nationkey * 19) % 176) / 8 AS fcy, 3.0::DOUBLE AS fhalf,
+    {_box("(2 + ((n_nationkey * 37) % 248) / 8)", "(36 + ((n_nationkey * 19) % 176) / 8)", "3.0")} AS footprint_ring,
     'EU' AS equi7grid_cont, 'E' || (n_nationkey % 6) AS equi7grid_tile_id,
     CAST(DATE '2024-09-12' + CAST(n_nationkey % 3 AS INTEGER) AS DATE) AS file_date,
     'fp' || n_nationkey AS unique_id
