@@ -48,6 +48,17 @@ def parse_posts(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     ).select(*POST_COLUMNS, *keep)
 
 
+def ensure_cleaned(df: DataFrame, text: str = "text", decode: bool = True) -> DataFrame:
+    """P10: keep an existing ``cleaned_text``, else derive it from ``text`` (T1), else fail."""
+    from crisismap.functions.text import clean_text
+
+    if "cleaned_text" in df.columns:
+        return df
+    if text not in df.columns:
+        raise ValueError("input needs a 'cleaned_text' or a 'text' column")
+    return df.withColumn("cleaned_text", clean_text(text, decode=decode))
+
+
 def language_code(langs: str = "langs") -> Column:
     """First language cut to two characters; NULL when the list is empty or missing."""
     return F.substring(F.get(F.col(langs), 0), 1, 2)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_posts", "q_geo")
+MODULES = ("q_posts", "q_geo", "q_text")
 
 
 def _load():

@@ -179,3 +179,18 @@ def label_prototypes(spark: SparkSession, base: str) -> DataFrame:
     return (mean.groupBy("label")
             .agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v"))
             .selectExpr("label AS query_id", "label", "transform(v, e -> e.x) AS embedding"))
+
+
+def topics(spark: SparkSession, base: str, n: int = 10) -> DataFrame:
+    """Topic word lists: c-TF-IDF top words of the given clustering, plus three edge topics
+    (an unknown word appended, a repeated word, a single word)."""
+    from crisismap.operators.topics import class_tfidf, tokens, top_words
+
+    c = corpus(spark, base)
+    tw = top_words(class_tfidf(tokens(c), c, stopwords(spark)), n)
+    t0 = tw.where("topic_id = 0").select(F.lit(100).alias("topic_id"),
+                                         F.concat("words", F.array(F.lit("zzzunknownzzz"))).alias("words"))
+    t1 = tw.where("topic_id = 1").select(F.lit(101).alias("topic_id"),
+                                         F.array(F.col("words")[0], F.col("words")[0], F.col("words")[1]).alias("words"))
+    t2 = tw.where("topic_id = 2").select(F.lit(102).alias("topic_id"), F.array(F.col("words")[0]).alias("words"))
+    return tw.unionByName(t0).unionByName(t1).unionByName(t2)

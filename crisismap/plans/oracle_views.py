@@ -117,6 +117,30 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "corpus": ((), f"SELECT doc_id, text, CAST(doc_id % {N_TOPICS} AS INTEGER) AS topic_id FROM documents"),
     "stopwords": ((), "SELECT * FROM (VALUES " + ", ".join(f"('{w}')" for w in STOPWORDS) + ") t(word)"),
     "keywords": ((), "SELECT * FROM (VALUES " + ", ".join(f"('{w}')" for w in KEYWORDS) + ") t(keyword)"),
+    "ctfidf": (("corpus", "stopwords"), r"""
+  SELECT topic_id, word, rank, score FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, word) AS INTEGER) AS rank FROM (
+      SELECT tc.topic_id, tc.word, tc.tf, (tc.tf / sz.class_total) * ln(a.A / f.f + 1) AS score
+      FROM (SELECT topic_id, word, count(*) AS tf FROM (
+              SELECT topic_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word
+              FROM corpus WHERE text IS NOT NULL) WHERE word NOT IN (SELECT word FROM stopwords) GROUP BY ALL) tc
+      JOIN (SELECT word, sum(tf) AS f FROM (SELECT topic_id, word, count(*) AS tf FROM (
+              SELECT topic_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word
+              FROM corpus WHERE text IS NOT NULL) WHERE word NOT IN (SELECT word FROM stopwords) GROUP BY ALL)
+            GROUP BY word) f USING (word)
+      JOIN (SELECT topic_id, sum(tf) AS class_total FROM (SELECT topic_id, word, count(*) AS tf FROM (
+              SELECT topic_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word
+              FROM corpus WHERE text IS NOT NULL) WHERE word NOT IN (SELECT word FROM stopwords) GROUP BY ALL)
+            GROUP BY topic_id) sz USING (topic_id)
+      CROSS JOIN (SELECT floor(avg(class_total)) AS A FROM (SELECT topic_id, count(*) AS class_total FROM (
+              SELECT topic_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word
+              FROM corpus WHERE text IS NOT NULL) WHERE word NOT IN (SELECT word FROM stopwords) GROUP BY topic_id)) a))
+  WHERE rank <= 10"""),
+    "topics": (("ctfidf",), """
+  SELECT topic_id, list(word ORDER BY rank) AS words FROM ctfidf GROUP BY topic_id
+  UNION ALL SELECT 100, list(word ORDER BY rank) || ['zzzunknownzzz'] FROM ctfidf WHERE topic_id = 0
+  UNION ALL SELECT 101, [w[1], w[1], w[2]] FROM (SELECT list(word ORDER BY rank) AS w FROM ctfidf WHERE topic_id = 1)
+  UNION ALL SELECT 102, [w[1]] FROM (SELECT list(word ORDER BY rank) AS w FROM ctfidf WHERE topic_id = 2)"""),
     "prototypes": ((), """
   SELECT label AS query_id, label, list(x ORDER BY d) AS embedding FROM (
     SELECT label, d, avg(CAST(embedding[d] AS DOUBLE)) AS x
