@@ -109,6 +109,22 @@ def word2vec_embed(df: DataFrame, text: str = "text", dim: int = 64, seed: int =
     return model.transform(df).withColumn("embedding", vector_to_array("_vec", "float32")).drop("_tok", "_vec")
 
 
+def hashed_embed(df: DataFrame, text: str = "text", dim: int = 64) -> DataFrame:
+    """In-repo default encoder without training: hashed term counts in ``dim`` buckets, L2-normalised.
+
+    Tokenise -> HashingTF -> Normalizer are narrow, JVM-side transforms: no
+    fit on the driver, no shuffle, any text length.
+    """
+    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+    from pyspark.ml.functions import vector_to_array
+
+    tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False)
+    out = tok.transform(df.withColumn(text, F.coalesce(F.col(text), F.lit(""))))
+    out = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim).transform(out)
+    out = Normalizer(inputCol="_tf", outputCol="_n", p=2.0).transform(out)
+    return out.withColumn("embedding", vector_to_array("_n", "float32")).drop("_tok", "_tf", "_n")
+
+
 def reduce_dims(df: DataFrame, k: int = 5, col: str = "embedding", out: str = "reduced") -> DataFrame:
     """N12 (re-aimed UMAP): PCA to ``k`` components on L2-normalised vectors (cosine geometry)."""
     from pyspark.ml.feature import PCA, Normalizer

@@ -12,6 +12,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Fixed bin tables of the hazard comparison (edges are [a, b) lower bounds).
 FLOOD_EDGES = [1, 5, 10, 20, 50, 100, 200, 500]
@@ -206,7 +207,7 @@ def t_two_sided_p(r: float | None, n: int | None) -> float | None:
     return _betainc(df / 2.0, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _p_udf(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided_p(None if pd.isna(a) else float(a), None if pd.isna(b) else int(b))
                       for a, b in zip(r, n)], dtype="float64")

@@ -82,11 +82,12 @@ def cooccurrence(tf: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFr
             .groupBy("w1", "w2").agg(F.sum(F.col("tf1") * F.col("tf2")).alias("joint")))
 
 
-def topic_pairs(tf: DataFrame, topics: DataFrame, key: str = "doc_id") -> DataFrame:
+def topic_pairs(tf: DataFrame, topics: DataFrame, key: str = "doc_id", totals: DataFrame | None = None,
+                tw: DataFrame | None = None) -> DataFrame:
     """All word pairs i < j of each topic with marginal and joint counts and N."""
-    totals = word_totals(tf)
+    totals = totals if totals is not None else word_totals(tf)
     n = tf.agg(F.sum("tf").alias("n"))
-    tw = topic_word_positions(topics, totals)
+    tw = tw if tw is not None else topic_word_positions(topics, totals)
     a = tw.select("topic_id", F.col("idx").alias("i"), F.col("word").alias("wa"))
     b = tw.select("topic_id", F.col("idx").alias("j"), F.col("word").alias("wb"))
     pairs = a.join(b, "topic_id").where(F.col("i") < F.col("j"))
@@ -103,13 +104,17 @@ def topic_pairs(tf: DataFrame, topics: DataFrame, key: str = "doc_id") -> DataFr
 
 
 def topic_coherence(tf: DataFrame, topics: DataFrame, positive: bool = True, key: str = "doc_id") -> DataFrame:
-    """Mean N(P)PMI over the word pairs of each topic; fewer than 2 known words -> 0."""
-    pairs = topic_pairs(tf, topics, key)
+    """Mean N(P)PMI over the word pairs of each topic; fewer than 2 known words -> 0.
+
+    The topic-word table is tiny and read three times, so it is cached here.
+    """
+    totals = word_totals(tf)
+    tw = topic_word_positions(topics, totals).persist()
+    pairs = topic_pairs(tf, topics, key, totals, tw)
     fn = nppmi if positive else npmi
     scored = pairs.withColumn("v", fn("fb", "fa", "joint", "n"))
     sums = scored.groupBy("topic_id").agg(F.sum("v").alias("s"))
-    totals = word_totals(tf)
-    sizes = topic_word_positions(topics, totals).groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_words"))
+    sizes = tw.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_words"))
     out = topics.select("topic_id").join(sizes, "topic_id", "left").join(sums, "topic_id", "left")
     out = out.fillna(0, subset=["n_words"])
     comb = F.col("n_words") * (F.col("n_words") - 1) / 2
@@ -136,7 +141,10 @@ def class_tfidf(toks: DataFrame, clusters: DataFrame, stop: DataFrame | None = N
     """c-TF-IDF per (topic, word): L1-normalised class term frequency x ln(1 + A / f(word)),
     A = integer mean of words per class, f = word frequency over all classes."""
     t = toks if stop is None else toks.join(F.broadcast(stop.select("word")), "word", "left_anti")
-    tc = t.join(clusters.select(key, label), key).groupBy(label, "word").agg(F.count(F.lit(1)).alias("tf"))
+    # the class-term table (topics x vocabulary, small next to the corpus) feeds three aggregates:
+    # cache it so the corpus is tokenised once
+    tc = (t.join(clusters.select(key, label), key).groupBy(label, "word").agg(F.count(F.lit(1)).alias("tf"))
+          .persist())
     f = tc.groupBy("word").agg(F.sum("tf").alias("f"))
     sizes = tc.groupBy(label).agg(F.sum("tf").alias("class_total"))
     avg = sizes.agg(F.floor(F.avg("class_total")).alias("A"))

@@ -143,9 +143,9 @@ def disaster_classifier_q(spark, base):
 
 @register("embed_texts")
 def embed_texts_q(spark, base):
-    """N11 in-repo default encoder (Word2Vec document vectors) over whole documents."""
+    """N11 in-repo default encoder (hashed term vectors, no training) over whole documents."""
     docs = read_table(spark, base, "documents", ["doc_id", "text"])
-    return SC.word2vec_embed(docs, dim=16).select("doc_id", "embedding")
+    return SC.hashed_embed(docs, dim=64).select("doc_id", "embedding")
 
 
 @register("reduce_dims")

@@ -24,8 +24,9 @@ def register(name, sql=None, views=()):
 
 
 def doc_tf(spark, base):
+    """Document-term counts of the whole corpus, cached: coherence reads them in four places."""
     docs = read_table(spark, base, "documents", ["doc_id", "text"])
-    return T.term_counts(T.tokens(docs))
+    return T.term_counts(T.tokens(docs)).persist()
 
 
 TF_SQL = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word
