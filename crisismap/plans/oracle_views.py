@@ -141,6 +141,29 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
   UNION ALL SELECT 100, list(word ORDER BY rank) || ['zzzunknownzzz'] FROM ctfidf WHERE topic_id = 0
   UNION ALL SELECT 101, [w[1], w[1], w[2]] FROM (SELECT list(word ORDER BY rank) AS w FROM ctfidf WHERE topic_id = 1)
   UNION ALL SELECT 102, [w[1]] FROM (SELECT list(word ORDER BY rank) AS w FROM ctfidf WHERE topic_id = 2)"""),
+    "runs": ((), r"""
+  SELECT doc_id, pos, run,
+    coalesce(sum(length(run)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      AS start,
+    lead(run, 1) OVER w AS r1, lead(run, 2) OVER w AS r2, lead(run, 3) OVER w AS r3, lead(run, 4) OVER w AS r4
+  FROM (SELECT doc_id, unnest(range(len(rs))) AS pos, unnest(rs) AS run FROM (
+          SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS rs FROM documents
+          WHERE text IS NOT NULL))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"""),
+    "gazetteer": (("runs",), r"""
+  SELECT name, 'C' || (length(name) % 5) AS country_name, 36 + ((length(name) * 7) % 176) / 8 AS latitude,
+    2 + ((length(name) * 13) % 248) / 8 AS longitude, CAST(n * 1000 AS BIGINT) AS population
+  FROM (SELECT * FROM (SELECT w AS name, count(*) AS n FROM (
+          SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{5,}')) AS w FROM documents WHERE text IS NOT NULL)
+        GROUP BY w ORDER BY n DESC, name LIMIT 18)
+        UNION ALL
+        SELECT * FROM (SELECT lower(run || ' ' || r2) AS name, count(*) AS n FROM runs
+          WHERE regexp_matches(run, '^[\p{L}\p{N}_]') AND r1 = ' ' AND length(run) >= 3 AND length(r2) >= 3
+          GROUP BY 1 ORDER BY n DESC, name LIMIT 2))
+  UNION ALL
+  SELECT name, 'CX', 37.5, 3.5, CAST(1 AS BIGINT) FROM (SELECT w AS name, count(*) AS n FROM (
+          SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{5,}')) AS w FROM documents WHERE text IS NOT NULL)
+        GROUP BY w ORDER BY n DESC, name LIMIT 1)"""),
     "prototypes": ((), """
   SELECT label AS query_id, label, list(x ORDER BY d) AS embedding FROM (
     SELECT label, d, avg(CAST(embedding[d] AS DOUBLE)) AS x
