@@ -3,7 +3,8 @@
 * KMeans is Spark ML's distributed k-means|| with a fixed seed.
 * Density clustering is re-aimed as grid density clustering: points fall in
   cells of side eps / sqrt(d) (any two points of a cell are within eps); a
-  cell holding >= min_pts points is dense; dense cells that touch (3^d
+  cell whose 3^d neighbourhood holds >= min_pts points is dense (a
+  cell-level stand-in for the eps-ball count); dense cells that touch (3^d
   neighbourhood) form one cluster, found by min-label propagation over the
   cell graph with a reliable checkpoint per round; points of sparse cells
   next to a dense cell join it as border points; the rest and clusters
@@ -51,14 +52,19 @@ def cluster_density(df: DataFrame, key: str, vec: str, eps: float, min_pts: int,
     d = len(df.select(vec).first()[0])
     side = eps / math.sqrt(d)
     pts = df.withColumn("_cell", F.transform(vec, lambda x: F.floor(x.cast("double") / side)))
-    counts = pts.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    dense = counts.where(F.col("_n") >= min_pts).select("_cell")
+    cell_n = pts.groupBy("_cell").agg(F.count(F.lit(1)).alias("_own"))
     offs = F.expr(_offsets(d))
 
     def neighbours(cells: DataFrame) -> DataFrame:
         return cells.select("_cell", F.explode(offs).alias("_o")).select(
             "_cell", F.zip_with("_cell", "_o", lambda a, b: a + b).alias("_nb"))
 
+    # neighbourhood count of every occupied cell (cell-level join, no point pairs)
+    counts = (neighbours(cell_n.select("_cell")).join(cell_n.select(F.col("_cell").alias("_nb"), "_own"), "_nb")
+              .groupBy("_cell").agg(F.sum("_own").alias("_n")))
+    counts = cut_lineage(counts)
+    dense = counts.where(F.col("_n") >= min_pts).select("_cell")
+
     edges = neighbours(dense).join(dense.select(F.col("_cell").alias("_nb")), "_nb").select("_cell", "_nb")
     labels = dense.select("_cell", F.col("_cell").alias("_label"))
     for _ in range(max_rounds):

@@ -151,7 +151,8 @@ def pearson(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> Dat
                                 F.var_pop(ys).alias("_vy"), F.covar_pop(xs, ys).alias("_cxy"))
     r = F.when((F.col("n") > 1) & (F.col("_vx") > 0) & (F.col("_vy") > 0),
                F.try_divide(F.col("_cxy"), F.sqrt(F.col("_vx") * F.col("_vy"))))
-    return m.select(*keys, "n", F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)).alias("r"))
+    clamped = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r))  # greatest/least skip NULLs, so guard first
+    return m.select(*keys, "n", F.when(r.isNotNull(), clamped).alias("r"))
 
 
 def _betacf(a: float, b: float, x: float) -> float:

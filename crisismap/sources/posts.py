@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -24,7 +25,9 @@ def read_raw_posts_checked(spark: SparkSession, path: str, multiline: bool = Fal
     raw = (spark.read.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).json(path)
            .withColumn("_source_file", F.col("_metadata.file_path")))
-    # cache-free split: the corrupt column is only read in the quarantine branch
+    # Spark refuses queries that read only the corrupt-record column of a raw scan, so the parse is
+    # materialised once (memory, spilling to disk) and both tables are split from it
+    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
     good = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "_source_file")
     bad = raw.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record"), "_source_file")
     return good, bad
