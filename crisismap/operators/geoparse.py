@@ -4,22 +4,26 @@ Only the output contract is matched: per text, an offset-ordered array of
 toponyms ``{text, start_char, end_char, loc_name, country_name, latitude,
 longitude, score}``. Recognition is a gazetteer lookup of word n-grams:
 
-1. the text is cut into alternating word / non-word runs (concatenated they
-   give the text back), exploded with their position;
-2. character offsets are running sums of run lengths, and the n-grams
-   (1-3 words joined by a single space) come from ``lead`` over the same
-   per-text window — the window partitions by text, so no pair of rows is
-   ever joined;
+1. a small Arrow-batched helper returns, per text, its words, their
+   character offsets and whether exactly one space links each word to the
+   next (one regex scan; no shuffle, no sort of the exploded corpus);
+2. 1-3 word n-grams are built inside the row with array functions and
+   exploded;
 3. lower-cased n-grams hash-join the gazetteer (broadcast once its size is
-   proven small); an ambiguous name resolves to its most populous entry;
-4. a match inside a longer one is dropped (running max of match ends in
-   start order), then matches are collected per text in offset order.
+   proven small, so the candidates never shuffle); an ambiguous name
+   resolves to its most populous entry;
+4. only the hits shuffle by text: a match inside a longer one is dropped
+   (running max of match ends in start order), then matches are collected
+   per text in offset order.
 """
 
 from __future__ import annotations
 
+import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from crisismap.functions.text import RUNS
 from crisismap.session import maybe_broadcast
@@ -47,25 +51,50 @@ def text_runs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
         *[F.lead("run", i).over(w).alias(f"r{i}") for i in range(1, 5)])
 
 
-def ngram_candidates(runs: DataFrame, key: str, max_n: int = 3) -> DataFrame:
-    """(key, start, end, ngram, norm) for 1..max_n word n-grams separated by single spaces."""
-    words = runs.where(F.col("run").rlike(WORD_START))
-    grams = [F.struct(F.lit(1).alias("n"), F.col("run").alias("g"))]
-    if max_n >= 2:
-        grams.append(F.when(F.col("r1") == " ", F.struct(F.lit(2).alias("n"),
-                                                          F.concat("run", "r1", "r2").alias("g"))))
-    if max_n >= 3:
-        grams.append(F.when((F.col("r1") == " ") & (F.col("r3") == " "),
-                            F.struct(F.lit(3).alias("n"), F.concat("run", "r1", "r2", "r3", "r4").alias("g"))))
-    ex = words.select(key, "start", F.explode(F.array_compact(F.array(*grams))).alias("x"))
-    return ex.select(key, "start", (F.col("start") + F.length("x.g")).alias("end"),
+_WORD = regex.compile(r"[\p{L}\p{N}_]+")
+SPANS = StructType([StructField("words", ArrayType(StringType())), StructField("starts", ArrayType(IntegerType())),
+                    StructField("sp", ArrayType(BooleanType()))])
+
+
+def _spans(t):
+    if t is None:
+        return None, None, None
+    ms = list(_WORD.finditer(t))
+    sp = [i + 1 < len(ms) and ms[i + 1].start() == ms[i].end() + 1 and t[ms[i].end()] == " "
+          for i in range(len(ms))]
+    return [m.group() for m in ms], [m.start() for m in ms], sp
+
+
+@F.pandas_udf(SPANS)
+def word_spans(texts: pd.Series) -> pd.DataFrame:
+    """Words of each text with their start offsets (code points) and single-space links."""
+    out = [_spans(t) for t in texts]
+    return pd.DataFrame({"words": [o[0] for o in out], "starts": [o[1] for o in out], "sp": [o[2] for o in out]})
+
+
+_NGRAMS = """flatten(array(
+  transform(sequence(0, size(_w.words) - 1), i -> named_struct('s', _w.starts[i], 'g', _w.words[i])),
+  transform(filter(sequence(0, size(_w.words) - 1), i -> i + 1 < size(_w.words) AND _w.sp[i]),
+            i -> named_struct('s', _w.starts[i], 'g', concat(_w.words[i], ' ', _w.words[i + 1]))),
+  transform(filter(sequence(0, size(_w.words) - 1), i -> i + 2 < size(_w.words) AND _w.sp[i] AND _w.sp[i + 1]),
+            i -> named_struct('s', _w.starts[i],
+                              'g', concat(_w.words[i], ' ', _w.words[i + 1], ' ', _w.words[i + 2])))))"""
+
+
+def ngram_candidates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, start, end, ngram, norm) for the 1-3 word n-grams joined by single spaces."""
+    spans = df.where(F.col(text).isNotNull()).select(key, word_spans(F.col(text)).alias("_w"))
+    spans = spans.where(F.size("_w.words") > 0)
+    ex = spans.select(key, F.explode(F.expr(_NGRAMS)).alias("x"))
+    return ex.select(key, F.col("x.s").cast("long").alias("start"),
+                     (F.col("x.s") + F.length("x.g")).cast("long").alias("end"),
                      F.col("x.g").alias("ngram"), F.lower("x.g").alias("norm"))
 
 
 def toponym_rows(df: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per resolved toponym (key, start_char, end_char, text, loc_name, ...)."""
     gaz, _ = maybe_broadcast(resolve_gazetteer(gazetteer))
-    cand = ngram_candidates(text_runs(df, key, text), key)
+    cand = ngram_candidates(df, key, text)
     hits = cand.join(gaz, "norm")
     w = Window.partitionBy(key).orderBy(F.col("start"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     hits = hits.withColumn("_cover", F.max("end").over(w))

@@ -139,7 +139,7 @@ def nearest_distance(cells: DataFrame, hazards: DataFrame, crs: str, key: str =
 
     Expanding tile rings: round r joins each unresolved cell with the hazards in
     tiles within r of its bounding box. A minimum d <= r * w is final, because
-    every hazard outside that ring is at least r * w away. r doubles each round,
+    every hazard outside that ring is at least r * w away. r = 1, 2, 4, ...,
     so a cell far from every hazard costs O(log distance) rounds; only the
     unresolved cells (a shrinking set) take part in later rounds.
     """
@@ -153,6 +153,8 @@ def nearest_distance(cells: DataFrame, hazards: DataFrame, crs: str, key: str =
         ph = pts.select(F.array(F.struct(x.alias("lon"), y.alias("lat"))).alias("_hgeom"))
         dist = G.point_polygon_distance("element_at(_hgeom, 1).lon", "element_at(_hgeom, 1).lat", "_pring")
     pc = pc.persist()
+    # the distance depends on the distinct geometries only (repeat detections at one spot are common)
+    ph = ph.dropDuplicates(["_hgeom"])
     w = tile_m or max_bbox_side(pc, "_pring")
     htiles = explode_tiles(ph, w, "_hgeom").select("_tx", "_ty", "_hgeom").persist()
     has_hazards = htiles.limit(1).count() > 0
@@ -160,7 +162,7 @@ def nearest_distance(cells: DataFrame, hazards: DataFrame, crs: str, key: str =
 
     pending = pc
     done = []
-    r = 0
+    r = 1  # ring 0 only settles intersecting cells, which ring 1 settles as well
     for _ in range(max_rounds):
         if not has_hazards:
             break
@@ -176,7 +178,7 @@ def nearest_distance(cells: DataFrame, hazards: DataFrame, crs: str, key: str =
         pending = pending.join(final.select(key), key, "left_anti").persist()
         if last or pending.limit(1).count() == 0:
             break
-        r = 1 if r == 0 else 2 * r
+        r = 2 * r
     out = done[0] if done else pc.limit(0).select(key, F.lit(None).cast("double").alias("min_distance"))
     for extra in done[1:]:
         out = out.unionByName(extra)

@@ -104,23 +104,33 @@ def topic_pairs(tf: DataFrame, topics: DataFrame, key: str = "doc_id", totals: D
 
 
 def topic_coherence(tf: DataFrame, topics: DataFrame, positive: bool = True, key: str = "doc_id") -> DataFrame:
-    """Mean N(P)PMI over the word pairs of each topic; fewer than 2 known words -> 0.
+    """Mean N(P)PMI over the word pairs of each topic; fewer than 2 known words -> 0."""
+    both = topic_coherence_variants(tf, topics, key)
+    col = "coherence" if positive else "coherence_npmi"
+    return both.select("topic_id", "n_words", F.col(col).alias("coherence"))
 
-    The topic-word table is tiny and read three times, so it is cached here.
+
+def topic_coherence_variants(tf: DataFrame, topics: DataFrame, key: str = "doc_id") -> DataFrame:
+    """N4, both variants from one pass over the pairs: ``coherence`` (NPPMI) and ``coherence_npmi``.
+
+    The topic and topic-word tables are tiny and read several times, so they are cached here.
     """
+    topics = topics.select("topic_id", "words").persist()
     totals = word_totals(tf)
     tw = topic_word_positions(topics, totals).persist()
     pairs = topic_pairs(tf, topics, key, totals, tw)
-    fn = nppmi if positive else npmi
-    scored = pairs.withColumn("v", fn("fb", "fa", "joint", "n"))
-    sums = scored.groupBy("topic_id").agg(F.sum("v").alias("s"))
+    sums = pairs.groupBy("topic_id").agg(F.sum(nppmi("fb", "fa", "joint", "n")).alias("sp"),
+                                         F.sum(npmi("fb", "fa", "joint", "n")).alias("sn"))
     sizes = tw.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_words"))
     out = topics.select("topic_id").join(sizes, "topic_id", "left").join(sums, "topic_id", "left")
     out = out.fillna(0, subset=["n_words"])
     comb = F.col("n_words") * (F.col("n_words") - 1) / 2
-    coh = F.when(F.col("n_words") < 2, F.coalesce(F.col("s"), F.lit(0.0))).otherwise(
-        F.coalesce(F.col("s"), F.lit(0.0)) / comb)
-    return out.select("topic_id", "n_words", coh.alias("coherence"))
+
+    def mean(s: str) -> Column:
+        return F.when(F.col("n_words") < 2, F.coalesce(F.col(s), F.lit(0.0))).otherwise(
+            F.coalesce(F.col(s), F.lit(0.0)) / comb)
+
+    return out.select("topic_id", "n_words", mean("sp").alias("coherence"), mean("sn").alias("coherence_npmi"))
 
 
 def avg_coherence(coherence: DataFrame) -> DataFrame:
@@ -183,12 +193,19 @@ def with_topic_label(df: DataFrame, topics: DataFrame, label: str = "topic_id")
 
 
 def word_counts(df: DataFrame, stop: DataFrame, text: str = "text", n: int = 200) -> DataFrame:
-    """Word frequencies of posts without stop words, pure digits or a trailing 's."""
-    toks = (df.where(F.col(text).isNotNull())
-            .select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_']{2,}"), 0)).alias("w")))
-    toks = toks.select(F.regexp_replace("w", r"'s$", "").alias("word"))
-    toks = toks.select(F.regexp_replace("word", "'", "").alias("word"))
-    toks = toks.where((F.length("word") >= 2) & ~F.col("word").rlike(r"^[0-9]+$"))
+    """Word frequencies of posts without stop words, pure digits or a trailing 's.
+
+    The per-token clean-up is done once per text: tokens are maximal runs of
+    word characters and apostrophes, so stripping "'s" at a run end and then
+    every apostrophe on the whole text yields the same tokens as doing it
+    token by token, with two regex passes per text instead of three per token.
+    """
+    low = F.lower(F.col(text))
+    low = F.regexp_replace(low, r"'s(?![\p{L}\p{N}_'])", "")
+    low = F.replace(low, F.lit("'"), F.lit(""))
+    toks = df.where(F.col(text).isNotNull()).select(
+        F.explode(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]{2,}"), 0)).alias("word"))
+    toks = toks.where(F.translate("word", "0123456789", "") != "")
     toks = toks.join(F.broadcast(stop.select("word")), "word", "left_anti")
     counts = toks.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
     return counts.orderBy(F.desc("count"), F.asc("word")).limit(n)

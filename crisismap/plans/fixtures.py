@@ -193,23 +193,24 @@ def topics(spark: SparkSession, base: str, n: int = 10) -> DataFrame:
     t1 = tw.where("topic_id = 1").select(F.lit(101).alias("topic_id"),
                                          F.array(F.col("words")[0], F.col("words")[0], F.col("words")[1]).alias("words"))
     t2 = tw.where("topic_id = 2").select(F.lit(102).alias("topic_id"), F.array(F.col("words")[0]).alias("words"))
-    return tw.unionByName(t0).unionByName(t1).unionByName(t2)
+    # a (topics x 10) table that feeds several branches: cached so the corpus is ranked once
+    return tw.unionByName(t0).unionByName(t1).unionByName(t2).persist()
 
 
 def gazetteer(spark: SparkSession, base: str) -> DataFrame:
     """Place names derived from the corpus: the 18 most frequent words of >= 5 characters, the
     2 most frequent space-separated word pairs (>= 3 characters each), and a second, smaller
     entry for the top name (an ambiguous name)."""
-    from crisismap.operators.geoparse import WORD_START, text_runs
-
     docs = read_table(spark, base, "documents", ["doc_id", "text"])
     uni = (docs.where(F.col("text").isNotNull())
            .select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{5,}"), 0)).alias("name"))
            .groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(18))
-    runs = text_runs(docs, "doc_id")
-    bi = (runs.where(F.col("run").rlike(WORD_START) & (F.col("r1") == " ") & (F.length("run") >= 3)
-                     & (F.length("r2") >= 3))
-          .select(F.lower(F.concat("run", F.lit(" "), "r2")).alias("name"))
+    # overlapping word pairs in one scan: a zero-width match at each word start captures the pair ahead
+    w = r"[\p{L}\p{N}_]"
+    pair = rf"(?<!{w})(?=({w}{{3,}} {w}{{3,}})(?!{w}))"
+    bi = (docs.where(F.col("text").isNotNull())
+          .select(F.explode(F.regexp_extract_all("text", F.lit(pair), 1)).alias("p"))
+          .select(F.lower("p").alias("name"))
           .groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(2))
     base_rows = uni.unionByName(bi).selectExpr(
         "name", "concat('C', length(name) % 5) AS country_name",

@@ -96,13 +96,9 @@ WITH {TF_SQL}, {PAIRS_SQL}
 SELECT topic_id, n_words, round(coherence, 6) AS coherence, round(coherence_npmi, 6) AS coherence_npmi FROM coh""")
 def topic_coherence_q(spark, base):
     """Per-topic coherence, NPPMI and NPMI variants (edge topics: unknown, repeated, single word)."""
-    tf = doc_tf(spark, base)
-    topics = fx.topics(spark, base)
-    a = T.topic_coherence(tf, topics, positive=True)
-    b = T.topic_coherence(tf, topics, positive=False).select("topic_id", F.col("coherence").alias("coherence_npmi"))
-    return a.join(b, "topic_id").select("topic_id", F.col("n_words").cast("long").alias("n_words"),
-                                        F.round("coherence", 6).alias("coherence"),
-                                        F.round("coherence_npmi", 6).alias("coherence_npmi"))
+    out = T.topic_coherence_variants(doc_tf(spark, base), fx.topics(spark, base))
+    return out.select("topic_id", F.col("n_words").cast("long").alias("n_words"),
+                      F.round("coherence", 6).alias("coherence"), F.round("coherence_npmi", 6).alias("coherence_npmi"))
 
 
 @register("avg_coherence", views=("topics",), sql=f"""
