@@ -2,19 +2,22 @@
 
 Only the output contract is matched: per text, an offset-ordered array of
 toponyms ``{text, start_char, end_char, loc_name, country_name, latitude,
-longitude, score}``. Recognition is a gazetteer lookup of word n-grams:
-
-1. a small Arrow-batched helper returns, per text, its words, their
-   character offsets and whether exactly one space links each word to the
-   next (one regex scan; no shuffle, no sort of the exploded corpus);
-2. 1-3 word n-grams are built inside the row with array functions and
-   exploded;
-3. lower-cased n-grams hash-join the gazetteer (broadcast once its size is
-   proven small, so the candidates never shuffle); an ambiguous name
-   resolves to its most populous entry;
-4. only the hits shuffle by text: a match inside a longer one is dropped
-   (running max of match ends in start order), then matches are collected
-   per text in offset order.
+longitude, score}``. Recognition is a gazetteer lookup of 1-3 word n-grams
+(words joined by a single space), longest match first:
+
+* gazetteer proven small (bounded row count): its lower-cased names go to
+  the executors as a broadcast set, and a small Arrow-batched helper scans
+  each text once, emitting only n-grams whose lower-cased form is a name
+  (with offsets). Nothing of the corpus is shuffled; Spark then joins the
+  candidates to the broadcast gazetteer for the attributes.
+* larger gazetteer: texts are cut into alternating word / non-word runs,
+  offsets are running sums over a per-text window, n-grams come from
+  ``lead`` in the same window, and candidates hash-join the gazetteer.
+
+Either way only the hits shuffle by text: a match inside a longer one is
+dropped (running max of match ends in start order), an ambiguous name
+resolves to its most populous entry, and matches are collected per text in
+offset order.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from crisismap.functions.text import RUNS
-from crisismap.session import maybe_broadcast
+from crisismap.session import bounded_rows, spread
 
 WORD_START = r"^[\p{L}\p{N}_]"
+MAX_BROADCAST_NAMES = 2_000_000
 
 
 def resolve_gazetteer(gazetteer: DataFrame) -> DataFrame:
@@ -41,7 +45,7 @@ def resolve_gazetteer(gazetteer: DataFrame) -> DataFrame:
 
 def text_runs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, pos, run, start) for every run of every text, with the next four runs alongside."""
-    runs = df.where(F.col(text).isNotNull()).select(
+    runs = spread(df).where(F.col(text).isNotNull()).select(
         key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(RUNS), 0)).alias("pos", "run"))
     w = Window.partitionBy(key).orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -51,41 +55,52 @@ def text_runs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
         *[F.lead("run", i).over(w).alias(f"r{i}") for i in range(1, 5)])
 
 
-_WORD = regex.compile(r"[\p{L}\p{N}_]+")
-SPANS = StructType([StructField("words", ArrayType(StringType())), StructField("starts", ArrayType(IntegerType())),
-                    StructField("sp", ArrayType(BooleanType()))])
-
-
-def _spans(t):
-    if t is None:
-        return None, None, None
-    ms = list(_WORD.finditer(t))
-    sp = [i + 1 < len(ms) and ms[i + 1].start() == ms[i].end() + 1 and t[ms[i].end()] == " "
-          for i in range(len(ms))]
-    return [m.group() for m in ms], [m.start() for m in ms], sp
+def run_candidates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Large-gazetteer path: (key, start, end, ngram, norm) from the per-text run window."""
+    runs = text_runs(df, key, text).where(F.col("run").rlike(WORD_START))
+    g2 = F.when(F.col("r1") == " ", F.concat("run", "r1", "r2"))
+    g3 = F.when((F.col("r1") == " ") & (F.col("r3") == " "), F.concat("run", "r1", "r2", "r3", "r4"))
+    ex = runs.select(key, "start", F.explode(F.array_compact(F.array(F.col("run"), g2, g3))).alias("g"))
+    return ex.select(key, F.col("start").cast("long").alias("start"),
+                     (F.col("start") + F.length("g")).cast("long").alias("end"),
+                     F.col("g").alias("ngram"), F.lower("g").alias("norm"))
 
 
-@F.pandas_udf(SPANS)
-def word_spans(texts: pd.Series) -> pd.DataFrame:
-    """Words of each text with their start offsets (code points) and single-space links."""
-    out = [_spans(t) for t in texts]
-    return pd.DataFrame({"words": [o[0] for o in out], "starts": [o[1] for o in out], "sp": [o[2] for o in out]})
-
-
-_NGRAMS = """flatten(array(
-  transform(sequence(0, size(_w.words) - 1), i -> named_struct('s', _w.starts[i], 'g', _w.words[i])),
-  transform(filter(sequence(0, size(_w.words) - 1), i -> i + 1 < size(_w.words) AND _w.sp[i]),
-            i -> named_struct('s', _w.starts[i], 'g', concat(_w.words[i], ' ', _w.words[i + 1]))),
-  transform(filter(sequence(0, size(_w.words) - 1), i -> i + 2 < size(_w.words) AND _w.sp[i] AND _w.sp[i + 1]),
-            i -> named_struct('s', _w.starts[i],
-                              'g', concat(_w.words[i], ' ', _w.words[i + 1], ' ', _w.words[i + 2])))))"""
+_WORD = regex.compile(r"[\p{L}\p{N}_]+")
+CANDIDATES = ArrayType(StructType([StructField("s", IntegerType()), StructField("g", StringType())]))
 
 
-def ngram_candidates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, start, end, ngram, norm) for the 1-3 word n-grams joined by single spaces."""
-    spans = df.where(F.col(text).isNotNull()).select(key, word_spans(F.col(text)).alias("_w"))
-    spans = spans.where(F.size("_w.words") > 0)
-    ex = spans.select(key, F.explode(F.expr(_NGRAMS)).alias("x"))
+def _matches(t: str, names) -> list:
+    ms = list(_WORD.finditer(t))
+    out = []
+    for i, m in enumerate(ms):
+        g, j = m.group(), i
+        while True:
+            if g.lower() in names:
+                out.append((m.start(), g))
+            if j - i >= 2 or j + 1 >= len(ms):
+                break
+            a, b = ms[j].end(), ms[j + 1].start()
+            if b != a + 1 or t[a] != " ":
+                break
+            j += 1
+            g = g + " " + ms[j].group()
+    return out
+
+
+def _prefilter_udf(names_bc):
+    @F.pandas_udf(CANDIDATES)
+    def candidates(texts: pd.Series) -> pd.Series:
+        names = names_bc.value
+        return pd.Series([None if t is None else [{"s": s, "g": g} for s, g in _matches(t, names)]
+                          for t in texts])
+    return candidates
+
+
+def prefiltered_candidates(df: DataFrame, names: list[str], key: str, text: str = "text") -> DataFrame:
+    """Small-gazetteer path: one scan per text emitting only n-grams that are gazetteer names."""
+    bc = df.sparkSession.sparkContext.broadcast(frozenset(names))
+    ex = spread(df).where(F.col(text).isNotNull()).select(key, F.explode(_prefilter_udf(bc)(F.col(text))).alias("x"))
     return ex.select(key, F.col("x.s").cast("long").alias("start"),
                      (F.col("x.s") + F.length("x.g")).cast("long").alias("end"),
                      F.col("x.g").alias("ngram"), F.lower("x.g").alias("norm"))
@@ -93,9 +108,12 @@ def ngram_candidates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def toponym_rows(df: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per resolved toponym (key, start_char, end_char, text, loc_name, ...)."""
-    gaz, _ = maybe_broadcast(resolve_gazetteer(gazetteer))
-    cand = ngram_candidates(df, key, text)
-    hits = cand.join(gaz, "norm")
+    gaz = resolve_gazetteer(gazetteer)
+    if bounded_rows(gaz, MAX_BROADCAST_NAMES):
+        names = [r.norm for r in gaz.select("norm").collect()]
+        hits = prefiltered_candidates(df, names, key, text).join(F.broadcast(gaz), "norm")
+    else:
+        hits = run_candidates(df, key, text).join(gaz, "norm")
     w = Window.partitionBy(key).orderBy(F.col("start"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     hits = hits.withColumn("_cover", F.max("end").over(w))
     kept = hits.where(F.col("_cover").isNull() | (F.col("_cover") < F.col("end")))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crisismap.session import spread
 from crisismap.sources.tables import read_table
 
 # Fixed values of the fixtures (FIXTURES.md): emotion multipliers, stop words,
@@ -46,7 +47,7 @@ CASE WHEN doc_id % 4 = 0 THEN array() ELSE transform(sequence(1L, doc_id % 4), k
 
 def posts(spark: SparkSession, base: str) -> DataFrame:
     """Flat post rows with labels, toponyms and emotion scores (one duplicate copy per 7th post)."""
-    docs = read_table(spark, base, "documents", ["doc_id", "text", "lang"])
+    docs = spread(read_table(spark, base, "documents", ["doc_id", "text", "lang"]))
     labels = read_table(spark, base, "labels", ["doc_id", "quality"]).select(
         "doc_id", F.col("quality").cast("int").alias("disaster_related"))
     pages = read_table(spark, base, "pages", ["page_id", "url"])
@@ -155,7 +156,7 @@ def fires(spark: SparkSession, base: str) -> DataFrame:
 
 def corpus(spark: SparkSession, base: str) -> DataFrame:
     """Documents with the given clustering ``topic_id = doc_id % 8``."""
-    return read_table(spark, base, "documents", ["doc_id", "text"]).withColumn(
+    return spread(read_table(spark, base, "documents", ["doc_id", "text"])).withColumn(
         "topic_id", (F.col("doc_id") % N_TOPICS).cast("int"))
 
 
@@ -201,7 +202,7 @@ def gazetteer(spark: SparkSession, base: str) -> DataFrame:
     """Place names derived from the corpus: the 18 most frequent words of >= 5 characters, the
     2 most frequent space-separated word pairs (>= 3 characters each), and a second, smaller
     entry for the top name (an ambiguous name)."""
-    docs = read_table(spark, base, "documents", ["doc_id", "text"])
+    docs = spread(read_table(spark, base, "documents", ["doc_id", "text"]))
     uni = (docs.where(F.col("text").isNotNull())
            .select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{5,}"), 0)).alias("name"))
            .groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(18))

@@ -95,3 +95,17 @@ def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[
     if bounded_rows(df, max_rows):
         return F.broadcast(df), True
     return df, False
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin an under-partitioned input (e.g. one Parquet row group) over the cluster's cores.
+
+    Per-row text work (regex scans, tokenising whole documents) is CPU-bound;
+    a scan that yields fewer partitions than there are cores would run it on
+    one core. Inputs already split finer (any large table) pass untouched, so
+    no shuffle is added at scale.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
