@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crisismap.functions import geometry as G
-from crisismap.session import maybe_broadcast
+from crisismap.session import keep, maybe_broadcast
 
 SALT_BUCKETS = 32
 
@@ -152,11 +152,11 @@ def nearest_distance(cells: DataFrame, hazards: DataFrame, crs: str, key: str =
         pts = hazards.where(F.col(hazard_lon).isNotNull() & F.col(hazard_lat).isNotNull())
         ph = pts.select(F.array(F.struct(x.alias("lon"), y.alias("lat"))).alias("_hgeom"))
         dist = G.point_polygon_distance("element_at(_hgeom, 1).lon", "element_at(_hgeom, 1).lat", "_pring")
-    pc = pc.persist()
+    pc = keep(pc)
     # the distance depends on the distinct geometries only (repeat detections at one spot are common)
     ph = ph.dropDuplicates(["_hgeom"])
     w = tile_m or max_bbox_side(pc, "_pring")
-    htiles = explode_tiles(ph, w, "_hgeom").select("_tx", "_ty", "_hgeom").persist()
+    htiles = keep(explode_tiles(ph, w, "_hgeom").select("_tx", "_ty", "_hgeom"))
     has_hazards = htiles.limit(1).count() > 0
     span = _span(pc, htiles, w)
 
@@ -173,9 +173,9 @@ def nearest_distance(cells: DataFrame, hazards: DataFrame, crs: str, key: str =
         best = pairs.groupBy(key).agg(F.min(F.expr(dist)).alias("min_distance"))
         last = r * w >= span
         final = best if last else best.where(F.col("min_distance") <= F.lit(r * w))
-        final = final.persist()
+        final = keep(final)
         done.append(final)
-        pending = pending.join(final.select(key), key, "left_anti").persist()
+        pending = keep(pending.join(final.select(key), key, "left_anti"))
         if last or pending.limit(1).count() == 0:
             break
         r = 2 * r

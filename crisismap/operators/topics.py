@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crisismap.functions.text import tokens as token_array
-from crisismap.session import spread
+from crisismap.session import keep, spread
 
 
 def tokens(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -120,9 +120,9 @@ def topic_coherence_variants(tf: DataFrame, topics: DataFrame, key: str = "doc_i
 
     The topic and topic-word tables are tiny and read several times, so they are cached here.
     """
-    topics = topics.select("topic_id", "words").persist()
+    topics = keep(topics.select("topic_id", "words"))
     totals = word_totals(tf)
-    tw = topic_word_positions(topics, totals).persist()
+    tw = keep(topic_word_positions(topics, totals))
     pairs = topic_pairs(tf, topics, key, totals, tw)
     sums = pairs.groupBy("topic_id").agg(F.sum(nppmi("fb", "fa", "joint", "n")).alias("sp"),
                                          F.sum(npmi("fb", "fa", "joint", "n")).alias("sn"))
@@ -158,8 +158,7 @@ def class_tfidf(toks: DataFrame, clusters: DataFrame, stop: DataFrame | None = N
     t = toks if stop is None else toks.join(F.broadcast(stop.select("word")), "word", "left_anti")
     # the class-term table (topics x vocabulary, small next to the corpus) feeds three aggregates:
     # cache it so the corpus is tokenised once
-    tc = (t.join(clusters.select(key, label), key).groupBy(label, "word").agg(F.count(F.lit(1)).alias("tf"))
-          .persist())
+    tc = keep(t.join(clusters.select(key, label), key).groupBy(label, "word").agg(F.count(F.lit(1)).alias("tf")))
     f = tc.groupBy("word").agg(F.sum("tf").alias("f"))
     sizes = tc.groupBy(label).agg(F.sum("tf").alias("class_total"))
     avg = sizes.agg(F.floor(F.avg("class_total")).alias("A"))

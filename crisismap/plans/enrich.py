@@ -18,7 +18,7 @@ from crisismap.operators import posts as P
 from crisismap.operators import scoring as SC
 from crisismap.operators import topics as T
 from crisismap.schemas import TOPIC_EVALUATION
-from crisismap.session import cut_lineage
+from crisismap.session import cut_lineage, keep
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
@@ -45,7 +45,7 @@ def fit_topics(docs: DataFrame, algo: str, k: int, vec: str = "embedding", key:
 
 def topic_words_of(clusters: DataFrame, toks: DataFrame, stop: DataFrame | None, key: str) -> DataFrame:
     """Top-10 c-TF-IDF words of each non-noise topic, cached (a topics x 10 table read several times)."""
-    return T.top_words(T.class_tfidf(toks, clusters.where(F.col("topic_id") >= 0), stop, key), 10).persist()
+    return keep(T.top_words(T.class_tfidf(toks, clusters.where(F.col("topic_id") >= 0), stop, key), 10))
 
 
 def _score(tf: DataFrame, words: DataFrame, key: str):
@@ -62,9 +62,9 @@ def evaluate_topics(docs: DataFrame, eval_docs: DataFrame | None = None, ks=(10,
     """Algorithms x topic counts (x sample sizes) -> coherence, diversity, quality = c x d."""
     spark = docs.sparkSession
     eval_docs = eval_docs if eval_docs is not None else docs
-    toks = T.tokens(docs, text, key).persist()
-    tf = T.term_counts(toks, key).persist()
-    etf = tf if eval_docs is docs else T.term_counts(T.tokens(eval_docs, text, key), key).persist()
+    toks = keep(T.tokens(docs, text, key))
+    tf = keep(T.term_counts(toks, key))
+    etf = tf if eval_docs is docs else keep(T.term_counts(T.tokens(eval_docs, text, key), key))
     configs = [(a, k, s) for s in (sample_sizes or [None]) for a in algos for k in ks
                if not (a == "kmeans" and k in (None, "auto"))]
 
@@ -72,7 +72,7 @@ def evaluate_topics(docs: DataFrame, eval_docs: DataFrame | None = None, ks=(10,
         algo, k, size = cfg
         try:
             train = sample_rows(docs, size, key=key) if size else docs
-            clusters = fit_topics(train, algo, k, vec, key, **cluster_args).persist()
+            clusters = keep(fit_topics(train, algo, k, vec, key, **cluster_args))
             tr_tf = tf if size is None else tf.join(train.select(key), key, "left_semi")
             tr_toks = toks if size is None else toks.join(train.select(key), key, "left_semi")
             words = topic_words_of(clusters, tr_toks, stop, key)

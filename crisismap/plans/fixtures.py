@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crisismap.session import spread
+from crisismap.session import keep, spread
 from crisismap.sources.tables import read_table
 
 # Fixed values of the fixtures (FIXTURES.md): emotion multipliers, stop words,
@@ -195,7 +195,7 @@ def topics(spark: SparkSession, base: str, n: int = 10) -> DataFrame:
                                          F.array(F.col("words")[0], F.col("words")[0], F.col("words")[1]).alias("words"))
     t2 = tw.where("topic_id = 2").select(F.lit(102).alias("topic_id"), F.array(F.col("words")[0]).alias("words"))
     # a (topics x 10) table that feeds several branches: cached so the corpus is ranked once
-    return tw.unionByName(t0).unionByName(t1).unionByName(t2).persist()
+    return keep(tw.unionByName(t0).unionByName(t1).unionByName(t2))
 
 
 def gazetteer(spark: SparkSession, base: str) -> DataFrame:

@@ -8,6 +8,7 @@ from crisismap.operators import posts as P
 from crisismap.operators import topics as T
 from crisismap.plans import fixtures as fx
 from crisismap.plans.oracle_views import with_views
+from crisismap.session import keep
 from crisismap.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -26,7 +27,7 @@ def register(name, sql=None, views=()):
 def doc_tf(spark, base):
     """Document-term counts of the whole corpus, cached: coherence reads them in four places."""
     docs = read_table(spark, base, "documents", ["doc_id", "text"])
-    return T.term_counts(T.tokens(docs)).persist()
+    return keep(T.term_counts(T.tokens(docs)))
 
 
 TF_SQL = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word

@@ -67,3 +67,19 @@ def enrich_q(spark, base):
     out = E.enrich(posts, labelled, fx.stopwords(spark))
     return out.select("cid", "crawl_seq", "topic_id", "topic_label", "anger", "fear", "joy", "sadness",
                       "no_emotion", "disaster_related")
+
+
+@register("sample_posts")
+def sample_posts_q(spark, base):
+    """K4 / K5: reproducible 100-post sample (hash order on the key, independent of partitioning)."""
+    posts = fx.posts(spark, base).withColumn("doc_key", F.concat_ws("#", "cid", "crawl_seq"))
+    return E.sample_rows(posts, 100, seed=42, key="doc_key").select("cid", "crawl_seq", "text")
+
+
+@register("best_topic_config")
+def best_topic_config_q(spark, base):
+    """K1: the best kmeans configuration by train quality over embedded documents (top-1 is the feature)."""
+    docs = read_table(spark, base, "documents", ["doc_id", "text"]).withColumnRenamed("text", "cleaned_text")
+    emb = SC.hashed_embed(docs, text="cleaned_text", dim=16)
+    grid = E.evaluate_topics(emb, ks=(4, 6), algos=("kmeans",), stop=fx.stopwords(spark))
+    return E.best_config(grid)

@@ -109,3 +109,15 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Reuse an intermediate table several times without recomputing it.
+
+    Stored on executor disk only: a job that reads a few reused tables should
+    not hold them in the heap that sorts, aggregates and broadcasts need, and
+    cached blocks of many sequential jobs must not pile up in memory.
+    """
+    from pyspark import StorageLevel
+
+    return df.persist(StorageLevel.DISK_ONLY)
