@@ -70,11 +70,10 @@ def harvest_match(posts: DataFrame, keywords: DataFrame, start, end=None, step_m
     low = F.lower(F.col(text))
     matched = p.crossJoin(F.broadcast(kws)).select(
         "*", F.explode(F.filter("_kws", lambda k: F.instr(low, k) > 0)).alias("keyword")).drop("_kws")
-    step_s = int(step_minutes) * 60
-    origin = F.unix_timestamp(F.col("_lo").cast("timestamp"))
-    secs = F.unix_timestamp(F.col(ts).cast("timestamp"))
-    idx = F.floor((secs - origin) / step_s)
-    matched = matched.withColumn("since", F.timestamp_seconds(origin + idx * step_s).cast("timestamp_ntz"))
+    # interval index from a zone-free difference of wall-clock times (no session time zone, no DST)
+    idx = F.floor(F.expr(f"timestampdiff(MINUTE, _lo, CAST(`{ts}` AS TIMESTAMP_NTZ))") / int(step_minutes))
+    matched = matched.withColumn("since", F.col("_lo") + F.make_dt_interval(
+        F.lit(0), F.lit(0), (idx * int(step_minutes)).cast("int"), F.lit(0)))
     matched = matched.withColumn("until", F.col("since") + F.expr(f"make_dt_interval(0, 0, {int(step_minutes)}, 0)"))
     w = Window.partitionBy("keyword", "since").orderBy(F.desc(ts), F.asc(key), *[F.asc(c) for c in tiebreak])
     out = matched.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)

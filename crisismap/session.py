@@ -45,8 +45,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    The library never invents a machine-local folder: if nothing is configured
-    this raises, and tests configure one themselves via ``ensure_checkpoint_dir``.
+    On a cluster the library never invents a machine-local folder: if nothing
+    is configured it raises. Only a ``local[...]`` session (one machine, where
+    local is shared) gets a fresh scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +57,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
+    if sc.master.startswith("local"):
+        # a single-machine session (tests, local runs): its own scratch folder is the shared folder
+        import tempfile
+
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="crisismap-ckpt-"))
+        return sc.getCheckpointDir()
     raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder for checkpoints")
 
 
