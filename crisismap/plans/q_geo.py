@@ -104,7 +104,7 @@ NEAR_FLOOD_SQL = f"""nd AS (
 
 # ------------------------------------------------------------------ step 3 --
 @register("points_in_cells", views=("posts", "grid"), sql=f"""
-WITH {PP_SQL}, {PC_SQL} SELECT cid, crawl_seq, k, level, cell_id FROM pc""")
+WITH {PP_SQL}, {PC_SQL} SELECT cid, crawl_seq, CAST(k AS INTEGER) AS k, level, cell_id FROM pc""")
 def points_in_cells_q(spark, base):
     """J2 + P15: every post point joined to every grid cell it intersects (both levels)."""
     return point_cells(spark, base).select("cid", "crawl_seq", "k", "level", "cell_id")

@@ -125,7 +125,7 @@ def media_flags_q(spark, base):
 
 @register("places_points", views=("posts",), sql=f"""
 SELECT cid, crawl_seq, array_to_string(list_transform(toponyms, t -> t.text), '|') AS place,
-  len({POINTS_SQL}) AS n_points,
+  CAST(len({POINTS_SQL}) AS INTEGER) AS n_points,
   round(coalesce(list_sum(list_transform({POINTS_SQL}, t -> t.longitude)), 0), 6) AS sum_lon,
   round(coalesce(list_sum(list_transform({POINTS_SQL}, t -> t.latitude)), 0), 6) AS sum_lat
 FROM posts""")
