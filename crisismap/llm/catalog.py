@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from crisismap.llm import bpe_codec, exact_dedup, packing, simhash, token_counts
+from crisismap.llm import bpe_codec, exact_dedup, packing, simhash, token_counts, toxicity
 
-MODULES = (bpe_codec, simhash, exact_dedup, token_counts, packing)
+MODULES = (bpe_codec, simhash, exact_dedup, token_counts, toxicity, packing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
