@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from crisismap.llm import bpe_codec, exact_dedup, language_id, packing, simhash, token_counts, toxicity
+from crisismap.llm import bpe_codec, exact_dedup, kd_search, language_id, packing, simhash, token_counts, toxicity
 
-MODULES = (bpe_codec, simhash, exact_dedup, language_id, token_counts, toxicity, packing)
+MODULES = (bpe_codec, simhash, exact_dedup, language_id, token_counts, kd_search,
+           toxicity, packing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
