@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from crisismap.llm import bpe_codec, exact_dedup, kd_search, language_id, packing, pii, simhash, token_counts, toxicity
+from crisismap.llm import bpe_codec, exact_dedup, kd_search, language_id, lm_score, packing, pii, simhash, token_counts, toxicity
 
-MODULES = (bpe_codec, simhash, pii, exact_dedup, language_id, token_counts, kd_search,
+MODULES = (bpe_codec, simhash, pii, exact_dedup, language_id, lm_score, token_counts, kd_search,
            toxicity, packing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
