@@ -30,9 +30,10 @@ def _unescape(s: pd.Series) -> pd.Series:
 
 
 def decode_entities(c) -> Column:
-    """HTML entity decoding (T1 d); Python runs only for rows that contain '&'."""
+    """HTML entity decoding (T1 d); only texts that contain '&' are sent to Python."""
     c = _c(c)
-    return F.when(F.instr(c, "&") > 0, _unescape(c)).otherwise(c)
+    some = F.when(F.instr(c, "&") > 0, c)  # the function's input: NULL, and so nothing to send, for all other rows
+    return F.coalesce(_unescape(some), c)
 
 
 def clean_text(c, decode: bool = True) -> Column:

@@ -5,8 +5,8 @@
   cells of side eps / sqrt(d) (any two points of a cell are within eps); a
   cell whose 3^d neighbourhood holds >= min_pts points is dense (a
   cell-level stand-in for the eps-ball count); dense cells that touch (3^d
-  neighbourhood) form one cluster, found by min-label propagation over the
-  cell graph with a reliable checkpoint per round; points of sparse cells
+  neighbourhood) form one cluster, found by hooking trees of cells and
+  doubling the hooks, with a reliable checkpoint per round; points of sparse cells
   next to a dense cell join it as border points; the rest and clusters
   below ``min_cluster_size`` are noise (-1). No point pairs are ever formed,
   so a dense region costs its cell count, not its squared point count.
@@ -47,9 +47,15 @@ def _offsets(d: int) -> str:
 
 
 def cluster_density(df: DataFrame, key: str, vec: str, eps: float, min_pts: int, min_cluster_size: int,
-                    out: str = "topic_id", max_rounds: int = 64) -> DataFrame:
-    """N14 (re-aimed): grid density clustering; noise and small clusters get -1."""
-    d = len(df.select(vec).first()[0])
+                    out: str = "topic_id", dims: int | None = None) -> DataFrame:
+    """N14 (re-aimed): grid density clustering; noise and small clusters get -1.
+
+    ``dims`` is the vectors' length, if known (else one row is read to learn it).
+    """
+    first = None if dims else df.select(vec).first()
+    if not dims and first is None:
+        return df.withColumn(out, F.lit(-1))
+    d = dims or len(first[0])
     side = eps / math.sqrt(d)
     pts = df.withColumn("_cell", F.transform(vec, lambda x: F.floor(x.cast("double") / side)))
     cell_n = pts.groupBy("_cell").agg(F.count(F.lit(1)).alias("_own"))
@@ -66,18 +72,7 @@ def cluster_density(df: DataFrame, key: str, vec: str, eps: float, min_pts: int,
     dense = counts.where(F.col("_n") >= min_pts).select("_cell")
 
     edges = neighbours(dense).join(dense.select(F.col("_cell").alias("_nb")), "_nb").select("_cell", "_nb")
-    labels = dense.select("_cell", F.col("_cell").alias("_label"))
-    for _ in range(max_rounds):
-        prop = edges.join(labels.select(F.col("_cell").alias("_nb"), F.col("_label").alias("_l2")), "_nb")
-        best = prop.groupBy("_cell").agg(F.min("_l2").alias("_l2"))
-        new = (labels.join(best, "_cell", "left")
-               .select("_cell", F.least("_label", F.coalesce("_l2", "_label")).alias("_label")))
-        new = cut_lineage(new)
-        changed = new.join(labels.withColumnRenamed("_label", "_old"), "_cell").where(
-            F.col("_label") != F.col("_old")).limit(1).count()
-        labels = new
-        if changed == 0:
-            break
+    labels = connected_labels(dense, edges)
     # border points: a sparse cell takes the smallest label among its dense neighbours
     sparse = counts.where(F.col("_n") < min_pts).select("_cell")
     border = (neighbours(sparse).join(labels.select(F.col("_cell").alias("_nb"), "_label"), "_nb")
@@ -92,6 +87,32 @@ def cluster_density(df: DataFrame, key: str, vec: str, eps: float, min_pts: int,
     return res.drop("_cell", "_label")
 
 
+def connected_labels(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """(_cell, _label): the smallest cell that each cell is connected with, by edges (_cell, _nb).
+
+    In a round every tree of cells hooks onto the smallest neighbouring tree,
+    and the hooks are then followed to their ends by doubling, so at least half
+    of all trees that still have a neighbour vanish. Rounds end when nothing hooks,
+    logarithmically many however long a chain of cells is.
+    """
+    labels = cells.select("_cell", F.col("_cell").alias("_label"))
+    while True:
+        mine = labels.select("_cell", F.col("_label").alias("_root"))
+        theirs = labels.select(F.col("_cell").alias("_nb"), F.col("_label").alias("_up"))
+        hooks = cut_lineage(edges.join(mine, "_cell").join(theirs, "_nb").where(F.col("_up") < F.col("_root"))
+                            .groupBy("_root").agg(F.min("_up").alias("_up")))
+        if hooks.isEmpty():
+            return labels
+        while True:
+            further = hooks.select(F.col("_root").alias("_up"), F.col("_up").alias("_end"))
+            longer = cut_lineage(hooks.join(further, "_up", "left").select("_root", "_up", "_end"))
+            if longer.where(F.col("_end").isNotNull()).isEmpty():
+                break
+            hooks = longer.select("_root", F.coalesce("_end", "_up").alias("_up"))
+        labels = cut_lineage(labels.join(hooks.withColumnRenamed("_root", "_label"), "_label", "left")
+                             .select("_cell", F.coalesce("_up", "_label").alias("_label")))
+
+
 def topic_vectors(df: DataFrame, vec: str = "embedding", label: str = "topic_id") -> DataFrame:
     """Size and summed vector per topic (noise excluded)."""
     dims = df.where(F.col(label) >= 0).select(label, F.posexplode(vec).alias("_d", "_x"))

@@ -2,118 +2,76 @@
 
 Only the output contract is matched: per text, an offset-ordered array of
 toponyms ``{text, start_char, end_char, loc_name, country_name, latitude,
-longitude, score}``. Recognition is a gazetteer lookup of 1-3 word n-grams
-(words joined by a single space), longest match first:
-
-* gazetteer proven small (bounded row count): its lower-cased names go to
-  the executors as a broadcast set, and a small Arrow-batched helper scans
-  each text once, emitting only n-grams whose lower-cased form is a name
-  (with offsets). Nothing of the corpus is shuffled; Spark then joins the
-  candidates to the broadcast gazetteer for the attributes.
-* larger gazetteer: texts are cut into alternating word / non-word runs,
-  offsets are running sums over a per-text window, n-grams come from
-  ``lead`` in the same window, and candidates hash-join the gazetteer.
-
-Either way only the hits shuffle by text: a match inside a longer one is
-dropped (running max of match ends in start order), an ambiguous name
-resolves to its most populous entry, and matches are collected per text in
-offset order.
+longitude, score}``. Recognition is a gazetteer lookup of word n-grams, as long
+as the gazetteer's longest name, longest match first. Words of a name may be
+parted by one space, hyphen or apostrophe, or a full stop and a space, and a text
+must part them alike.
+
+A text is cut into alternating word and non-word runs, whose ends are summed up
+within the row, so its n-grams with their offsets leave it without any window
+or shuffle. They meet the gazetteer in an equi join (broadcast if it is proven
+small), and only the hits shuffle by text: a match inside a longer one is
+dropped (running max of match ends in start order), an ambiguous name resolves
+to its most populous entry, and matches are collected per text in offset order.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from crisismap.functions.text import RUNS
-from crisismap.session import bounded_rows, spread
+from crisismap.session import maybe_broadcast, spread
 
 WORD_START = r"^[\p{L}\p{N}_]"
-MAX_BROADCAST_NAMES = 2_000_000
+WORD = r"[\p{L}\p{N}_]+"
+GAPS = (" ", "-", "'", "\u2019", ". ")
+
+
+def _norm(name: Column) -> Column:
+    return F.replace(F.lower(name), F.lit("\u2019"), F.lit("'"))
 
 
 def resolve_gazetteer(gazetteer: DataFrame) -> DataFrame:
-    """One entry per lower-cased name: the most populous wins (ties: lower latitude, longitude)."""
-    g = gazetteer.withColumn("norm", F.lower("name"))
+    """One entry per normalised name: the most populous wins (ties: lower latitude, longitude)."""
+    bare = F.regexp_replace(F.regexp_replace("name", r"\s+", " "), r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")
+    g = gazetteer.withColumn("norm", _norm(bare)).where("norm <> ''")
     best = F.max_by(F.struct("name", "country_name", "latitude", "longitude", "population"),
                     F.struct("population", -F.col("latitude"), -F.col("longitude")))
     return g.groupBy("norm").agg(best.alias("g")).select("norm", "g.*")
 
 
-def text_runs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, pos, run, start) for every run of every text, with the next four runs alongside."""
-    runs = spread(df).where(F.col(text).isNotNull()).select(
-        key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(RUNS), 0)).alias("pos", "run"))
-    w = Window.partitionBy(key).orderBy("pos")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return runs.select(
-        key, "pos", "run",
-        F.coalesce(F.sum(F.length("run")).over(before), F.lit(0)).alias("start"),
-        *[F.lead("run", i).over(w).alias(f"r{i}") for i in range(1, 5)])
-
-
-def run_candidates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Large-gazetteer path: (key, start, end, ngram, norm) from the per-text run window."""
-    runs = text_runs(df, key, text).where(F.col("run").rlike(WORD_START))
-    g2 = F.when(F.col("r1") == " ", F.concat("run", "r1", "r2"))
-    g3 = F.when((F.col("r1") == " ") & (F.col("r3") == " "), F.concat("run", "r1", "r2", "r3", "r4"))
-    ex = runs.select(key, "start", F.explode(F.array_compact(F.array(F.col("run"), g2, g3))).alias("g"))
-    return ex.select(key, F.col("start").cast("long").alias("start"),
-                     (F.col("start") + F.length("g")).cast("long").alias("end"),
-                     F.col("g").alias("ngram"), F.lower("g").alias("norm"))
-
-
-_WORD = regex.compile(r"[\p{L}\p{N}_]+")
-CANDIDATES = ArrayType(StructType([StructField("s", IntegerType()), StructField("g", StringType())]))
-
-
-def _matches(t: str, names) -> list:
-    ms = list(_WORD.finditer(t))
-    out = []
-    for i, m in enumerate(ms):
-        g, j = m.group(), i
-        while True:
-            if g.lower() in names:
-                out.append((m.start(), g))
-            if j - i >= 2 or j + 1 >= len(ms):
-                break
-            a, b = ms[j].end(), ms[j + 1].start()
-            if b != a + 1 or t[a] != " ":
-                break
-            j += 1
-            g = g + " " + ms[j].group()
-    return out
-
-
-def _prefilter_udf(names_bc):
-    @F.pandas_udf(CANDIDATES)
-    def candidates(texts: pd.Series) -> pd.Series:
-        names = names_bc.value
-        return pd.Series([None if t is None else [{"s": s, "g": g} for s, g in _matches(t, names)]
-                          for t in texts])
-    return candidates
-
-
-def prefiltered_candidates(df: DataFrame, names: list[str], key: str, text: str = "text") -> DataFrame:
-    """Small-gazetteer path: one scan per text emitting only n-grams that are gazetteer names."""
-    bc = df.sparkSession.sparkContext.broadcast(frozenset(names))
-    ex = spread(df).where(F.col(text).isNotNull()).select(key, F.explode(_prefilter_udf(bc)(F.col(text))).alias("x"))
-    return ex.select(key, F.col("x.s").cast("long").alias("start"),
-                     (F.col("x.s") + F.length("x.g")).cast("long").alias("end"),
-                     F.col("x.g").alias("ngram"), F.lower("x.g").alias("norm"))
+def candidates(df: DataFrame, key: str, text: str = "text", longest: int = 3) -> DataFrame:
+    """(key, start, end, ngram, norm) for all n-grams of 1 to ``longest`` words of each text."""
+    cut = spread(df.select(key, F.col(text).alias("_text"))).where(F.col("_text").isNotNull()).select(
+        key, F.regexp_extract_all("_text", F.lit(RUNS), F.lit(0)).alias("_r"))
+    # columns of their own, so that they are worked out once a text
+    cut = cut.select(key, "_r", F.transform("_r", lambda r: r.rlike(WORD_START)).alias("_word"),
+                     F.transform("_r", lambda r: r.isin(*GAPS)).alias("_gap"),
+                     F.aggregate("_r", F.array(F.lit(0)), lambda done, r: F.concat(done, F.array(
+                         F.element_at(done, -1) + F.length(r)))).alias("_end"))
+
+    def grams(i: Column) -> Column:
+        whole, out = F.lit(True), []
+        for n in range(longest):
+            if n:
+                # past the text's last word, get() is NULL and so is the condition
+                whole = whole & F.get("_gap", i + 2 * n - 1) & F.get("_word", i + 2 * n)
+            gram = F.array_join(F.slice("_r", i + 1, 2 * n + 1), "") if n else F.get("_r", i)
+            out.append(F.when(whole, gram))
+        return F.transform(F.array_compact(F.array(*out)), lambda g: F.struct(F.get("_end", i).alias("s"), g.alias("g")))
+
+    words = F.filter(F.transform("_word", lambda w, i: F.when(w, i)), lambda i: i.isNotNull())
+    ex = cut.select(key, F.explode(F.flatten(F.transform(words, grams))).alias("x"))
+    return ex.select(key, F.col("x.s").cast("long").alias("start"), (F.col("x.s") + F.length("x.g")).cast("long").alias("end"),
+                     F.col("x.g").alias("ngram"), _norm(F.col("x.g")).alias("norm"))
 
 
 def toponym_rows(df: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per resolved toponym (key, start_char, end_char, text, loc_name, ...)."""
     gaz = resolve_gazetteer(gazetteer)
-    if bounded_rows(gaz, MAX_BROADCAST_NAMES):
-        names = [r.norm for r in gaz.select("norm").collect()]
-        hits = prefiltered_candidates(df, names, key, text).join(F.broadcast(gaz), "norm")
-    else:
-        hits = run_candidates(df, key, text).join(gaz, "norm")
+    longest = gaz.agg(F.max(F.size(F.regexp_extract_all("norm", F.lit(WORD), F.lit(0))))).first()[0] or 1
+    hits = candidates(df, key, text, longest).join(maybe_broadcast(gaz)[0], "norm")
     w = Window.partitionBy(key).orderBy(F.col("start"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     hits = hits.withColumn("_cover", F.max("end").over(w))
     kept = hits.where(F.col("_cover").isNull() | (F.col("_cover") < F.col("end")))

@@ -13,17 +13,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crisismap.session import bounded_rows
+# Keywords that are attached to a post at once; a longer list makes more blocks.
+BLOCK_KEYWORDS = 10_000
 
-MAX_KEYWORDS = 100_000
 
+def _keyword_blocks(keywords: DataFrame, col: str = "keyword") -> DataFrame:
+    """Distinct lower-cased keywords as arrays of bounded size, one a row (Q1: duplicates count once).
 
-def _keyword_array(keywords: DataFrame, col: str = "keyword") -> DataFrame:
-    """Distinct lower-cased keywords as one array (Q1: duplicated keywords are deduped)."""
-    if not bounded_rows(keywords, MAX_KEYWORDS):
-        raise ValueError("keyword list too large to attach to every row")
+    A hash deals the keywords into blocks, so a list of any length works and
+    no row holds all of it; a usual list is one block.
+    """
     kws = keywords.select(F.lower(F.col(col)).alias("k")).where(F.col("k").isNotNull()).distinct()
-    return kws.agg(F.sort_array(F.collect_list("k")).alias("_kws"))
+    blocks = max(1, -(-kws.count() // BLOCK_KEYWORDS))
+    return (kws.groupBy(F.pmod(F.xxhash64("k"), F.lit(blocks)).alias("_block"))
+            .agg(F.sort_array(F.collect_list("k")).alias("_kws")).drop("_block"))
 
 
 def _span(spark, start, end) -> DataFrame:
@@ -44,7 +47,9 @@ def harvest_tasks(keywords: DataFrame, start, end=None, step_minutes: int = 30,
     kws = kw.agg(F.sort_array(F.collect_list(F.struct("_o", "keyword"))).alias("_k"))
     step = F.expr(f"make_dt_interval(0, 0, {int(step_minutes)}, 0)")
     span = _span(keywords.sparkSession, start, end)
-    since = F.sequence(F.col("_lo"), F.col("_hi") - step, step)
+    # as long as an interval begins before the end, the last one whole even if the end cuts it
+    since = F.when(F.col("_lo") < F.col("_hi"), F.filter(
+        F.sequence(F.col("_lo"), F.greatest("_lo", "_hi"), step), lambda s: s < F.col("_hi")))
     out = kws.crossJoin(span).select(F.posexplode(since).alias("_i", "since"), "_k").select(
         "_i", "since", F.size("_k").alias("_n"), F.posexplode("_k").alias("_j", "_kw"))
     return out.select((F.col("_i") * F.col("_n") + F.col("_j")).cast("long").alias("task_no"),
@@ -63,12 +68,12 @@ def harvest_match(posts: DataFrame, keywords: DataFrame, start, end=None, step_m
     """I1 + F15 + W7: posts per (keyword, interval) whose text contains the keyword and whose time
     lies in [since, until), at most ``limit`` each, newest first then ``key``. A post may match
     several tasks. The interval is an equi key computed per row (no range join)."""
-    kws = _keyword_array(keywords)
+    kws = _keyword_blocks(keywords)
     span = _span(posts.sparkSession, start, end)
     p = posts.where(F.col(ts).isNotNull() & F.col(text).isNotNull()).crossJoin(F.broadcast(span))
     p = p.where((F.col(ts) >= F.col("_lo")) & (F.col(ts) < F.col("_hi")))
     low = F.lower(F.col(text))
-    matched = p.crossJoin(F.broadcast(kws)).select(
+    matched = p.crossJoin(kws).select(
         "*", F.explode(F.filter("_kws", lambda k: F.instr(low, k) > 0)).alias("keyword")).drop("_kws")
     # interval index from a zone-free difference of wall-clock times (no session time zone, no DST)
     idx = F.floor(F.expr(f"timestampdiff(MINUTE, _lo, CAST(`{ts}` AS TIMESTAMP_NTZ))") / int(step_minutes))

@@ -24,7 +24,7 @@ def parse_posts(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
                    CASE WHEN coalesce(record.embed.external.uri, '') <> '' THEN array(record.embed.external.uri)
                         ELSE {EMPTY} END
                  WHEN record.embed.`$type` = '{IMAGES}' THEN
-                   transform(filter(coalesce(record.embed.images, array()), i -> i.image.ref IS NOT NULL),
+                   transform(filter(coalesce(record.embed.images, array()), i -> i.image.ref.`$link` IS NOT NULL),
                              i -> i.image.ref.`$link`)
                  ELSE {EMPTY} END""")
     facet_urls = F.expr(
@@ -133,10 +133,11 @@ def dedupe_keep_first(df: DataFrame, key: str = "cid", order: str = "crawl_seq")
 
     A grouped ``min_by`` instead of a ``row_number`` window: the aggregate is
     combined map-side, so a key holding a third of all rows is reduced before
-    the shuffle instead of landing whole in one task.
+    the shuffle instead of landing whole in one task. A NULL order counts after
+    all others.
     """
     others = [c for c in df.columns if c != key]
-    best = F.min_by(F.struct(*others), F.col(order))
+    best = F.min_by(F.struct(*others), F.struct(F.col(order).isNull(), F.col(order)))
     return df.groupBy(key).agg(best.alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 

@@ -51,7 +51,9 @@ def _tile_join(left: DataFrame, right_tiles: DataFrame, salt_cols: list[str], ho
     small, is_small = maybe_broadcast(right_tiles)
     if is_small:
         return left.join(small, ["_tx", "_ty"], how)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*salt_cols), F.lit(SALT_BUCKETS)))
+    # the row's own number takes part, so equal rows at one hot spot are spread too
+    number = F.monotonically_increasing_id()
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*salt_cols, number), F.lit(SALT_BUCKETS)))
     fanned = right_tiles.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
     return salted.join(fanned, ["_tx", "_ty", "_salt"], how).drop("_salt")
 
@@ -109,8 +111,7 @@ def intersects_any(cells: DataFrame, hazards: DataFrame, key: str = "cell_id", r
     h = explode_tiles(hazards.select(F.col(hazard_ring).alias("_hring")), w, "_hring").drop(
         "_xmin", "_xmax", "_ymin", "_ymax")
     c = explode_tiles(cells.select(key, ring), w, ring).drop("_xmin", "_xmax", "_ymin", "_ymax")
-    small, _ = maybe_broadcast(h)
-    cand = c.join(small, ["_tx", "_ty"])
+    cand = _tile_join(c, h, [key])
     hits = (cand.where(F.expr(G.polygons_intersect(f"`{ring}`", "_hring"))).select(key).distinct()
             .withColumn(flag, F.lit(True)))
     return cells.join(hits, key, "left").fillna(False, subset=[flag])
@@ -134,7 +135,7 @@ def delineations_with_footprints(d: DataFrame, f: DataFrame, keys: list[str], ri
 
 def nearest_distance(cells: DataFrame, hazards: DataFrame, crs: str, key: str = "cell_id", ring: str = "ring",
                      hazard_ring: str | None = None, hazard_lon: str = "lon", hazard_lat: str = "lat",
-                     tile_m: float | None = None, max_rounds: int = 24) -> DataFrame:
+                     tile_m: float | None = None) -> DataFrame:
     """Distance from each cell polygon to the nearest hazard, in metres of ``crs``.
 
     Expanding tile rings: round r joins each unresolved cell with the hazards in
@@ -163,9 +164,7 @@ def nearest_distance(cells: DataFrame, hazards: DataFrame, crs: str, key: str =
     pending = pc
     done = []
     r = 1  # ring 0 only settles intersecting cells, which ring 1 settles as well
-    for _ in range(max_rounds):
-        if not has_hazards:
-            break
+    while has_hazards:  # ends when the rings span everything, at the latest
         cand = explode_tiles(pending, w, "_pring", pad=r).select(key, "_pring", "_tx", "_ty")
         small, _b = maybe_broadcast(htiles)
         pairs = cand.join(small, ["_tx", "_ty"])

@@ -155,46 +155,40 @@ def pearson(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> Dat
     return m.select(*keys, "n", F.when(r.isNotNull(), clamped).alias("r"))
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    # continued fraction for the regularised incomplete beta (Lentz's method)
-    tiny, eps = 1e-300, 3e-16
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = tiny if abs(d) < tiny else d
-    d = 1.0 / d
-    h = d
-    for m in range(1, 400):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """DLMF 8.17.22, the continued fraction 1/(1 + d1/(1 + d2/(1 + ...))), from its tail to its head.
+
+    Below the mean of the distribution its terms shrink fast; the tail is cut
+    where doubling the number of terms no longer changes the value.
+    """
+    def term(n: int) -> float:
+        m = n // 2
+        if n % 2:
+            return -(a + m) * (a + b + m) * x / ((a + n - 1) * (a + n))
+        return m * (b - m) * x / ((a + n - 1) * (a + n))
+
+    terms, known = 16, math.inf
+    while True:
+        value = 1.0
+        for n in range(terms, 0, -1):
+            value = 1.0 + term(n) / value
+        if abs(value - known) <= 1e-15 * abs(value) or terms > 1 << 20:
+            return 1.0 / value
+        known, terms = value, 2 * terms
 
 
 def _betainc(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = math.exp(lbeta + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
+    """Regularised incomplete beta function; the symmetry I_x(a, b) = 1 - I_{1-x}(b, a) keeps x below the mean."""
+    if not 0.0 < x < 1.0:
+        return float(x >= 1.0)
+    if x > a / (a + b):
+        return 1.0 - _betainc(b, a, 1.0 - x) if 1.0 - x <= b / (a + b) else _beta_head(a, b, x)
+    return _beta_head(a, b, x)
+
+
+def _beta_head(a: float, b: float, x: float) -> float:
+    logs = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    return math.exp(logs) / a * _beta_fraction(a, b, x)
 
 
 def t_two_sided_p(r: float | None, n: int | None) -> float | None:

@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crisismap.functions.text import tokens as token_array
-from crisismap.session import keep, spread
+from crisismap.session import keep, maybe_broadcast, spread
 
 
-def tokens(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per token (lower-case words of >= 2 word characters)."""
-    return spread(df).where(F.col(text).isNotNull()).select(key, F.explode(token_array(text)).alias("word"))
+def tokens(df: DataFrame, text: str = "text", key: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per token (lower-case words of >= 2 word characters).
+
+    ``also`` names columns of the text's row that each token carries, e.g. its topic.
+    """
+    return spread(df).where(F.col(text).isNotNull()).select(key, *also, F.explode(token_array(text)).alias("word"))
 
 
 def term_counts(toks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -71,20 +74,20 @@ def topic_word_positions(topics: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def cooccurrence(tf: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFrame:
-    """joint(w1, w2) = sum over documents of tf(w1) * tf(w2), for w1 < w2 among the topic words.
-
-    Tokens are semi-joined to the (small, broadcast) topic-word set before the
-    self join, so a document pairs only the topic words it contains: at most
-    |topic vocabulary|^2 / 2 rows per document however long the text is, never
-    all pairs of its words. (Looking up only the pairs the topics need, by an
-    equi join on (doc, w2), measured 4x slower at sf0.1: it shuffles the
-    larger pair-expanded side twice.)
+    """For places i < j of each topic, joint = sum over documents of tf(word i) * tf(word j).
+
+    Terms take the topics and places of their word (an equi join; broadcast if
+    the topic words are proven small), and only a document's own words of one
+    topic are paired: n (n - 1) / 2 pairs at most for a topic of n words, however
+    long the text and however many the topics.
     """
-    small = tf.join(F.broadcast(words.select("word").distinct()), "word", "left_semi")
-    a = small.select(key, F.col("word").alias("w1"), F.col("tf").alias("tf1"))
-    b = small.select(key, F.col("word").alias("w2"), F.col("tf").alias("tf2"))
-    return (a.join(b, key).where(F.col("w1") < F.col("w2"))
-            .groupBy("w1", "w2").agg(F.sum(F.col("tf1") * F.col("tf2")).alias("joint")))
+    places, _ = maybe_broadcast(words.select("topic_id", "idx", "word"))
+    here = (tf.join(places, "word").groupBy(key, "topic_id")
+            .agg(F.collect_list(F.struct("idx", "tf")).alias("_t")))
+    pair = F.expr("""flatten(transform(_t, a -> transform(filter(_t, b -> b.idx > a.idx),
+                     b -> named_struct('i', a.idx, 'j', b.idx, 'p', a.tf * b.tf))))""")
+    return (here.select("topic_id", F.explode(pair).alias("_p")).select("topic_id", "_p.*")
+            .groupBy("topic_id", "i", "j").agg(F.sum("p").alias("joint")))
 
 
 def topic_pairs(tf: DataFrame, topics: DataFrame, key: str = "doc_id", totals: DataFrame | None = None,
@@ -96,9 +99,7 @@ def topic_pairs(tf: DataFrame, topics: DataFrame, key: str = "doc_id", totals: D
     a = tw.select("topic_id", F.col("idx").alias("i"), F.col("word").alias("wa"))
     b = tw.select("topic_id", F.col("idx").alias("j"), F.col("word").alias("wb"))
     pairs = a.join(b, "topic_id").where(F.col("i") < F.col("j"))
-    pairs = pairs.withColumn("w1", F.least("wa", "wb")).withColumn("w2", F.greatest("wa", "wb"))
-    joint = cooccurrence(tf, tw, key)
-    pairs = pairs.join(joint, ["w1", "w2"], "left")
+    pairs = pairs.join(cooccurrence(tf, tw, key), ["topic_id", "i", "j"], "left")
     # a repeated word pairs with itself as 0 (the co-occurrence diagonal is zeroed)
     pairs = pairs.withColumn("joint", F.when(F.col("wa") == F.col("wb"), F.lit(0)).otherwise(
         F.coalesce(F.col("joint"), F.lit(0))))
@@ -154,11 +155,16 @@ def topic_diversity(topics: DataFrame) -> DataFrame:
 def class_tfidf(toks: DataFrame, clusters: DataFrame, stop: DataFrame | None = None, key: str = "doc_id",
                 label: str = "topic_id") -> DataFrame:
     """c-TF-IDF per (topic, word): L1-normalised class term frequency x ln(1 + A / f(word)),
-    A = integer mean of words per class, f = word frequency over all classes."""
-    t = toks if stop is None else toks.join(F.broadcast(stop.select("word")), "word", "left_anti")
+    A = integer mean of words per class, f = word frequency over all classes.
+
+    Tokens that carry their ``label`` are counted where they are; others are
+    joined to their document's row of ``clusters`` first, which moves every token.
+    """
+    t = toks if stop is None else toks.join(maybe_broadcast(stop.select("word"))[0], "word", "left_anti")
+    t = t if label in toks.columns else t.join(clusters.select(key, label), key)
     # the class-term table (topics x vocabulary, small next to the corpus) feeds three aggregates:
     # cache it so the corpus is tokenised once
-    tc = keep(t.join(clusters.select(key, label), key).groupBy(label, "word").agg(F.count(F.lit(1)).alias("tf")))
+    tc = keep(t.groupBy(label, "word").agg(F.count(F.lit(1)).alias("tf")))
     f = tc.groupBy("word").agg(F.sum("tf").alias("f"))
     sizes = tc.groupBy(label).agg(F.sum("tf").alias("class_total"))
     avg = sizes.agg(F.floor(F.avg("class_total")).alias("A"))
@@ -193,7 +199,7 @@ def topic_info(clusters: DataFrame, words: DataFrame, label: str = "topic_id") -
 def with_topic_label(df: DataFrame, topics: DataFrame, label: str = "topic_id") -> DataFrame:
     """Attach topic words and ``topic_label`` = words joined by ', ' (topics table is small)."""
     t = topics.select(label, F.col("words").alias("keywords"), F.array_join("words", ", ").alias("topic_label"))
-    return df.join(F.broadcast(t), label, "left")
+    return df.join(maybe_broadcast(t)[0], label, "left")
 
 
 def word_counts(df: DataFrame, stop: DataFrame, text: str = "text", n: int = 200) -> DataFrame:
@@ -210,6 +216,6 @@ def word_counts(df: DataFrame, stop: DataFrame, text: str = "text", n: int = 200
     toks = spread(df).where(F.col(text).isNotNull()).select(
         F.explode(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]{2,}"), 0)).alias("word"))
     toks = toks.where(F.translate("word", "0123456789", "") != "")
-    toks = toks.join(F.broadcast(stop.select("word")), "word", "left_anti")
+    toks = toks.join(maybe_broadcast(stop.select("word"))[0], "word", "left_anti")
     counts = toks.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
     return counts.orderBy(F.desc("count"), F.asc("word")).limit(n)

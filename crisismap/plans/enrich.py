@@ -37,15 +37,17 @@ def fit_topics(docs: DataFrame, algo: str, k: int, vec: str = "embedding", key:
         red = SC.reduce_dims(docs, k=2, col=vec, out="_reduced")
         out = C.cluster_density(red, key, "_reduced", eps or 0.5, min_pts, min_cluster_size).drop("_reduced")
         n = out.where(F.col("topic_id") >= 0).select("topic_id").distinct().count()
-        if k and n > k:
+        if isinstance(k, int) and n > k:
             out, _ = C.reduce_topics(out, k, vec)
         return out
     raise ValueError(f"unknown clustering algorithm {algo!r}")
 
 
-def topic_words_of(clusters: DataFrame, toks: DataFrame, stop: DataFrame | None, key: str) -> DataFrame:
-    """Top-10 c-TF-IDF words of each non-noise topic, cached (a topics x 10 table read several times)."""
-    return keep(T.top_words(T.class_tfidf(toks, clusters.where(F.col("topic_id") >= 0), stop, key), 10))
+def topic_words_of(clusters: DataFrame, text: str, stop: DataFrame | None, key: str) -> DataFrame:
+    """Top-10 c-TF-IDF words of each topic, the noise topic -1 included (it gets words and scores like any
+    other); cached (a topics x 10 table read several times)."""
+    toks = T.tokens(clusters, text, key, also=("topic_id",))
+    return keep(T.top_words(T.class_tfidf(toks, clusters, stop, key), 10))
 
 
 def _score(tf: DataFrame, words: DataFrame, key: str):
@@ -62,31 +64,30 @@ def evaluate_topics(docs: DataFrame, eval_docs: DataFrame | None = None, ks=(10,
     """Algorithms x topic counts (x sample sizes) -> coherence, diversity, quality = c x d."""
     spark = docs.sparkSession
     eval_docs = eval_docs if eval_docs is not None else docs
-    toks = keep(T.tokens(docs, text, key))
-    tf = keep(T.term_counts(toks, key))
+    tf = keep(T.term_counts(T.tokens(docs, text, key), key))
     etf = tf if eval_docs is docs else keep(T.term_counts(T.tokens(eval_docs, text, key), key))
     configs = [(a, k, s) for s in (sample_sizes or [None]) for a in algos for k in ks
                if not (a == "kmeans" and k in (None, "auto"))]
 
     def run(cfg):
         algo, k, size = cfg
+        count = k if isinstance(k, int) else None  # density also takes None and 'auto'
         try:
             train = sample_rows(docs, size, key=key) if size else docs
             clusters = keep(fit_topics(train, algo, k, vec, key, **cluster_args))
             tr_tf = tf if size is None else tf.join(train.select(key), key, "left_semi")
-            tr_toks = toks if size is None else toks.join(train.select(key), key, "left_semi")
-            words = topic_words_of(clusters, tr_toks, stop, key)
+            words = topic_words_of(clusters, text, stop, key)
             c_tr, d_tr = _score(tr_tf, words, key)
             # evaluation on the training documents themselves (the default) is not computed twice
             c_te, d_te = (c_tr, d_tr) if etf is tf and size is None else _score(etf, words, key)
             words.unpersist()
-            n_topics = clusters.where(F.col("topic_id") >= 0).select("topic_id").distinct().count()
+            n_topics = clusters.select("topic_id").distinct().count()
             n_train = train.count()
             clusters.unpersist()
-            return Row(algo, int(k), int(n_topics), int(n_train), int(eval_docs.count()), c_te, d_te, c_te * d_te,
+            return Row(algo, count, int(n_topics), int(n_train), int(eval_docs.count()), c_te, d_te, c_te * d_te,
                        c_tr, d_tr, c_tr * d_tr, "ok")
         except Exception as e:  # noqa: BLE001 — a failed configuration is reported, the grid goes on
-            return Row(algo, int(k), None, None, None, None, None, None, None, None, None,
+            return Row(algo, count, None, None, None, None, None, None, None, None, None,
                        f"failed: {type(e).__name__}: {str(e)[:200]}")
 
     if parallel > 1:
@@ -110,13 +111,17 @@ def enrich(posts: DataFrame, labelled: DataFrame, stop: DataFrame | None = None,
     Two reliable checkpoints cut the lineage: after embedding and at the end.
     ``labelled`` holds (text, label) rows for the disaster classifier.
     """
+    if "crawl_seq" in posts.columns:
+        posts = P.dedupe_keep_first(posts, key, "crawl_seq")
+    if not posts.groupBy(key).count().where("count > 1").isEmpty():
+        raise ValueError(f"{key} repeats: tokens of such posts would count once for every pair of copies")
     cleaned = P.ensure_cleaned(posts.where(F.col("text").isNotNull())).withColumn("doc_id", F.col(key))
     embedded = cut_lineage(SC.hashed_embed(cleaned, text="cleaned_text", dim=dim))
     grid = evaluate_topics(embedded, ks=ks, algos=algos, stop=stop, key="doc_id")
     best = best_config(grid).first()
     algo, k = (best["clustering_algorithm"], best["nr_topics"]) if best else ("kmeans", ks[0])
     clusters = fit_topics(embedded, algo, k)
-    words = topic_words_of(clusters, T.tokens(clusters, "cleaned_text"), stop, "doc_id")
+    words = topic_words_of(clusters, "cleaned_text", stop, "doc_id")
     out = T.with_topic_label(clusters, words)
     make = emotion_model or SC.hashing_predict_fn(4)
     out = SC.score_texts(out, make, ["anger", "fear", "joy", "sadness"], text="cleaned_text")

@@ -188,7 +188,7 @@ def topics(spark: SparkSession, base: str, n: int = 10) -> DataFrame:
     from crisismap.operators.topics import class_tfidf, tokens, top_words
 
     c = corpus(spark, base)
-    tw = keep(top_words(class_tfidf(tokens(c), c, stopwords(spark)), n))
+    tw = keep(top_words(class_tfidf(tokens(c, also=("topic_id",)), c, stopwords(spark)), n))
     t0 = tw.where("topic_id = 0").select(F.lit(100).alias("topic_id"),
                                          F.concat("words", F.array(F.lit("zzzunknownzzz"))).alias("words"))
     t1 = tw.where("topic_id = 1").select(F.lit(101).alias("topic_id"),

@@ -74,7 +74,7 @@ def term_counts_q(spark, base):
 def topic_words_q(spark, base):
     """N15 + W3: top 10 words per topic by class-based TF-IDF (stop words removed)."""
     c = fx.corpus(spark, base)
-    scores = T.class_tfidf(T.tokens(c), c, fx.stopwords(spark))
+    scores = T.class_tfidf(T.tokens(c, also=("topic_id",)), c, fx.stopwords(spark))
     out = T.ranked_words(scores, 10)
     return out.select("topic_id", "rank", "word", F.round("score", 9).alias("score"))
 
@@ -124,7 +124,7 @@ USING (topic_id)""")
 def topic_info_q(spark, base):
     """Topic id, size and top words."""
     c = fx.corpus(spark, base)
-    words = T.top_words(T.class_tfidf(T.tokens(c), c, fx.stopwords(spark)), 10)
+    words = T.top_words(T.class_tfidf(T.tokens(c, also=("topic_id",)), c, fx.stopwords(spark)), 10)
     out = T.topic_info(c, words)
     return out.select("topic_id", "size", F.array_join("words", "|").alias("words"))
 
@@ -136,7 +136,7 @@ LEFT JOIN (SELECT topic_id, array_to_string(list(word ORDER BY rank), ', ') AS t
 def topic_labels_q(spark, base):
     """Each document gets its topic's words and ``topic_label`` (keyed join, not position)."""
     c = fx.corpus(spark, base)
-    words = T.top_words(T.class_tfidf(T.tokens(c), c, fx.stopwords(spark)), 10)
+    words = T.top_words(T.class_tfidf(T.tokens(c, also=("topic_id",)), c, fx.stopwords(spark)), 10)
     return T.with_topic_label(c.select("doc_id", "topic_id"), words).select("doc_id", "topic_id", "topic_label")
 
 

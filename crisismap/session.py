@@ -91,15 +91,26 @@ def bounded_rows(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-# Rows a dimension side may hold before it stops being broadcast.
+# What a dimension side may hold before it stops being broadcast: rows, and bytes of their JSON form.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 128 << 20
+# Estimated bytes for each core below which spread() deals an input anew.
+SPREAD_BYTES = 16 << 20
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Return ``(broadcast(df), True)`` when its size is proven small, else ``(df, False)``."""
+def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                    max_bytes: int = BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
+    """Return ``(broadcast(df), True)`` when its size is proven small, else ``(df, False)``.
+
+    Rows alone prove nothing (a polygon may have any number of vertices), so the
+    bytes of at most ``max_rows + 1`` rows are added up too.
+    """
     from pyspark.sql import functions as F
 
-    if bounded_rows(df, max_rows):
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    size = df.limit(max_rows + 1).select(F.length(F.to_json(whole)).alias("b")).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    if size["n"] <= max_rows and size["b"] <= max_bytes:
         return F.broadcast(df), True
     return df, False
 
@@ -109,11 +120,14 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
     Per-row text work (regex scans, tokenising whole documents) is CPU-bound;
     a scan that yields fewer partitions than there are cores would run it on
-    one core. Inputs already split finer (any large table) pass untouched, so
-    no shuffle is added at scale.
+    one core. An input that fills all cores anyway (any large table) passes
+    untouched, so no shuffle is added at scale.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    # the optimizer's size estimate: reads the plan only and runs no job
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < target * SPREAD_BYTES:
         return df.repartition(target)
     return df
 

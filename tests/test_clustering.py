@@ -46,3 +46,10 @@ def test_reduce_topics(spark):
     assert relabelled.count() == emb.count()
     sizes = [r["count"] for r in relabelled.groupBy("topic_id").count().orderBy("topic_id").collect()]
     assert sizes == sorted(sizes, reverse=True)  # renumbered largest first
+
+
+def test_chain_of_any_length_is_one_cluster(spark):
+    rows = [(i, [0.1 * i, 0.0]) for i in range(600)]  # some 200 cells in a row
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    out = C.cluster_density(df, "id", "v", eps=0.42, min_pts=1, min_cluster_size=10, dims=2)
+    assert {r.topic_id for r in out.collect()} == {0}

@@ -20,11 +20,23 @@ def test_longest_match_and_ambiguity(spark):
     assert out[2] == [] and out[3] == [] and [t.start_char for t in out[1]] == [10, 28, 34]
 
 
-def test_large_gazetteer_path_matches(spark, monkeypatch):
+def test_names_of_any_length_and_joint(spark):
+    names = ["San Juan del Sur", "Aix-en-Provence", "L'Aquila", "New York", "St. Louis"]
+    docs = spark.createDataFrame([(1, "San Juan del Sur, Aix-en-Provence, L\u2019Aquila; St. Louis to New York. San  Juan")],
+                                 "doc_id long, text string")
+    gaz = spark.createDataFrame([(n, "C", 1.0, 2.0, 10) for n in names],
+                                "name string, country_name string, latitude double, longitude double, population long")
+    rows = GP.toponym_rows(docs, gaz).orderBy("start_char").collect()
+    text = docs.first().text
+    assert [r.loc_name for r in rows] == ["San Juan del Sur", "Aix-en-Provence", "L'Aquila", "St. Louis", "New York"]
+    assert all(text[r.start_char:r.end_char] == r.text for r in rows)
+
+
+def test_shuffled_gazetteer_matches(spark, monkeypatch):
     docs = read_table(spark, SF_SMALL, "documents", ["doc_id", "text"])
     gaz = fx.gazetteer(spark, SF_SMALL)
     a = GP.toponym_rows(docs, gaz)
-    monkeypatch.setattr(GP, "MAX_BROADCAST_NAMES", 0)
+    monkeypatch.setattr(GP, "maybe_broadcast", lambda df: (df, False))
     b = GP.toponym_rows(docs, gaz)
     assert a.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
