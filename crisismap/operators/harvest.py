@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crisismap.session import maybe_broadcast
+
 # Keywords that are attached to a post at once; a longer list makes more blocks.
 BLOCK_KEYWORDS = 10_000
 
@@ -68,7 +70,7 @@ def harvest_match(posts: DataFrame, keywords: DataFrame, start, end=None, step_m
     """I1 + F15 + W7: posts per (keyword, interval) whose text contains the keyword and whose time
     lies in [since, until), at most ``limit`` each, newest first then ``key``. A post may match
     several tasks. The interval is an equi key computed per row (no range join)."""
-    kws = _keyword_blocks(keywords)
+    kws, _ = maybe_broadcast(_keyword_blocks(keywords))
     span = _span(posts.sparkSession, start, end)
     p = posts.where(F.col(ts).isNotNull() & F.col(text).isNotNull()).crossJoin(F.broadcast(span))
     p = p.where((F.col(ts) >= F.col("_lo")) & (F.col(ts) < F.col("_hi")))

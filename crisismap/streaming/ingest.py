@@ -2,7 +2,7 @@
 
 Stream: ``readStream`` of JSON files with the explicit schema -> flatten ->
 event-time watermark -> ``dropDuplicatesWithinWatermark(cid)`` -> keyword
-match against a broadcast keyword array -> 30-minute tumbling counts per
+match against keyword arrays of bounded size -> 30-minute tumbling counts per
 keyword, appended to Parquet once the watermark closes a window. The
 checkpoint folder (offsets, state) lives under the cluster's shared
 ``spark.checkpoint.dir`` unless a location is given; ``availableNow``
@@ -18,16 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crisismap.functions.text import parse_created_at
-from crisismap.operators.harvest import _keyword_array
+from crisismap.operators.harvest import _keyword_blocks
 from crisismap.operators.posts import dedupe_keep_first, parse_posts
 from crisismap.schemas import RAW_POST
-from crisismap.session import checkpoint_dir
+from crisismap.session import checkpoint_dir, maybe_broadcast
 
 
 def _windowed_counts(posts: DataFrame, keywords: DataFrame, minutes: int, ts: str = "ts") -> DataFrame:
-    kws = _keyword_array(keywords)
+    kws, _ = maybe_broadcast(_keyword_blocks(keywords))
     low = F.lower(F.col("text"))
-    m = posts.where(F.col("text").isNotNull()).crossJoin(F.broadcast(kws)).select(
+    m = posts.where(F.col("text").isNotNull()).crossJoin(kws).select(
         ts, F.explode(F.filter("_kws", lambda k: F.instr(low, k) > 0)).alias("keyword"))
     return (m.groupBy(F.window(ts, f"{minutes} minutes").alias("w"), "keyword").agg(F.count(F.lit(1)).alias("count"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "keyword", "count"))
