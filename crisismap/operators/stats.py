@@ -225,6 +225,11 @@ def scalars(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.max(c).alias("max"), F.min(c).alias("min"), F.avg(c.cast("double")).alias("mean"))
 
 
+def preview(df: DataFrame, *order: str, n: int = 5) -> DataFrame:
+    """K7: the first n rows in a total order (a top-k, so only n rows of each task move)."""
+    return df.orderBy(*order).limit(n)
+
+
 def accuracy(df: DataFrame, pred: str, truth: str) -> DataFrame:
     """Share of rows where prediction equals truth."""
     return df.agg(F.avg((F.col(pred) == F.col(truth)).cast("double")).alias("accuracy"))

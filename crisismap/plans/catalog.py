@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_posts", "q_geo", "q_text", "q_sim", "q_topics", "q_ingest")
+MODULES = ("q_posts", "q_geo", "q_text", "q_sim", "q_topics", "q_ingest", "q_sources")
 
 
 def _load():

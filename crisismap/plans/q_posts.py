@@ -58,7 +58,7 @@ def daily_disaster_share(spark, base):
 
 
 # ---------------------------------------------------------------- step 1 -----
-_RAW_STRUCT = """named_struct(
+RAW_STRUCT = """named_struct(
   'cid', cid, 'uri', uri,
   'author', CASE WHEN doc_id % 11 = 0 THEN NULL ELSE named_struct(
       'displayName', concat('User ', doc_id % 50), 'handle', concat('u', doc_id % 50, '.social'),
@@ -100,7 +100,7 @@ FROM posts""")
 def parse_posts_q(spark, base):
     """Posts rendered as nested service JSON, parsed back with the explicit schema and flattened."""
     src = fx.posts(spark, base)
-    raw = src.select(F.to_json(F.expr(_RAW_STRUCT)).alias("json"), "crawl_seq")
+    raw = src.select(F.to_json(F.expr(RAW_STRUCT)).alias("json"), "crawl_seq")
     parsed = raw.select(F.from_json("json", RAW_POST).alias("p"), "crawl_seq").select("p.*", "crawl_seq")
     flat = P.parse_posts(parsed, keep=("crawl_seq",))
     arr = ["langs", "image_thumbnails", "image_fullsizes", "urls"]
@@ -146,20 +146,24 @@ def explode_points_q(spark, base):
     return P.explode_points(P.with_points(fx.posts(spark, base))).select("cid", "crawl_seq", "lon", "lat")
 
 
-@register("clean_text", sql=r"""
-SELECT 'doc' AS src, doc_id AS id, replace(regexp_replace(regexp_replace(text, '@[\p{L}\p{N}_]+', '@user', 'g'),
-  'https?://\S+|www\.\S+', 'http', 'g'), chr(10), '') AS cleaned_text FROM documents
-UNION ALL
-SELECT 'url', page_id, replace(regexp_replace(regexp_replace(url || ' see @Müller_2 www.x.org/a@b',
-  '@[\p{L}\p{N}_]+', '@user', 'g'), 'https?://\S+|www\.\S+', 'http', 'g'), chr(10), '') FROM pages""")
+# T1 in SQL; the entities are all that occur in the tables, the ampersand's own last (one pass over the text).
+CLEAN_SQL = r"""replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '@[\p{{L}}\p{{N}}_]+', '@user', 'g'),
+  'https?://\S+|www\.\S+', 'http', 'g'), chr(10), ''), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&')"""
+
+
+@register("clean_text", sql=f"""
+SELECT 'doc' AS src, doc_id AS id, {CLEAN_SQL.format("text")} AS cleaned_text FROM documents
+UNION ALL SELECT 'url', page_id, {CLEAN_SQL.format("url || ' see @Müller_2 www.x.org/a@b'")} FROM pages
+UNION ALL SELECT 'html', page_id, {CLEAN_SQL.format("html")} FROM pages""")
 def clean_text_q(spark, base):
-    """T1 (a-c) over whole document texts and page urls; entity decoding (d) has golden tests."""
-    docs = read_table(spark, base, "documents", ["doc_id", "text"]).select(
-        F.lit("doc").alias("src"), F.col("doc_id").alias("id"), clean_text("text", decode=False).alias("cleaned_text"))
-    pages = read_table(spark, base, "pages", ["page_id", "url"]).select(
-        F.lit("url").alias("src"), F.col("page_id").alias("id"),
-        clean_text(F.concat("url", F.lit(" see @Müller_2 www.x.org/a@b")), decode=False).alias("cleaned_text"))
-    return docs.unionByName(pages)
+    """T1 (a-d) over whole document texts, page urls and raw pages (where the entities are)."""
+    def cleaned(src, df, key, text):
+        return df.select(F.lit(src).alias("src"), F.col(key).alias("id"), clean_text(text).alias("cleaned_text"))
+
+    pages = read_table(spark, base, "pages", ["page_id", "url", "html"])
+    return (cleaned("doc", read_table(spark, base, "documents", ["doc_id", "text"]), "doc_id", F.col("text"))
+            .unionByName(cleaned("url", pages, "page_id", F.concat("url", F.lit(" see @Müller_2 www.x.org/a@b"))))
+            .unionByName(cleaned("html", pages, "page_id", F.col("html"))))
 
 
 @register("non_empty_text", views=("posts",), sql="""

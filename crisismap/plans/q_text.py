@@ -8,6 +8,7 @@ from crisismap.operators import posts as P
 from crisismap.operators import topics as T
 from crisismap.plans import fixtures as fx
 from crisismap.plans.oracle_views import with_views
+from crisismap.plans.q_posts import CLEAN_SQL
 from crisismap.session import keep
 from crisismap.sources.tables import read_table
 
@@ -152,9 +153,8 @@ def word_counts_q(spark, base):
     return T.word_counts(fx.posts(spark, base), fx.stopwords(spark))
 
 
-@register("cleaned_posts", views=("posts",), sql=r"""
-SELECT cid, crawl_seq, replace(regexp_replace(regexp_replace(text, '@[\p{L}\p{N}_]+', '@user', 'g'),
-  'https?://\S+|www\.\S+', 'http', 'g'), chr(10), '') AS cleaned_text FROM posts""")
+@register("cleaned_posts", views=("posts",), sql=f"""
+SELECT cid, crawl_seq, {CLEAN_SQL.format("text")} AS cleaned_text FROM posts""")
 def cleaned_posts_q(spark, base):
     """P10: ensure ``cleaned_text`` (derived from ``text`` when absent)."""
-    return P.ensure_cleaned(fx.posts(spark, base), decode=False).select("cid", "crawl_seq", "cleaned_text")
+    return P.ensure_cleaned(fx.posts(spark, base)).select("cid", "crawl_seq", "cleaned_text")

@@ -76,6 +76,13 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
         return spark.sparkContext.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name under the shared checkpoint folder, for tables that are written and read again."""
+    import uuid
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
