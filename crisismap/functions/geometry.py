@@ -5,6 +5,12 @@ reuse the same field names for x / y). The builders emit SQL text in a small
 common subset so the same formulas run in Spark (``F.expr``) and in DuckDB
 (oracle SQL); ``SPARK`` and ``DUCK`` pick the array-function spelling.
 Higher-order functions are evaluated per row inside the executor's stage.
+
+A geometry of several rings (holes, further parts) is one vertex array too, with
+a vertex without coordinates between its rings (``flat_rings``). An edge that
+has such an end is NULL in every formula and so counts nowhere; the even-odd
+rule over all rings at once leaves holes out, and distances take the nearest edge
+of any ring.
 """
 
 from __future__ import annotations
@@ -103,10 +109,27 @@ def polygons_intersect(ra: str, rb: str, d: Dialect = SPARK) -> str:
     seg = _seg_intersect(f"{a1}.lon", f"{a1}.lat", f"{a2}.lon", f"{a2}.lat",
                          f"{b1}.lon", f"{b1}.lat", f"{b2}.lon", f"{b2}.lat")
     any_edge = d.exists(_edges(ra, d), "i", d.exists(_edges(rb, d), "j", seg))
-    a0, b0 = d.at(ra, "1"), d.at(rb, "1")
-    a_in_b = point_in_polygon(f"{a0}.lon", f"{a0}.lat", rb, d, "k")
-    b_in_a = point_in_polygon(f"{b0}.lon", f"{b0}.lat", ra, d, "m")
-    return f"({any_edge} OR {a_in_b} OR {b_in_a})"
+    return f"({any_edge} OR {_start_inside(ra, rb, d, 'g', 'k')} OR {_start_inside(rb, ra, d, 'h', 'm')})"
+
+
+def _start_inside(ra: str, rb: str, d: Dialect, at: str, var: str) -> str:
+    """The first vertex of any ring of one geometry lies in the other."""
+    first, before = d.at(ra, at), d.at(ra, f"greatest({at} - 1, 1)")
+    starts = f"({at} = 1 OR {before}.lon IS NULL)"
+    inside = point_in_polygon(f"{first}.lon", f"{first}.lat", rb, d, var)
+    return d.exists(d.seq("1", d.size(ra)), at, f"({starts} AND {first}.lon IS NOT NULL AND {inside})")
+
+
+def flat_rings(polygons: str) -> Column:
+    """Polygons (arrays of rings) as one vertex array with an empty vertex between rings."""
+    gap = "array(named_struct('lon', CAST(NULL AS DOUBLE), 'lat', CAST(NULL AS DOUBLE)))"
+    each = f"flatten(transform(flatten({polygons}), r -> concat({gap}, r)))"
+    return F.expr(f"CASE WHEN size(flatten({polygons})) > 0 THEN slice({each}, 2, size({each}) - 1) END")
+
+
+def valid_polygons(polygons: str) -> Column:
+    """F8 for polygons with rings: there is a ring, and each is valid."""
+    return F.expr(f"coalesce(size(flatten({polygons})) > 0 AND forall(flatten({polygons}), r -> {valid_ring('r')}), false)")
 
 
 def segment_distance(px, py, ax, ay, bx, by) -> str:

@@ -117,6 +117,12 @@ def intersects_any(cells: DataFrame, hazards: DataFrame, key: str = "cell_id", r
     return cells.join(hits, key, "left").fillna(False, subset=[flag])
 
 
+def valid_hazards(hazards: DataFrame, polygons: str = "polygons", ring: str = "ring") -> DataFrame:
+    """F8 + S5: the hazards whose polygons are valid, each as one vertex array (holes and parts included) in ``ring``,
+    the form in which every join and distance takes them."""
+    return hazards.where(G.valid_polygons(polygons)).withColumn(ring, G.flat_rings(polygons)).drop(polygons)
+
+
 def delineations_with_footprints(d: DataFrame, f: DataFrame, keys: list[str], ring: str = "ring",
                                  f_ring: str = "footprint_ring") -> DataFrame:
     """Left join on attribute equality with intersects as residual, then full-row dedupe.

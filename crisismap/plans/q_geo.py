@@ -154,6 +154,24 @@ def nearest_fire_q(spark, base):
     return nearest_fire(spark, base).select("level", "cell_id", F.round("min_distance", 3).alias("min_distance"))
 
 
+@register("intersects_holed_flood", views=("grid",), sql="""
+WITH f AS (SELECT 2 + ((s_suppkey * 37) % 248) / 8 AS cx, 36 + ((s_suppkey * 19) % 176) / 8 AS cy FROM supplier
+           WHERE s_suppkey % 25 = 1 AND s_suppkey % 250 <> 1),
+c AS (SELECT cell_id, list_min(list_transform(ring, p -> p.lon)) AS x0, list_max(list_transform(ring, p -> p.lon)) AS x1,
+        list_min(list_transform(ring, p -> p.lat)) AS y0, list_max(list_transform(ring, p -> p.lat)) AS y1
+      FROM grid WHERE level = 4)
+SELECT cell_id, EXISTS (SELECT 1 FROM f WHERE
+    (x0 <= cx + 3 AND x1 >= cx - 3 AND y0 <= cy + 3 AND y1 >= cy - 3
+     AND NOT (x0 > cx - 2.5 AND x1 < cx + 2.5 AND y0 > cy - 2.5 AND y1 < cy + 2.5))
+    OR (x0 <= cx + 4.25 AND x1 >= cx + 3.75 AND y0 <= cy + 0.25 AND y1 >= cy - 0.25)) AS intersects
+FROM c""")
+def intersects_holed_flood_q(spark, base):
+    """J5 + F8 + G4: flood polygons with a hole and a second part, the broken ones left out; a cell inside a hole stays dry."""
+    floods = SP.valid_hazards(fx.lake_floods(spark, base))
+    cells = fx.grid(spark).where("level = 4")
+    return SP.intersects_any(cells, floods, hazard_ring="ring", flag="intersects").select("cell_id", "intersects")
+
+
 @register("nearest_flood", views=("grid", "floods"), sql=f"""
 WITH {NEAR_FLOOD_SQL} SELECT level, cell_id, round(min_distance, 3) AS min_distance FROM nd""")
 def nearest_flood_q(spark, base):

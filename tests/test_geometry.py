@@ -113,3 +113,24 @@ def test_valid_ring(spark):
                                 (ring([(0, 0), (1, 0), (2, 0), (0, 0)]), False),
                                 (ring([(0, 0), (1, 0), (1, 1), (0, 1)]), False)], f"r {RING_T}, e boolean")
     assert all(r.e == r.g for r in df.select("e", F.expr(G.valid_ring("r")).alias("g")).collect())
+
+
+def test_holes_and_parts(spark):
+    from crisismap.functions import geometry as G
+    from crisismap.operators import spatial as SP
+
+    def box(x, y, h):
+        return [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h), (x - h, y - h)]
+
+    point = "struct<lon: double, lat: double>"
+    floods = spark.createDataFrame([(1, [[box(0.0, 0.0, 3.0), box(0.0, 0.0, 2.0)], [box(10.0, 0.0, 0.5)]]),
+                                    (2, [[box(50.0, 50.0, 1.0)[:4]]])], f"id int, polygons array<array<array<{point}>>>")
+    hazards = SP.valid_hazards(floods)
+    assert [r.id for r in hazards.collect()] == [1]  # an open ring is no valid one
+    cells = spark.createDataFrame([("in hole", box(0.0, 0.0, 1.0)), ("on rim", box(2.5, 0.0, 0.1)), ("over rim", box(2.0, 0.0, 0.5)),
+                                   ("part", box(10.0, 0.0, 5.0)), ("far", box(30.0, 0.0, 1.0))], f"cell_id string, ring array<{point}>")
+    flags = {r.cell_id: r.intersects for r in SP.intersects_any(cells, hazards, hazard_ring="ring").collect()}
+    assert flags == {"in hole": False, "on rim": True, "over rim": True, "part": True, "far": False}
+    pairs = cells.crossJoin(hazards.select(F.col("ring").alias("hazard")))
+    apart = {r.cell_id: r.d for r in pairs.select("cell_id", F.expr(G.polygon_polygon_distance("ring", "hazard")).alias("d")).collect()}
+    assert apart == {"in hole": 1.0, "on rim": 0.0, "over rim": 0.0, "part": 0.0, "far": 18.5}
