@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,61 +49,107 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+class Pieces:
+    """The vocabulary's pieces in an open-addressed table of polynomial hashes, looked up by whole arrays."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+    BITS = 20
+
+    def __init__(self, pieces: Sequence[str]):
+        self.size = len(pieces)
+        self.keys = np.zeros(1 << self.BITS, np.uint64)
+        self.ids = np.full(1 << self.BITS, -1, np.int32)
+        for i, piece in enumerate(pieces):
+            if 0 < len(piece) <= LONGEST_PIECE:
+                key = 0
+                for c in piece:
+                    key = (key * int(self.BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+                slot = self._slot(key)
+                while self.ids[slot] >= 0:
+                    slot = slot + 1 & (1 << self.BITS) - 1
+                self.keys[slot], self.ids[slot] = key, i
+
+    @classmethod
+    def _slot(cls, key):
+        if isinstance(key, int):
+            return (key * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF) >> 64 - cls.BITS
+        return ((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - cls.BITS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Piece of each hash, -1 where there is none."""
+        slot = self._slot(keys)
+        found = self.ids[slot]
+        wrong = np.flatnonzero((found >= 0) & (self.keys[slot] != keys))
+        while wrong.size:
+            slot[wrong] = slot[wrong] + 1 & (1 << self.BITS) - 1
+            found[wrong] = self.ids[slot[wrong]]
+            wrong = wrong[(found[wrong] >= 0) & (self.keys[slot[wrong]] != keys[wrong])]
+        return found
+
+
 class Lattice:
-    """Every way to cut each of some words into vocabulary pieces, as edges of one graph.
+    """Every way to cut some words of one length into pieces.
 
-    Node (w, i) stands for the first i characters of word w; an edge is a piece
-    of the vocabulary, or an unknown single character.
+    ``edges`` has, for each place and length at which any word has a piece, the
+    words that have one there and their pieces. A character that is no piece is the
+    unknown one, so every word can be cut.
     """
 
-    def __init__(self, texts: Sequence[str], ids: dict[str, int]):
-        width = max(map(len, texts)) + 1
-        edges: list[int] = []
-        for w, text in enumerate(texts):
-            base, size = w * width, len(text)
-            for i in range(size):
-                found = ids.get(text[i], UNKNOWN)
-                edges += (base + i, base + i + 1, found)
-                for j in range(i + 2, min(size, i + LONGEST_PIECE) + 1):
-                    found = ids.get(text[i:j])
-                    if found is not None:
-                        edges += (base + i, base + j, found)
-        table_ = np.array(edges, np.int64).reshape(-1, 3)
-        self.nodes, self.width = len(texts) * width, width
-        self.starts = np.arange(len(texts)) * width
-        self.ends = self.starts + np.fromiter(map(len, texts), np.int64, len(texts))
-        self.source, self.target, self.piece = table_[np.lexsort((table_[:, 1], table_[:, 1] % width))].T
-
-    def _sweep(self, weight: np.ndarray, init: np.ndarray, into: np.ndarray, out_of: np.ndarray,
-               backwards: bool) -> np.ndarray:
-        """Sums over paths: nodes in order of their depth, each from its edges at once. Edges are sorted by ``into``."""
-        value = np.zeros((self.nodes, weight.shape[1]))
-        value[init] = 1.0
-        depth = into % self.width
-        heads = np.flatnonzero(np.concatenate(([True], into[1:] != into[:-1]))) if into.size else np.zeros(0, np.int64)
-        stops = np.append(heads[1:], into.size)
-        layers = np.flatnonzero(np.concatenate(([True], depth[heads][1:] != depth[heads][:-1], [True])))
-        for a, b in zip(layers[:-1], layers[1:], strict=True):
-            lo, hi = heads[a], stops[b - 1]
-            flow = value[out_of[lo:hi]] * weight[lo:hi]
-            sums = np.add.reduceat(flow, heads[a:b] - lo, axis=0)
-            if backwards:
-                value[into[heads[a:b]]] += sums
-            else:
-                value[into[heads[a:b]]] = sums
-        return value
+    def __init__(self, texts: Sequence[str], pieces: Pieces):
+        self.words, self.length = len(texts), len(texts[0])
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").reshape(self.words, self.length)
+        codes = codes.T.astype(np.uint64) + np.uint64(1)
+        self.edges: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # from, to, words, pieces
+        every = np.arange(self.words)
+        for i in range(self.length):
+            key = np.zeros(self.words, np.uint64)
+            for j in range(i + 1, min(self.length, i + LONGEST_PIECE) + 1):
+                key = key * Pieces.BASE + codes[j - 1]
+                found = pieces.find(key)
+                if j == i + 1:
+                    self.edges.append((i, j, every, np.where(found < 0, UNKNOWN, found)))
+                elif (rows := np.flatnonzero(found >= 0)).size:
+                    self.edges.append((i, j, rows, found[rows]))
 
     def forward(self, probability: np.ndarray) -> np.ndarray:
-        """Total probability of each node's characters; ``probability`` has a row for each edge, a column a language."""
-        return self._sweep(probability, self.starts, self.target, self.source, False)
-
-    def expected(self, probability: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """How often each edge is used, if each word occurs ``weight`` times (one column)."""
-        ahead = self.forward(probability)
-        order = np.lexsort((self.source, -(self.source % self.width)))
-        behind = self._sweep(probability[order], self.ends, self.source[order], self.target[order], True)
-        scale = weight / np.maximum(ahead[self.ends, 0], 1e-300)
-        return ahead[self.source, 0] * probability[:, 0] * behind[self.target, 0] * scale[self.source // self.width]
+        """Of each word and language, the total probability of all cuts (``probability``: pieces by languages)."""
+        value = np.zeros((self.length + 1, self.words, probability.shape[1]))
+        value[0] = 1.0
+        for i, j, rows, found in self.edges:  # in order of i, so value[i] is complete
+            if rows.size == self.words:
+                value[j] += value[i] * probability[found]
+            else:
+                value[j][rows] += value[i][rows] * probability[found]
+        return value[-1]
+
+    def expected(self, probability: np.ndarray, language: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> None:
+        """Add to ``counts`` (pieces by languages) how often each piece is used, if word w of a language occurs
+        ``weight`` times."""
+        ahead, behind = np.zeros((2, self.length + 1, self.words))
+        ahead[0], behind[-1] = 1.0, 1.0
+        shares = [probability[found, language[rows]] for _, _, rows, found in self.edges]
+        for (i, j, rows, _), p in zip(self.edges, shares, strict=True):
+            ahead[j][rows] += ahead[i][rows] * p
+        scale = weight / np.maximum(ahead[-1], 1e-300)
+        where, used = [], []
+        for (i, j, rows, found), p in zip(reversed(self.edges), reversed(shares), strict=True):
+            flow = p * behind[j][rows]
+            behind[i][rows] += flow
+            where.append(found * counts.shape[1] + language[rows])
+            used.append(ahead[i][rows] * flow * scale[rows])
+        counts += np.bincount(np.concatenate(where), np.concatenate(used), counts.size).reshape(counts.shape)
+
+
+def by_length(texts: Sequence[str]) -> Iterator[list[int]]:
+    """Places of the texts of one length, in batches."""
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    at = 0
+    while at < len(order):
+        stop, size = at, len(texts[order[at]])
+        while stop < len(order) and stop - at < BATCH_WORDS and len(texts[order[stop]]) == size:
+            stop += 1
+        yield order[at:stop]
+        at = stop
 
 
 def parts(word: str) -> list[str]:
@@ -119,10 +166,9 @@ class Model:
     languages: list[str]
     probability: np.ndarray
     prior: np.ndarray
-    ids: dict[str, int] = field(init=False)
 
     def __post_init__(self):
-        self.ids = {p: i for i, p in enumerate(self.pieces) if len(p) <= LONGEST_PIECE}
+        self.found = Pieces(self.pieces)
         self.rows: dict[str, int] = {}
         self.logs = np.zeros((0, len(self.languages)))
 
@@ -130,11 +176,8 @@ class Model:
         cut = [parts(w) for w in new]
         flat = [p for one in cut for p in one]
         logs = np.empty((len(flat), len(self.languages)))
-        by_size = sorted(range(len(flat)), key=lambda i: len(flat[i]))
-        for at in range(0, len(flat), BATCH_WORDS):
-            chosen = by_size[at:at + BATCH_WORDS]
-            lattice = Lattice([flat[i] for i in chosen], self.ids)
-            total = lattice.forward(self.probability[lattice.piece])[lattice.ends]
+        for chosen in by_length(flat):
+            total = Lattice([flat[i] for i in chosen], self.found).forward(self.probability)
             logs[chosen] = np.log(np.maximum(total, 1e-300))
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         whole = np.add.reduceat(logs, np.cumsum(counts) - counts, axis=0)
@@ -225,19 +268,15 @@ def train(docs: DataFrame, rounds: int = EM_ROUNDS, pieces: list[str] | None = N
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             vocabulary, langs, probability = shared.value
-            ids = {p: i for i, p in enumerate(vocabulary) if len(p) <= LONGEST_PIECE}
-            number = {x: i for i, x in enumerate(langs)}
+            found, number = Pieces(vocabulary), {x: i for i, x in enumerate(langs)}
             total = np.zeros(probability.shape)
+            probability = probability.astype(float)
             for batch in batches:
                 rows = [(p, number[lang], n) for lang, word, n in zip(*(batch.column(c).to_pylist() for c in
                         ("lang", "word", "n")), strict=True) for p in parts(word)]
-                rows.sort(key=lambda row: len(row[0]))
-                for at in range(0, len(rows), BATCH_WORDS):
-                    texts, lang, n = zip(*rows[at:at + BATCH_WORDS], strict=True)
-                    lattice, lang = Lattice(texts, ids), np.array(lang)
-                    each = lang[lattice.source // lattice.width]
-                    used = lattice.expected(probability[lattice.piece, each].astype(float)[:, None], np.array(n, float))
-                    total += np.bincount(lattice.piece * len(langs) + each, used, total.size).reshape(total.shape)
+                for chosen in by_length([r[0] for r in rows]):
+                    texts, lang, n = zip(*[rows[i] for i in chosen], strict=True)
+                    Lattice(texts, found).expected(probability, np.array(lang), np.array(n, float), total)
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()),
                                               pa.array(total[piece, lang])], ["piece", "lang", "n"])
