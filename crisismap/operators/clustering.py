@@ -10,8 +10,8 @@
   next to a dense cell join it as border points; the rest and clusters
   below ``min_cluster_size`` are noise (-1). No point pairs are ever formed,
   so a dense region costs its cell count, not its squared point count.
-* Topic merging repeatedly folds the smallest topic into its most similar
-  one (cosine of summed vectors) until ``n`` remain.
+* Topic merging joins topics that are each other's most similar one (cosine
+  of summed vectors), all such pairs at once, until ``n`` remain.
 """
 
 from __future__ import annotations
@@ -123,29 +123,35 @@ def topic_vectors(df: DataFrame, vec: str = "embedding", label: str = "topic_id"
 
 
 def reduce_topics(df: DataFrame, n: int, vec: str = "embedding", label: str = "topic_id") -> tuple[DataFrame, DataFrame]:
-    """N18 (re-aimed): merge the smallest topic into its most similar one until ``n`` remain.
+    """N18 (re-aimed): merge topics that are each other's most similar one until ``n`` remain.
 
-    Returns ``(relabelled rows, mapping old -> new)``. Each round moves two
-    topic ids to the driver, nothing else; topic ids are renumbered 0..n-1 by
-    size (largest first) at the end.
+    Returns ``(relabelled rows, mapping old -> new)``. A round merges all mutual
+    nearest pairs, the most similar first if fewer are needed, so rounds are few
+    even for many topics; one such pair always exists, as ties are broken alike
+    from both sides. Summed vectors stay in tables; the driver sees counts only.
+    Topic ids are renumbered 0..n-1 by size (largest first) at the end.
     """
     from crisismap.operators.similarity import cosine
 
     tv = cut_lineage(topic_vectors(df, vec, label))
     mapping = tv.select(F.col(label).alias("old"), F.col(label).alias("new"))
-    while tv.count() > n:
-        small = tv.orderBy("size", label).limit(1)
-        s = small.first()
-        others = tv.where(F.col(label) != s[label]).select(label, "vec", "size")
-        cand = others.crossJoin(small.select(F.col("vec").alias("_sv"))).withColumn("_sim", cosine("vec", "_sv"))
-        target = cand.orderBy(F.desc("_sim"), F.asc(label)).limit(1).first()[label]
-        upd = tv.where(F.col(label) != s[label]).withColumn(
-            "vec", F.when(F.col(label) == target, F.zip_with("vec", F.array(*[F.lit(float(x)) for x in s["vec"]]),
-                                                             lambda a, b: a + b)).otherwise(F.col("vec"))
-        ).withColumn("size", F.when(F.col(label) == target, F.col("size") + s["size"]).otherwise(F.col("size")))
-        tv = cut_lineage(upd)
-        mapping = cut_lineage(mapping.withColumn("new", F.when(F.col("new") == s[label], F.lit(target))
-                                                 .otherwise(F.col("new"))))
+    while (left := tv.count()) > max(n, 1):
+        one = tv.select(F.col(label).alias("_a"), F.col("vec").alias("_va"))
+        two = tv.select(F.col(label).alias("_b"), F.col("vec").alias("_vb"))
+        sims = one.crossJoin(two).where("_a <> _b").withColumn("_sim", F.coalesce(cosine("_va", "_vb"), F.lit(-1.0)))
+        rank = F.struct("_sim", -F.least("_a", "_b"), -F.greatest("_a", "_b"))
+        near = sims.groupBy("_a").agg(F.max_by("_b", rank).alias("_b"), F.max("_sim").alias("_sim"))
+        back = near.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))
+        merges = cut_lineage(near.join(back, ["_a", "_b"]).where("_a < _b").orderBy(F.desc("_sim"), "_a").limit(left - n)
+                             .select(F.col("_b").alias("_loser"), F.col("_a").alias("_into")))
+        moved = tv.join(merges, F.col(label) == F.col("_loser"), "left").select(
+            F.coalesce("_into", label).alias(label), "vec", "size")
+        both = moved.groupBy(label).agg(F.collect_list("vec").alias("_v"), F.sum("size").alias("size"))
+        zero = F.transform(F.get("_v", F.lit(0)), lambda x: x * 0)
+        tv = cut_lineage(both.select(label, F.aggregate("_v", zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y)).alias("vec"),
+                                     "size"))
+        mapping = cut_lineage(mapping.join(merges, F.col("new") == F.col("_loser"), "left")
+                              .select("old", F.coalesce("_into", "new").alias("new")))
     order = tv.select(label, (F.row_number().over(Window.orderBy(F.desc("size"), label)) - 1).alias("_rank"))
     mapping = mapping.join(order.withColumnRenamed(label, "new"), "new").select("old", F.col("_rank").alias("new"))
     out = df.join(mapping.withColumnRenamed("old", label), label, "left").withColumn(

@@ -86,6 +86,43 @@ def apply_classifier(model, df: DataFrame, labels: list[str]) -> DataFrame:
     return out.drop("_tok", "_tf", "_feat", "_raw", "_prob", "_pred", "_pa")
 
 
+def train_multilabel(train: DataFrame, labels: list[str], text: str = "text", num_features: int = 1 << 16,
+                     max_iter: int = 20):
+    """N7 default for labels that don't exclude each other: shared TF-IDF, one logistic regression for each 0/1 column.
+
+    Returns ``(features, {label: model})``, both fitted by Spark ML over all rows; NULL labels count as 0.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+
+    rows = train.where(F.col(text).isNotNull()).select(text, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+                                                               for c in labels])
+    features = Pipeline(stages=[
+        RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False, toLowercase=True),
+        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
+        IDF(inputCol="_tf", outputCol="_feat"),
+    ]).fit(rows)
+    seen = features.transform(rows).select("_feat", *labels)
+    return features, {c: LogisticRegression(featuresCol="_feat", labelCol=c, maxIter=max_iter, regParam=0.01,
+                                            probabilityCol="_prob", predictionCol="_pred", rawPredictionCol="_raw").fit(seen)
+                      for c in labels}
+
+
+def apply_multilabel(model, df: DataFrame, text: str = "text") -> DataFrame:
+    """``p_<label>`` columns, each a probability of its own; NULL texts score like empty ones."""
+    from pyspark.ml.functions import vector_to_array
+
+    features, models = model
+    column = features.stages[0].getInputCol()
+    out = features.transform(df.withColumn("_given", F.col(column) if column in df.columns else F.lit(None))
+                             .withColumn(column, F.coalesce(F.col(text), F.lit("")))).drop("_tok", "_tf")
+    for label, fitted in models.items():
+        out = fitted.transform(out).withColumn(f"p_{label}", vector_to_array("_prob")[1]).drop("_prob", "_pred", "_raw")
+    out = out.drop("_feat")
+    return out.withColumn(column, F.col("_given")).drop("_given") if column in df.columns else out.drop("_given", column)
+
+
 def embed(df: DataFrame, make_encode_fn: Callable, text: str = "text", dim: int = 64,
           batch_size: int = 64) -> DataFrame:
     """User sentence encoder over Arrow batches -> ``embedding array<float>``."""
@@ -134,22 +171,3 @@ def reduce_dims(df: DataFrame, k: int = 5, col: str = "embedding", out: str = "r
     vec = Normalizer(inputCol="_v", outputCol="_n", p=2.0).transform(vec)
     model = PCA(k=k, inputCol="_n", outputCol="_r").fit(vec)
     return model.transform(vec).withColumn(out, vector_to_array("_r", "float32")).drop("_v", "_n", "_r")
-
-
-def hashing_predict_fn(labels: int, seed: int = 7):
-    """A deterministic stand-in model for tests: class scores from hashed text features (softmax)."""
-    def make():
-        rng = np.random.default_rng(seed)
-        w = rng.normal(size=(257, labels))
-
-        def predict(texts: np.ndarray) -> np.ndarray:
-            feats = np.zeros((len(texts), 257))
-            for i, t in enumerate(texts):
-                for tok in str(t).lower().split():
-                    feats[i, sum(map(ord, tok)) % 257] += 1.0
-            z = feats @ w
-            z -= z.max(axis=1, keepdims=True)
-            e = np.exp(z)
-            return (e / e.sum(axis=1, keepdims=True)).astype(np.float32)
-        return predict
-    return make

@@ -105,11 +105,14 @@ def best_config(grid: DataFrame) -> DataFrame:
 
 
 def enrich(posts: DataFrame, labelled: DataFrame, stop: DataFrame | None = None, ks=(4, 8),
-           algos=("kmeans",), key: str = "cid", dim: int = 16, emotion_model=None) -> DataFrame:
+           algos=("kmeans",), key: str = "cid", dim: int = 16, emotions: DataFrame | None = None,
+           emotion_labels: tuple[str, ...] = ("anger", "fear", "joy", "sadness"), emotion_model=None) -> DataFrame:
     """Clean -> embed -> choose the best topic configuration -> topics and labels -> emotions -> flag.
 
     Two reliable checkpoints cut the lineage: after embedding and at the end.
-    ``labelled`` holds (text, label) rows for the disaster classifier.
+    ``labelled`` holds (text, label) rows for the disaster classifier, ``emotions`` (text, one 0/1 column for
+    each emotion) rows that the emotion scorer is fitted on; ``emotion_model`` is a user model instead
+    (see ``score_texts``).
     """
     if "crawl_seq" in posts.columns:
         posts = P.dedupe_keep_first(posts, key, "crawl_seq")
@@ -123,9 +126,13 @@ def enrich(posts: DataFrame, labelled: DataFrame, stop: DataFrame | None = None,
     clusters = fit_topics(embedded, algo, k)
     words = topic_words_of(clusters, "cleaned_text", stop, "doc_id")
     out = T.with_topic_label(clusters, words)
-    make = emotion_model or SC.hashing_predict_fn(4)
-    out = SC.score_texts(out, make, ["anger", "fear", "joy", "sadness"], text="cleaned_text")
-    out = SC.threshold_labels(out, ["p_anger", "p_fear", "p_joy", "p_sadness"], 0.5)
+    if emotion_model is not None:
+        out = SC.score_texts(out, emotion_model, list(emotion_labels), text="cleaned_text")
+    elif emotions is not None:
+        out = SC.apply_multilabel(SC.train_multilabel(emotions, list(emotion_labels)), out, text="cleaned_text")
+    else:
+        raise ValueError("emotions need labelled rows or a model")
+    out = SC.threshold_labels(out, [f"p_{e}" for e in emotion_labels], 0.5)
     model = SC.train_text_classifier(labelled, text="text", label="label", num_features=1 << 16, max_iter=20)
     out = SC.apply_classifier(model, out.withColumnRenamed("disaster_related", "_given"), ["LABEL_0", "LABEL_1"])
     out = out.withColumn("disaster_related", SC.binary_label(["p_LABEL_0", "p_LABEL_1"]))

@@ -85,6 +85,12 @@ def posts(spark: SparkSession, base: str) -> DataFrame:
         "ELSE date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\") END"))
 
 
+def emotion_rows(spark: SparkSession, base: str) -> DataFrame:
+    """Posts with a text and 0/1 columns for the emotions whose given score reaches one half."""
+    p = posts(spark, base).where(F.col("text").isNotNull())
+    return p.select("text", *[(F.col(f"p_{e}") >= 0.5).cast("int").alias(e) for e in EMOTIONS])
+
+
 def grid(spark: SparkSession) -> DataFrame:
     """Grid cells (G7): level 4 = 2-degree squares, level 5 = each square cut into two triangles.
 

@@ -122,11 +122,12 @@ def argmax_label_q(spark, base):
 
 @register("score_texts")
 def score_texts_q(spark, base):
-    """A user model applied over Arrow batches (predict_batch_udf) to every post text."""
+    """Emotions that don't exclude each other, fitted on the labelled posts and scored for every post text."""
     p = fx.posts(spark, base).where(F.col("text").isNotNull()).select("cid", "crawl_seq", "text")
-    out = SC.score_texts(p, SC.hashing_predict_fn(3), ["negative", "neutral", "positive"], batch_size=64)
-    return out.select("cid", "crawl_seq", "p_negative", "p_neutral", "p_positive",
-                      SC.argmax_label(["p_negative", "p_neutral", "p_positive"]).alias("sentiment"))
+    model = SC.train_multilabel(fx.emotion_rows(spark, base), list(fx.EMOTIONS))
+    out = SC.apply_multilabel(model, p)
+    probs = [f"p_{e}" for e in fx.EMOTIONS]
+    return out.select("cid", "crawl_seq", *probs, SC.argmax_label(probs).alias("strongest"))
 
 
 @register("disaster_classifier")

@@ -27,9 +27,8 @@ def register(name):
 
 @register("kmeans_topics")
 def kmeans_topics_q(spark, base):
-    """KMeans (k = 10, seed 42) over the embeddings; topic sizes."""
-    out = C.cluster_kmeans(fx.embeddings(spark, base), 10)
-    return out.groupBy("topic_id").agg(F.count(F.lit(1)).alias("size"))
+    """KMeans (k = 10, seed 42) over the embeddings; each vector's topic."""
+    return C.cluster_kmeans(fx.embeddings(spark, base), 10).select("vec_id", "topic_id")
 
 
 @register("density_topics")
@@ -44,8 +43,8 @@ def density_topics_q(spark, base):
 def reduce_topics_q(spark, base):
     """N18 (re-aimed): the 10 classes merged down to 5 topics by vector similarity."""
     emb = fx.embeddings(spark, base).withColumn("topic_id", F.col("label"))
-    _, mapping = C.reduce_topics(emb, 5)
-    return mapping
+    out, _ = C.reduce_topics(emb, 5)
+    return out.select("vec_id", "label", "topic_id")
 
 
 @register("topic_grid")
@@ -64,7 +63,7 @@ def enrich_q(spark, base):
     docs = read_table(spark, base, "documents", ["doc_id", "text"])
     lab = read_table(spark, base, "labels", ["doc_id", "quality"])
     labelled = docs.join(lab, "doc_id").select("text", F.col("quality").alias("label"))
-    out = E.enrich(posts, labelled, fx.stopwords(spark))
+    out = E.enrich(posts, labelled, fx.stopwords(spark), emotions=fx.emotion_rows(spark, base))
     return out.select("cid", "crawl_seq", "topic_id", "topic_label", "anger", "fear", "joy", "sadness",
                       "no_emotion", "disaster_related")
 
