@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crisismap.functions import geometry as G
-from crisismap.session import keep, maybe_broadcast
+from crisismap.session import cut_lineage, keep, maybe_broadcast
 
 SALT_BUCKETS = 32
 
@@ -144,11 +144,11 @@ def nearest_distance(cells: DataFrame, hazards: DataFrame, crs: str, key: str =
                      tile_m: float | None = None) -> DataFrame:
     """Distance from each cell polygon to the nearest hazard, in metres of ``crs``.
 
-    Expanding tile rings: round r joins each unresolved cell with the hazards in
-    tiles within r of its bounding box. A minimum d <= r * w is final, because
-    every hazard outside that ring is at least r * w away. r = 1, 2, 4, ...,
-    so a cell far from every hazard costs O(log distance) rounds; only the
-    unresolved cells (a shrinking set) take part in later rounds.
+    Round r lays tiles of width r * w and joins each unresolved cell with the
+    hazards in the tiles of its bounding box and those around them. A minimum d
+    <= r * w is final, because every other hazard is at least r * w away. r = 1, 2,
+    4, ..., so a cell far from every hazard costs O(log distance) rounds of a bounded
+    number of tiles each, and only the unresolved cells take part in later rounds.
     """
     pc = cells.select(key, G.project_ring(ring, crs).alias("_pring"))
     if hazard_ring:
@@ -161,45 +161,46 @@ def nearest_distance(cells: DataFrame, hazards: DataFrame, crs: str, key: str =
         dist = G.point_polygon_distance("element_at(_hgeom, 1).lon", "element_at(_hgeom, 1).lat", "_pring")
     pc = keep(pc)
     # the distance depends on the distinct geometries only (repeat detections at one spot are common)
-    ph = ph.dropDuplicates(["_hgeom"])
+    ph = keep(ph.dropDuplicates(["_hgeom"]))
     w = tile_m or max_bbox_side(pc, "_pring")
-    htiles = keep(explode_tiles(ph, w, "_hgeom").select("_tx", "_ty", "_hgeom"))
-    has_hazards = htiles.limit(1).count() > 0
-    span = _span(pc, htiles, w)
-
-    pending = pc
-    done = []
-    r = 1  # ring 0 only settles intersecting cells, which ring 1 settles as well
-    while has_hazards:  # ends when the rings span everything, at the latest
-        cand = explode_tiles(pending, w, "_pring", pad=r).select(key, "_pring", "_tx", "_ty")
-        small, _b = maybe_broadcast(htiles)
-        pairs = cand.join(small, ["_tx", "_ty"])
+    span = _span(pc, ph)  # None without cells or hazards
+
+    pending, done, kept = pc, [], [pc, ph]
+    r = 1
+    while span is not None:  # ends when the tiles span everything, at the latest
+        cand = explode_tiles(pending, r * w, "_pring", pad=1).select(key, "_pring", "_tx", "_ty")
+        tiles = explode_tiles(ph, r * w, "_hgeom").select("_tx", "_ty", "_hgeom")
+        pairs = _tile_join(cand, tiles, [key])
         # the same (cell, hazard) pair may meet in several shared tiles; min() does not care
         best = pairs.groupBy(key).agg(F.min(F.expr(dist)).alias("min_distance"))
         last = r * w >= span
-        final = best if last else best.where(F.col("min_distance") <= F.lit(r * w))
-        final = keep(final)
+        final = keep(best if last else best.where(F.col("min_distance") <= F.lit(r * w)))
         done.append(final)
         pending = keep(pending.join(final.select(key), key, "left_anti"))
-        if last or pending.limit(1).count() == 0:
+        kept.append(pending)
+        if last or pending.isEmpty():
             break
         r = 2 * r
     out = done[0] if done else pc.limit(0).select(key, F.lit(None).cast("double").alias("min_distance"))
     for extra in done[1:]:
         out = out.unionByName(extra)
+    if done:
+        # one small table of distances instead of the rounds' tables, which are let go
+        out = cut_lineage(out)
+        for table in (*kept, *done):
+            table.unpersist()
     return cells.join(out, key, "left")
 
 
-def _span(pc: DataFrame, htiles: DataFrame, w: float) -> float:
-    """Upper bound of any cell-hazard distance: diagonal of the joint extent (plus a tile)."""
-    a = with_bbox(pc.select("_pring"), "_pring").agg(
-        F.min("_xmin"), F.max("_xmax"), F.min("_ymin"), F.max("_ymax")).first()
-    b = htiles.agg(F.min("_tx"), F.max("_tx"), F.min("_ty"), F.max("_ty")).first()
+def _span(pc: DataFrame, hazards: DataFrame) -> float | None:
+    """Upper bound of any cell-hazard distance: the diagonal of the joint extent; None if a side is empty."""
+    bounds = [F.min("_xmin"), F.max("_xmax"), F.min("_ymin"), F.max("_ymax")]
+    a = with_bbox(pc.select("_pring"), "_pring").agg(*bounds).first()
+    b = with_bbox(hazards.select("_hgeom"), "_hgeom").agg(*bounds).first()
     if a[0] is None or b[0] is None:
-        return 0.0
-    xs = [a[0], a[1], b[0] * w, (b[1] + 1) * w]
-    ys = [a[2], a[3], b[2] * w, (b[3] + 1) * w]
-    return ((max(xs) - min(xs)) ** 2 + (max(ys) - min(ys)) ** 2) ** 0.5 + w
+        return None
+    xs, ys = [a[0], a[1], b[0], b[1]], [a[2], a[3], b[2], b[3]]
+    return ((max(xs) - min(xs)) ** 2 + (max(ys) - min(ys)) ** 2) ** 0.5
 
 
 def polygon_filter(df: DataFrame, ring_points: list[tuple[float, float]], points: str = "points") -> DataFrame:
