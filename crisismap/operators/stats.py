@@ -12,7 +12,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, NumericType
 
 # Fixed bin tables of the hazard comparison (edges are [a, b) lower bounds).
 FLOOD_EDGES = [1, 5, 10, 20, 50, 100, 200, 500]
@@ -126,6 +126,14 @@ def describe(df: DataFrame, col: str, pcts: tuple = DESCRIBE_PCTS, keys: list[st
                       *[F.col("_q")[i].alias(f"p{_pname(p)}") for i, p in enumerate(pcts)], "max")
 
 
+def describe_columns(df: DataFrame, cols: list[str] | None = None, pcts: tuple = DESCRIBE_PCTS) -> DataFrame:
+    """A11 over every numeric column (or those named): one row each, from one pass over the table."""
+    cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                                         for c in cols])).alias("x")).select("x.*")
+    return describe(long, "value", pcts, ["column"])
+
+
 def _pname(p: float) -> str:
     return f"{p * 100:g}".replace(".", "_")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crisismap.functions import geometry as G
+from crisismap.functions.text import parse_created_at
 from crisismap.operators import posts as P
 from crisismap.operators import spatial as SP
 from crisismap.operators import stats as S
@@ -127,8 +128,10 @@ SELECT g.level, g.cell_id, CAST(wk.iso_year AS INTEGER) AS iso_year, CAST(wk.wee
 FROM grid g CROSS JOIN wk LEFT JOIN c ON c.level = g.level AND c.cell_id = g.cell_id AND c.iso_year = wk.iso_year
   AND c.week = wk.week""")
 def weekly_cell_counts_q(spark, base):
-    """A2 + T7: per ISO week (with ISO year) and cell, zero-filled over the weeks of all points."""
-    pts = post_points(spark, base)
+    """A2 + T6 + T7: per ISO week (with ISO year) and cell, zero-filled over the weeks of all points; the time is
+    parsed leniently from its text."""
+    text = fx.posts(spark, base).withColumn("ts", parse_created_at("createdAt", strict=False).cast("timestamp_ntz"))
+    pts = P.explode_points(P.with_points(text)).select("cid", "crawl_seq", "ts", "lon", "lat")
     pairs = SP.points_in_cells(pts, fx.grid(spark), tile=fx.GRID_STEP)
     out = SP.weekly_cell_counts(pairs, pts, fx.grid(spark))
     return out.select("level", "cell_id", F.col("iso_year").cast("int").alias("iso_year"),
@@ -250,6 +253,27 @@ def pearson_count_distance_q(spark, base):
     return out.select("level", "n", F.round("r", 6).alias("r"))
 
 
+@register("pearson_p_value")
+def pearson_p_value_q(spark, base):
+    """The two-sided p of each level's r (DuckDB has no such distribution; known values are tested)."""
+    joined = cell_counts(spark, base).join(nearest_fire(spark, base).select("level", "cell_id", "min_distance"),
+                                           ["level", "cell_id"])
+    return S.pearson_p(S.pearson(joined, "count", "min_distance", keys=["level"])).select("level", "n", "r", "p_value")
+
+
+@register("describe_numeric", views=("posts", "grid"), sql=f"""
+WITH {PP_SQL}, {PC_SQL}, {COUNTS_SQL},
+l AS (SELECT 'count' AS "column", CAST(count AS DOUBLE) AS v FROM cc
+      UNION ALL SELECT 'count_related', CAST(count_related AS DOUBLE) FROM cc)
+SELECT "column", count(v) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min,
+  quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, max(v) AS max FROM l GROUP BY 1""")
+def describe_numeric_q(spark, base):
+    """describe() of every numeric column of the cell counts."""
+    d = S.describe_columns(cell_counts(spark, base).select("count", "count_related"))
+    return d.select("column", "count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "p25", "p50",
+                    "p75", "max")
+
+
 def _crosstab_sql(edges, labels, counts_cte, count_col, flags_cte):
     e = "[" + ", ".join(str(x) for x in edges) + "]"
     lab = "[" + ", ".join(f"'{x}'" for x in labels) + "]"

@@ -71,7 +71,7 @@ def ingest_counts_q(spark, base):
     return ingest_counts_batch(fx.posts(spark, base), fx.keywords(spark))
 
 
-@register("geoparse", views=("runs", "gazetteer"), sql=r"""
+GEOPARSE_SQL = r"""
 WITH gz AS (SELECT lower(name) AS norm, arg_max(struct_pack(name := name, country_name := country_name,
               latitude := latitude, longitude := longitude, population := population),
               struct_pack(p := population, a := -latitude, b := -longitude)) AS g FROM gazetteer GROUP BY 1),
@@ -88,18 +88,32 @@ k AS (SELECT *, max(fin) OVER (PARTITION BY doc_id ORDER BY start, fin DESC
                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cover FROM hits)
 SELECT doc_id, CAST(start AS INTEGER) AS start_char, CAST(fin AS INTEGER) AS end_char, ngram AS text,
   name AS loc_name, country_name, latitude, longitude, round(log10(CAST(population AS DOUBLE) + 1) / 10, 6) AS score
-FROM k WHERE cover IS NULL OR cover < fin""")
+FROM k WHERE cover IS NULL OR cover < fin"""
+
+
+@register("geoparse", views=("runs", "gazetteer"), sql=GEOPARSE_SQL)
 def geoparse_q(spark, base):
     """N6 + P8 (re-aimed): toponyms of every document from a corpus-derived gazetteer, longest match."""
     docs = read_table(spark, base, "documents", ["doc_id", "text"])
     return GP.toponym_rows(docs, fx.gazetteer(spark, base), "doc_id")
 
 
-@register("geocoded_points", views=("runs", "gazetteer"), sql=None)
+@register("geocoded_points", views=("runs", "gazetteer"), sql=f"""
+SELECT d.doc_id, d.text, CAST(count(t.start_char) AS INTEGER) AS n_points,
+  coalesce(string_agg(t.text || '@' || t.start_char || '=' || t.loc_name || '/' || t.country_name, '|' ORDER BY t.start_char), '')
+    AS toponyms, round(coalesce(sum(t.longitude), 0), 6) AS sum_lon, round(coalesce(sum(t.latitude), 0), 6) AS sum_lat
+FROM documents d LEFT JOIN ({GEOPARSE_SQL}) t ON t.doc_id = d.doc_id GROUP BY d.doc_id, d.text""")
 def geocoded_points_q(spark, base):
-    """N6 -> P7: geocoded documents to their multipoint (rows-only)."""
+    """N6 + P8 -> P7: the geocoded struct of every document and its multipoint."""
     from crisismap.operators.posts import with_points
 
     docs = read_table(spark, base, "documents", ["doc_id", "text"])
-    g = GP.geoparse(docs, fx.gazetteer(spark, base), "doc_id")
-    return with_points(g, "toponyms").select("doc_id", F.size("points").alias("n_points"))
+    g = with_points(GP.geoparse(docs, fx.gazetteer(spark, base), "doc_id"), "geocoded_dict.toponyms")
+    names = F.transform("geocoded_dict.toponyms", lambda t: F.concat(
+        t["text"], F.lit("@"), t["start_char"].cast("string"), F.lit("="), t["loc_name"], F.lit("/"), t["country_name"]))
+
+    def total(field):
+        return F.round(F.aggregate("points", F.lit(0.0), lambda s, p: s + p[field]), 6)
+
+    return g.select("doc_id", F.col("geocoded_dict.text").alias("text"), F.size("points").alias("n_points"),
+                    F.array_join(names, "|").alias("toponyms"), total("lon").alias("sum_lon"), total("lat").alias("sum_lat"))
