@@ -21,10 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crisismap.functions.text import RUNS
-from crisismap.session import maybe_broadcast, spread
+from crisismap.session import keep, maybe_broadcast, spread
 
 WORD_START = r"^[\p{L}\p{N}_]"
 WORD = r"[\p{L}\p{N}_]+"
+# Runs whose lengths are summed up together, and how many first words of names are worth a filter.
+BLOCK_RUNS = 64
+FIRST_WORDS = 10_000
 GAPS = (" ", "-", "'", "\u2019", ". ")
 
 
@@ -41,15 +44,31 @@ def resolve_gazetteer(gazetteer: DataFrame) -> DataFrame:
     return g.groupBy("norm").agg(best.alias("g")).select("norm", "g.*")
 
 
-def candidates(df: DataFrame, key: str, text: str = "text", longest: int = 3) -> DataFrame:
-    """(key, start, end, ngram, norm) for all n-grams of 1 to ``longest`` words of each text."""
+def _sums(values: Column) -> Column:
+    """0 and the running sums of an array."""
+    return F.aggregate(values, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+
+
+def candidates(df: DataFrame, key: str, text: str = "text", longest: int = 3,
+               first_words: list[str] | None = None) -> DataFrame:
+    """(key, start, end, ngram, norm) for all n-grams of 1 to ``longest`` words of each text.
+
+    With ``first_words`` (normalised) only those that begin with one of them.
+    """
     cut = spread(df.select(key, F.col(text).alias("_text"))).where(F.col("_text").isNotNull()).select(
         key, F.regexp_extract_all("_text", F.lit(RUNS), F.lit(0)).alias("_r"))
-    # columns of their own, so that they are worked out once a text
+    # Runs are summed up in blocks, as an array that grows is copied at each step. Projections are merged, and an
+    # array then worked out again for each element, where a lambda is the only one to name it: each is an argument
+    # of its function or is named twice.
+    blocks = F.sequence(F.lit(0), F.greatest(F.size("_r") - 1, F.lit(0)), F.lit(BLOCK_RUNS))
     cut = cut.select(key, "_r", F.transform("_r", lambda r: r.rlike(WORD_START)).alias("_word"),
-                     F.transform("_r", lambda r: r.isin(*GAPS)).alias("_gap"),
-                     F.aggregate("_r", F.array(F.lit(0)), lambda done, r: F.concat(done, F.array(
-                         F.element_at(done, -1) + F.length(r)))).alias("_end"))
+                     F.transform("_r", lambda r: r.isin(*GAPS)).alias("_gap"), F.transform("_r", F.length).alias("_n"))
+    cut = cut.select("*", F.transform(blocks, lambda b: _sums(F.slice(
+        "_n", b + 1, F.least(F.lit(BLOCK_RUNS), F.greatest(F.size("_n") - b, F.lit(0)))))).alias("_in"))
+    cut = cut.select("*", _sums(F.transform("_in", lambda s: F.element_at(s, -1))).alias("_before"))
+    cut = cut.select("*", F.concat(F.flatten(F.zip_with(
+        "_in", F.slice("_before", 1, F.size("_before") - 1),
+        lambda s, b: F.transform(F.slice(s, 1, F.size(s) - 1), lambda x: x + b))), F.slice("_before", -1, 1)).alias("_end"))
 
     def grams(i: Column) -> Column:
         whole, out = F.lit(True), []
@@ -58,20 +77,26 @@ def candidates(df: DataFrame, key: str, text: str = "text", longest: int = 3) ->
                 # past the text's last word, get() is NULL and so is the condition
                 whole = whole & F.get("_gap", i + 2 * n - 1) & F.get("_word", i + 2 * n)
             gram = F.array_join(F.slice("_r", i + 1, 2 * n + 1), "") if n else F.get("_r", i)
-            out.append(F.when(whole, gram))
-        return F.transform(F.array_compact(F.array(*out)), lambda g: F.struct(F.get("_end", i).alias("s"), g.alias("g")))
+            out.append(F.when(whole, F.struct(F.get("_end", i).alias("s"), F.get("_end", i + 2 * n + 1).alias("e"),
+                                              gram.alias("g"))))
+        return F.array_compact(F.array(*out))
+
+    def begins(i: Column) -> Column:
+        return i.isNotNull() if first_words is None else i.isNotNull() & _norm(F.get("_r", i)).isin(first_words)
 
-    words = F.filter(F.transform("_word", lambda w, i: F.when(w, i)), lambda i: i.isNotNull())
-    ex = cut.select(key, F.explode(F.flatten(F.transform(words, grams))).alias("x"))
-    return ex.select(key, F.col("x.s").cast("long").alias("start"), (F.col("x.s") + F.length("x.g")).cast("long").alias("end"),
+    cut = cut.select("*", F.filter(F.transform("_word", lambda w, i: F.when(w, i)), begins).alias("_starts"))
+    ex = cut.select(key, F.explode(F.flatten(F.transform("_starts", grams))).alias("x"))
+    return ex.select(key, F.col("x.s").cast("long").alias("start"), F.col("x.e").cast("long").alias("end"),
                      F.col("x.g").alias("ngram"), _norm(F.col("x.g")).alias("norm"))
 
 
 def toponym_rows(df: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per resolved toponym (key, start_char, end_char, text, loc_name, ...)."""
-    gaz = resolve_gazetteer(gazetteer)
+    gaz = keep(resolve_gazetteer(gazetteer))  # read four times
     longest = gaz.agg(F.max(F.size(F.regexp_extract_all("norm", F.lit(WORD), F.lit(0))))).first()[0] or 1
-    hits = candidates(df, key, text, longest).join(maybe_broadcast(gaz)[0], "norm")
+    # a short list of first words goes along as a filter; a longer one would weigh more than it saves
+    first = [r[0] for r in gaz.select(F.regexp_extract("norm", WORD, 0)).distinct().limit(FIRST_WORDS + 1).collect()]
+    hits = candidates(df, key, text, longest, first if len(first) <= FIRST_WORDS else None).join(maybe_broadcast(gaz)[0], "norm")
     w = Window.partitionBy(key).orderBy(F.col("start"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     hits = hits.withColumn("_cover", F.max("end").over(w))
     kept = hits.where(F.col("_cover").isNull() | (F.col("_cover") < F.col("end")))
