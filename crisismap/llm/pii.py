@@ -259,6 +259,10 @@ def _listed(spans: Column) -> Column:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, counts of base spans by kind, base_sha256, spans (all spans).
 
@@ -269,8 +273,7 @@ def report(docs: DataFrame) -> DataFrame:
     found = stored(candidates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text"), "pii-spans")
     spans = found.select("doc_id", accepted(F.col("candidates"), train(found)).alias("spans"))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["base"] & (s["kind"] == i))).cast("long").alias(f"n_{k}")
-              for i, k in enumerate(KINDS)]
+    counts = [_count(base, i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return spans.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"),
                         _listed(F.col("spans")).alias("spans"))
 
