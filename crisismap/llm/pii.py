@@ -164,9 +164,10 @@ def candidates(docs: DataFrame, name: str = "candidates") -> DataFrame:
     # columns of their own: an expression inside a function over arrays would be worked out again for each element
     ends = [f"ends_{c}" for c in cuts]
     found = found.select("*", *[_ends(F.col(c)).alias(e) for c, e in zip(cuts, ends, strict=True)])
-    every = F.concat(*[F.transform(_spans(kind, base, F.col(c), F.col(e)), _judged)
-                       for c, e, (kind, base, _) in zip(cuts, ends, sources, strict=True)])
-    return found.select(*docs.columns, every.alias(name))
+    every = f"spans_{uuid.uuid4().hex}"
+    found = found.select(*docs.columns, F.concat(*[
+        _spans(kind, base, F.col(c), F.col(e)) for c, e, (kind, base, _) in zip(cuts, ends, sources, strict=True)]).alias(every))
+    return found.select(*docs.columns, F.transform(every, _judged).alias(name))
 
 
 FEATURES = (*LABELERS, "digits", "size", *[f"is_{k}" for k in KINDS])
@@ -198,11 +199,12 @@ def _posterior(patterns: DataFrame, rounds: int) -> tuple[Column, dict[str, floa
     p = 1 / (1 + F.exp(-sum((F.col(j) for j in LABELERS[1:]), F.col(LABELERS[0])).cast("double")))
     reliability = {}
     for _ in range(rounds):
-        sums = [F.sum(F.when(F.col(j) == v, F.col("n") * q).otherwise(0.0)).alias(f"{j}{v}{y}")
-                for j in LABELERS for v in (-1, 0, 1) for y, q in ((1, p), (0, 1 - p))]
-        sums += [F.sum(F.when(F.col("kind") == k, F.col("n") * q).otherwise(0.0)).alias(f"kind{k}{y}")
-                 for k in range(len(KINDS)) for y, q in ((1, p), (0, 1 - p))]
-        got = patterns.agg(*sums).first()
+        shares = ((1, F.col("yes")), (0, F.col("no")))
+        sums = [F.sum(F.when(F.col(j) == v, q)).alias(f"{j}{v}{y}") for j in LABELERS for v in (-1, 0, 1) for y, q in shares]
+        sums += [F.sum(F.when(F.col("kind") == k, q)).alias(f"kind{k}{y}") for k in range(len(KINDS)) for y, q in shares]
+        split = patterns.withColumn("p", p).withColumn("yes", F.col("n") * F.col("p")).withColumn(
+            "no", F.col("n") * (1 - F.col("p")))
+        got = {name: value or 0.0 for name, value in split.agg(*sums).first().asDict().items()}
         odds = F.lit(0.0)
         for k in range(len(KINDS)):
             odds = odds + F.when(F.col("kind") == k, F.log(F.lit((got[f"kind{k}1"] + 1) / (got[f"kind{k}0"] + 1)))).otherwise(0.0)
