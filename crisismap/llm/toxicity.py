@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
@@ -30,7 +30,7 @@ SHRINK = 1e-4
 PREDICT_AT = 0.3
 CACHE_WORDS = 400_000
 HOLDOUT_MOD, HOLDOUT_REST = 4, 2
-WORD = regex.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def word_terms(word: str) -> tuple[int, ...]:
@@ -76,9 +76,9 @@ class Model:
         return _sigmoid(_logits(self, *_flat(found))[0])
 
 
-def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _flat(found: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.fromiter(map(len, found), np.int64, len(found))
-    ids = np.fromiter((i for one in found for i in one), np.int64, int(counts.sum()))
+    ids = np.concatenate([np.asarray(one, np.int64) for one in found]) if len(found) else np.zeros(0, np.int64)
     return ids, counts
 
 
@@ -115,7 +115,9 @@ def fit(terms: list[np.ndarray], labels: np.ndarray) -> Model:
     kept = screened(terms, labels)
     share = (labels.sum() + 0.5) / (labels.size + 1.0)
     model = Model(kept, np.zeros(kept.size), rng.normal(0, 0.05, (kept.size, FACTORS)), float(np.log(share / (1 - share))))
-    found = [np.searchsorted(kept, one[np.isin(one, kept)]) for one in terms]
+    place = np.full(1 << HASH_BITS, -1)
+    place[kept] = np.arange(kept.size)
+    found = [at[at >= 0] for at in (place[one] for one in terms)]
     sw, sv, sb = np.full(kept.size, 1e-6), np.full((kept.size, FACTORS), 1e-6), 1e-6
     for _ in range(EPOCHS if labels.size else 0):
         order = rng.permutation(labels.size)
@@ -125,15 +127,16 @@ def fit(terms: list[np.ndarray], labels: np.ndarray) -> Model:
             logit, total = _logits(model, ids, counts)
             error = _sigmoid(logit) - labels[batch]
             doc = np.repeat(np.arange(counts.size), counts)
-            used, where = np.unique(ids, return_inverse=True)
-            gw = np.bincount(where, error[doc], used.size) + SHRINK * model.weights[used]
-            each = error[doc, None] * (total[doc] - model.factors[ids])
-            gv = np.stack([np.bincount(where, each[:, k], used.size) for k in range(FACTORS)], axis=1)
-            gv += SHRINK * model.factors[used]
-            sw[used] += gw * gw
-            sv[used] += gv * gv
-            model.weights[used] -= RATE * gw / np.sqrt(sw[used])
-            model.factors[used] -= RATE * 0.3 * gv / np.sqrt(sv[used])
+            if ids.size:
+                used, where = np.unique(ids, return_inverse=True)
+                gw = np.bincount(where, error[doc], used.size) + SHRINK * model.weights[used]
+                each = error[doc, None] * (total[doc] - model.factors[ids])
+                gv = np.stack([np.bincount(where, each[:, k], used.size) for k in range(FACTORS)], axis=1)
+                gv += SHRINK * model.factors[used]
+                sw[used] += gw * gw
+                sv[used] += gv * gv
+                model.weights[used] -= RATE * gw / np.sqrt(sw[used])
+                model.factors[used] -= RATE * 0.3 * gv / np.sqrt(sv[used])
             gb = error.sum()
             sb += gb * gb
             model.bias -= RATE * gb / np.sqrt(sb)
