@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from crisismap.session import checkpoint_dir
 
@@ -19,6 +21,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of a table, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def with_text_columns(docs: DataFrame, fields: list[StructField],
+                      make: Callable[[Iterator[list[str]]], Iterator[list[pa.Array]]]) -> DataFrame:
+    """``docs`` with new columns made from the text alone, slice by slice, in one map.
+
+    Columns called like the new ones are replaced; all others are kept, whatever
+    their names (they travel under plain ones).
+    """
+    new = {f.name.lower() for f in fields}
+    kept = [(name, column) for name, column in zip(docs.columns, own_columns(docs), strict=True) if name.lower() not in new]
+    plain = docs.select(*[column for _, column in kept]).toDF(*[f"c{i}" for i in range(len(kept))])
+    text = f"c{[name for name, _ in kept].index('text')}"
+    names = [*plain.columns, *[f"new{i}" for i in range(len(fields))]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = list(make(texts for _, texts in text_slices(batch, text)))
+            if parts:
+                made = [pa.concat_arrays(column) for column in zip(*parts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names)
+
+    schema = StructType([*plain.schema.fields, *[StructField(f"new{i}", f.dataType) for i, f in enumerate(fields)]])
+    return plain.mapInArrow(run, schema).toDF(*[name for name, _ in kept], *[f.name for f in fields])
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared checkpoint folder, seen by the driver and every executor."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crisismap.llm.common import stored, table
+from crisismap.llm.common import own_columns, stored, table
 
 # White space that equality ignores: U+0020 and U+0009 to U+000D.
 IGNORED = b" \t\n\x0b\x0c\r"
@@ -236,7 +236,7 @@ def drop_copies(docs: DataFrame, memory: int = MEMORY_BYTES) -> DataFrame:
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-docs")
     groups = group_rows(numbered.select(F.col(row).alias("row"), "doc_id", "text"), memory)
     gone = groups.where(~F.col("kept")).select(F.col("row").alias(row))
-    return numbered.join(gone, row, "left_anti").select(*docs.columns)
+    return numbered.join(gone, row, "left_anti").select(*own_columns(docs))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,8 +248,10 @@ QUERIES = {"op4_exact_dedup": op4_exact_dedup}
 ORACLE = {"op4_exact_dedup": r"""
     WITH d AS (
         SELECT doc_id, length(coalesce(text, '')) AS n,
-               sha256(regexp_replace(coalesce(text, ''), '[ 	-]', '', 'g')) AS h,
-               regexp_replace(coalesce(text, ''), '[ 	-]', '', 'g') AS t
+               sha256(regexp_replace(coalesce(text, ''), '[ 	-
+]', '', 'g')) AS h,
+               regexp_replace(coalesce(text, ''), '[ 	-
+]', '', 'g') AS t
         FROM documents),
     w AS (
         SELECT doc_id, h, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id,

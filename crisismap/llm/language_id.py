@@ -13,9 +13,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField
 
-from crisismap.llm.common import stored, table, text_slices
+from crisismap.llm.common import stored, table, text_slices, with_text_columns
 
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = 0
@@ -298,24 +298,16 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred
     ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.pieces, model.languages, model.probability, model.prior))
-    keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
     mark = uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(slices: Iterator[list[str]]) -> Iterator[list[pa.Array]]:
         if _loaded.get("mark") != mark:
             _loaded.update(mark=mark, model=Model(*shared.value))
-        for batch in batches:
-            langs, scores = [], []
-            for _, texts in text_slices(batch, "text"):
-                found, share = _loaded["model"].predict(texts)
-                langs += found
-                scores += share.tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()),
-                                              pa.array(scores, pa.float64())], [*keep, *names])
-
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(names[0], StringType()),
-                                            StructField(names[1], DoubleType())]))
+        for texts in slices:
+            found, share = _loaded["model"].predict(texts)
+            yield [pa.array(found, pa.string()), pa.array(share, pa.float64())]
+
+    return with_text_columns(docs, [StructField(names[0], StringType()), StructField(names[1], DoubleType())], make)
 
 
 _loaded: dict = {}

@@ -16,7 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crisismap.llm.common import stored, table
+from crisismap.llm.common import own_columns, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 # Stand-ins inside a working copy of the text, one character each; the text's own ones become BLANK there.
@@ -160,14 +160,14 @@ def candidates(docs: DataFrame, name: str = "candidates") -> DataFrame:
     found = docs.withColumn(work, _working_copy(F.coalesce("text", F.lit(""))))
     sources = _sources(F.col(work))
     cuts = [f"cut{i}_{uuid.uuid4().hex}" for i in range(len(sources))]
-    found = found.select(*docs.columns, *[cut.alias(c) for c, (_, _, cut) in zip(cuts, sources, strict=True)])
+    found = found.select(*own_columns(docs), *[cut.alias(c) for c, (_, _, cut) in zip(cuts, sources, strict=True)])
     # columns of their own: an expression inside a function over arrays would be worked out again for each element
     ends = [f"ends_{c}" for c in cuts]
     found = found.select("*", *[_ends(F.col(c)).alias(e) for c, e in zip(cuts, ends, strict=True)])
     every = f"spans_{uuid.uuid4().hex}"
-    found = found.select(*docs.columns, F.concat(*[
+    found = found.select(*own_columns(docs), F.concat(*[
         _spans(kind, base, F.col(c), F.col(e)) for c, e, (kind, base, _) in zip(cuts, ends, sources, strict=True)]).alias(every))
-    return found.select(*docs.columns, F.transform(every, _judged).alias(name))
+    return found.select(*own_columns(docs), F.transform(every, _judged).alias(name))
 
 
 FEATURES = (*LABELERS, "digits", "size", *[f"is_{k}" for k in KINDS])
@@ -307,7 +307,7 @@ def redact(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.size(name) > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*own_columns(docs))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

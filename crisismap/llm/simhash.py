@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crisismap.llm.common import stored, table, text_slices
+from crisismap.llm.common import own_columns, stored, table, text_slices
 from crisismap.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -272,7 +272,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, limit: int
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
     groups = near_groups(numbered.select(F.col(row).alias("row"), "doc_id", "text"), words, limit)
     gone = groups.where("row <> keep_row").select(F.col("row").alias(row))
-    return numbered.join(gone, row, "left_anti").select(*docs.columns)
+    return numbered.join(gone, row, "left_anti").select(*own_columns(docs))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from crisismap.llm.common import table, text_slices
+from crisismap.llm.common import own_columns, table, text_slices, with_text_columns
 
 # The classifier is fitted on at most so many labelled documents, those of the smallest id hashes.
 SAMPLE_DOCS = 20_000
@@ -200,28 +200,22 @@ def score(docs: DataFrame, model: Model, threshold: float = PREDICT_AT,
     of ``docs`` that are called like the new ones are replaced; others are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.terms, model.weights, model.factors, model.bias))
-    keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
     loaded: dict[str, Model] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(slices: Iterator[list[str]]) -> Iterator[list[pa.Array]]:
         if not loaded:
             loaded["model"] = Model(*shared.value)
-        for batch in batches:
-            parts = [loaded["model"].scores(texts) for _, texts in text_slices(batch, "text")]
-            scores = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))],
-                [*keep, *names])
+        for texts in slices:
+            scores = loaded["model"].scores(texts)
+            yield [pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))]
 
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(names[0], DoubleType()),
-                                            StructField(names[1], IntegerType())]))
+    return with_text_columns(docs, [StructField(names[0], DoubleType()), StructField(names[1], IntegerType())], make)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = PREDICT_AT) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with their columns unchanged."""
     names = tuple(f"{n}_{uuid.uuid4().hex}" for n in ("score", "predicted"))  # clash with no column
-    return score(docs, train(docs, labels), threshold, names).where(f"`{names[1]}` = 0").select(*docs.columns)
+    return score(docs, train(docs, labels), threshold, names).where(f"`{names[1]}` = 0").select(*own_columns(docs))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ EDGE = [
     (None, "no id at all", "en", None, 3.0), (7, "ÀÉ 你好 \U0001f600 <|endoftext|> x", "fr", "s", 4.0), (8, "9" * 5000, None, "s", 1.0),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, score double"
-EXTRA = ["row", "ids", "predicted", "candidates", "chunk", "fp", "length", "rank", "spans"]
+EXTRA = ["row", "ids", "predicted", "candidates", "chunk", "fp", "length", "rank", "spans", "a.b", "c`d"]
 
 
 @pytest.fixture(scope="session")
