@@ -78,6 +78,22 @@ def test_pairs_count_that_linear_weights_miss():
     assert both < 0.3 and none < 0.3 and one > 0.7 and other > 0.7
 
 
+def test_pairs_count_whose_words_tell_nothing_alone():
+    # each of the two words is in half of the toxic and in half of the clean texts, both are in toxic ones only
+    docs = [("gruppe", "wichtig")] * 300 + [("foul",)] * 300 + [("gruppe",)] * 600 + [("wichtig",)] * 600
+    labels = np.array([1.0] * 600 + [0.0] * 1200)
+    terms = [np.unique([t for w in d for t in T.word_terms(w)]) for d in docs]
+    assert not set(T.word_terms("gruppe") + T.word_terms("wichtig")) & set(T.screened(terms, labels).tolist())
+    both, foul, one, other = T.fit(terms, labels).scores(["gruppe wichtig", "foul", "gruppe", "wichtig"])
+    assert both > 0.7 and foul > 0.7 and one < 0.3 and other < 0.3
+
+
+def test_every_pair_of_words_once():
+    for n in range(7):
+        pairs = [tuple(sorted(p)) for a, b in T._pairs(np.arange(n)) for p in zip(a.tolist(), b.tolist())]
+        assert sorted(pairs) == [(i, j) for i in range(n) for j in range(i + 1, n)]
+
+
 def test_toxicity_edges(edge, empty, labels):
     model = T.train(edge, labels)
     rows = T.score(edge, model).collect()
