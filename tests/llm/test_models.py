@@ -137,3 +137,21 @@ def test_lm_edges(edge, empty):
     assert {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
     assert M.score(empty).count() == 0
+
+
+def test_lm_scores_hardly_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "text")
+    one, many = ({r.doc_id: r for r in M.score(docs.repartition(n, "doc_id")).collect()} for n in (1, 50))
+    for held in (False, True):
+        a, b = (sum(r.score for r in rows.values() if r.held_out == held) for rows in (one, many))
+        assert abs(a - b) < 0.004 * abs(a)
+
+
+def test_lm_rows_are_weighted_by_their_tokens():
+    def moved(weight, uses):
+        of = [np.full((M.ROWS, w), weight, np.float32) for w in (M.CLASSES, M.WIDTH)]
+        return list(M._blocks(*of, np.ones((2, M.ROWS), np.float32), np.full((2, M.ROWS), uses)))
+    assert moved(1.0, 0) == []  # a learner without the context doesn't take part
+    for batch in M._mean(iter(moved(1.0, 30) + moved(3.0, 10))):
+        outer, inner, _, uses = M._block_of(*(batch.column(i)[0].as_py() for i in range(1, 5)))
+        assert np.allclose(outer, 1.5) and np.allclose(inner, 1.5) and (uses == 40).all()
