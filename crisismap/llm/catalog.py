@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from crisismap.llm import bpe_codec, exact_dedup, kd_search, language_id, lm_score, packing, pii, simhash, token_counts, toxicity
+from crisismap.llm import (
+    bpe_codec,
+    exact_dedup,
+    kd_search,
+    language_id,
+    lm_score,
+    packing,
+    pii,
+    simhash,
+    token_counts,
+    toxicity,
+    warc,
+)
 
 MODULES = (bpe_codec, simhash, pii, exact_dedup, language_id, lm_score, token_counts, kd_search,
-           toxicity, packing)
+           toxicity, packing, warc)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
