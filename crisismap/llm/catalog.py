@@ -8,6 +8,7 @@ from crisismap.llm import (
     kd_search,
     language_id,
     lm_score,
+    merkle,
     packing,
     pii,
     simhash,
@@ -17,7 +18,7 @@ from crisismap.llm import (
 )
 
 MODULES = (bpe_codec, simhash, pii, exact_dedup, language_id, lm_score, token_counts, kd_search,
-           toxicity, packing, warc)
+           toxicity, packing, warc, merkle)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
