@@ -5,6 +5,7 @@ from __future__ import annotations
 from crisismap.llm import (
     bpe_codec,
     exact_dedup,
+    hard_negatives,
     kd_search,
     language_id,
     lm_score,
@@ -18,7 +19,7 @@ from crisismap.llm import (
 )
 
 MODULES = (bpe_codec, simhash, pii, exact_dedup, language_id, lm_score, token_counts, kd_search,
-           toxicity, packing, warc, merkle)
+           toxicity, packing, warc, merkle, hard_negatives)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}

@@ -26,12 +26,12 @@ from crisismap.llm.common import shared_path, stored, table
 # Fixed values of the formats: gzip members with deflate begin so; the revisit profile of WARC 1.1.
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1"
+BEGINNING = b"WARC/1."
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WARC_DATE = "1970-01-01T00:00:00Z"  # pages carry no time of their own; a fixed one keeps archives reproducible
 ARCHIVE_BYTES = 1 << 30  # compressed size at which a task begins its next archive
 RANGE_BYTES = 64 << 20  # bytes of an archive that a task of the reader owns
 BLOCK_BYTES = 1 << 20  # bytes read at a time
-HEAD_BYTES = 16 << 10  # inflated bytes in which a record's header must begin to make sense
 SMALLEST_PAYLOAD = 0  # payloads below this many bytes are never revisits
 HEAVY_GROUPS = 2000  # groups with more than this share (1 / n) of all rows are joined by broadcast
 
@@ -161,11 +161,12 @@ class Blocks:
                     place += len(data)
                     if not data:
                         return None, at, begun  # the file ends within the member
-                parts.append(unpack.decompress(data, 0 if begun else HEAD_BYTES))
-                if not begun and sum(map(len, parts)) >= len(VERSION):
-                    begun = b"".join(parts).startswith(b"WARC/1.")
-                    if not begun:
+                parts.append(unpack.decompress(data, 0 if begun else len(BEGINNING)))
+                if not begun:
+                    head = b"".join(parts)
+                    if not BEGINNING.startswith(head[:len(BEGINNING)]):
                         return None, at, False
+                    begun = len(head) >= len(BEGINNING)
         except zlib.error:
             return None, at, begun
         return b"".join(parts), place - len(unpack.unused_data), begun
@@ -175,7 +176,7 @@ def decode_record(content: bytes) -> tuple[dict[str, str], bytes] | None:
     """(fields by lower-case name, block) of a whole record; None if header and length don't fit it."""
     head, parted, rest = content.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
-    if not parted or not lines[0].startswith("WARC/1."):
+    if not parted or not lines[0].startswith(BEGINNING.decode()):
         return None
     fields = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines[1:])}
     length = fields.get("content-length", "")
