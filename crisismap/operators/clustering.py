@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crisismap.session import cut_lineage
+from crisismap.session import cut_lineage, stored
 
 
 def _vectors(df: DataFrame, vec: str):
@@ -99,18 +99,18 @@ def connected_labels(cells: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         mine = labels.select("_cell", F.col("_label").alias("_root"))
         theirs = labels.select(F.col("_cell").alias("_nb"), F.col("_label").alias("_up"))
-        hooks = cut_lineage(edges.join(mine, "_cell").join(theirs, "_nb").where(F.col("_up") < F.col("_root"))
-                            .groupBy("_root").agg(F.min("_up").alias("_up")))
+        hooks = stored(edges.join(mine, "_cell").join(theirs, "_nb").where(F.col("_up") < F.col("_root"))
+                            .groupBy("_root").agg(F.min("_up").alias("_up")), "components")
         if hooks.isEmpty():
             return labels
         while True:
             further = hooks.select(F.col("_root").alias("_up"), F.col("_up").alias("_end"))
-            longer = cut_lineage(hooks.join(further, "_up", "left").select("_root", "_up", "_end"))
+            longer = stored(hooks.join(further, "_up", "left").select("_root", "_up", "_end"), "components")
             if longer.where(F.col("_end").isNotNull()).isEmpty():
                 break
             hooks = longer.select("_root", F.coalesce("_end", "_up").alias("_up"))
-        labels = cut_lineage(labels.join(hooks.withColumnRenamed("_root", "_label"), "_label", "left")
-                             .select("_cell", F.coalesce("_up", "_label").alias("_label")))
+        labels = stored(labels.join(hooks.withColumnRenamed("_root", "_label"), "_label", "left")
+                             .select("_cell", F.coalesce("_up", "_label").alias("_label")), "components")
 
 
 def topic_vectors(df: DataFrame, vec: str = "embedding", label: str = "topic_id") -> DataFrame:
@@ -157,3 +157,24 @@ def reduce_topics(df: DataFrame, n: int, vec: str = "embedding", label: str = "t
     out = df.join(mapping.withColumnRenamed("old", label), label, "left").withColumn(
         label, F.coalesce(F.col("new"), F.lit(-1)).cast("int")).drop("new")
     return out, mapping
+
+
+def merge_alike(df: DataFrame, vec: str = "embedding", label: str = "topic_id") -> DataFrame:
+    """N18, 'auto': topics whose mean vectors (at length 1) lie in one dense group of two or more become one topic.
+
+    Groups come from hierarchical density clustering of the topics with a least size of 2; a topic
+    outside of all groups stays. Topics are numbered anew by size, the largest first.
+    """
+    from crisismap.operators.density import cluster_hdbscan
+
+    topics = topic_vectors(df, vec, label)
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    unit = topics.withColumn("_n", length).withColumn("_u", F.transform("vec", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0)))
+    grouped = stored(cluster_hdbscan(unit.select(F.col(label).alias("_t"), "size", "_u"), "_t", "_u", 2, out="_group"), "topic-groups")
+    first = Window.partitionBy("_group").orderBy(F.desc("size"), "_t")
+    into = F.when(F.col("_group") >= 0, F.first("_t").over(first)).otherwise(F.col("_t"))
+    merged = grouped.withColumn("_into", into)
+    order = merged.groupBy("_into").agg(F.sum("size").alias("_s")).select(
+        "_into", (F.row_number().over(Window.orderBy(F.desc("_s"), "_into")) - 1).cast("int").alias("_new"))
+    mapping = merged.select("_t", "_into").join(order, "_into").select(F.col("_t").alias(label), "_new")
+    return df.join(mapping, label, "left").withColumn(label, F.coalesce("_new", F.lit(-1)).cast("int")).drop("_new")

@@ -9,13 +9,16 @@ side); a failing configuration is reported in ``status`` and skipped.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from crisismap.operators import clustering as C
+from crisismap.operators import density as D
 from crisismap.operators import posts as P
 from crisismap.operators import scoring as SC
+from crisismap.operators import similarity as SIM
 from crisismap.operators import topics as T
 from crisismap.schemas import TOPIC_EVALUATION
 from crisismap.session import cut_lineage, keep
@@ -27,20 +30,81 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "doc_id") -> D
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
-def fit_topics(docs: DataFrame, algo: str, k: int, vec: str = "embedding", key: str = "doc_id",
-               min_cluster_size: int = 10, eps: float | None = None, min_pts: int = 5, seed: int = 42) -> DataFrame:
-    """Cluster documents with one configuration; ``topic_id`` per document (-1 = noise)."""
+def nested_samples(df: DataFrame, sizes: list[int], seed: int = 42, key: str = "doc_id") -> DataFrame:
+    """Samples of all ``sizes`` at once: ``sample`` is the place (from 0) of the smallest one that has the row.
+
+    Each sample equals ``sample_rows`` of its size and lies inside the next, with
+    all columns (so vectors stay aligned). Nothing is sorted as a whole: hashes are counted by
+    their leading bits, and only the rows of the one bucket in which a sample ends are
+    ranked. ``key`` must be unique; rows outside the largest sample are left out.
+    """
+    sizes = sorted(sizes)
+    digest = F.xxhash64(F.col(key), F.lit(seed))
+    hashed = df.withColumn("_h", digest).withColumn("_bucket", F.shiftright("_h", 48))
+    counts = sorted(hashed.groupBy("_bucket").count().collect())  # 65,536 at most
+    ends, total, buckets = [], 0, iter(counts)
+    held = (None, 0)
+    for size in sizes:
+        while total < size and (held := next(buckets, None)) is not None:
+            total += held[1]
+        # (bucket in which the sample ends, rows of that bucket that belong to it)
+        ends.append((held[0], size - (total - held[1])) if held is not None else (None, 0))
+    last = sorted({bucket for bucket, _ in ends if bucket is not None})
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", key))
+    within = hashed.where(~F.col("_bucket").isin(last)).withColumn("_rank", F.lit(0)) if last else hashed.withColumn("_rank", F.lit(0))
+    if last:
+        within = within.unionByName(hashed.where(F.col("_bucket").isin(last)).withColumn("_rank", rank))
+    sample = F.lit(None).cast("int")
+    for i, (bucket, rows) in reversed(list(enumerate(ends))):
+        fits = F.lit(True) if bucket is None else (F.col("_bucket") < bucket) | ((F.col("_bucket") == bucket) & (F.col("_rank") <= rows))
+        sample = F.when(fits, F.lit(i)).otherwise(sample)
+    return within.withColumn("sample", sample).where(F.col("sample").isNotNull()).drop("_h", "_bucket", "_rank")
+
+
+def hierarchical_topics(docs: DataFrame, vec: str = "embedding", key: str = "doc_id", min_cluster_size: int = 100,
+                        min_samples: int | None = None, dims: int = 5) -> DataFrame:
+    """N12 + N14: clusters of the ``dims`` leading components by hierarchical density; -1 is noise."""
+    reduced = SC.reduce_dims(docs, k=dims, col=vec, out="_reduced")
+    return D.cluster_hdbscan(reduced, key, "_reduced", min_cluster_size, min_samples).drop("_reduced")
+
+
+def fit_topics(docs: DataFrame, algo: str, k: int | str | None, vec: str = "embedding", key: str = "doc_id",
+               min_cluster_size: int = 10, eps: float | None = None, min_pts: int = 5, seed: int = 42,
+               min_samples: int | None = None, zero_shot: DataFrame | None = None, least_similarity: float = 0.5,
+               base: DataFrame | None = None) -> DataFrame:
+    """Cluster documents with one configuration; ``topic_id`` per document (-1 = noise).
+
+    N16: with ``zero_shot`` topics (topic_id, embedding; ids from 0), each document goes to the most similar
+    one if the cosine is at least ``least_similarity`` (the smaller id wins ties); only the others are clustered, and
+    their topics are numbered after the given ones. ``base``: clusters of the same documents fitted before
+    (``hdbscan`` fits once for any ``k``, which only says how far topics are merged; 'auto': those that belong together).
+    """
+    if zero_shot is not None:
+        given = F.broadcast(zero_shot.agg((F.max("topic_id") + 1).alias("_given")))
+        best = SIM.best_match(docs, zero_shot.withColumnRenamed("topic_id", "query_id"), key, vec, threshold=-2.0)
+        near = cut_lineage(docs.join(best, key, "left"))
+        fits = F.coalesce(F.col("best_sim") >= least_similarity, F.lit(False))
+        rest = fit_topics(near.where(~fits).drop("best_sim", "prediction"), algo, k, vec, key, min_cluster_size, eps, min_pts,
+                          seed, min_samples)
+        rest = rest.crossJoin(given).withColumn("topic_id", F.when(F.col("topic_id") >= 0, F.col("topic_id") + F.col("_given"))
+                                                .otherwise(-1).cast("int")).drop("_given")
+        return near.where(fits).withColumn("topic_id", F.col("prediction").cast("int")).drop("best_sim", "prediction").unionByName(rest)
     if algo == "kmeans":
         return C.cluster_kmeans(docs, k, vec, seed)
-    if algo == "density":
+    if algo == "hdbscan":
+        out = base if base is not None else hierarchical_topics(docs, vec, key, min_cluster_size, min_samples)
+    elif algo == "density":
         # density clustering runs on 2 leading components (the reference clusters a reduced copy too)
         red = SC.reduce_dims(docs, k=2, col=vec, out="_reduced")
         out = C.cluster_density(red, key, "_reduced", eps or 0.5, min_pts, min_cluster_size).drop("_reduced")
-        n = out.where(F.col("topic_id") >= 0).select("topic_id").distinct().count()
-        if isinstance(k, int) and n > k:
-            out, _ = C.reduce_topics(out, k, vec)
-        return out
-    raise ValueError(f"unknown clustering algorithm {algo!r}")
+    else:
+        raise ValueError(f"unknown clustering algorithm {algo!r}")
+    if k == "auto" and algo == "hdbscan":
+        return C.merge_alike(out, vec)
+    n = out.where(F.col("topic_id") >= 0).select("topic_id").distinct().count()
+    if isinstance(k, int) and n > k:
+        out, _ = C.reduce_topics(out, k, vec)
+    return out
 
 
 def topic_words_of(clusters: DataFrame, text: str, stop: DataFrame | None, key: str) -> DataFrame:
@@ -66,35 +130,55 @@ def evaluate_topics(docs: DataFrame, eval_docs: DataFrame | None = None, ks=(10,
     eval_docs = eval_docs if eval_docs is not None else docs
     tf = keep(T.term_counts(T.tokens(docs, text, key), key))
     etf = tf if eval_docs is docs else keep(T.term_counts(T.tokens(eval_docs, text, key), key))
-    configs = [(a, k, s) for s in (sample_sizes or [None]) for a in algos for k in ks
+    sizes = sorted(sample_sizes or [])
+    samples = keep(nested_samples(docs, sizes, key=key)) if sizes else None
+    configs = [(a, k, s) for s in (sizes or [None]) for a in algos for k in ks
                if not (a == "kmeans" and k in (None, "auto"))]
+    bases: dict = {}
+    locks = {size: Lock() for size in (sizes or [None])}
+
+    def base_of(train, algo, size):
+        """hdbscan doesn't depend on the number of topics: one fit for each sample."""
+        if algo != "hdbscan" or "zero_shot" in cluster_args:
+            return {}
+        with locks[size]:
+            if size not in bases:
+                least = {c: cluster_args[c] for c in ("min_cluster_size", "min_samples") if c in cluster_args}
+                bases[size] = cut_lineage(hierarchical_topics(train, vec, key, **least))
+        return {"base": bases[size]}
 
     def run(cfg):
         algo, k, size = cfg
         count = k if isinstance(k, int) else None  # density also takes None and 'auto'
+        held = []
         try:
-            train = sample_rows(docs, size, key=key) if size else docs
-            clusters = keep(fit_topics(train, algo, k, vec, key, **cluster_args))
+            train = samples.where(F.col("sample") <= sizes.index(size)).drop("sample") if size else docs
+            clusters = keep(fit_topics(train, algo, k, vec, key, **base_of(train, algo, size), **cluster_args))
+            held.append(clusters)
             tr_tf = tf if size is None else tf.join(train.select(key), key, "left_semi")
             words = topic_words_of(clusters, text, stop, key)
+            held.append(words)
             c_tr, d_tr = _score(tr_tf, words, key)
             # evaluation on the training documents themselves (the default) is not computed twice
             c_te, d_te = (c_tr, d_tr) if etf is tf and size is None else _score(etf, words, key)
-            words.unpersist()
             n_topics = clusters.select("topic_id").distinct().count()
             n_train = train.count()
-            clusters.unpersist()
             return Row(algo, count, int(n_topics), int(n_train), int(eval_docs.count()), c_te, d_te, c_te * d_te,
                        c_tr, d_tr, c_tr * d_tr, "ok")
         except Exception as e:  # noqa: BLE001 — a failed configuration is reported, the grid goes on
             return Row(algo, count, None, None, None, None, None, None, None, None, None,
                        f"failed: {type(e).__name__}: {str(e)[:200]}")
+        finally:
+            for df in held:
+                df.unpersist()
 
     if parallel > 1:
         with ThreadPoolExecutor(max_workers=parallel) as pool:
             rows = list(pool.map(run, configs))
     else:
         rows = [run(c) for c in configs]
+    for df in {id(df): df for df in (tf, etf, samples) if df is not None}.values():
+        df.unpersist()
     return spark.createDataFrame(rows, TOPIC_EVALUATION)
 
 
@@ -104,15 +188,16 @@ def best_config(grid: DataFrame) -> DataFrame:
                                                          "nr_topics").limit(1)
 
 
-def enrich(posts: DataFrame, labelled: DataFrame, stop: DataFrame | None = None, ks=(4, 8),
-           algos=("kmeans",), key: str = "cid", dim: int = 16, emotions: DataFrame | None = None,
+def enrich(posts: DataFrame, labelled: DataFrame, stop: DataFrame | None = None, ks=(10, 20, 30),
+           algos=("hdbscan", "kmeans"), key: str = "cid", dim: int = 64, min_cluster_size: int = 100,
+           zero_shot: DataFrame | None = None, emotions: DataFrame | None = None,
            emotion_labels: tuple[str, ...] = ("anger", "fear", "joy", "sadness"), emotion_model=None) -> DataFrame:
     """Clean -> embed -> choose the best topic configuration -> topics and labels -> emotions -> flag.
 
     Two reliable checkpoints cut the lineage: after embedding and at the end.
     ``labelled`` holds (text, label) rows for the disaster classifier, ``emotions`` (text, one 0/1 column for
     each emotion) rows that the emotion scorer is fitted on; ``emotion_model`` is a user model instead
-    (see ``score_texts``).
+    (see ``score_texts``). With ``zero_shot`` topics (see ``fit_topics``) only the posts that none of them fits are clustered.
     """
     if "crawl_seq" in posts.columns:
         posts = P.dedupe_keep_first(posts, key, "crawl_seq")
@@ -120,10 +205,11 @@ def enrich(posts: DataFrame, labelled: DataFrame, stop: DataFrame | None = None,
         raise ValueError(f"{key} repeats: tokens of such posts would count once for every pair of copies")
     cleaned = P.ensure_cleaned(posts.where(F.col("text").isNotNull())).withColumn("doc_id", F.col(key))
     embedded = cut_lineage(SC.hashed_embed(cleaned, text="cleaned_text", dim=dim))
-    grid = evaluate_topics(embedded, ks=ks, algos=algos, stop=stop, key="doc_id")
+    more = {"min_cluster_size": min_cluster_size, **({} if zero_shot is None else {"zero_shot": zero_shot})}
+    grid = evaluate_topics(embedded, ks=ks, algos=algos, stop=stop, key="doc_id", parallel=2, **more)
     best = best_config(grid).first()
     algo, k = (best["clustering_algorithm"], best["nr_topics"]) if best else ("kmeans", ks[0])
-    clusters = fit_topics(embedded, algo, k)
+    clusters = fit_topics(embedded, algo, k, **more)
     words = topic_words_of(clusters, "cleaned_text", stop, "doc_id")
     out = T.with_topic_label(clusters, words)
     if emotion_model is not None:

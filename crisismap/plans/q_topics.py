@@ -6,6 +6,7 @@ rows-only, and tests pin their invariants (sizes, label sets, ranges).
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crisismap.operators import clustering as C
@@ -47,13 +48,49 @@ def reduce_topics_q(spark, base):
     return out.select("vec_id", "label", "topic_id")
 
 
+def _embedded(spark, base):
+    docs = read_table(spark, base, "documents", ["doc_id", "text"]).withColumnRenamed("text", "cleaned_text")
+    return SC.hashed_embed(docs, text="cleaned_text", dim=64)
+
+
+@register("hdbscan_topics")
+def hdbscan_topics_q(spark, base):
+    """N12 + N14: hierarchical density clusters (at least 100 texts) of 5 components of the embedded documents."""
+    return E.hierarchical_topics(_embedded(spark, base), min_cluster_size=100).select("doc_id", "topic_id")
+
+
+@register("zero_shot_topics")
+def zero_shot_topics_q(spark, base):
+    """Documents near a given topic (the mean of each language's texts) go to it, all others are clustered."""
+    docs = _embedded(spark, base)
+    lang = read_table(spark, base, "documents", ["doc_id", "lang"])
+    ids = lang.where("lang IS NOT NULL").select("lang").distinct().withColumn("topic_id", F.row_number().over(Window.orderBy("lang")) - 1)
+    means = docs.join(lang, "doc_id").join(ids, "lang")
+    given = C.topic_vectors(means).select("topic_id", F.col("vec").alias("embedding"))
+    return E.fit_topics(docs, "hdbscan", 10, zero_shot=given, least_similarity=0.9, min_cluster_size=20).select("doc_id", "topic_id")
+
+
 @register("topic_grid")
 def topic_grid_q(spark, base):
-    """Kmeans x {4, 8} and density x {4} over embedded documents, run two at a time."""
-    docs = read_table(spark, base, "documents", ["doc_id", "text"]).withColumnRenamed("text", "cleaned_text")
-    emb = SC.hashed_embed(docs, text="cleaned_text", dim=16)
-    return E.evaluate_topics(emb, ks=(4, 8), algos=("kmeans", "density"), stop=fx.stopwords(spark), parallel=2,
-                             min_cluster_size=5, eps=0.5, min_pts=3)
+    """Hdbscan and kmeans x {10, 20, 30} over embedded documents, run two at a time."""
+    return E.evaluate_topics(_embedded(spark, base), ks=(10, 20, 30), algos=("hdbscan", "kmeans"), stop=fx.stopwords(spark),
+                             parallel=2, min_cluster_size=100)
+
+
+@register("topic_grid_samples")
+def topic_grid_samples_q(spark, base):
+    """The kmeans grid over nested samples of a quarter, a half and all of the documents."""
+    docs = _embedded(spark, base)
+    n = docs.count()
+    return E.evaluate_topics(docs, ks=(10,), algos=("kmeans",), stop=fx.stopwords(spark), parallel=2,
+                             sample_sizes=[max(1, n // 4), max(1, n // 2), n])
+
+
+@register("nested_samples")
+def nested_samples_q(spark, base):
+    """The smallest of the samples of 100, 300 and 1,000 documents that holds a document."""
+    docs = read_table(spark, base, "documents", ["doc_id", "source"])
+    return E.nested_samples(docs, [100, 300, 1000]).select("doc_id", "source", "sample")
 
 
 @register("enrich")
@@ -77,8 +114,5 @@ def sample_posts_q(spark, base):
 
 @register("best_topic_config")
 def best_topic_config_q(spark, base):
-    """K1: the best kmeans configuration by train quality over embedded documents (top-1 is the feature)."""
-    docs = read_table(spark, base, "documents", ["doc_id", "text"]).withColumnRenamed("text", "cleaned_text")
-    emb = SC.hashed_embed(docs, text="cleaned_text", dim=16)
-    grid = E.evaluate_topics(emb, ks=(4, 6), algos=("kmeans",), stop=fx.stopwords(spark))
-    return E.best_config(grid)
+    """K1: the best configuration of the whole grid by train quality (top-1 is the feature)."""
+    return E.best_config(topic_grid_q(spark, base))

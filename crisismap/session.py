@@ -89,6 +89,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as Parquet into the shared checkpoint folder and read it back.
+
+    For loops: unlike ``checkpoint()`` the plan that goes on knows the table's true
+    size (estimates of joins would multiply round after round), and columns are pruned.
+    """
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bounded_rows(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` provably holds at most ``max_rows`` rows.
 

@@ -34,6 +34,37 @@ def test_sample_is_reproducible(spark):
     assert E.sample_rows(docs, 1000).count() == 60
 
 
+def test_nested_samples_equal_sorted_ones(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") * 2).alias("twice")).repartition(7)
+    got = E.nested_samples(docs, [40, 7, 900, 9000], key="doc_id").collect()
+    for i, size in enumerate([7, 40, 900, 9000]):
+        mine = {(r.doc_id, r.twice) for r in got if r.sample <= i}
+        assert mine == {(r.doc_id, r.twice) for r in E.sample_rows(docs, size).collect()} and len(mine) == min(size, 5000)
+    assert E.nested_samples(docs.limit(0), [5]).count() == 0
+
+
+def test_zero_shot_parts_are_clustered_apart(spark):
+    docs = _docs(spark)
+    flood = docs.where("cleaned_text LIKE 'flood%'").limit(1).select(F.lit(0).alias("topic_id"), "embedding")
+    alone = {r.doc_id: r.topic_id for r in E.fit_topics(docs, "kmeans", 2, zero_shot=flood, least_similarity=0.8).collect()}
+    words = {r.doc_id: r.cleaned_text.split()[0] for r in docs.collect()}
+    assert len(alone) == 60  # every document in exactly one part
+    assert {alone[i] for i in words if words[i] == "flood"} == {0}
+    parts = [{alone[i] for i in words if words[i] == w} for w in ("fire", "quake")]
+    assert set.union(*parts) == {1, 2} and not parts[0] & parts[1]
+    none = E.fit_topics(docs, "kmeans", 3, zero_shot=flood, least_similarity=1.1)
+    assert {r.topic_id for r in none.select("topic_id").distinct().collect()} == {1, 2, 3}
+
+
+def test_auto_merges_alike_topics(spark):
+    rng = __import__("random").Random(1)
+    groups = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
+    rows = [(i, 3 * g + j, [x + rng.uniform(0, 0.03) for x in v]) for g, v in enumerate(groups) for j in range(3) for i in range(5)]
+    out = C.merge_alike(spark.createDataFrame(rows, "id long, topic_id int, embedding array<double>"))
+    pairs = {(r.topic_id, r.old // 3) for r in out.withColumn("old", F.lit(0)).collect()}
+    assert {t for t, _ in pairs} == {0, 1, 2}
+
+
 def test_enrich_refuses_repeated_keys(spark):
     posts = spark.createDataFrame([("a", "x y"), ("a", "x y")], "cid string, text string")
     with pytest.raises(ValueError, match="repeats"):
