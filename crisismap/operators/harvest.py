@@ -3,9 +3,9 @@
 The reference asked a search service once per (keyword, 30-minute interval)
 and kept the first page (<= 100 posts). Over posts already landed in a
 table, the interval becomes an equi key (floor of the timestamp to the
-step), the keyword match is a per-row filter of a small broadcast keyword
-array (no join of posts x keywords), and the page cap is a top-100 per task
-with a deterministic order (newest first, then cid).
+step), the keyword match is one run of an automaton over each text (no join of
+posts x keywords), and the page cap is a top-100 per task with a deterministic
+order (newest first, then cid).
 """
 
 from __future__ import annotations
@@ -13,22 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crisismap.session import maybe_broadcast
-
-# Keywords that are attached to a post at once; a longer list makes more blocks.
-BLOCK_KEYWORDS = 10_000
-
-
-def _keyword_blocks(keywords: DataFrame, col: str = "keyword") -> DataFrame:
-    """Distinct lower-cased keywords as arrays of bounded size, one a row (Q1: duplicates count once).
-
-    A hash deals the keywords into blocks, so a list of any length works and
-    no row holds all of it; a usual list is one block.
-    """
-    kws = keywords.select(F.lower(F.col(col)).alias("k")).where(F.col("k").isNotNull()).distinct()
-    blocks = max(1, -(-kws.count() // BLOCK_KEYWORDS))
-    return (kws.groupBy(F.pmod(F.xxhash64("k"), F.lit(blocks)).alias("_block"))
-            .agg(F.sort_array(F.collect_list("k")).alias("_kws")).drop("_block"))
+from crisismap.operators.multipattern import keywords_in
+from crisismap.session import cut_lineage
 
 
 def _span(spark, start, end) -> DataFrame:
@@ -46,16 +32,22 @@ def harvest_tasks(keywords: DataFrame, start, end=None, step_minutes: int = 30,
     """
     kw = keywords.select(F.col(col).alias("keyword"), F.monotonically_increasing_id().alias("_o"))
     kw = kw.groupBy("keyword").agg(F.min("_o").alias("_o"))  # Q1: first occurrence of a duplicate wins
-    kws = kw.agg(F.sort_array(F.collect_list(F.struct("_o", "keyword"))).alias("_k"))
+    # keywords are numbered by the counts of their ranges, and each unfolds its own intervals: no row or task holds them all
+    dealt = kw.repartitionByRange("_o").sortWithinPartitions("_o").select(
+        "keyword", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    dealt = cut_lineage(dealt)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_c")).select(
+        "_part", "_first", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
     step = F.expr(f"make_dt_interval(0, 0, {int(step_minutes)}, 0)")
     span = _span(keywords.sparkSession, start, end)
     # as long as an interval begins before the end, the last one whole even if the end cuts it
     since = F.when(F.col("_lo") < F.col("_hi"), F.filter(
         F.sequence(F.col("_lo"), F.greatest("_lo", "_hi"), step), lambda s: s < F.col("_hi")))
-    out = kws.crossJoin(span).select(F.posexplode(since).alias("_i", "since"), "_k").select(
-        "_i", "since", F.size("_k").alias("_n"), F.posexplode("_k").alias("_j", "_kw"))
-    return out.select((F.col("_i") * F.col("_n") + F.col("_j")).cast("long").alias("task_no"),
-                      F.col("_kw.keyword").alias("keyword"), "since", (F.col("since") + step).alias("until"))
+    out = dealt.join(parts, "_part").crossJoin(F.broadcast(span)).select(
+        "keyword", (F.col("_at") - F.col("_first") + F.col("_before")).alias("_j"), "_n", F.posexplode(since).alias("_i", "since"))
+    return out.select((F.col("_i") * F.col("_n") + F.col("_j")).cast("long").alias("task_no"), "keyword", "since",
+                      (F.col("since") + step).alias("until"))
 
 
 def day_span(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -70,13 +62,10 @@ def harvest_match(posts: DataFrame, keywords: DataFrame, start, end=None, step_m
     """I1 + F15 + W7: posts per (keyword, interval) whose text contains the keyword and whose time
     lies in [since, until), at most ``limit`` each, newest first then ``key``. A post may match
     several tasks. The interval is an equi key computed per row (no range join)."""
-    kws, _ = maybe_broadcast(_keyword_blocks(keywords))
     span = _span(posts.sparkSession, start, end)
     p = posts.where(F.col(ts).isNotNull() & F.col(text).isNotNull()).crossJoin(F.broadcast(span))
     p = p.where((F.col(ts) >= F.col("_lo")) & (F.col(ts) < F.col("_hi")))
-    low = F.lower(F.col(text))
-    matched = p.crossJoin(kws).select(
-        "*", F.explode(F.filter("_kws", lambda k: F.instr(low, k) > 0)).alias("keyword")).drop("_kws")
+    matched = p.withColumn("keyword", F.explode(keywords_in(F.col(text), keywords)))
     # interval index from a zone-free difference of wall-clock times (no session time zone, no DST)
     idx = F.floor(F.expr(f"timestampdiff(MINUTE, _lo, CAST(`{ts}` AS TIMESTAMP_NTZ))") / int(step_minutes))
     matched = matched.withColumn("since", F.col("_lo") + F.make_dt_interval(

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from crisismap.operators import geoparse as GP
 from crisismap.operators import harvest as H
+from crisismap.operators.multipattern import keywords_in
 from crisismap.plans import fixtures as fx
 from crisismap.plans.oracle_views import with_views
+from crisismap.session import spread
 from crisismap.sources.tables import read_table
 from crisismap.streaming.ingest import ingest_counts_batch
 
@@ -71,6 +73,19 @@ def ingest_counts_q(spark, base):
     return ingest_counts_batch(fx.posts(spark, base), fx.keywords(spark))
 
 
+@register("corpus_keywords", sql=r"""
+WITH runs AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS run FROM documents),
+words AS (SELECT DISTINCT run FROM runs),
+hits AS (SELECT k.run AS keyword, w.run FROM words k JOIN words w ON length(k.run) >= 3 AND contains(w.run, k.run))
+SELECT keyword, count(DISTINCT doc_id) AS documents FROM hits JOIN runs USING (run) GROUP BY keyword""")
+def corpus_keywords_q(spark, base):
+    """F15 at length: every run of three or more letters a-z of the corpus as a keyword; documents that contain each."""
+    docs = read_table(spark, base, "documents", ["doc_id", "text"])
+    words = spread(docs).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("keyword"))
+    found = spread(docs).select("doc_id", F.explode(keywords_in(F.col("text"), words)).alias("keyword"))
+    return found.groupBy("keyword").agg(F.count("*").alias("documents"))
+
+
 GEOPARSE_SQL = r"""
 WITH gz AS (SELECT lower(name) AS norm, arg_max(struct_pack(name := name, country_name := country_name,
               latitude := latitude, longitude := longitude, population := population),

@@ -2,7 +2,7 @@
 
 Stream: ``readStream`` of JSON files with the explicit schema -> flatten ->
 event-time watermark -> ``dropDuplicatesWithinWatermark(cid)`` -> keyword
-match against keyword arrays of bounded size -> 30-minute tumbling counts per
+match by one automaton of all keywords -> 30-minute tumbling counts per
 keyword, appended to Parquet once the watermark closes a window. The
 checkpoint folder (offsets, state) lives under the cluster's shared
 ``spark.checkpoint.dir`` unless a location is given; ``availableNow``
@@ -12,23 +12,20 @@ resume after a failure.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crisismap.functions.text import parse_created_at
-from crisismap.operators.harvest import _keyword_blocks
+from crisismap.operators.multipattern import keywords_in
 from crisismap.operators.posts import dedupe_keep_first, parse_posts
 from crisismap.schemas import RAW_POST
-from crisismap.session import checkpoint_dir, maybe_broadcast
+from crisismap.session import checkpoint_dir
 
 
 def _windowed_counts(posts: DataFrame, keywords: DataFrame, minutes: int, ts: str = "ts") -> DataFrame:
-    kws, _ = maybe_broadcast(_keyword_blocks(keywords))
-    low = F.lower(F.col("text"))
-    m = posts.where(F.col("text").isNotNull()).crossJoin(kws).select(
-        ts, F.explode(F.filter("_kws", lambda k: F.instr(low, k) > 0)).alias("keyword"))
+    m = posts.where(F.col("text").isNotNull()).select(ts, F.explode(keywords_in(F.col("text"), keywords)).alias("keyword"))
     return (m.groupBy(F.window(ts, f"{minutes} minutes").alias("w"), "keyword").agg(F.count(F.lit(1)).alias("count"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "keyword", "count"))
 
@@ -47,7 +44,7 @@ def ingest_stream(spark: SparkSession, source: str, keywords: DataFrame, sink: s
     posts = parse_posts(raw).withColumn("ts", parse_created_at("createdAt", strict=False).cast("timestamp"))
     dedup = posts.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["cid"])
     counts = _windowed_counts(dedup.select("cid", "text", "ts"), keywords, minutes)
-    location = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/ingest-{zlib.crc32(sink.encode()):08x}"
+    location = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/ingest-{hashlib.sha256(sink.encode()).hexdigest()}"
     writer = (counts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", location)
               .option("path", sink))
     writer = writer.trigger(availableNow=True) if trigger_once else writer.trigger(processingTime="1 minute")
