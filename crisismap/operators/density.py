@@ -486,7 +486,7 @@ def weighted_points(df: DataFrame, vec: str, leaf_points: int) -> tuple[DataFram
         raise ValueError("vectors of different lengths can't be clustered")
     if not found["n"]:
         return each.withColumn("leaf", F.lit(0).cast("long")), 0, 0
-    tree = SplitTree.fit(sample_points(each, [F.col("x")], found["n"], F.col("row")), min(-(-found["n"] // leaf_points), MAX_LEAVES))
+    tree = SplitTree.fit(sample_points(each, [F.col("x")], F.col("row"))[0], min(-(-found["n"] // leaf_points), MAX_LEAVES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

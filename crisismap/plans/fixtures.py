@@ -137,14 +137,15 @@ def floods(spark: SparkSession, base: str) -> DataFrame:
 
 
 def lake_floods(spark: SparkSession, base: str) -> DataFrame:
-    """Flood polygons as a reader gives them: a square of 6 degrees with a square hole of 5 (a dry island), a second part
-    beside it, and every tenth one broken (an open ring)."""
-    sup = read_table(spark, base, "supplier", ["s_suppkey"]).where("s_suppkey % 25 = 1")
-    cx, cy = "(2 + ((s_suppkey * 37) % 248) / 8)", "(36 + ((s_suppkey * 19) % 176) / 8)"
-    outer, hole, part = _box_ring(cx, cy, "3D"), _box_ring(cx, cy, "2.5D"), _box_ring(f"({cx} + 4)", cy, "0.25D")
+    """Flood polygons as a reader gives them, one per supplier: a square of a half to six degrees with a square hole an
+    eighth of a degree inside it (a dry island), a second part beside it, and every tenth one broken (an open ring)."""
+    sup = read_table(spark, base, "supplier", ["s_suppkey"])
+    cx, cy, half = "(2 + ((s_suppkey * 37) % 248) / 8)", "(36 + ((s_suppkey * 19) % 176) / 8)", "(0.125D * (2 + s_suppkey % 23))"
+    outer, hole = _box_ring(cx, cy, half), _box_ring(cx, cy, f"({half} - 0.125D)")
+    part = _box_ring(f"({cx} + {half} + 0.375D)", cy, "0.125D")
     return sup.selectExpr(
         "s_suppkey AS flood_id",
-        f"CASE WHEN s_suppkey % 250 = 1 THEN array(array(slice({outer}, 1, 4))) "
+        f"CASE WHEN s_suppkey % 10 = 1 THEN array(array(slice({outer}, 1, 4))) "
         f"ELSE array(array({outer}, {hole}), array({part})) END AS polygons")
 
 

@@ -36,7 +36,7 @@ def post_points(spark, base):
 
 
 def point_cells(spark, base):
-    return SP.points_in_cells(post_points(spark, base), fx.grid(spark), tile=fx.GRID_STEP)
+    return SP.points_in_cells(post_points(spark, base), fx.grid(spark))
 
 
 def cell_counts(spark, base):
@@ -46,13 +46,12 @@ def cell_counts(spark, base):
 
 
 def flood_flags(spark, base):
-    return SP.intersects_any(fx.grid(spark), fx.floods(spark, base), hazard_ring="ring", flag="intersects",
-                             tile=fx.GRID_STEP)
+    return SP.intersects_any(fx.grid(spark), fx.floods(spark, base), hazard_ring="ring", flag="intersects")
 
 
 def fire_flags(spark, base):
     grid = fx.grid(spark)
-    hits = SP.points_in_cells(fx.fires(spark, base).select("lon", "lat"), grid, tile=fx.GRID_STEP)
+    hits = SP.points_in_cells(fx.fires(spark, base).select("lon", "lat"), grid)
     hit_cells = hits.select("level", "cell_id").distinct().withColumn("intersects", F.lit(True))
     return grid.join(hit_cells, ["level", "cell_id"], "left").fillna(False, subset=["intersects"])
 
@@ -132,7 +131,7 @@ def weekly_cell_counts_q(spark, base):
     parsed leniently from its text."""
     text = fx.posts(spark, base).withColumn("ts", parse_created_at("createdAt", strict=False).cast("timestamp_ntz"))
     pts = P.explode_points(P.with_points(text)).select("cid", "crawl_seq", "ts", "lon", "lat")
-    pairs = SP.points_in_cells(pts, fx.grid(spark), tile=fx.GRID_STEP)
+    pairs = SP.points_in_cells(pts, fx.grid(spark))
     out = SP.weekly_cell_counts(pairs, pts, fx.grid(spark))
     return out.select("level", "cell_id", F.col("iso_year").cast("int").alias("iso_year"),
                       F.col("week").cast("int").alias("week"), "count")
@@ -157,22 +156,27 @@ def nearest_fire_q(spark, base):
     return nearest_fire(spark, base).select("level", "cell_id", F.round("min_distance", 3).alias("min_distance"))
 
 
-@register("intersects_holed_flood", views=("grid",), sql="""
-WITH f AS (SELECT 2 + ((s_suppkey * 37) % 248) / 8 AS cx, 36 + ((s_suppkey * 19) % 176) / 8 AS cy FROM supplier
-           WHERE s_suppkey % 25 = 1 AND s_suppkey % 250 <> 1),
-c AS (SELECT cell_id, list_min(list_transform(ring, p -> p.lon)) AS x0, list_max(list_transform(ring, p -> p.lon)) AS x1,
-        list_min(list_transform(ring, p -> p.lat)) AS y0, list_max(list_transform(ring, p -> p.lat)) AS y1
-      FROM grid WHERE level = 4)
-SELECT cell_id, EXISTS (SELECT 1 FROM f WHERE
-    (x0 <= cx + 3 AND x1 >= cx - 3 AND y0 <= cy + 3 AND y1 >= cy - 3
-     AND NOT (x0 > cx - 2.5 AND x1 < cx + 2.5 AND y0 > cy - 2.5 AND y1 < cy + 2.5))
-    OR (x0 <= cx + 4.25 AND x1 >= cx + 3.75 AND y0 <= cy + 0.25 AND y1 >= cy - 0.25)) AS intersects
-FROM c""")
+# closed forms: a cell that meets the square but doesn't lie within its open hole, or that meets the second part; a
+# triangle meets a box if their boxes meet and the box reaches its side of the diagonal
+HOLED_SQL = """
+f AS (SELECT 2 + ((s_suppkey * 37) % 248) / 8 AS cx, 36 + ((s_suppkey * 19) % 176) / 8 AS cy, 0.125 * (2 + s_suppkey % 23) AS half
+      FROM supplier WHERE s_suppkey % 10 <> 1),
+b AS (SELECT cx - half AS bx0, cx + half AS bx1, cy - half AS by0, cy + half AS by1, half - 0.125 AS hole, cx, cy FROM f
+      UNION ALL SELECT cx + half + 0.25, cx + half + 0.5, cy - 0.125, cy + 0.125, NULL, cx, cy FROM f),
+m AS (SELECT level, cell_id FROM grid g JOIN b ON
+    greatest(bx0, x0) <= least(bx1, x0 + 2) AND greatest(by0, y0) <= least(by1, y0 + 2)
+    AND (shape = 'sq' OR (shape = 'a' AND greatest(by0, y0) - least(bx1, x0 + 2) <= y0 - x0)
+                      OR (shape = 'b' AND least(by1, y0 + 2) - greatest(bx0, x0) >= y0 - x0))
+    AND NOT (hole IS NOT NULL AND x0 > cx - hole AND x0 + 2 < cx + hole AND y0 > cy - hole AND y0 + 2 < cy + hole)
+  GROUP BY ALL)"""
+
+
+@register("intersects_holed_flood", views=("grid",), sql=f"""
+WITH {HOLED_SQL} SELECT g.level, g.cell_id, m.cell_id IS NOT NULL AS intersects FROM grid g LEFT JOIN m USING (level, cell_id)""")
 def intersects_holed_flood_q(spark, base):
     """J5 + F8 + G4: flood polygons with a hole and a second part, the broken ones left out; a cell inside a hole stays dry."""
     floods = SP.valid_hazards(fx.lake_floods(spark, base))
-    cells = fx.grid(spark).where("level = 4")
-    return SP.intersects_any(cells, floods, hazard_ring="ring", flag="intersects").select("cell_id", "intersects")
+    return SP.intersects_any(fx.grid(spark), floods, hazard_ring="ring", flag="intersects").select("level", "cell_id", "intersects")
 
 
 @register("nearest_flood", views=("grid", "floods"), sql=f"""

@@ -1,3 +1,4 @@
+import pytest
 import math
 
 from pyspark.sql import functions as F
@@ -66,19 +67,19 @@ def test_projection_reference_points(spark):
     assert abs(r.x) < 1e-6 and abs(r.y + 4000000.0) < 1e-6  # origin maps to the false northing
 
 
-def test_tile_join_equals_brute_force(spark):
+def test_node_join_equals_brute_force(spark):
     pts = post_points(spark, SF_SMALL)
     grid = fx.grid(spark)
-    fast = SP.points_in_cells(pts, grid, tile=2.0).select("cid", "crawl_seq", "k", "cell_id")
+    fast = SP.points_in_cells(pts, grid).select("cid", "crawl_seq", "k", "cell_id")
     brute = pts.crossJoin(grid).where(F.expr(G.point_in_polygon("lon", "lat", "ring"))).select(
         "cid", "crawl_seq", "k", "cell_id")
     assert fast.count() == brute.count()
     assert fast.exceptAll(brute).count() == 0 and brute.exceptAll(fast).count() == 0
 
 
-def test_tile_join_plan_has_no_nested_loop(spark):
+def test_node_join_plan_has_no_nested_loop(spark):
     pts = fx.fires(spark, SF_SMALL).select("fire_id", "lon", "lat")
-    plan = SP.points_in_cells(pts, fx.grid(spark), tile=2.0)._jdf.queryExecution().executedPlan().toString()
+    plan = SP.points_in_cells(pts, fx.grid(spark))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
@@ -88,12 +89,66 @@ def test_salted_fallback_matches_broadcast(spark, monkeypatch):
 
     pts = post_points(spark, SF_SMALL)
     grid = fx.grid(spark)
-    a = mod.points_in_cells(pts, grid, tile=2.0).select("cid", "crawl_seq", "k", "cell_id")
+    a = mod.points_in_cells(pts, grid).select("cid", "crawl_seq", "k", "cell_id")
     monkeypatch.setattr(mod, "maybe_broadcast", lambda df, max_rows=0: (df, False))
-    b = mod.points_in_cells(pts, grid, tile=2.0).select("cid", "crawl_seq", "k", "cell_id")
+    monkeypatch.setattr(mod, "ROWS_PER_SALT", 3)
+    b = mod.points_in_cells(pts, grid).select("cid", "crawl_seq", "k", "cell_id")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+BOXES = "id long, xmin double, ymin double, xmax double, ymax double"
+
+
+def _boxes(rng, n, first):
+    """Point-size to continent-size boxes; a third of them on one spot."""
+    rows = []
+    for i in range(n):
+        x, y = (5.0, 5.0) if i % 3 == 0 else (rng.uniform(-100, 100), rng.uniform(-100, 100))
+        w, h = rng.choice([(0, 0), (0.5, 0.5), (3, 1), (150, 120)]) if i % 3 else (0.25, 0.25)
+        rows.append((first + i, float(x), float(y), x + w, y + h))
+    return [*rows, (first + n, None, 1.0, 2.0, 2.0), (first + n + 1, float("nan"), 1.0, 2.0, 2.0)]
+
+
+@pytest.mark.parametrize("small, whole", [(True, True), (False, True), (False, False)])
+def test_box_join_equals_brute_force(spark, monkeypatch, small, whole):
+    import random
+
+    rng = random.Random(5)
+    left, right = _boxes(rng, 240, 0), _boxes(rng, 200, 1000)
+    if not small:  # neither broadcast nor, at last, trees and nodes from all shapes
+        monkeypatch.setattr(SP, "maybe_broadcast", lambda df: (df, False))
+        monkeypatch.setattr(SP, "ROWS_PER_SALT", 10)
+    if not whole:
+        monkeypatch.setattr(SP, "SAMPLE_SHAPES", 40)
+    want = {(a[0], b[0]) for a in left for b in right if None not in a + b and a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]}
+    one, two = spark.createDataFrame(left, BOXES), spark.createDataFrame(right, BOXES).toDF("other", "x0", "y0", "x1", "y1")
+    names = ("xmin", "ymin", "xmax", "ymax"), ("x0", "y0", "x1", "y1")
+    got = [(r.id, r.other) for r in SP.box_join(one, two, *names).collect()]
+    assert len(got) == len(set(got)) and set(got) == want  # each pair once
+    dots = one.select("id", "xmin", "ymin")
+    pairs = {(a[0], b[0]) for a in left for b in right if None not in a + b and b[1] <= a[1] <= b[3] and b[2] <= a[2] <= b[4]}
+    got = [(r.id, r.other) for r in SP.box_join(dots, two, ("xmin", "ymin", "xmin", "ymin"), names[1], points=True).collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs
+    assert SP.box_join(one, two.limit(0), *names).count() == SP.box_join(one.limit(0), two, *names).count() == 0
+
+
+def test_shapes_are_kept_at_few_nodes(spark):
+    import numpy as np
+
+    from crisismap.operators.splits import SplitTree
+
+    rng = np.random.default_rng(7)
+    held = SplitTree.fit(rng.uniform(0, 100, (4000, 2)), 1000).nodes(2)
+    low = rng.uniform(0, 90, (60, 2))
+    high = low + rng.choice([0.0, 1.0, 80.0], (60, 1))
+    box, node = held.cover(low, high, 16)
+    assert np.bincount(box, minlength=60).min() >= 1 and np.bincount(box).max() <= 16
+    dots = low + (high - low) * rng.uniform(0, 1, (60, 2))
+    for i in range(60):  # any place of a box lies in exactly one of its nodes
+        mine = node[box == i]
+        assert ((dots[i] >= held.low[mine]) & (dots[i] < held.high[mine])).all(axis=1).sum() == 1
+
+
 def test_nearest_equals_brute_force(spark):
     grid = fx.grid(spark).where("level = 4")
     fires = fx.fires(spark, SF_SMALL).limit(40)
