@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crisismap.functions.text import tokens as token_array
-from crisismap.session import keep, maybe_broadcast, spread
+from crisismap.session import keep, maybe_broadcast, spread, stored
 
 
 def tokens(df: DataFrame, text: str = "text", key: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
@@ -28,6 +28,19 @@ def term_counts(toks: DataFrame, key: str = "doc_id") -> DataFrame:
     return toks.groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def topic_terms(toks: DataFrame, topics: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Document-term counts of the topics' words only, and the corpus' number of tokens ``n`` (one row).
+
+    Tokens meet the topic words (broadcast if proven small) where they are read and are
+    counted there: what is shuffled is a row for each document and topic word in it, and one for all its other
+    words. The counts are stored, as several branches read them.
+    """
+    words, _ = maybe_broadcast(topics.select(F.explode("words").alias("_w")).distinct())
+    counted = stored(toks.join(words, toks["word"] == words["_w"], "left").groupBy(key, F.col("_w").alias("word"))
+                     .agg(F.count(F.lit(1)).alias("tf")), "topic-terms")
+    return counted.where(F.col("word").isNotNull()), counted.agg(F.sum("tf").alias("n"))
+
+
 def word_totals(tf: DataFrame) -> DataFrame:
     """Corpus frequency and document frequency per word."""
     return tf.groupBy("word").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df"))
@@ -91,10 +104,13 @@ def cooccurrence(tf: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFr
 
 
 def topic_pairs(tf: DataFrame, topics: DataFrame, key: str = "doc_id", totals: DataFrame | None = None,
-                tw: DataFrame | None = None) -> DataFrame:
-    """All word pairs i < j of each topic with marginal and joint counts and N."""
+                tw: DataFrame | None = None, n: DataFrame | None = None) -> DataFrame:
+    """All word pairs i < j of each topic with marginal and joint counts and N.
+
+    ``n``: the number of tokens (one row), if ``tf`` holds the topics' words only (``topic_terms``).
+    """
     totals = totals if totals is not None else word_totals(tf)
-    n = tf.agg(F.sum("tf").alias("n"))
+    n = n if n is not None else tf.agg(F.sum("tf").alias("n"))
     tw = tw if tw is not None else topic_word_positions(topics, totals)
     a = tw.select("topic_id", F.col("idx").alias("i"), F.col("word").alias("wa"))
     b = tw.select("topic_id", F.col("idx").alias("j"), F.col("word").alias("wb"))
@@ -109,22 +125,23 @@ def topic_pairs(tf: DataFrame, topics: DataFrame, key: str = "doc_id", totals: D
     return pairs.crossJoin(n)
 
 
-def topic_coherence(tf: DataFrame, topics: DataFrame, positive: bool = True, key: str = "doc_id") -> DataFrame:
+def topic_coherence(tf: DataFrame, topics: DataFrame, positive: bool = True, key: str = "doc_id",
+                    n: DataFrame | None = None) -> DataFrame:
     """Mean N(P)PMI over the word pairs of each topic; fewer than 2 known words -> 0."""
-    both = topic_coherence_variants(tf, topics, key)
+    both = topic_coherence_variants(tf, topics, key, n)
     col = "coherence" if positive else "coherence_npmi"
     return both.select("topic_id", "n_words", F.col(col).alias("coherence"))
 
 
-def topic_coherence_variants(tf: DataFrame, topics: DataFrame, key: str = "doc_id") -> DataFrame:
+def topic_coherence_variants(tf: DataFrame, topics: DataFrame, key: str = "doc_id", n: DataFrame | None = None) -> DataFrame:
     """N4, both variants from one pass over the pairs: ``coherence`` (NPPMI) and ``coherence_npmi``.
 
-    The topic and topic-word tables are tiny and read several times, so they are cached here.
+    The topic and topic-word tables are tiny and read several times; the latter is stored.
     """
-    topics = keep(topics.select("topic_id", "words"))
+    topics = topics.select("topic_id", "words")
     totals = word_totals(tf)
-    tw = keep(topic_word_positions(topics, totals))
-    pairs = topic_pairs(tf, topics, key, totals, tw)
+    tw = stored(topic_word_positions(topics, totals), "topic-words")
+    pairs = topic_pairs(tf, topics, key, totals, tw, n)
     sums = pairs.groupBy("topic_id").agg(F.sum(nppmi("fb", "fa", "joint", "n")).alias("sp"),
                                          F.sum(npmi("fb", "fa", "joint", "n")).alias("sn"))
     sizes = tw.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_words"))

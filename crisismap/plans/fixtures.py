@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crisismap.session import keep, spread
+from crisismap.session import spread, stored
 from crisismap.sources.tables import read_table
 
 # Fixed values of the fixtures (FIXTURES.md): emotion multipliers, stop words,
@@ -207,14 +207,14 @@ def topics(spark: SparkSession, base: str, n: int = 10) -> DataFrame:
     from crisismap.operators.topics import class_tfidf, tokens, top_words
 
     c = corpus(spark, base)
-    tw = keep(top_words(class_tfidf(tokens(c, also=("topic_id",)), c, stopwords(spark)), n))
+    tw = stored(top_words(class_tfidf(tokens(c, also=("topic_id",)), c, stopwords(spark)), n), "topics")
     t0 = tw.where("topic_id = 0").select(F.lit(100).alias("topic_id"),
                                          F.concat("words", F.array(F.lit("zzzunknownzzz"))).alias("words"))
     t1 = tw.where("topic_id = 1").select(F.lit(101).alias("topic_id"),
                                          F.array(F.col("words")[0], F.col("words")[0], F.col("words")[1]).alias("words"))
     t2 = tw.where("topic_id = 2").select(F.lit(102).alias("topic_id"), F.array(F.col("words")[0]).alias("words"))
-    # a (topics x 10) table that feeds several branches: cached so the corpus is ranked once
-    return keep(tw.unionByName(t0).unionByName(t1).unionByName(t2))
+    # a (topics x 10) table that feeds several branches: stored, so the corpus is ranked once
+    return tw.unionByName(t0).unionByName(t1).unionByName(t2)
 
 
 def gazetteer(spark: SparkSession, base: str) -> DataFrame:

@@ -9,7 +9,6 @@ from crisismap.operators import topics as T
 from crisismap.plans import fixtures as fx
 from crisismap.plans.oracle_views import with_views
 from crisismap.plans.q_posts import CLEAN_SQL
-from crisismap.session import keep
 from crisismap.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -25,15 +24,19 @@ def register(name, sql=None, views=()):
     return deco
 
 
-def doc_tf(spark, base):
-    """Document-term counts of the whole corpus, cached: coherence reads them in four places."""
-    docs = read_table(spark, base, "documents", ["doc_id", "text"])
-    return keep(T.term_counts(T.tokens(docs)))
+def doc_tokens(spark, base):
+    return T.tokens(read_table(spark, base, "documents", ["doc_id", "text"]))
 
 
-TF_SQL = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word
+def _evaluated(spark, base):
+    """The topics, the counts of their words in each document and the corpus' size."""
+    topics = fx.topics(spark, base)
+    return topics, *T.topic_terms(doc_tokens(spark, base), topics)
+
+
+TF_SQL = r"""tok AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word
              FROM documents WHERE text IS NOT NULL),
-tf AS (SELECT doc_id, word, count(*) AS tf FROM tok GROUP BY ALL),
+tf AS MATERIALIZED (SELECT doc_id, word, count(*) AS tf FROM tok GROUP BY ALL),
 tot AS (SELECT word, sum(tf) AS freq FROM tf GROUP BY word),
 nn AS (SELECT sum(tf) AS n FROM tf)"""
 
@@ -41,9 +44,10 @@ PAIRS_SQL = """tp AS (SELECT topic_id, unnest(range(len(words))) AS pos, unnest(
 tw AS (SELECT topic_id, word, row_number() OVER (PARTITION BY topic_id ORDER BY pos) - 1 AS idx
        FROM tp WHERE word IN (SELECT word FROM tot)),
 pairs AS (SELECT a.topic_id, a.word AS wa, b.word AS wb FROM tw a JOIN tw b ON a.topic_id = b.topic_id AND a.idx < b.idx),
-tfw AS (SELECT * FROM tf WHERE word IN (SELECT word FROM tw)),
-jt AS (SELECT x.word AS w1, y.word AS w2, sum(x.tf * y.tf) AS joint FROM tfw x JOIN tfw y
-       ON x.doc_id = y.doc_id AND x.word < y.word GROUP BY ALL),
+tfw AS MATERIALIZED (SELECT * FROM tf WHERE word IN (SELECT word FROM tw)),
+wp AS MATERIALIZED (SELECT DISTINCT least(wa, wb) AS w1, greatest(wa, wb) AS w2 FROM pairs WHERE wa <> wb),
+jt AS MATERIALIZED (SELECT wp.w1, wp.w2, sum(x.tf * y.tf) AS joint FROM wp JOIN tfw x ON x.word = wp.w1
+       JOIN tfw y ON y.word = wp.w2 AND y.doc_id = x.doc_id GROUP BY ALL),
 pj AS (SELECT p.topic_id, p.wa, p.wb, CASE WHEN p.wa = p.wb THEN 0 ELSE coalesce(jt.joint, 0) END AS joint,
          ta.freq AS fa, tb.freq AS fb, nn.n
        FROM pairs p LEFT JOIN jt ON jt.w1 = least(p.wa, p.wb) AND jt.w2 = greatest(p.wa, p.wb)
@@ -68,7 +72,7 @@ coh AS (SELECT t.topic_id, CAST(coalesce(sz.n_words, 0) AS BIGINT) AS n_words,
 WITH {TF_SQL} SELECT word, CAST(sum(tf) AS BIGINT) AS freq, count(*) AS df FROM tf GROUP BY word""")
 def term_counts_q(spark, base):
     """N1 + N2 + T3: corpus frequency and document frequency of every token (whole texts)."""
-    return T.word_totals(doc_tf(spark, base))
+    return T.word_totals(T.term_counts(doc_tokens(spark, base)))
 
 
 @register("topic_words", views=("ctfidf",), sql="SELECT topic_id, rank, word, round(score, 9) AS score FROM ctfidf")
@@ -86,7 +90,8 @@ SELECT topic_id, wa, wb, CAST(joint AS BIGINT) AS joint, round(pmi, 6) AS pmi, r
   round(nppmi, 6) AS nppmi FROM sc""")
 def pmi_pairs_q(spark, base):
     """N3 + J12 + F13: PMI family for every word pair of every topic (tf-product joints)."""
-    pairs = T.topic_pairs(doc_tf(spark, base), fx.topics(spark, base))
+    topics, tf, n = _evaluated(spark, base)
+    pairs = T.topic_pairs(tf, topics, n=n)
     return pairs.select("topic_id", "wa", "wb", F.col("joint").cast("long").alias("joint"),
                         F.round(T.pmi("fb", "fa", "joint", "n"), 6).alias("pmi"),
                         F.round(T.npmi("fb", "fa", "joint", "n"), 6).alias("npmi"),
@@ -98,7 +103,8 @@ WITH {TF_SQL}, {PAIRS_SQL}
 SELECT topic_id, n_words, round(coherence, 6) AS coherence, round(coherence_npmi, 6) AS coherence_npmi FROM coh""")
 def topic_coherence_q(spark, base):
     """Per-topic coherence, NPPMI and NPMI variants (edge topics: unknown, repeated, single word)."""
-    out = T.topic_coherence_variants(doc_tf(spark, base), fx.topics(spark, base))
+    topics, tf, n = _evaluated(spark, base)
+    out = T.topic_coherence_variants(tf, topics, n=n)
     return out.select("topic_id", F.col("n_words").cast("long").alias("n_words"),
                       F.round("coherence", 6).alias("coherence"), F.round("coherence_npmi", 6).alias("coherence_npmi"))
 
@@ -107,7 +113,8 @@ def topic_coherence_q(spark, base):
 WITH {TF_SQL}, {PAIRS_SQL} SELECT round(avg(coherence), 6) AS avg_coherence FROM coh""")
 def avg_coherence_q(spark, base):
     """Mean coherence over all topics from one corpus pass."""
-    coh = T.topic_coherence(doc_tf(spark, base), fx.topics(spark, base))
+    topics, tf, n = _evaluated(spark, base)
+    coh = T.topic_coherence(tf, topics, n=n)
     return T.avg_coherence(coh).select(F.round("avg_coherence", 6).alias("avg_coherence"))
 
 
