@@ -25,6 +25,7 @@ LEAST_PERCENT = 80  # a negative scores at least this share of its positive
 # Anchors that the clusters' centres are fitted on, and centres: both bounded at any size of the table.
 SAMPLE_ANCHORS = 16_384
 MAX_CENTRES = 256
+ANCHORS_PER_CENTRE = 256  # or more: the candidates cross the shuffle once for each block of anchors
 ROUNDS = 8
 # Components that a block of anchors and a shard of candidates hold, or thereabouts (4,096 and 32,768 vectors of 64).
 BLOCK_COMPONENTS = 1 << 18
@@ -211,7 +212,7 @@ def fit_centres(anchors: DataFrame, total: int, sample: int = SAMPLE_ANCHORS, mo
     for dims, rows in by_dims.items():
         if dims:
             units = directions(np.array(rows, float))
-            k = max(1, min(most, int(np.sqrt(len(units) / 2))))
+            k = max(1, min(most, len(units), total // ANCHORS_PER_CENTRE))
             found = units[np.linspace(0, len(units) - 1, k).astype(int)].copy()
             for _ in range(ROUNDS):
                 near = (units @ found.T).argmax(axis=1)
