@@ -11,22 +11,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crisismap.llm.common import stored, table
+from crisismap.llm.exact import LONG_MAX, LONG_MIN, products
 
 TOP = 10
 SCALE = 1024
-# Larger scaled components could give scores beyond 64 bits.
-LARGEST = 1 << 26
 SHARD_ROWS = 4096
 BLOCK_QUERIES = 2048
 LEAF_ROWS = 32
-NOTHING = (-(1 << 62), 1 << 62)  # score and id of a k-th hit that isn't there
+NOTHING = (LONG_MIN - 1, LONG_MAX)  # score and id of a k-th hit that isn't there
+EXACT = 1 << 53  # whole numbers up to here, and their sums, are exact in doubles
 
 
 class KDTree:
     """Median splits of the widest dimension down to small leaves; each node has the tight box of its rows."""
 
     def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF_ROWS):
-        self.points, self.ids = points, ids
+        self.points, self.ids = points, ids  # whole numbers in doubles
+        self.reach = points.shape[1] * int(np.abs(points).max(initial=0.0))
         self.low, self.high, self.least_id = [], [], []
         self.children: list[tuple[int, int] | None] = []
         self.rows: list[np.ndarray] = []
@@ -51,8 +52,18 @@ class KDTree:
         self.low, self.high = np.array(self.low), np.array(self.high)
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Largest inner product that each query can have with a point in each node's box."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        """Largest inner product that each query can have with a point in each node's box; widened by more than its
+        rounding where numbers are too large to be exact."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            found = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+            if self.reach * int(np.abs(queries).max(initial=0.0)) >= EXACT:
+                found += 1e-9 * (np.abs(queries) @ np.maximum(np.abs(self.low), np.abs(self.high)).T) + 1
+        return np.maximum(np.where(np.isnan(found), np.inf, found), LONG_MIN)  # scores end there
+
+    def scores(self, at: np.ndarray, query: np.ndarray, small: bool) -> np.ndarray:
+        if small:
+            return (self.points[at] @ query).astype(np.int64)
+        return products(self.points[at], query[None, :])[:, 0]
 
     def search(self, query: np.ndarray, bounds: list[int], own: int, rows: np.ndarray, top: int,
                kth: tuple[int, int] = NOTHING) -> list[tuple[int, int]]:
@@ -64,6 +75,7 @@ class KDTree:
         best: list[tuple[int, int]] = []  # heap of (score, -id), the worst first
         floor = (kth[0], -kth[1])
         frontier = [(-bounds[0], self.least_id[0], 0)]
+        small = self.reach * int(np.abs(query).max(initial=0.0)) < EXACT
         while frontier:
             bound, least, node = heapq.heappop(frontier)
             worst = max(floor, best[0]) if len(best) == top else floor
@@ -77,7 +89,7 @@ class KDTree:
                         heapq.heappush(frontier, (-bounds[child], self.least_id[child], child))
                 continue
             at = self.rows[node]
-            scores = self.points[at] @ query
+            scores = self.scores(at, query, small)
             for i in np.flatnonzero(scores >= worst[0]):
                 hit = (int(scores[i]), -int(self.ids[at[i]]))
                 if rows[at[i]] == own or hit < floor:
@@ -102,7 +114,7 @@ HITS = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id"
 
 def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     lists = column.combine_chunks()
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(rows, -1)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
 
 
 def _search(candidates: pa.Table, queries: pa.Table, top: int) -> pa.Table:
@@ -110,7 +122,8 @@ def _search(candidates: pa.Table, queries: pa.Table, top: int) -> pa.Table:
     out: list[tuple[int, int, int, int]] = []
     if candidates.num_rows and queries.num_rows:
         rows = candidates["row"].to_numpy()
-        tree = KDTree(_matrix(candidates["vector"], len(rows)), candidates["vec_id"].to_numpy())
+        ids = candidates["vec_id"].fill_null(LONG_MAX).to_numpy()
+        tree = KDTree(_matrix(candidates["vector"], len(rows)), ids)
         vectors = _matrix(queries["query_vector"], queries.num_rows)
         columns = (queries[c].to_pylist() for c in ("query_row", "query_vec_id", "kth_score", "kth_id"))
         for i, (own, query_id, score, at) in enumerate(zip(*columns, strict=True)):
@@ -123,14 +136,18 @@ def _search(candidates: pa.Table, queries: pa.Table, top: int) -> pa.Table:
 
 
 def integer_vectors(vectors: DataFrame, column: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """row, vec_id, vector: floor(scale * component) of every vector that takes part.
+    """row, vec_id, vector: floor(scale * component), in doubles, of every vector that takes part.
 
-    Vectors that are NULL or hold a NULL or non-finite component take no part;
-    nor do those without an id, or with a scaled component beyond ``LARGEST``.
+    Vectors that are NULL or hold a NULL or non-finite component take no part,
+    nor do those of which a scaled component isn't finite any more.
     """
-    scaled = F.transform(F.col(column), lambda x: F.floor(x.cast("double") * scale))
-    fine = F.forall(F.col(column), lambda x: x.isNotNull() & (F.abs(x.cast("double")) < LARGEST / scale))
-    return (vectors.where(F.col("vec_id").isNotNull() & F.col(column).isNotNull()).where(fine)
+    def whole(x):  # doubles from 2^53 are whole numbers as they are
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
+
+    scaled = F.transform(F.col(column), whole)
+    fine = F.forall(F.col(column), lambda x: x.isNotNull() & (F.abs(x.cast("double") * scale) < float("inf")))
+    return (vectors.where(F.col(column).isNotNull()).where(fine)
             .select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"),
                     scaled.alias("vector"), F.size(F.col(column)).alias("length")))
 
@@ -140,8 +157,9 @@ def top_k(vectors: DataFrame, is_query: F.Column, top: int = TOP, column: str =
     """query_id, rank, vec_id, score: the ``top`` highest integer inner products of each query row.
 
     Candidates are all rows but the query's own; ties go to the smaller
-    vec_id; fewer candidates give fewer rows. Vectors of different lengths have
-    no product. A repeated vec_id stands for itself in each of its rows.
+    vec_id, NULL after all others (as is, in effect, the largest 64-bit id, which is given back as NULL); fewer
+    candidates give fewer rows. Vectors of different lengths have no product. A repeated vec_id stands
+    for itself in each of its rows. Scores that no 64-bit integer holds count as the nearest one.
 
     Candidates are dealt into shards of bounded size by a hash of the row, so
     equal vectors are spread; each shard has its own KD-tree. A query is first
@@ -179,7 +197,7 @@ def top_k(vectors: DataFrame, is_query: F.Column, top: int = TOP, column: str =
         blocks = F.explode(F.sequence(F.lit(0), F.lit(plan.blocks - 1)))
         hits = first.unionByName(find(candidates.withColumn("block", blocks), away))
     return (hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+            .select("query_id", F.col("rank").cast("int").alias("rank"), F.nullif("vec_id", F.lit(LONG_MAX)).alias("vec_id"), "score"))
 
 
 def op8_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,20 @@ def test_edges(spark):
             (None, [1.0, 1.0]), (5, [1.0]), (6, []), (7, [0.5, 0.5]), (7, [0.5, 0.5]), (8, [1e30, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).withColumn("row", F.lit(1))
     got = [tuple(r) for r in K.top_k(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 100, 1024 * 1024), (0, 2, 7, 512 * 1024), (0, 3, 7, 512 * 1024),
-                   (100, 1, 0, 1024 * 1024), (100, 2, 7, 1024 * 1024), (100, 3, 7, 1024 * 1024)]
+    one, most = 1024 * 1024, (1 << 63) - 1  # a score beyond 64 bits counts as the largest one
+    assert got == [(0, 1, 8, most), (0, 2, 100, one), (0, 3, None, one), (0, 4, 7, one // 2), (0, 5, 7, one // 2),
+                   (100, 1, 8, most), (100, 2, None, 2 * one), (100, 3, 0, one), (100, 4, 7, one), (100, 5, 7, one)]
     assert K.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_large_components_are_not_left_out(spark):
+    rows = [(0, [1.0, 0.0]), (1, [70000.0, 0.0]), (2, [1.0, 1.0]), (100, [66000.0, 1.0]), (3, [-1e12, 5.0]), (4, [3e9, -7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 100):
+        scored = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(whole[q], v)))), i) for i, v in whole.items() if i != q)
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
+    for shard in (4096, 2):
+        got = K.top_k(df, F.col("vec_id") % 100 == 0, shard_rows=shard).orderBy("query_id", "rank").collect()
+        assert [tuple(r) for r in got] == want
