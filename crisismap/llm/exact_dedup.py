@@ -248,10 +248,8 @@ QUERIES = {"op4_exact_dedup": op4_exact_dedup}
 ORACLE = {"op4_exact_dedup": r"""
     WITH d AS (
         SELECT doc_id, length(coalesce(text, '')) AS n,
-               sha256(regexp_replace(coalesce(text, ''), '[ 	-
-]', '', 'g')) AS h,
-               regexp_replace(coalesce(text, ''), '[ 	-
-]', '', 'g') AS t
+               sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h,
+               regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t
         FROM documents),
     w AS (
         SELECT doc_id, h, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id,

@@ -20,6 +20,16 @@ def test_query_equals_sql(spark):
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == want
 
 
+def test_all_white_space_is_ignored_in_sql_too(spark):
+    rows = [(i, f"a{space}b") for i, space in enumerate(["", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x0e", "\x1f", "\u00a0", "\u2028"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841
+    want = sorted(con.execute(E.ORACLE["op4_exact_dedup"]).fetchall())
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in E.dedup_report(docs).collect())
+    assert got == want and [r[2] for r in got][:7] == [7] * 7
+
+
 @pytest.mark.parametrize("memory", [1, 500, 1 << 20])
 def test_grace_partitions_until_tables_fit(memory):
     rng = np.random.default_rng(1)
