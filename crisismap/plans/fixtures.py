@@ -218,24 +218,19 @@ def topics(spark: SparkSession, base: str, n: int = 10) -> DataFrame:
 
 
 def gazetteer(spark: SparkSession, base: str) -> DataFrame:
-    """Place names derived from the corpus: the 18 most frequent words of >= 5 characters, the
-    2 most frequent space-separated word pairs (>= 3 characters each), and a second, smaller
-    entry for the top name (an ambiguous name)."""
-    docs = spread(read_table(spark, base, "documents", ["doc_id", "text"]))
-    uni = (docs.where(F.col("text").isNotNull())
-           .select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{5,}"), 0)).alias("name"))
-           .groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(18))
-    # overlapping word pairs in one scan: a zero-width match at each word start captures the pair ahead
+    """Place names derived from the corpus: every word of 9 or more characters, every space-separated pair
+    of words of 6 or more each, and a second, smaller entry for names of a length divisible by 4 (ambiguous names)."""
+    docs = spread(read_table(spark, base, "documents", ["doc_id", "text"])).where(F.col("text").isNotNull())
     w = r"[\p{L}\p{N}_]"
-    pair = rf"(?<!{w})(?=({w}{{3,}} {w}{{3,}})(?!{w}))"
-    bi = (docs.where(F.col("text").isNotNull())
-          .select(F.explode(F.regexp_extract_all("text", F.lit(pair), 1)).alias("p"))
-          .select(F.lower("p").alias("name"))
-          .groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(2))
-    base_rows = uni.unionByName(bi).selectExpr(
+    uni = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"{w}{{9,}}"), F.lit(0))).alias("name"))
+    # overlapping word pairs in one scan: a zero-width match at each word start captures the pair ahead
+    pair = rf"(?<!{w})(?=({w}{{6,}} {w}{{6,}})(?!{w}))"
+    bi = docs.select(F.explode(F.regexp_extract_all("text", F.lit(pair), F.lit(1))).alias("p")).select(F.lower("p").alias("name"))
+    names = stored(uni.unionByName(bi).groupBy("name").agg(F.count(F.lit(1)).alias("n")), "gazetteer")
+    whole = names.selectExpr(
         "name", "concat('C', length(name) % 5) AS country_name",
         "36 + ((length(name) * 7) % 176) / 8 AS latitude", "2 + ((length(name) * 13) % 248) / 8 AS longitude",
         "CAST(n * 1000 AS BIGINT) AS population")
-    twin = uni.orderBy(F.desc("n"), "name").limit(1).selectExpr(
+    twins = names.where("length(name) % 4 = 0").selectExpr(
         "name", "'CX' AS country_name", "37.5D AS latitude", "3.5D AS longitude", "CAST(1 AS BIGINT) AS population")
-    return base_rows.unionByName(twin)
+    return whole.unionByName(twins)

@@ -150,20 +150,18 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS rs FROM documents
           WHERE text IS NOT NULL))
   WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"""),
-    "gazetteer": (("runs",), r"""
+    "names": (("runs",), r"""
+  SELECT name, count(*) AS n FROM (
+    SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{9,}')) AS name FROM documents WHERE text IS NOT NULL
+    UNION ALL
+    SELECT lower(run || ' ' || r2) FROM runs
+    WHERE regexp_matches(run, '^[\p{L}\p{N}_]') AND r1 = ' ' AND length(run) >= 6 AND length(r2) >= 6)
+  GROUP BY name"""),
+    "gazetteer": (("names",), """
   SELECT name, 'C' || (length(name) % 5) AS country_name, 36 + ((length(name) * 7) % 176) / 8 AS latitude,
-    2 + ((length(name) * 13) % 248) / 8 AS longitude, CAST(n * 1000 AS BIGINT) AS population
-  FROM (SELECT * FROM (SELECT w AS name, count(*) AS n FROM (
-          SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{5,}')) AS w FROM documents WHERE text IS NOT NULL)
-        GROUP BY w ORDER BY n DESC, name LIMIT 18)
-        UNION ALL
-        SELECT * FROM (SELECT lower(run || ' ' || r2) AS name, count(*) AS n FROM runs
-          WHERE regexp_matches(run, '^[\p{L}\p{N}_]') AND r1 = ' ' AND length(run) >= 3 AND length(r2) >= 3
-          GROUP BY 1 ORDER BY n DESC, name LIMIT 2))
+    2 + ((length(name) * 13) % 248) / 8 AS longitude, CAST(n * 1000 AS BIGINT) AS population FROM names
   UNION ALL
-  SELECT name, 'CX', 37.5, 3.5, CAST(1 AS BIGINT) FROM (SELECT w AS name, count(*) AS n FROM (
-          SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{5,}')) AS w FROM documents WHERE text IS NOT NULL)
-        GROUP BY w ORDER BY n DESC, name LIMIT 1)"""),
+  SELECT name, 'CX', 37.5, 3.5, CAST(1 AS BIGINT) FROM names WHERE length(name) % 4 = 0"""),
     "prototypes": ((), """
   SELECT label AS query_id, label, list(x ORDER BY d) AS embedding FROM (
     SELECT label, d, avg(CAST(embedding[d] AS DOUBLE)) AS x
