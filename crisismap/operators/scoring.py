@@ -7,6 +7,8 @@ default models are Spark ML pipelines trained and applied distributed.
 
 from __future__ import annotations
 
+import math
+import re
 from typing import Callable
 
 import numpy as np
@@ -171,3 +173,51 @@ def reduce_dims(df: DataFrame, k: int = 5, col: str = "embedding", out: str = "r
     vec = Normalizer(inputCol="_v", outputCol="_n", p=2.0).transform(vec)
     model = PCA(k=k, inputCol="_n", outputCol="_r").fit(vec)
     return model.transform(vec).withColumn(out, vector_to_array("_r", "float32")).drop("_v", "_n", "_r")
+
+
+# Words that a word model may hold: the most frequent ones of the training rows.
+MODEL_WORDS = 50_000
+
+
+def word_model(train: DataFrame, text: str = "text", label: str = "label", most: int = MODEL_WORDS) -> Callable:
+    """A user model for ``score_texts``: naive Bayes over the words of a text, of which each counts once.
+
+    Document counts are taken by Spark over all rows; the driver gets one row for each of the ``most`` most frequent words
+    (a documented bound of the model) and hands them on as a plain dictionary.
+    """
+    words = train.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(
+        F.col(label).cast("int").alias("y"), F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("w"))
+    n = {r["y"]: r["n"] for r in words.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    neg, pos = n.get(0, 0), n.get(1, 0)
+    counts = words.select("y", F.explode("w").alias("word")).groupBy("word").agg(
+        F.count_if(F.col("y") == 0).alias("neg"), F.count_if(F.col("y") == 1).alias("pos"))
+    top = counts.orderBy(F.desc(F.col("neg") + F.col("pos")), "word").limit(most).collect()
+    weight = {r["word"]: math.log((r["pos"] + 1) / (pos + 2)) - math.log((r["neg"] + 1) / (neg + 2)) for r in top}
+    start = math.log((pos + 1) / (neg + 1))
+
+    def make_predict_fn():
+        def predict(texts):
+            logits = np.array([start + sum(weight.get(w, 0.0) for w in set(re.findall(r"\w{2,}", (t or "").lower()))) for t in texts])
+            p = 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
+            return np.stack([1 - p, p], axis=1).astype(np.float32)
+        return predict
+
+    return make_predict_fn
+
+
+def trigram_encoder(dim: int = 64) -> Callable:
+    """A user encoder for ``embed``: signed hashes of a text's letter trigrams, at length 1."""
+    def make_encode_fn():
+        def encode(texts):
+            out = np.zeros((len(texts), dim), np.float32)
+            for i, t in enumerate(texts):
+                points = np.frombuffer((t or "").lower().encode("utf-32-le"), np.uint32).astype(np.uint64)
+                if len(points) > 2:
+                    mixed = (points[:-2] * np.uint64(0x9E3779B1) + points[1:-1] * np.uint64(0x85EBCA6B) + points[2:] * np.uint64(0xC2B2AE35))
+                    mixed ^= mixed >> np.uint64(15)
+                    np.add.at(out[i], (mixed % np.uint64(dim)).astype(int), np.where(mixed >> np.uint64(20) & np.uint64(1), 1.0, -1.0))
+            size = np.sqrt((out ** 2).sum(axis=1, keepdims=True))
+            return out / np.where(size, size, 1)
+        return encode
+
+    return make_encode_fn

@@ -130,6 +130,22 @@ def score_texts_q(spark, base):
     return out.select("cid", "crawl_seq", *probs, SC.argmax_label(probs).alias("strongest"))
 
 
+@register("word_model_scores")
+def word_model_scores_q(spark, base):
+    """N7 + X4: a user model (naive Bayes of the toxic labels) scored over Arrow batches for every document."""
+    docs = read_table(spark, base, "documents", ["doc_id", "text"])
+    lab = read_table(spark, base, "labels", ["doc_id", "toxic"]).withColumnRenamed("toxic", "label")
+    model = SC.word_model(docs.join(lab, "doc_id"))
+    return SC.score_texts(docs, model, ["clean", "toxic"]).select("doc_id", "p_clean", "p_toxic")
+
+
+@register("trigram_embeddings")
+def trigram_embeddings_q(spark, base):
+    """N11 + X4: a user encoder (letter trigrams) over Arrow batches for every document."""
+    docs = read_table(spark, base, "documents", ["doc_id", "text"])
+    return SC.embed(docs, SC.trigram_encoder(64)).select("doc_id", "embedding")
+
+
 @register("disaster_classifier")
 def disaster_classifier_q(spark, base):
     """N7 + N9 in-repo default: TF-IDF + logistic regression fitted on the labelled documents, applied to all."""

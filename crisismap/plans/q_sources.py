@@ -124,3 +124,66 @@ def post_preview(spark, base):
     """K7: a preview (five rows are the feature)."""
     posts = fx.posts(spark, base).select("cid", "crawl_seq", "likeCount")
     return S.preview(posts.withColumn("_order", -F.col("likeCount")), "_order", "cid", "crawl_seq").drop("_order")
+
+
+@register("geoparquet_round_trip", sql="""
+SELECT s_suppkey AS flood_id, 'MultiPolygon' AS geom_type, CAST(CASE WHEN broken THEN 1 ELSE 2 END AS INTEGER) AS polygons,
+  CAST(CASE WHEN broken THEN 4 ELSE 15 END AS INTEGER) AS vertices,
+  CASE WHEN broken THEN 4 * cx ELSE 5 * cx - half + 5 * cx - (half - 0.125) + 5 * (cx + half + 0.375) - 0.125 END AS sum_lon
+FROM (SELECT s_suppkey, s_suppkey % 10 = 1 AS broken, 2 + ((s_suppkey * 37) % 248) / 8 AS cx,
+        CAST(0.125 * (2 + s_suppkey % 23) AS DOUBLE) AS half FROM supplier)""")
+def geoparquet_round_trip(spark, base):
+    """S4 + X3: flood polygons with holes and parts written as GeoParquet (WKB) and read back."""
+    path = shared_folder(spark, "floods-geo")
+    geom = F.struct(F.lit("MultiPolygon").alias("geom_type"), F.array().cast("array<struct<lon:double,lat:double>>").alias("points"),
+                    F.col("polygons"))
+    GS.write_geoparquet(fx.lake_floods(spark, base).select("flood_id", geom.alias("geom")), path)
+    rings = F.flatten(F.flatten("geom.polygons"))
+    return GS.read_geoparquet(spark, path).select(
+        "flood_id", "geom.geom_type", F.size("geom.polygons").alias("polygons"), F.size(rings).alias("vertices"),
+        F.aggregate(rings, F.lit(0.0), lambda a, p: a + p["lon"]).alias("sum_lon"))
+
+
+def landed_geojson(spark, base) -> str:
+    """The flood boxes as GeoJSON files named like the product's, one for each tile and day, and a file of another name."""
+    path = shared_folder(spark, "geojson")
+    name = F.concat_ws("_", "equi7grid_cont", "equi7grid_tile_id", F.lit("ENSEMBLE_FLOOD"),
+                       F.date_format("sensing_date", "yyyyMMdd'T'HHmmss"), "polarisation", F.lit("EU020M"), "equi7grid_tile_id",
+                       F.date_format("file_date", "yyyyMMdd"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct("flood_id").alias("properties"), F.struct(
+        F.lit("Polygon").alias("type"), F.array(F.transform("ring", lambda p: F.array(p["lon"], p["lat"]))).alias("coordinates")).alias("geometry"))
+    files = fx.floods(spark, base).select(name.alias("name"), feature.alias("f")).groupBy("name").agg(F.collect_list("f").alias("features"))
+    files.select("name", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).unionByName(
+        spark.range(1).select(F.lit("readme").alias("name"), F.lit('{"type": "FeatureCollection", "features": []}').alias("value"))
+    ).repartition("name").write.partitionBy("name").text(path)
+    # Spark names part files itself: each directory's one file gets the product's name
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/name=*/part-*")):
+        given = status.getPath().getParent().getName().removeprefix("name=")
+        fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(folder, f"{given}.geojson"))
+    return path
+
+
+@register("geojson_scan", views=("floods",), sql="""
+SELECT flood_id, equi7grid_cont, equi7grid_tile_id, TIMESTAMP '2024-09-12 04:45:55' + to_days(CAST(flood_id % 3 AS INTEGER)) AS sensing_date,
+  'VV' AS polarisation, file_date, 'Polygon' AS geom_type,
+  cx - half AS west, cy + half AS north FROM floods""")
+def geojson_scan(spark, base):
+    """S5 + F10 + P12 + T8 + T9: features of all flood files, with the attributes that the files' names give."""
+    floods, _, _ = GS.read_flood_delineations(spark, landed_geojson(spark, base))
+    ring = F.flatten(F.flatten("polygons"))
+    return floods.select(F.get_json_object("properties", "$.flood_id").cast("long").alias("flood_id"), "equi7grid_cont", "equi7grid_tile_id",
+                         "sensing_date", "polarisation", "file_date", "geom_type", F.array_min(F.transform(ring, lambda p: p["lon"])).alias("west"),
+                         F.array_max(F.transform(ring, lambda p: p["lat"])).alias("north"))
+
+
+@register("geojson_report", views=("floods",), sql="""
+SELECT 'delineation' AS product, count(DISTINCT equi7grid_tile_id || file_date::VARCHAR) AS files, count(*) AS features FROM floods
+UNION ALL SELECT 'footprint', 0, 0 UNION ALL SELECT 'unmatched', 1, 0""")
+def geojson_report(spark, base):
+    """Files and features of each product, and files whose name fits none."""
+    floods, footprints, unmatched = GS.read_flood_delineations(spark, landed_geojson(spark, base))
+    more = unmatched.agg(F.lit("unmatched").alias("product"), F.count("*").alias("files"), F.lit(0).cast("long").alias("features"))
+    return GS.scan_report(floods, footprints).unionByName(more).select("product", "files", "features")

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import struct as _struct
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import (ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField,
                                StructType)
 
@@ -71,14 +72,9 @@ def decode_wkb_value(b):
             "polygons": [[[{"lon": x, "lat": y} for x, y in ring] for ring in poly] for poly in polys]}
 
 
-@F.pandas_udf(GEOMETRY)
-def _decode(col: pd.Series) -> pd.DataFrame:
-    rows = [decode_wkb_value(b) for b in col]
-    return pd.DataFrame({
-        "geom_type": [r["geom_type"] if r else None for r in rows],
-        "points": [r["points"] if r else None for r in rows],
-        "polygons": [r["polygons"] if r else None for r in rows],
-    })
+@F.arrow_udf(GEOMETRY)
+def _decode(col: pa.Array) -> pa.Array:
+    return pa.array([decode_wkb_value(b) for b in col.to_pylist()], to_arrow_type(GEOMETRY))
 
 
 def decode_wkb(c) -> Column:
@@ -113,10 +109,9 @@ def encode_wkb_value(g: dict) -> bytes:
     raise ValueError(kind)
 
 
-@F.pandas_udf(BinaryType())
-def _encode(col: pd.DataFrame) -> pd.Series:
-    return pd.Series([None if r is None or pd.isna(r.get("geom_type")) else encode_wkb_value(r)
-                      for r in col.to_dict("records")])
+@F.arrow_udf(BinaryType())
+def _encode(col: pa.Array) -> pa.Array:
+    return pa.array([encode_wkb_value(g) if g and g["geom_type"] else None for g in col.to_pylist()], pa.binary())
 
 
 def encode_wkb(c) -> Column:
@@ -131,6 +126,11 @@ def read_geoparquet(spark: SparkSession, path: str, geometry: str = "geometry")
     return df.withColumn("geom", decode_wkb(geometry)).drop(geometry)
 
 
+def write_geoparquet(df: DataFrame, path: str, geom: str = "geom", geometry: str = "geometry") -> None:
+    """S4, the other way: a decoded geometry struct goes out as a WKB column; all other columns as they are."""
+    df.withColumn(geometry, encode_wkb(geom)).drop(geom).write.parquet(path)
+
+
 # ---------------------------------------------------------------- S5 -------
 # Fixed file-name patterns of the flood products (named groups in order).
 FLOOD_NAME = (r"^([A-Za-z]+)_([A-Za-z0-9]+)_ENSEMBLE_FLOOD_([A-Za-z0-9]+)_([A-Za-z]+)_([A-Z]{2}020M)_"

@@ -90,6 +90,17 @@ def test_multilabel_scores(spark):
     assert got[3].body is None and set(got[1].asDict()) == {"id", "body", "p_anger", "p_sadness"}
 
 
+def test_user_model_and_encoder(spark):
+    rows = [(i, f"{'vile awful' if i % 3 == 0 else 'kind calm'} words{i % 5}", int(i % 3 == 0)) for i in range(60)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    more = spark.createDataFrame([(100, "awful and vile"), (101, "calm"), (102, None), (103, "")], "doc_id long, text string")
+    got = {r.doc_id: r.p_toxic for r in SC.score_texts(more, SC.word_model(train), ["clean", "toxic"]).collect()}
+    assert got[100] > 0.9 > 0.3 > got[101] and got[102] == got[103] == pytest.approx(21 / 62, abs=1e-3)
+    vectors = {r.doc_id: r.embedding for r in SC.embed(more.union(more.limit(1)), SC.trigram_encoder(32), "text", 32).collect()}
+    assert {len(v) for v in vectors.values()} == {32} and not any(vectors[102]) and not any(vectors[103])
+    assert sum(x * x for x in vectors[100]) == pytest.approx(1, abs=1e-5)
+
+
 def test_encoders(spark):
     docs = _docs(spark)
     red = SC.reduce_dims(docs, k=3)
