@@ -1,6 +1,6 @@
 """Topic model selection and the text enrichment flow.
 
-The evaluation grid is a driver loop over Spark jobs that share one cached
+The evaluation grid is a driver loop over Spark jobs that share one stored
 token table; each configuration returns a handful of scalars. Configurations
 can run concurrently from a thread pool (Spark schedules their jobs side by
 side); a failing configuration is reported in ``status`` and skipped.
@@ -21,7 +21,7 @@ from crisismap.operators import scoring as SC
 from crisismap.operators import similarity as SIM
 from crisismap.operators import topics as T
 from crisismap.schemas import TOPIC_EVALUATION
-from crisismap.session import cut_lineage, keep
+from crisismap.session import cut_lineage, stored
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
@@ -109,9 +109,9 @@ def fit_topics(docs: DataFrame, algo: str, k: int | str | None, vec: str = "embe
 
 def topic_words_of(clusters: DataFrame, text: str, stop: DataFrame | None, key: str) -> DataFrame:
     """Top-10 c-TF-IDF words of each topic, the noise topic -1 included (it gets words and scores like any
-    other); cached (a topics x 10 table read several times)."""
+    other); stored (a topics x 10 table read several times)."""
     toks = T.tokens(clusters, text, key, also=("topic_id",))
-    return keep(T.top_words(T.class_tfidf(toks, clusters, stop, key), 10))
+    return stored(T.top_words(T.class_tfidf(toks, clusters, stop, key), 10), "topic-words")
 
 
 def _score(tf: DataFrame, words: DataFrame, key: str):
@@ -128,10 +128,10 @@ def evaluate_topics(docs: DataFrame, eval_docs: DataFrame | None = None, ks=(10,
     """Algorithms x topic counts (x sample sizes) -> coherence, diversity, quality = c x d."""
     spark = docs.sparkSession
     eval_docs = eval_docs if eval_docs is not None else docs
-    tf = keep(T.term_counts(T.tokens(docs, text, key), key))
-    etf = tf if eval_docs is docs else keep(T.term_counts(T.tokens(eval_docs, text, key), key))
+    tf = stored(T.term_counts(T.tokens(docs, text, key), key), "terms")
+    etf = tf if eval_docs is docs else stored(T.term_counts(T.tokens(eval_docs, text, key), key), "terms")
     sizes = sorted(sample_sizes or [])
-    samples = keep(nested_samples(docs, sizes, key=key)) if sizes else None
+    samples = stored(nested_samples(docs, sizes, key=key), "samples") if sizes else None
     configs = [(a, k, s) for s in (sizes or [None]) for a in algos for k in ks
                if not (a == "kmeans" and k in (None, "auto"))]
     bases: dict = {}
@@ -144,20 +144,17 @@ def evaluate_topics(docs: DataFrame, eval_docs: DataFrame | None = None, ks=(10,
         with locks[size]:
             if size not in bases:
                 least = {c: cluster_args[c] for c in ("min_cluster_size", "min_samples") if c in cluster_args}
-                bases[size] = cut_lineage(hierarchical_topics(train, vec, key, **least))
+                bases[size] = stored(hierarchical_topics(train, vec, key, **least), "base")
         return {"base": bases[size]}
 
     def run(cfg):
         algo, k, size = cfg
         count = k if isinstance(k, int) else None  # density also takes None and 'auto'
-        held = []
         try:
             train = samples.where(F.col("sample") <= sizes.index(size)).drop("sample") if size else docs
-            clusters = keep(fit_topics(train, algo, k, vec, key, **base_of(train, algo, size), **cluster_args))
-            held.append(clusters)
+            clusters = stored(fit_topics(train, algo, k, vec, key, **base_of(train, algo, size), **cluster_args), "clusters")
             tr_tf = tf if size is None else tf.join(train.select(key), key, "left_semi")
             words = topic_words_of(clusters, text, stop, key)
-            held.append(words)
             c_tr, d_tr = _score(tr_tf, words, key)
             # evaluation on the training documents themselves (the default) is not computed twice
             c_te, d_te = (c_tr, d_tr) if etf is tf and size is None else _score(etf, words, key)
@@ -168,17 +165,12 @@ def evaluate_topics(docs: DataFrame, eval_docs: DataFrame | None = None, ks=(10,
         except Exception as e:  # noqa: BLE001 — a failed configuration is reported, the grid goes on
             return Row(algo, count, None, None, None, None, None, None, None, None, None,
                        f"failed: {type(e).__name__}: {str(e)[:200]}")
-        finally:
-            for df in held:
-                df.unpersist()
 
     if parallel > 1:
         with ThreadPoolExecutor(max_workers=parallel) as pool:
             rows = list(pool.map(run, configs))
     else:
         rows = [run(c) for c in configs]
-    for df in {id(df): df for df in (tf, etf, samples) if df is not None}.values():
-        df.unpersist()
     return spark.createDataFrame(rows, TOPIC_EVALUATION)
 
 
@@ -206,7 +198,7 @@ def enrich(posts: DataFrame, labelled: DataFrame, stop: DataFrame | None = None,
     cleaned = P.ensure_cleaned(posts.where(F.col("text").isNotNull())).withColumn("doc_id", F.col(key))
     embedded = cut_lineage(SC.hashed_embed(cleaned, text="cleaned_text", dim=dim))
     more = {"min_cluster_size": min_cluster_size, **({} if zero_shot is None else {"zero_shot": zero_shot})}
-    grid = evaluate_topics(embedded, ks=ks, algos=algos, stop=stop, key="doc_id", parallel=2, **more)
+    grid = evaluate_topics(embedded, ks=ks, algos=algos, stop=stop, key="doc_id", parallel=6, **more)
     best = best_config(grid).first()
     algo, k = (best["clustering_algorithm"], best["nr_topics"]) if best else ("kmeans", ks[0])
     clusters = fit_topics(embedded, algo, k, **more)

@@ -72,9 +72,9 @@ def zero_shot_topics_q(spark, base):
 
 @register("topic_grid")
 def topic_grid_q(spark, base):
-    """Hdbscan and kmeans x {10, 20, 30} over embedded documents, run two at a time."""
+    """Hdbscan and kmeans x {10, 20, 30} over embedded documents, run side by side."""
     return E.evaluate_topics(_embedded(spark, base), ks=(10, 20, 30), algos=("hdbscan", "kmeans"), stop=fx.stopwords(spark),
-                             parallel=2, min_cluster_size=100)
+                             parallel=6, min_cluster_size=100)
 
 
 @register("topic_grid_samples")
@@ -82,7 +82,7 @@ def topic_grid_samples_q(spark, base):
     """The kmeans grid over nested samples of a quarter, a half and all of the documents."""
     docs = _embedded(spark, base)
     n = docs.count()
-    return E.evaluate_topics(docs, ks=(10,), algos=("kmeans",), stop=fx.stopwords(spark), parallel=2,
+    return E.evaluate_topics(docs, ks=(10,), algos=("kmeans",), stop=fx.stopwords(spark), parallel=3,
                              sample_sizes=[max(1, n // 4), max(1, n // 2), n])
 
 
