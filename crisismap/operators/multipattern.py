@@ -137,7 +137,7 @@ def _slices(texts: pa.Array) -> Iterator[pa.Array]:
         start = stop
 
 
-def keywords_in(text: Column, keywords: DataFrame, column: str = "keyword", automaton_bytes: int = AUTOMATON_BYTES) -> Column:
+def keywords_in(text: Column, keywords: DataFrame, column: str = "keyword", automaton_bytes: int | None = None) -> Column:
     """Array of the distinct lower-cased ``keywords`` that the lower-cased ``text`` contains; NULL for a NULL text.
 
     Keywords reach the driver in sorted order, one automaton's worth at a time, and are
@@ -146,7 +146,7 @@ def keywords_in(text: Column, keywords: DataFrame, column: str = "keyword", auto
     """
     spark = keywords.sparkSession
     words = keywords.select(F.lower(F.col(column)).alias("k")).where(F.col("k").isNotNull()).distinct().orderBy("k")
-    parts, block, size = [], [], 0
+    parts, block, size, limit = [], [], 0, automaton_bytes or AUTOMATON_BYTES
 
     def close() -> None:
         held = spark.sparkContext.broadcast((Automaton([w.encode() for w in block]), pa.array(block, pa.string())))
@@ -158,7 +158,7 @@ def keywords_in(text: Column, keywords: DataFrame, column: str = "keyword", auto
         parts.append(match(F.lower(text)))
 
     for row in words.toLocalIterator():
-        if block and size + len(row["k"].encode()) > automaton_bytes:
+        if block and size + len(row["k"].encode()) > limit:
             close()
             block, size = [], 0
         block.append(row["k"])

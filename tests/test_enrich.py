@@ -141,9 +141,9 @@ def test_every_interval_that_begins_is_a_task(spark):
     assert since("2024-09-05 00:00:00") == []
 
 
-def test_keywords_in_blocks(spark, monkeypatch):
+def test_keywords_in_several_automata(spark, monkeypatch):
     posts = fx.posts(spark, SF_SMALL).select("cid", "crawl_seq", "ts", "text")
     whole = H.harvest_match(posts, fx.keywords(spark), H.day_span(posts), tiebreak=("crawl_seq",))
-    monkeypatch.setattr(H, "BLOCK_KEYWORDS", 2)
+    monkeypatch.setattr("crisismap.operators.multipattern.AUTOMATON_BYTES", 12)  # several automata
     parts = H.harvest_match(posts, fx.keywords(spark), H.day_span(posts), tiebreak=("crawl_seq",))
     assert whole.count() > 0 and whole.exceptAll(parts.select(whole.columns)).count() == 0
