@@ -198,13 +198,12 @@ def dataset_summary_q(spark, base):
 @register("concat_tables", views=("posts",), sql="""
 SELECT part, count(*) AS n, count(disaster_related) AS labelled FROM (
   SELECT 'related' AS part, disaster_related FROM posts WHERE disaster_related = 1
-  UNION ALL SELECT 'rest', disaster_related FROM posts WHERE disaster_related IS DISTINCT FROM 1
-  UNION ALL SELECT 'rest', NULL FROM posts WHERE disaster_related IS DISTINCT FROM 1 AND false) GROUP BY part""")
+  UNION ALL SELECT 'rest', NULL FROM posts WHERE disaster_related IS DISTINCT FROM 1) GROUP BY part""")
 def concat_tables_q(spark, base):
     """Union by name of two complementary subsets; the second lacks the label column."""
     p = fx.posts(spark, base).select("cid", "disaster_related")
     rel = P.disaster_related(p).withColumn("part", F.lit("related"))
-    rest = p.where(~F.coalesce(F.col("disaster_related") == 1, F.lit(False))).withColumn("part", F.lit("rest"))
+    rest = p.where(~F.coalesce(F.col("disaster_related") == 1, F.lit(False))).drop("disaster_related").withColumn("part", F.lit("rest"))
     out = P.concat_tables(rel, rest)
     return out.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count("disaster_related").alias("labelled"))
 

@@ -68,3 +68,11 @@ def test_top_n_other_sums_to_100(spark):
     assert out[-1].language == "other" or any(r.language == "other" for r in out)
     assert abs(sum(r.rel_count for r in out) - 100.0) < 1e-6
     assert len(out) == 3
+
+
+def test_concat_fills_missing_columns(spark):
+    from crisismap.operators import posts as P
+
+    one, two = spark.createDataFrame([(1, "a")], "id int, label string"), spark.createDataFrame([(2, 0.5)], "id int, score double")
+    rows = sorted(tuple(r) for r in P.concat_tables(one, two).select("id", "label", "score").collect())
+    assert rows == [(1, "a", None), (2, None, 0.5)]
