@@ -199,13 +199,21 @@ def footprint_join_q(spark, base):
 
 # A concave region outline (multiples of 1/8 so both engines agree exactly).
 REGION = [(4.0, 40.0), (20.0, 38.0), (28.5, 46.0), (18.0, 44.125), (12.0, 52.0), (3.0, 50.0), (4.0, 40.0)]
-_REGION_DUCK = "[" + ", ".join(f"struct_pack(lon := {x!r}::DOUBLE, lat := {y!r}::DOUBLE)" for x, y in REGION) + "]"
+_REGION_EDGES = ", ".join(f"({x1!r}, {y1!r}, {x2!r}, {y2!r})" for (x1, y1), (x2, y2) in zip(REGION, REGION[1:]))
 
 
+# rays to the right counted over a table of edges, by the point where each edge crosses the ray's height
 @register("polygon_region_filter", views=("posts",), sql=f"""
-SELECT cid, crawl_seq FROM posts WHERE coalesce(list_bool_or(list_transform(
-  list_filter(toponyms, t -> t.longitude IS NOT NULL AND t.latitude IS NOT NULL),
-  pp -> {G.point_in_polygon('pp.longitude', 'pp.latitude', _REGION_DUCK, G.DUCK)})), false)""")
+WITH e(x1, y1, x2, y2) AS (SELECT CAST(a AS DOUBLE), CAST(b AS DOUBLE), CAST(c AS DOUBLE), CAST(d AS DOUBLE)
+                           FROM (VALUES {_REGION_EDGES}) t(a, b, c, d)),
+p AS (SELECT cid, crawl_seq, unnest(toponyms) AS t FROM posts),
+q AS (SELECT cid, crawl_seq, t.longitude AS x, t.latitude AS y FROM p WHERE t.longitude IS NOT NULL AND t.latitude IS NOT NULL),
+c AS (SELECT cid, crawl_seq, x, y,
+        count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) AS crossings,
+        bool_or((x2 - x1) * (y - y1) = (y2 - y1) * (x - x1) AND x BETWEEN least(x1, x2) AND greatest(x1, x2)
+                AND y BETWEEN least(y1, y2) AND greatest(y1, y2)) AS on_edge
+      FROM q CROSS JOIN e GROUP BY ALL)
+SELECT DISTINCT cid, crawl_seq FROM c WHERE on_edge OR crossings % 2 = 1""")
 def polygon_region_filter_q(spark, base):
     """F5 + G2: posts with a point inside (or on the edge of) a concave region polygon."""
     return SP.polygon_filter(P.with_points(fx.posts(spark, base)), REGION).select("cid", "crawl_seq")
