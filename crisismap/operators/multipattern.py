@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 # Bytes of keywords in one automaton (about 20 bytes of arrays for each); longer lists make several.
 AUTOMATON_BYTES = 4 << 20
 WINDOW = 512  # bytes of text that a window owns
+SHORT_LIST = 100_000  # keywords that are fetched at once
 SLICE_BYTES = 4 << 20  # bytes of text in lockstep at once
 
 
@@ -157,7 +158,8 @@ def keywords_in(text: Column, keywords: DataFrame, column: str = "keyword", auto
 
         parts.append(match(F.lower(text)))
 
-    for row in words.toLocalIterator():
+    rows = words.limit(SHORT_LIST + 1).collect()  # one job does for a usual list
+    for row in rows if len(rows) <= SHORT_LIST else words.toLocalIterator():
         if block and size + len(row["k"].encode()) > limit:
             close()
             block, size = [], 0
