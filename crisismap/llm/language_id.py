@@ -21,14 +21,14 @@ VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = 0
 # The mark that begins a word in the vocabulary.
 BOUNDARY = "▁"
-# Longer words are scored as parts of so many characters, one after another.
-PART_CHARS = 40
 LONGEST_PIECE = 16
 EM_ROUNDS = 3
 # Added to the expected count of every piece.
 SMOOTHING = 0.05
 CACHE_WORDS = 300_000
-BATCH_WORDS = 8_000
+CACHE_CHARS = 20_000_000
+BATCH_CHARS = 320_000
+BATCH_ENTRIES = 1_000_000
 COUNTED_WORDS = 200_000
 HOLDOUT_MOD, HOLDOUT_REST = 3, 1
 UNDETERMINED = "und"
@@ -88,76 +88,138 @@ class Pieces:
 
 
 class Lattice:
-    """Every way to cut some words of one length into pieces.
+    """Every way to cut some words into pieces, whatever their length.
 
     ``edges`` has, for each place and length at which any word has a piece, the
     words that have one there and their pieces. A character that is no piece is the
-    unknown one, so every word can be cut.
+    unknown one, so every word can be cut. Sums go from left to right in spans as long as the longest piece: a
+    window of two spans holds all that a piece can reach, and is scaled after each span, so
+    nothing is lost to underflow in a run of any length. Shorter words are filled up with
+    a character that no piece has; edges of one block of places are held at a time.
     """
 
     def __init__(self, texts: Sequence[str], pieces: Pieces):
-        self.words, self.length = len(texts), len(texts[0])
-        codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").reshape(self.words, self.length)
-        codes = codes.T.astype(np.uint64) + np.uint64(1)
-        self.edges: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # from, to, words, pieces
-        every = np.arange(self.words)
-        for i in range(self.length):
-            key = np.zeros(self.words, np.uint64)
-            for j in range(i + 1, min(self.length, i + LONGEST_PIECE) + 1):
-                key = key * Pieces.BASE + codes[j - 1]
-                found = pieces.find(key)
-                if j == i + 1:
-                    self.edges.append((i, j, every, np.where(found < 0, UNKNOWN, found)))
-                elif (rows := np.flatnonzero(found >= 0)).size:
-                    self.edges.append((i, j, rows, found[rows]))
+        self.pieces, self.words = pieces, len(texts)
+        self.lengths = np.fromiter(map(len, texts), np.int64, self.words)
+        self.length = int(self.lengths.max())
+        codes = np.zeros((self.words, self.length + LONGEST_PIECE), np.uint64)
+        codes[np.arange(codes.shape[1]) < self.lengths[:, None]] = np.frombuffer(
+            "".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        self.codes = np.ascontiguousarray(codes.T)
+        self.spans = -(-self.length // LONGEST_PIECE)
+        self.block = max(1, BATCH_CHARS // self.words // LONGEST_PIECE)  # spans
+        self.held: tuple[int, list] = (-1, [])
+
+    def edges(self, span: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(from, to, words, pieces) of a span by place from its start."""
+        if self.held[0] != span // self.block:
+            self.held = (span // self.block, self._edges(span // self.block))
+        return self.held[1][span % self.block]
+
+    def _edges(self, block: int) -> list[list[tuple[int, int, np.ndarray, np.ndarray]]]:
+        first = block * self.block * LONGEST_PIECE
+        places = min(self.block * LONGEST_PIECE, self.length - first)
+        at: list[list] = [[] for _ in range(places)]
+        key = np.zeros((places, self.words), np.uint64)
+        for size in range(1, LONGEST_PIECE + 1):
+            key = key * Pieces.BASE + self.codes[first + size - 1:first + size - 1 + places]
+            found = self.pieces.find(key.ravel()).reshape(key.shape)
+            if size == 1:
+                found = np.where(found < 0, UNKNOWN, found)
+            place, row = np.nonzero(found >= 0)
+            piece, bounds = found[place, row], np.searchsorted(place, np.arange(places + 1)).tolist()
+            for i in range(places):
+                if bounds[i] < bounds[i + 1]:
+                    here, some = i % LONGEST_PIECE, slice(bounds[i], bounds[i + 1])
+                    at[i].append((here, here + size, row[some], piece[some]))
+        return [[e for edges in at[i:i + LONGEST_PIECE] for e in edges] for i in range(0, places, LONGEST_PIECE)]
+
+    def _ending(self, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words that end in a span, and at which of its places (from 1)."""
+        end = self.lengths - span * LONGEST_PIECE
+        rows = np.flatnonzero((end > 0) & (end <= LONGEST_PIECE))
+        return rows, end[rows]
+
+    def log_forward(self, probability: np.ndarray) -> np.ndarray:
+        """Of each word and language, the log of the total probability of all cuts (``probability``: pieces by
+        languages)."""
+        out, scales = np.zeros((2, self.words, probability.shape[1]))
+        value = np.zeros((2 * LONGEST_PIECE, self.words, probability.shape[1]))
+        value[0] = 1.0
+        for span in range(self.spans):
+            for i, j, rows, found in self.edges(span):  # in order of i, so value[i] is complete
+                if rows.size == self.words:
+                    value[j] += value[i] * probability[found]
+                else:
+                    value[j][rows] += value[i][rows] * probability[found]
+            rows, end = self._ending(span)
+            with np.errstate(divide="ignore"):  # a model may rule a word out
+                out[rows] = scales[rows] + np.log(value[end, rows])
+            if span + 1 < self.spans:
+                scales += np.log(_shift(value, value[LONGEST_PIECE:].max(axis=0)))
+        return out
 
     def forward(self, probability: np.ndarray) -> np.ndarray:
-        """Of each word and language, the total probability of all cuts (``probability``: pieces by languages)."""
-        value = np.zeros((self.length + 1, self.words, probability.shape[1]))
-        value[0] = 1.0
-        for i, j, rows, found in self.edges:  # in order of i, so value[i] is complete
-            if rows.size == self.words:
-                value[j] += value[i] * probability[found]
-            else:
-                value[j][rows] += value[i][rows] * probability[found]
-        return value[-1]
+        """Of each word and language, the total probability of all cuts."""
+        return np.exp(self.log_forward(probability))
 
     def expected(self, probability: np.ndarray, language: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> None:
         """Add to ``counts`` (pieces by languages) how often each piece is used, if word w of a language occurs
         ``weight`` times."""
-        ahead, behind = np.zeros((2, self.length + 1, self.words))
-        ahead[0], behind[-1] = 1.0, 1.0
-        shares = [probability[found, language[rows]] for _, _, rows, found in self.edges]
-        for (i, j, rows, _), p in zip(self.edges, shares, strict=True):
-            ahead[j][rows] += ahead[i][rows] * p
-        scale = weight / np.maximum(ahead[-1], 1e-300)
-        where, used = [], []
-        for (i, j, rows, found), p in zip(reversed(self.edges), reversed(shares), strict=True):
-            flow = p * behind[j][rows]
-            behind[i][rows] += flow
-            where.append(found * counts.shape[1] + language[rows])
-            used.append(ahead[i][rows] * flow * scale[rows])
-        counts += np.bincount(np.concatenate(where), np.concatenate(used), counts.size).reshape(counts.shape)
+        value = np.zeros((2 * LONGEST_PIECE, self.words))
+        value[0] = 1.0
+        entered, ahead = [], []  # of each span, what came from those before, and all
+        for span in range(self.spans):
+            entered.append(value[:LONGEST_PIECE].copy())
+            for i, j, rows, found in self.edges(span):
+                value[j][rows] += value[i][rows] * probability[found, language[rows]]
+            ahead.append(value[:LONGEST_PIECE].copy())
+            _shift(value, value[LONGEST_PIECE:].max(axis=0))
+        behind = np.zeros((2 * LONGEST_PIECE, self.words))
+        where, used, held = [], [], 0
+        for span in reversed(range(self.spans)):
+            rows, end = self._ending(span)
+            behind[end, rows] = 1.0
+            flows = []
+            for i, j, rows, found in reversed(self.edges(span)):
+                flow = probability[found, language[rows]] * behind[j][rows]
+                behind[i][rows] += flow
+                flows.append((found * counts.shape[1] + language[rows], ahead[span][i][rows] * flow, rows))
+            # every cut crosses the start of the span by one piece, so this is the total in the units of this span
+            total = (entered[span] * behind[:LONGEST_PIECE]).sum(axis=0)
+            scale = np.divide(weight, total, out=np.zeros(self.words), where=total > 0)
+            for number, flow, rows in flows:
+                where.append(number)
+                used.append(flow * scale[rows])
+                held += rows.size
+            behind[LONGEST_PIECE:] = behind[:LONGEST_PIECE] / np.where(behind[0] > 0, behind[0], 1.0)
+            behind[:LONGEST_PIECE] = 0.0
+            if held > BATCH_ENTRIES or span == 0:
+                counts += np.bincount(np.concatenate(where), np.concatenate(used), counts.size).reshape(counts.shape)
+                where, used, held = [], [], 0
+
+
+def _shift(value: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Move a window on by a span, divided by ``scale`` (1 where that is zero), which is returned."""
+    scale = np.where(scale > 0, scale, 1.0)
+    value[:LONGEST_PIECE] = value[LONGEST_PIECE:] / scale
+    value[LONGEST_PIECE:] = 0.0
+    return scale
 
 
 def by_length(texts: Sequence[str]) -> Iterator[list[int]]:
-    """Places of the texts of one length, in batches."""
+    """Places of texts of about one length (up to an eighth more), in batches of bounded size or of one text."""
     order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
     at = 0
     while at < len(order):
-        stop, size = at, len(texts[order[at]])
-        while stop < len(order) and stop - at < BATCH_WORDS and len(texts[order[stop]]) == size:
+        stop, longest = at, len(texts[order[at]]) * 9 // 8
+        while (stop < len(order) and len(texts[order[stop]]) <= longest
+               and (stop == at or (stop - at) * len(texts[order[stop]]) < BATCH_CHARS)):
             stop += 1
         yield order[at:stop]
         at = stop
 
 
-def parts(word: str) -> list[str]:
-    """A word as the vocabulary writes it, in parts of bounded length."""
-    marked = BOUNDARY + word
-    return [marked[i:i + PART_CHARS] for i in range(0, len(marked), PART_CHARS)]
-
-
 @dataclass
 class Model:
     """Piece probabilities of each language (pieces by languages) and the languages' shares."""
@@ -170,25 +232,23 @@ class Model:
     def __post_init__(self):
         self.found = Pieces(self.pieces)
         self.rows: dict[str, int] = {}
+        self.chars = 0
         self.logs = np.zeros((0, len(self.languages)))
 
     def _learn_words(self, new: list[str]) -> None:
-        cut = [parts(w) for w in new]
-        flat = [p for one in cut for p in one]
-        logs = np.empty((len(flat), len(self.languages)))
-        for chosen in by_length(flat):
-            total = Lattice([flat[i] for i in chosen], self.found).forward(self.probability)
-            logs[chosen] = np.log(np.maximum(total, 1e-300))
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        whole = np.add.reduceat(logs, np.cumsum(counts) - counts, axis=0)
+        marked = [BOUNDARY + w for w in new]
+        logs = np.empty((len(new), len(self.languages)))
+        for chosen in by_length(marked):
+            logs[chosen] = Lattice([marked[i] for i in chosen], self.found).log_forward(self.probability)
         self.rows.update(zip(new, range(len(self.logs), len(self.logs) + len(new)), strict=True))
-        self.logs = np.vstack((self.logs, whole))
+        self.logs = np.vstack((self.logs, logs))
+        self.chars += sum(map(len, new))
 
     def log_likelihoods(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of each text, the log probability in each language, and its number of words."""
         split = [words(text) for text in texts]
-        if len(self.rows) > CACHE_WORDS:
-            self.rows, self.logs = {}, np.zeros((0, len(self.languages)))
+        if len(self.rows) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            self.rows, self.logs, self.chars = {}, np.zeros((0, len(self.languages))), 0
         new = [w for w in set().union(*split) if w not in self.rows]
         if new:
             self._learn_words(new)
@@ -219,7 +279,7 @@ def held_out() -> F.Column:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, part, n) over whole texts with a language; counted in each task before the shuffle."""
+    """(lang, word, n) over whole texts with a language; counted in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -272,8 +332,8 @@ def train(docs: DataFrame, rounds: int = EM_ROUNDS, pieces: list[str] | None = N
             total = np.zeros(probability.shape)
             probability = probability.astype(float)
             for batch in batches:
-                rows = [(p, number[lang], n) for lang, word, n in zip(*(batch.column(c).to_pylist() for c in
-                        ("lang", "word", "n")), strict=True) for p in parts(word)]
+                rows = [(BOUNDARY + word, number[lang], n) for lang, word, n in zip(*(
+                    batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)]
                 for chosen in by_length([r[0] for r in rows]):
                     texts, lang, n = zip(*[rows[i] for i in chosen], strict=True)
                     Lattice(texts, found).expected(probability, np.array(lang), np.array(n, float), total)
@@ -294,7 +354,8 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred
     """``docs`` with the likeliest language and its posterior, from the text alone; other columns are kept.
 
     NULL texts, empty ones and those without a letter get ``und`` and score 0;
-    so does every text if no language was learned. Columns called like the new
+    so does every text if no language was learned. Runs of letters of any length are summed
+    whole. Of languages equally likely the first by name is taken. Columns called like the new
     ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.pieces, model.languages, model.probability, model.prior))

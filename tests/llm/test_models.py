@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -39,6 +40,57 @@ def test_lattice_sums_over_all_cuts(words):
     assert np.allclose(got, expected)
 
 
+def by_fractions(word, p, l):
+    """Totals from the left and from the right and the expected use of each piece, in exact arithmetic."""
+    n, edges = len(word), []
+    for i in range(n):
+        for k in range(1, 4):
+            if i + k <= n and (k == 1 or word[i:i + k] in PIECES):
+                edges.append((i, i + k, PIECES.index(word[i:i + k]) if word[i:i + k] in PIECES else 0))
+    share = [Fraction(float(x)) for x in p[:, l]]
+    left, right = [Fraction(0)] * (n + 1), [Fraction(0)] * (n + 1)
+    left[0] = right[n] = Fraction(1)
+    for i, j, x in edges:
+        left[j] += left[i] * share[x]
+    for i, j, x in reversed(edges):
+        right[i] += right[j] * share[x]
+    used = np.zeros(len(p))
+    for i, j, x in edges:
+        used[x] += float(left[i] * share[x] * right[j] / left[n])
+    return left[n], used
+
+
+def log_of(x):
+    return math.log(x.numerator) - math.log(x.denominator)
+
+
+@pytest.mark.parametrize("block", [L.BATCH_CHARS, 40])
+def test_long_runs_are_summed_whole(monkeypatch, block):
+    monkeypatch.setattr(L, "BATCH_CHARS", block)
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet(np.ones(8), 2).T
+    p[[0, 2], 0] = 1e-12  # 500 rare characters are far below the smallest double
+    words = ["▁" + "".join(rng.choice(list("abx"), n)) for n in (500, 463, 40, 15, 16, 31, 32, 1)] + ["▁" + "xa" * 250]
+    language, weight = np.arange(len(words)) % 2, np.arange(1.0, len(words) + 1)
+    lattice, got, want = L.Lattice(words, L.Pieces(PIECES)), np.zeros((8, 2)), np.zeros((8, 2))
+    logs = lattice.log_forward(p)
+    assert np.allclose(logs, [[log_of(by_fractions(w, p, l)[0]) for l in (0, 1)] for w in words], rtol=1e-12)
+    assert logs.min() < -5000
+    lattice.expected(p, language, weight, got)
+    for w, word in enumerate(words):
+        want[:, language[w]] += weight[w] * by_fractions(word, p, language[w])[1]
+    assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_language_of_a_text_without_spaces(spark):
+    docs = spark.createDataFrame([(0, "abcab" * 40, "p"), (1, "xyzxy" * 40, "q")], "doc_id long, text string, lang string")
+    model = L.train(docs)
+    long = spark.createDataFrame([(2, "abcab" * 60_000), (3, "xyzxy" * 60_000 + "!")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in L.identify(long, model).collect()} == {2: "p", 3: "q"}
+    batches = list(L.by_length(["a" * n for n in (1, 1, 7, 8, 9, 10, 100, 112, 113)]))
+    assert batches == [[0, 1], [2], [3, 4], [5], [6, 7], [8]]
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
     truth = dict(docs.select("doc_id", "lang").collect())
