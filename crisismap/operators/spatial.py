@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crisismap.functions import geometry as G
+from crisismap.functions import sphere as SPH
 from crisismap.operators.splits import SplitTree, sample_points
 from crisismap.session import keep, maybe_broadcast, stored
 
@@ -287,3 +288,8 @@ def polygon_filter(df: DataFrame, ring_points: list[tuple[float, float]], points
     lit = "array(" + ", ".join(f"named_struct('lon', {x!r}D, 'lat', {y!r}D)" for x, y in ring_points) + ")"
     pip = G.point_in_polygon("pp.lon", "pp.lat", lit)
     return df.where(F.coalesce(F.expr(f"exists({points}, pp -> {pip})"), F.lit(False)))
+
+
+def sphere_polygon_filter(df: DataFrame, rings: list[list[tuple[float, float]]], points: str = "points") -> DataFrame:
+    """F5 on the sphere: keep rows with any point inside (or on) a literal polygon with great-circle edges."""
+    return df.where(SPH.any_inside(points, rings))

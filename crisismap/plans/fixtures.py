@@ -149,6 +149,29 @@ def lake_floods(spark: SparkSession, base: str) -> DataFrame:
         f"ELSE array(array({outer}, {hole}), array({part})) END AS polygons")
 
 
+def faulty_floods(spark: SparkSession, base: str) -> DataFrame:
+    """Flood polygons with the faults that digitised outlines have, one per supplier and by its key: a sound square with a
+    hole, a bow-tie, a square with a spike, two overlapping parts, a hole that sticks out."""
+    sup = read_table(spark, base, "supplier", ["s_suppkey"])
+    cx, cy, h = "(2 + ((s_suppkey * 37) % 248) / 8)", "(36 + ((s_suppkey * 19) % 176) / 8)", "(0.25D * (1 + s_suppkey % 11))"
+
+    def ring(*corners: tuple[float, float]) -> str:
+        return "array(" + ", ".join(f"named_struct('lon', {cx} + {x}D * {h}, 'lat', {cy} + {y}D * {h})"
+                                    for x, y in [*corners, corners[0]]) + ")"
+
+    def square(x0: float, y0: float, x1: float, y1: float) -> str:
+        return ring((x0, y0), (x1, y0), (x1, y1), (x0, y1))
+
+    whole = square(-1, -1, 1, 1)
+    kinds = [f"array(array({whole}, {square(-0.5, -0.5, 0.5, 0.5)}))",
+             f"array(array({ring((-1, -1), (1, 1), (1, -1), (-1, 1))}))",
+             f"array(array({ring((-1, -1), (1, -1), (1, 0), (3, 0), (1, 0), (1, 1), (-1, 1))}))",
+             f"array(array({whole}), array({square(0, 0, 2, 2)}))",
+             f"array(array({whole}, {square(0, -0.5, 2, 0.5)}))"]
+    cases = " ".join(f"WHEN {i} THEN {kind}" for i, kind in enumerate(kinds))
+    return sup.selectExpr("s_suppkey AS flood_id", f"CASE s_suppkey % 5 {cases} END AS polygons")
+
+
 def footprints(spark: SparkSession, base: str) -> DataFrame:
     """Satellite footprints: a 6-degree box per nation."""
     nat = read_table(spark, base, "nation", ["n_nationkey"])

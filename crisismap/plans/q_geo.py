@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from crisismap.functions import geometry as G
 from crisismap.functions.text import parse_created_at
 from crisismap.operators import posts as P
+from crisismap.operators import repair as RP
 from crisismap.operators import spatial as SP
 from crisismap.operators import stats as S
 from crisismap.plans import fixtures as fx
@@ -89,17 +92,87 @@ FIRE_HIT = """EXISTS (SELECT 1 FROM (SELECT struct_pack(longitude := lon, latitu
 FLAGS_SQL = f"ff AS (SELECT g.level, g.cell_id, {FLOOD_HIT} AS intersects FROM grid g)"
 FIREFLAGS_SQL = f"fi AS (SELECT g.level, g.cell_id, {FIRE_HIT} AS intersects FROM grid g)"
 
-_px, _py = G.albers_sql("lon", "lat")
-NEAR_FIRE_SQL = f"""nf AS (
-  SELECT g.level, g.cell_id, min({G.point_polygon_distance('h.hx', 'h.hy', 'g.pring', G.DUCK)}) AS min_distance
-  FROM (SELECT level, cell_id, {G.project_ring_sql('ring', 'EPSG:3310', G.DUCK)} AS pring FROM grid) g,
-       (SELECT DISTINCT {_px} AS hx, {_py} AS hy FROM fires) h
-  GROUP BY ALL)"""
-NEAR_FLOOD_SQL = f"""nd AS (
-  SELECT g.level, g.cell_id, min({G.polygon_polygon_distance('g.pring', 'h.hring', G.DUCK)}) AS min_distance
-  FROM (SELECT level, cell_id, {G.project_ring_sql('ring', 'EPSG:3035', G.DUCK)} AS pring FROM grid) g,
-       (SELECT {G.project_ring_sql('ring', 'EPSG:3035', G.DUCK)} AS hring FROM floods) h
-  GROUP BY ALL)"""
+# The SQL's own projections and distances share nothing with functions/geometry.py: inverse hyperbolic tangents for the authalic
+# latitude, tables of edges, and the convexity of the shapes.
+# GRS80; EPSG:3310 (parallels 34 and 40.5, meridian -120); EPSG:3035 (centre 10, 52).
+_A, _E2 = 6378137.0, 2 / 298.257222101 - 1 / 298.257222101 ** 2
+_E = math.sqrt(_E2)
+
+
+def _authalic(s: float) -> float:
+    return (1 - _E2) * (s / (1 - _E2 * s * s) + math.atanh(_E * s) / _E)
+
+
+def _authalic_sql(lat: str) -> str:
+    s = f"sin(radians({lat}))"
+    return f"({1 - _E2!r} * ({s} / (1 - {_E2!r} * {s} * {s}) + atanh({_E!r} * {s}) / {_E!r}))"
+
+
+def _parallel(lat: float) -> float:
+    s = math.sin(math.radians(lat))
+    return math.cos(math.radians(lat)) / math.sqrt(1 - _E2 * s * s)
+
+
+def projected_sql(crs: int, lon: str, lat: str) -> tuple[str, str]:
+    """DuckDB expressions of the x and y of a place."""
+    q = _authalic_sql(lat)
+    if crs == 3857:
+        return f"({_A!r} * radians({lon}))", f"({_A!r} * ln(tan(pi() / 4 + radians({lat}) / 2)))"
+    if crs == 3310:
+        q1, q2 = (_authalic(math.sin(math.radians(v))) for v in (34.0, 40.5))
+        n = (_parallel(34.0) ** 2 - _parallel(40.5) ** 2) / (q2 - q1)
+        c = _parallel(34.0) ** 2 + n * q1
+        radius, turn = f"({_A / n!r} * sqrt({c!r} - {n!r} * {q}))", f"({n!r} * radians({lon} + 120))"
+        return f"({radius} * sin({turn}))", f"({_A / n * math.sqrt(c)!r} - {radius} * cos({turn}) - 4000000)"
+    pole, centre = _authalic(1.0), math.asin(_authalic(math.sin(math.radians(52.0))) / _authalic(1.0))
+    size = _A * math.sqrt(pole / 2)
+    ratio = _A * _parallel(52.0) / (size * math.cos(centre))
+    lift, turn = f"asin({q} / {pole!r})", f"radians({lon} - 10)"
+    scale = (f"({size!r} * sqrt(2 / (1 + {math.sin(centre)!r} * sin({lift}) + {math.cos(centre)!r} * cos({lift}) * cos({turn}))))")
+    return (f"(4321000 + {scale} * {ratio!r} * cos({lift}) * sin({turn}))",
+            f"(3210000 + {scale} / {ratio!r} * ({math.cos(centre)!r} * sin({lift}) - {math.sin(centre)!r} * cos({lift}) * cos({turn})))")
+
+
+def _segment_sql(px: str, py: str, e: str) -> str:
+    """Distance of a point from the edge (ax, ay, bx, by) of ``e``."""
+    dx, dy = f"({e}.bx - {e}.ax)", f"({e}.by - {e}.ay)"
+    t = f"greatest(0, least(1, (({px} - {e}.ax) * {dx} + ({py} - {e}.ay) * {dy}) / ({dx} * {dx} + {dy} * {dy})))"
+    return f"sqrt(pow({px} - {e}.ax - {t} * {dx}, 2) + pow({py} - {e}.ay - {t} * {dy}, 2))"
+
+
+def _ray_sql(px: str, py: str, e: str) -> str:
+    return f"(({e}.ay > {py}) <> ({e}.by > {py}) AND {px} < {e}.ax + ({py} - {e}.ay) / nullif({e}.by - {e}.ay, 0) * ({e}.bx - {e}.ax))"
+
+
+def _side_sql(e: str, px: str, py: str) -> str:
+    return f"sign(({e}.bx - {e}.ax) * ({py} - {e}.ay) - ({e}.by - {e}.ay) * ({px} - {e}.ax))"
+
+
+def _cell_edges_sql(crs: int) -> str:
+    (ax, ay), (bx, by) = projected_sql(crs, "(x0 + u1)", "(y0 + v1)"), projected_sql(crs, "(x0 + u2)", "(y0 + v2)")
+    return f"""k(shape, no, u1, v1, u2, v2) AS (VALUES ('sq', 1, 0, 0, 2, 0), ('sq', 2, 2, 0, 2, 2), ('sq', 3, 2, 2, 0, 2), ('sq', 4, 0, 2, 0, 0),
+  ('a', 1, 0, 0, 2, 0), ('a', 2, 2, 0, 2, 2), ('a', 3, 2, 2, 0, 0), ('b', 1, 0, 0, 2, 2), ('b', 2, 2, 2, 0, 2), ('b', 3, 0, 2, 0, 0)),
+ce AS (SELECT level, cell_id, no, {ax} AS ax, {ay} AS ay, {bx} AS bx, {by} AS by FROM grid JOIN k USING (shape))"""
+
+
+_px, _py = projected_sql(3310, "lon", "lat")
+NEAR_FIRE_SQL = f"""{_cell_edges_sql(3310)},
+h AS (SELECT DISTINCT {_px} AS hx, {_py} AS hy FROM fires),
+hd AS (SELECT level, cell_id, min({_segment_sql('hx', 'hy', 'ce')}) AS dist, count(*) FILTER (WHERE {_ray_sql('hx', 'hy', 'ce')}) AS rays
+       FROM ce CROSS JOIN h GROUP BY level, cell_id, hx, hy),
+nf AS (SELECT level, cell_id, min(CASE WHEN rays % 2 = 1 THEN 0 ELSE dist END) AS min_distance FROM hd GROUP BY ALL)"""
+_fa, _fb = projected_sql(3035, "(cx + u1 * half)", "(cy + v1 * half)"), projected_sql(3035, "(cx + u2 * half)", "(cy + v2 * half)")
+NEAR_FLOOD_SQL = f"""{_cell_edges_sql(3035)},
+w(no, u1, v1, u2, v2) AS (VALUES (1, -1, -1, 1, -1), (2, 1, -1, 1, 1), (3, 1, 1, -1, 1), (4, -1, 1, -1, -1)),
+fe AS (SELECT flood_id, no, {_fa[0]} AS ax, {_fa[1]} AS ay, {_fb[0]} AS bx, {_fb[1]} AS by FROM floods CROSS JOIN w),
+pd AS (SELECT level, cell_id, min(least({_segment_sql('fe.ax', 'fe.ay', 'ce')}, {_segment_sql('ce.ax', 'ce.ay', 'fe')})) AS dist,
+         bool_or({_side_sql('ce', 'fe.ax', 'fe.ay')} * {_side_sql('ce', 'fe.bx', 'fe.by')} < 0
+             AND {_side_sql('fe', 'ce.ax', 'ce.ay')} * {_side_sql('fe', 'ce.bx', 'ce.by')} < 0) AS crossed,
+         count(*) FILTER (WHERE fe.no = 1 AND {_ray_sql('fe.ax', 'fe.ay', 'ce')}) AS in_cell,
+         count(*) FILTER (WHERE ce.no = 1 AND {_ray_sql('ce.ax', 'ce.ay', 'fe')}) AS in_flood
+       FROM ce CROSS JOIN fe GROUP BY level, cell_id, flood_id),
+nd AS (SELECT level, cell_id, min(CASE WHEN crossed OR in_cell % 2 = 1 OR in_flood % 2 = 1 THEN 0 ELSE dist END) AS min_distance
+       FROM pd GROUP BY ALL)"""
 
 
 # ------------------------------------------------------------------ step 3 --
@@ -179,6 +252,22 @@ def intersects_holed_flood_q(spark, base):
     return SP.intersects_any(fx.grid(spark), floods, hazard_ring="ring", flag="intersects").select("level", "cell_id", "intersects")
 
 
+@register("repaired_floods", sql="""
+SELECT s_suppkey AS flood_id, s_suppkey % 5 = 0 AS valid, CAST(CASE WHEN s_suppkey % 5 IN (0, 2) THEN 1 ELSE 2 END AS INTEGER) AS parts,
+  CAST(CASE WHEN s_suppkey % 5 = 2 THEN 1 ELSE 2 END AS INTEGER) AS rings,
+  round(h * h * [3, 2, 4, 6, 4][s_suppkey % 5 + 1], 9) AS area
+FROM (SELECT s_suppkey, CAST(0.25 * (1 + s_suppkey % 11) AS DOUBLE) AS h FROM supplier)""")
+def repaired_floods_q(spark, base):
+    """F8 + G3: flood polygons with bow-ties, spikes, overlapping parts and holes that stick out, made valid by even-odd area."""
+    out = RP.make_valid(fx.faulty_floods(spark, base))
+    size = """abs(aggregate(sequence(1, size(r) - 1), 0D, (a, i) -> a + (r[i - 1].lon * r[i].lat - r[i].lon * r[i - 1].lat) / 2))"""
+    # a polygon's outer ring less its holes, whichever way they run
+    area = F.expr(f"""aggregate(polygons, 0D, (s, p) -> s + aggregate(transform(p, r -> {size}), 0D, (t, x) -> t - x)
+        + 2 * aggregate(transform(slice(p, 1, 1), r -> {size}), 0D, (t, x) -> t + x))""")
+    return out.select("flood_id", "valid", F.size("polygons").alias("parts"), F.size(F.flatten("polygons")).alias("rings"),
+                      F.round(area, 9).alias("area"))
+
+
 @register("nearest_flood", views=("grid", "floods"), sql=f"""
 WITH {NEAR_FLOOD_SQL} SELECT level, cell_id, round(min_distance, 3) AS min_distance FROM nd""")
 def nearest_flood_q(spark, base):
@@ -219,9 +308,50 @@ def polygon_region_filter_q(spark, base):
     return SP.polygon_filter(P.with_points(fx.posts(spark, base)), REGION).select("cid", "crawl_seq")
 
 
-_m = G.mercator_sql("lon", "lat")
-_l = G.laea_sql("lon", "lat")
-_a = G.albers_sql("lon", "lat")
+def _crossings_sql(points: str, edges: str, keys: str) -> str:
+    """Of each point (x, y), whether it lies in an outline of great circles: crossings of its meridian with the edges
+    (x1, y1, x2, y2) north of it, by the latitude at which an edge meets the meridian; west to east, no 180th meridian."""
+    return f"""
+SELECT {keys}, count(*) FILTER (WHERE (x1 > x) <> (x2 > x) AND meets > y) % 2 = 1
+    OR bool_or((x1 = x AND y1 = y) OR (x1 = x AND x2 = x AND y BETWEEN least(y1, y2) AND greatest(y1, y2))) AS inside
+FROM (SELECT *, CASE WHEN x1 <> x2 THEN degrees(atan((tan(radians(y1)) * sin(radians(x2 - x)) + tan(radians(y2)) * sin(radians(x - x1)))
+        / sin(radians(x2 - x1)))) END AS meets FROM {points} CROSS JOIN {edges}) GROUP BY {keys}"""
+
+
+_X0, _Y0, _X1, _Y1 = P.EUROPE_BOX
+MOVED = 165.0
+
+
+@register("sphere_box_points", views=("posts",), sql=f"""
+WITH {PP_SQL}, p AS (SELECT cid, crawl_seq, k, pt.longitude AS x, pt.latitude AS y FROM pp),
+e(x1, y1, x2, y2) AS (SELECT CAST(a AS DOUBLE), CAST(b AS DOUBLE), CAST(c AS DOUBLE), CAST(d AS DOUBLE) FROM (VALUES
+  ({_X0}, {_Y0}, {_X1}, {_Y0}), ({_X1}, {_Y0}, {_X1}, {_Y1}), ({_X1}, {_Y1}, {_X0}, {_Y1}), ({_X0}, {_Y1}, {_X0}, {_Y0})) t(a, b, c, d)),
+s AS ({_crossings_sql("p", "e", "cid, crawl_seq, k, x, y")})
+SELECT cid, crawl_seq, CAST(k AS INTEGER) AS k, x BETWEEN {_X0} AND {_X1} AND y BETWEEN {_Y0} AND {_Y1} AS planar,
+  inside AS sphere, inside AS moved FROM s""")
+def sphere_box_points_q(spark, base):
+    """F4 both ways: each post point in the region box as a plane rectangle and as a polygon on the sphere, and the
+    latter with all longitudes moved so that the box lies over the 180th meridian."""
+    pts = post_points(spark, base)
+    over = tuple((v + MOVED + 180) % 360 - 180 if i % 2 == 0 else v for i, v in enumerate(P.EUROPE_BOX))
+    one = pts.withColumn("one", F.array(F.struct("lon", "lat"))).withColumn(
+        "far", F.array(F.struct((F.pmod(F.col("lon") + F.lit(MOVED + 180), F.lit(360.0)) - 180).alias("lon"), "lat")))
+    return one.select("cid", "crawl_seq", "k", P.in_box("one").alias("planar"), P.in_sphere_box("one").alias("sphere"),
+                      P.in_sphere_box("far", over).alias("moved"))
+
+
+@register("sphere_region_filter", views=("posts",), sql=f"""
+WITH {PP_SQL}, p AS (SELECT DISTINCT cid, crawl_seq, pt.longitude AS x, pt.latitude AS y FROM pp),
+e(x1, y1, x2, y2) AS (SELECT CAST(a AS DOUBLE), CAST(b AS DOUBLE), CAST(c AS DOUBLE), CAST(d AS DOUBLE)
+                      FROM (VALUES {_REGION_EDGES}) t(a, b, c, d)),
+s AS ({_crossings_sql("p", "e", "cid, crawl_seq, x, y")})
+SELECT DISTINCT cid, crawl_seq FROM s WHERE inside""")
+def sphere_region_filter_q(spark, base):
+    """F5 + G2 on the sphere: posts with a point in the concave region, its edges being great circles."""
+    return SP.sphere_polygon_filter(P.with_points(fx.posts(spark, base)), [REGION]).select("cid", "crawl_seq")
+
+
+_m, _l, _a = (projected_sql(crs, "lon", "lat") for crs in (3857, 3035, 3310))
 
 
 @register("project_points", views=("fires",), sql=f"""
