@@ -17,6 +17,7 @@ from pyspark.sql.types import (ArrayType, BinaryType, DoubleType, IntegerType, S
                                StructType)
 
 from crisismap.functions.text import fire_timestamp
+from crisismap.sources.geojson import RANGE_BYTES, can_open, feature_texts, file_name_of, list_files
 
 _PT = StructType([StructField("lon", DoubleType()), StructField("lat", DoubleType())])
 GEOMETRY = StructType([
@@ -140,15 +141,12 @@ FLOOD_GROUPS = ("equi7grid_cont", "equi7grid_tile_id", "sensing_date", "polarisa
 FOOTPRINT_NAME = r"^([A-Za-z]+)_([A-Za-z0-9]+)_sentinel-1_footprint_([0-9]+)_([0-9]+)\.geojson$"
 FOOTPRINT_GROUPS = ("equi7grid_cont", "equi7grid_tile_id", "unique_id", "file_date")
 
-_FC = StructType([
+_FEATURE = StructType([
     StructField("type", StringType()),
-    StructField("features", ArrayType(StructType([
-        StructField("type", StringType()),
-        StructField("properties", StringType()),
-        StructField("geometry", StructType([StructField("type", StringType()),
-                                            StructField("coordinates", StringType())])),
-    ]))),
+    StructField("properties", StringType()),
+    StructField("geometry", StructType([StructField("type", StringType()), StructField("coordinates", StringType())])),
 ])
+_FC = StructType([StructField("type", StringType()), StructField("features", ArrayType(_FEATURE))])
 
 
 def _rings_from_json(coords: Column, gtype: Column) -> Column:
@@ -161,13 +159,24 @@ def _rings_from_json(coords: Column, gtype: Column) -> Column:
     return F.when(gtype == "Polygon", F.array(one)).when(gtype == "MultiPolygon", many), poly, multi
 
 
-def scan_geojson(spark: SparkSession, root: str) -> DataFrame:
-    """Every ``*.geojson`` (any case) under ``root``: one row per feature with file name and polygons."""
-    raw = (spark.read.schema(_FC).option("multiLine", True).option("recursiveFileLookup", True)
-           .option("mode", "PERMISSIVE").json(root)
-           .withColumn("file_name", F.col("_metadata.file_name")))
-    raw = raw.where(F.lower("file_name").endswith(".geojson"))
-    feats = raw.select("file_name", F.explode_outer("features").alias("f"))
+def scan_geojson(spark: SparkSession, root: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Every ``*.geojson`` (any case) under ``root``: one row per feature with file name and polygons.
+
+    Files are read by byte ranges, many tasks to a large one. A file without features gives no row; a feature that breaks
+    off at its file's end gives one with its file name only. Where only Spark can open the files, each is
+    read whole by one task, and one that isn't JSON gives a row with its name only.
+    """
+    first = list_files(spark, root).first()
+    if first is None or can_open(first["path"]):
+        schema = StructType([*_FEATURE.fields, StructField("_broken", StringType())])
+        parsed = F.from_json("feature", schema, {"columnNameOfCorruptRecord": "_broken"})
+        feats = feature_texts(spark, root, range_bytes).select(file_name_of("path").alias("file_name"), parsed.alias("f")).where(
+            "f.type = 'Feature' OR f._broken IS NOT NULL")
+    else:
+        raw = (spark.read.schema(_FC).option("multiLine", True).option("recursiveFileLookup", True)
+               .option("mode", "PERMISSIVE").json(root).withColumn("file_name", F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))))
+        raw = raw.where(F.lower("file_name").endswith(".geojson"))
+        feats = raw.where("features IS NULL OR size(features) > 0").select("file_name", F.explode_outer("features").alias("f"))
     gtype = F.col("f.geometry.type")
     coords = F.col("f.geometry.coordinates")
     expr, poly, multi = _rings_from_json(coords, gtype)
@@ -186,7 +195,7 @@ def read_flood_delineations(spark: SparkSession, root: str) -> tuple[DataFrame,
     """S5 + P12 + T8/T9: (delineations, footprints, unmatched file report).
 
     File-level attributes come from the name via the two fixed patterns;
-    files matching neither are reported (A21), not read as data.
+    files matching neither are reported (A21) from the listing, not read as data.
     """
     feats = scan_geojson(spark, root)
     is_flood = F.col("file_name").rlike(FLOOD_NAME)
@@ -197,7 +206,7 @@ def read_flood_delineations(spark: SparkSession, root: str) -> tuple[DataFrame,
     fp = _attach(feats.where(~is_flood & is_fp), FOOTPRINT_NAME, FOOTPRINT_GROUPS)
     fp = fp.withColumn("file_date", F.to_date("file_date", "yyyyMMdd")).withColumnRenamed("polygons",
                                                                                           "footprint_polygons")
-    unmatched = feats.where(~is_flood & ~is_fp).select("file_name").distinct()
+    unmatched = list_files(spark, root).select(file_name_of("path").alias("file_name")).where(~is_flood & ~is_fp).distinct()
     return flood, fp, unmatched
 
 
