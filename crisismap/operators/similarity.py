@@ -1,11 +1,9 @@
 """Vector similarity operators.
 
-Similarity of every text to every query is computed without a join: the
-query vectors (a small, size-checked table) are gathered into one array,
-attached to each text row by a one-row scalar join, and scored with
-higher-order functions. Only the hits above the threshold are exploded.
-Query sets beyond the bound are split into blocks, each text row scoring
-one block at a time, so the work stays exact and distributed.
+Query vectors are gathered into blocks, arrays of bounded length with their norms beside them. Each text
+row is scored against a whole block with higher-order functions, and only the hits above the
+threshold are exploded. The blocks are broadcast if their bytes are counted and small; beyond that
+texts meet blocks by a join on block and salt, so a task holds one block at a time. Exact in both cases.
 """
 
 from __future__ import annotations
@@ -13,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crisismap.session import bounded_rows
+from crisismap.session import bounded_rows, maybe_broadcast
 
 MAX_QUERIES_PER_BLOCK = 4096
+# Of one block, so many parts of the texts are scored side by side where blocks aren't broadcast.
+SALTS_A_BLOCK = 64
 
 
 def dot_expr(a: str, b: str) -> str:
@@ -32,28 +32,35 @@ def cosine(a: str, b: str) -> Column:
     return F.expr(f"CASE WHEN {den} = 0 THEN 0D ELSE {dot_expr(a, b)} / {den} END")
 
 
-def _query_blocks(queries: DataFrame, qkey: str, qvec: str) -> DataFrame:
-    """Query vectors gathered into arrays of at most MAX_QUERIES_PER_BLOCK (one row per block)."""
-    q = queries.select(F.col(qkey).alias("qid"), F.col(qvec).alias("qv"))
-    if bounded_rows(q, MAX_QUERIES_PER_BLOCK):
-        q = q.withColumn("_blk", F.lit(0))
-    else:
-        n = q.count()
-        blocks = -(-n // MAX_QUERIES_PER_BLOCK)
-        q = q.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    return q.groupBy("_blk").agg(F.collect_list(F.struct("qid", "qv")).alias("_qs"))
+def _query_blocks(queries: DataFrame, qkey: str, qvec: str) -> tuple[DataFrame, int]:
+    """Query vectors and norms gathered into arrays of about MAX_QUERIES_PER_BLOCK (one row per block), and how many."""
+    q = queries.select(F.col(qkey).alias("qid"), F.col(qvec).alias("qv"), F.expr(norm_expr(f"`{qvec}`")).alias("qn"))
+    blocks = 1 if bounded_rows(q, MAX_QUERIES_PER_BLOCK) else -(-q.count() // MAX_QUERIES_PER_BLOCK)
+    q = q.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int") if blocks > 1 else F.lit(0))
+    return q.groupBy("_blk").agg(F.collect_list(F.struct("qid", "qv", "qn")).alias("_qs")), blocks
 
 
-def similarities(texts: DataFrame, queries: DataFrame, key: str, vec: str, qkey: str = "query_id",
-                 qvec: str = "embedding", threshold: float | None = None) -> DataFrame:
-    """``(key, qid, sim)`` for every text x query with sim > threshold (all pairs if None)."""
-    blocks = _query_blocks(queries, qkey, qvec)
+def _with_blocks(texts: DataFrame, queries: DataFrame, key: str, vec: str, qkey: str, qvec: str) -> DataFrame:
+    """``(key, _tv, _tn, _qs)``: every text with every block of queries."""
     t = texts.select(F.col(key), F.col(vec).alias("_tv")).withColumn("_tn", F.expr(norm_expr("_tv")))
-    scored = t.crossJoin(F.broadcast(blocks)).select(key, F.expr(
-        f"transform(_qs, q -> named_struct('qid', q.qid, 'sim', CASE WHEN _tn * {norm_expr('q.qv')} = 0 THEN 0D "
-        f"ELSE {dot_expr('_tv', 'q.qv')} / (_tn * {norm_expr('q.qv')}) END))").alias("_s"))
-    if threshold is not None:
-        scored = scored.select(key, F.filter("_s", lambda s: s["sim"] > F.lit(threshold)).alias("_s"))
+    gathered, blocks = _query_blocks(queries, qkey, qvec)
+    small, proven = maybe_broadcast(gathered)
+    if proven:
+        return t.crossJoin(small.select("_qs"))
+    numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
+    salted = t.withColumn("_blk", F.explode(numbers)).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS_A_BLOCK)))
+    spread = gathered.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS_A_BLOCK - 1).cast("long"))))
+    return salted.join(spread, ["_blk", "_salt"]).drop("_blk", "_salt")
+
+
+SIM = (f"CASE WHEN _tn * q.qn = 0 THEN 0D ELSE {dot_expr('_tv', 'q.qv')} / (_tn * q.qn) END")
+
+
+def similarities(texts: DataFrame, queries: DataFrame, key: str, vec: str, qkey: str = "query_id",
+                 qvec: str = "embedding", threshold: float = 0.7) -> DataFrame:
+    """``(key, qid, sim)`` for every text x query with sim > threshold."""
+    scored = _with_blocks(texts, queries, key, vec, qkey, qvec).select(key, F.expr(
+        f"filter(transform(_qs, q -> named_struct('qid', q.qid, 'sim', {SIM})), s -> s.sim > {float(threshold)!r}D)").alias("_s"))
     return scored.select(key, F.explode("_s").alias("_x")).select(key, F.col("_x.qid").alias("qid"),
                                                                    F.col("_x.sim").alias("sim"))
 
@@ -61,12 +68,8 @@ def similarities(texts: DataFrame, queries: DataFrame, key: str, vec: str, qkey:
 def best_match(texts: DataFrame, queries: DataFrame, key: str, vec: str, qkey: str = "query_id",
                qvec: str = "embedding", threshold: float = 0.7) -> DataFrame:
     """Argmax query per text (first query id wins ties); -1 when the best is <= threshold."""
-    blocks = _query_blocks(queries, qkey, qvec)
-    t = texts.select(F.col(key), F.col(vec).alias("_tv")).withColumn("_tn", F.expr(norm_expr("_tv")))
-    scored = t.crossJoin(F.broadcast(blocks)).select(key, F.expr(
-        f"array_max(transform(_qs, q -> named_struct('sim', CASE WHEN _tn * {norm_expr('q.qv')} = 0 THEN 0D "
-        f"ELSE {dot_expr('_tv', 'q.qv')} / (_tn * {norm_expr('q.qv')}) END, 'neg', -q.qid, 'qid', q.qid)))"
-    ).alias("_b"))
+    scored = _with_blocks(texts, queries, key, vec, qkey, qvec).select(key, F.expr(
+        f"array_max(transform(_qs, q -> named_struct('sim', {SIM}, 'neg', -q.qid, 'qid', q.qid)))").alias("_b"))
     # several blocks: combine per text (max over structs keeps the same tie rule)
     best = scored.groupBy(key).agg(F.max("_b").alias("_b"))
     return best.select(key, F.col("_b.sim").alias("best_sim"),
