@@ -27,6 +27,7 @@ EM_ROUNDS = 3
 SMOOTHING = 0.05
 CACHE_WORDS = 300_000
 CACHE_CHARS = 20_000_000
+BATCH_WORDS = 8_000
 BATCH_CHARS = 320_000
 BATCH_ENTRIES = 1_000_000
 COUNTED_WORDS = 200_000
@@ -107,6 +108,7 @@ class Lattice:
             "".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
         self.codes = np.ascontiguousarray(codes.T)
         self.spans = -(-self.length // LONGEST_PIECE)
+        self.window = min(2 * LONGEST_PIECE, self.length + 1)
         self.block = max(1, BATCH_CHARS // self.words // LONGEST_PIECE)  # spans
         self.held: tuple[int, list] = (-1, [])
 
@@ -121,14 +123,15 @@ class Lattice:
         places = min(self.block * LONGEST_PIECE, self.length - first)
         at: list[list] = [[] for _ in range(places)]
         key = np.zeros((places, self.words), np.uint64)
-        for size in range(1, LONGEST_PIECE + 1):
-            key = key * Pieces.BASE + self.codes[first + size - 1:first + size - 1 + places]
+        for size in range(1, min(LONGEST_PIECE, self.length - first) + 1):
+            fit = min(places, self.length - first - size + 1)
+            key = key[:fit] * Pieces.BASE + self.codes[first + size - 1:first + size - 1 + fit]
             found = self.pieces.find(key.ravel()).reshape(key.shape)
             if size == 1:
                 found = np.where(found < 0, UNKNOWN, found)
             place, row = np.nonzero(found >= 0)
-            piece, bounds = found[place, row], np.searchsorted(place, np.arange(places + 1)).tolist()
-            for i in range(places):
+            piece, bounds = found[place, row], np.searchsorted(place, np.arange(fit + 1)).tolist()
+            for i in range(fit):
                 if bounds[i] < bounds[i + 1]:
                     here, some = i % LONGEST_PIECE, slice(bounds[i], bounds[i + 1])
                     at[i].append((here, here + size, row[some], piece[some]))
@@ -144,7 +147,7 @@ class Lattice:
         """Of each word and language, the log of the total probability of all cuts (``probability``: pieces by
         languages)."""
         out, scales = np.zeros((2, self.words, probability.shape[1]))
-        value = np.zeros((2 * LONGEST_PIECE, self.words, probability.shape[1]))
+        value = np.zeros((self.window, self.words, probability.shape[1]))
         value[0] = 1.0
         for span in range(self.spans):
             for i, j, rows, found in self.edges(span):  # in order of i, so value[i] is complete
@@ -166,7 +169,7 @@ class Lattice:
     def expected(self, probability: np.ndarray, language: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> None:
         """Add to ``counts`` (pieces by languages) how often each piece is used, if word w of a language occurs
         ``weight`` times."""
-        value = np.zeros((2 * LONGEST_PIECE, self.words))
+        value = np.zeros((self.window, self.words))
         value[0] = 1.0
         entered, ahead = [], []  # of each span, what came from those before, and all
         for span in range(self.spans):
@@ -174,8 +177,9 @@ class Lattice:
             for i, j, rows, found in self.edges(span):
                 value[j][rows] += value[i][rows] * probability[found, language[rows]]
             ahead.append(value[:LONGEST_PIECE].copy())
-            _shift(value, value[LONGEST_PIECE:].max(axis=0))
-        behind = np.zeros((2 * LONGEST_PIECE, self.words))
+            if span + 1 < self.spans:
+                _shift(value, value[LONGEST_PIECE:].max(axis=0))
+        behind = np.zeros((self.window, self.words))
         where, used, held = [], [], 0
         for span in reversed(range(self.spans)):
             rows, end = self._ending(span)
@@ -192,8 +196,10 @@ class Lattice:
                 where.append(number)
                 used.append(flow * scale[rows])
                 held += rows.size
-            behind[LONGEST_PIECE:] = behind[:LONGEST_PIECE] / np.where(behind[0] > 0, behind[0], 1.0)
-            behind[:LONGEST_PIECE] = 0.0
+            if span:
+                after = behind[:self.window - LONGEST_PIECE] / np.where(behind[0] > 0, behind[0], 1.0)
+                behind[:LONGEST_PIECE] = 0.0
+                behind[LONGEST_PIECE:] = after
             if held > BATCH_ENTRIES or span == 0:
                 counts += np.bincount(np.concatenate(where), np.concatenate(used), counts.size).reshape(counts.shape)
                 where, used, held = [], [], 0
@@ -202,8 +208,9 @@ class Lattice:
 def _shift(value: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """Move a window on by a span, divided by ``scale`` (1 where that is zero), which is returned."""
     scale = np.where(scale > 0, scale, 1.0)
-    value[:LONGEST_PIECE] = value[LONGEST_PIECE:] / scale
-    value[LONGEST_PIECE:] = 0.0
+    rest = value[LONGEST_PIECE:] / scale
+    value[:] = 0.0
+    value[:len(rest)] = rest
     return scale
 
 
@@ -214,7 +221,7 @@ def by_length(texts: Sequence[str]) -> Iterator[list[int]]:
     while at < len(order):
         stop, longest = at, len(texts[order[at]]) * 9 // 8
         while (stop < len(order) and len(texts[order[stop]]) <= longest
-               and (stop == at or (stop - at) * len(texts[order[stop]]) < BATCH_CHARS)):
+               and (stop == at or (stop - at < BATCH_WORDS and (stop - at) * len(texts[order[stop]]) < BATCH_CHARS))):
             stop += 1
         yield order[at:stop]
         at = stop
