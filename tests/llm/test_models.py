@@ -121,6 +121,56 @@ def test_toxicity_held_out(spark):
     assert right >= 0.95 * len(apart)
 
 
+def plain_logit(model, text):
+    """The bias, each present term's weight, and the product of the factors of each pair of present terms."""
+    present = sorted({t for w in T.words(text) for t in T.word_terms(w)} & set(model.terms.tolist()))
+    at = [int(np.flatnonzero(model.terms == t)[0]) for t in present]
+    pairs = sum(float(model.factors[a] @ model.factors[b]) for i, a in enumerate(at) for b in at[i + 1:])
+    return model.bias + sum(float(model.weights[a]) for a in at) + pairs
+
+
+def test_scores_are_sums_over_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"word{i}x" for i in range(30)]
+    terms = np.unique([t for w in vocabulary[:20] for t in T.word_terms(w)])
+    model = T.Model(terms, rng.normal(0, 0.3, terms.size), rng.normal(0, 0.3, (terms.size, T.FACTORS)), -0.4)
+    texts = [" ".join(rng.choice(vocabulary, n)) for n in (1, 2, 5, 20, 300, 3000)] + ["", "nothing known"]
+    want = [1 / (1 + math.exp(-plain_logit(model, t))) for t in texts]
+    assert np.allclose(model.scores(texts), want, atol=1e-12)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.score, r.predicted) for r in T.score(docs, model).collect()}
+    assert all(abs(got[i][0] - w) < 1e-12 and got[i][1] == int(w >= 0.3) for i, w in enumerate(want))
+
+
+def test_a_step_follows_the_gradient():
+    """One batch moves weights, factors and bias against differences of the written-out loss."""
+    docs, labels = [["good", "day"], ["bad", "day"], ["bad", "cat", "day"]], np.array([0.0, 1.0, 0.0])
+    terms = [np.unique([t for w in d for t in T.word_terms(w)]) for d in docs]
+    kept = np.unique(np.concatenate(terms))
+
+    def loss(model):
+        logits = np.array([plain_logit(model, " ".join(d)) for d in docs])
+        shrink = T.SHRINK / 2 * ((model.weights ** 2).sum() + (model.factors ** 2).sum())
+        return float((np.log1p(np.exp(logits)) - labels * logits).sum()) + shrink
+
+    def after(epochs):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(T, "EPOCHS", epochs)
+            return T._fitted(terms, labels, kept)
+
+    start, one = after(0), after(1)
+    for name, rate in (("weights", T.RATE), ("factors", T.RATE * 0.3)):
+        values, moved = getattr(start, name), getattr(one, name)
+        for at in np.ndindex(values.shape):
+            old, sides = values[at], []
+            for d in (1e-6, -1e-6):
+                values[at] = old + d
+                sides.append(loss(start))
+            values[at] = old
+            g = (sides[0] - sides[1]) / 2e-6
+            assert abs(moved[at] - (old - rate * g / math.sqrt(g * g + 1e-6))) < 1e-4, (name, at)
+
+
 def test_pairs_count_that_linear_weights_miss():
     # either word alone is toxic, the two together are not: no sum of single weights says so
     docs = [("bad", "cat")] * 300 + [("bad",)] * 300 + [("cat",)] * 300 + [("dog",)] * 900

@@ -1,8 +1,10 @@
 import hashlib
+import math
 import random
 import re
 
 from llm_fixtures import edge, empty  # noqa: F401
+from pyspark.sql import functions as F
 
 from crisismap.llm import pii as K
 
@@ -47,6 +49,60 @@ def test_base_spans_by_definition(spark):
     assert any("phone" in r.spans and not r.n_phone for r in rows)  # spans that only the classifier adds
 
 
+def plain_em(rows, rounds):
+    """Posterior of each pattern and the labelers' reliabilities, written out over (kind, votes, n)."""
+    p = [1 / (1 + math.exp(-sum(votes))) for _, votes, _ in rows]
+    for _ in range(rounds):
+        weight = [[n * (1 - q), n * q] for (_, _, n), q in zip(rows, p)]
+
+        def total(y, want):
+            return sum(w[y] for (kind, votes, _), w in zip(rows, weight) if want(kind, votes))
+
+        def share(y, j, v):
+            return (total(y, lambda _, votes: votes[j] == v) + 1) / (total(y, lambda *_: True) + 3)
+
+        def odds(kind, votes):
+            prior = (total(1, lambda k, _: k == kind) + 1) / (total(0, lambda k, _: k == kind) + 1)
+            return math.log(prior) + sum(math.log(share(1, j, v) / share(0, j, v)) for j, v in enumerate(votes))
+
+        right = [total(1, lambda _, v: v[j] == 1) + total(0, lambda _, v: v[j] == -1) for j in range(len(K.LABELERS))]
+        spoken = [sum(total(y, lambda _, v: v[j] != 0) for y in (0, 1)) for j in range(len(K.LABELERS))]
+        p = [1 / (1 + math.exp(-odds(kind, votes))) for kind, votes, _ in rows]
+    return p, [(r + 1) / (s + 2) for r, s in zip(right, spoken)]
+
+
+def test_em_equals_plain_sums(spark):
+    rng = random.Random(2)
+    rows = [(i % 4, [rng.choice((-1, 0, 1)) for _ in K.LABELERS], float(rng.randint(1, 50))) for i in range(60)]
+    patterns = spark.createDataFrame([(i, kind, *votes, n) for i, (kind, votes, n) in enumerate(rows)],
+                                     f"i int, kind int, {', '.join(f'{j} int' for j in K.LABELERS)}, n double").coalesce(1)
+    for rounds in (1, 4):
+        p, reliability = K._posterior(patterns, rounds)
+        got = dict(patterns.select("i", p.alias("p")).collect())
+        want, sure = plain_em(rows, rounds)
+        assert all(abs(got[i] - q) < 1e-9 for i, q in enumerate(want))
+        assert all(abs(reliability[j] - r) < 1e-9 for j, r in zip(K.LABELERS, sure))
+
+
+def test_added_spans_are_those_the_classifier_takes(spark):
+    random.seed(9)
+    docs = spark.createDataFrame([(i, " ".join(random.choice(PARTS) for _ in range(8))) for i in range(400)], "doc_id long, text string")
+    found = K.candidates(docs, "found")
+    model = K.train(found, "found")
+    added = 0
+    for r in found.select("found", K.accepted(F.col("found"), model).alias("taken")).collect():
+        base = [s for s in r.found if s.base]
+        want = list(base)
+        for s in r.found:
+            logit = model.intercept + sum(w * (float(s.kind == K.KINDS.index(name[3:])) if name.startswith("is_") else s[name])
+                                          for name, w in model.weights.items())
+            if not s.base and 1 / (1 + math.exp(-logit)) >= K.ACCEPT_AT and all(s.end <= b.start or b.end <= s.start for b in base):
+                want.append(s)
+        assert sorted(map(tuple, r.taken)) == sorted(map(tuple, want))
+        added += len(want) - len(base)
+    assert added
+
+
 def test_long_runs_end(spark):
     docs = [(1, "a" * 200_000), (2, "1 " * 50_000), (3, "9" * 100_000), (4, "+1" + " 2" * 30_000), (5, "a@b.cc " * 1500),
             (6, "a." * 50_000 + "@" + "b." * 30_000 + "c")]
