@@ -220,7 +220,8 @@ def with_topic_label(df: DataFrame, topics: DataFrame, label: str = "topic_id")
 
 
 def word_counts(df: DataFrame, stop: DataFrame, text: str = "text", n: int = 200) -> DataFrame:
-    """Word frequencies of posts without stop words, pure digits or a trailing 's.
+    """Word frequencies of posts without stop words, pure digits or a trailing 's; a plural in s counts as
+    its singular if that occurs.
 
     The per-token clean-up is done once per text: tokens are maximal runs of
     word characters and apostrophes, so stripping "'s" at a run end and then
@@ -234,5 +235,7 @@ def word_counts(df: DataFrame, stop: DataFrame, text: str = "text", n: int = 200
         F.explode(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]{2,}"), 0)).alias("word"))
     toks = toks.where(F.translate("word", "0123456789", "") != "")
     toks = toks.join(maybe_broadcast(stop.select("word"))[0], "word", "left_anti")
-    counts = toks.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    # a stem has its singular and its plural at the most, of which the singular comes first
+    stem = F.when(F.col("word").endswith("s") & ~F.col("word").endswith("ss"), F.expr("left(word, length(word) - 1)")).otherwise(F.col("word"))
+    counts = toks.groupBy(stem.alias("_stem")).agg(F.min("word").alias("word"), F.count(F.lit(1)).alias("count")).drop("_stem")
     return counts.orderBy(F.desc("count"), F.asc("word")).limit(n)

@@ -149,12 +149,15 @@ def topic_labels_q(spark, base):
 
 
 @register("word_counts", views=("posts", "stopwords"), sql=r"""
-SELECT word, count FROM (
-  SELECT word, count(*) AS count FROM (
+WITH c AS (
+  SELECT word, count(*) AS n FROM (
     SELECT replace(regexp_replace(w, '''s$', ''), '''', '') AS word FROM (
       SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_'']{2,}')) AS w FROM posts WHERE text IS NOT NULL))
   WHERE length(word) >= 2 AND NOT regexp_full_match(word, '[0-9]+') AND word NOT IN (SELECT word FROM stopwords)
-  GROUP BY word ORDER BY count DESC, word LIMIT 200)""")
+  GROUP BY word)
+SELECT coalesce(one.word, c.word) AS word, CAST(sum(c.n) AS BIGINT) AS count
+FROM c LEFT JOIN c AS one ON c.word LIKE '%s' AND c.word NOT LIKE '%ss' AND one.word || 's' = c.word
+GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200""")
 def word_counts_q(spark, base):
     """200 most frequent post words without stop words (a top-k report)."""
     return T.word_counts(fx.posts(spark, base), fx.stopwords(spark))

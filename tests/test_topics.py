@@ -43,3 +43,10 @@ def test_ctfidf_ranks(spark):
                                  "doc_id long, text string, topic_id int")
     words = {r.topic_id: r.words for r in T.top_words(T.class_tfidf(T.tokens(docs), docs), 2).collect()}
     assert words[0][0] == "flood" and set(words[1]) == {"beach", "sun"}
+
+
+def test_plurals_count_as_their_singular(spark):
+    posts = spark.createDataFrame([("Floods flood flood's glass glas",), ("bus buses floods rivers the this",), (None,), ("",)], "text string")
+    stop = spark.createDataFrame([("the",), ("this",)], "word string")
+    got = {r.word: r["count"] for r in T.word_counts(posts, stop).collect()}
+    assert got == {"flood": 4, "glass": 1, "glas": 1, "bus": 1, "buses": 1, "rivers": 1}
