@@ -1,12 +1,13 @@
 """Hierarchical density clustering (HDBSCAN) over distributed points.
 
 1. Equal vectors become one weighted point, so a spot with any number of copies costs one row.
-2. A split tree deals points into leaves. A point's core distance (to its ``min_samples``-th neighbour) is
-   found in its own leaf and in those leaves that its ball so far reaches.
-3. The minimum spanning tree of the mutual reachability distances grows by Boruvka rounds. Inside a
-   leaf, components merge as long as their nearest foreign point is nearer than anything outside the leaf can
-   be; what is left merges in rounds over all leaves, in which a point visits only leaves that can hold
-   something nearer than its component's bound. No pair of points leaves a task but each component's best.
+2. A split tree deals points into leaves, a leaf's points into cells. Cells ask the leaves that their points' balls reach for
+   the points inside, so that a leaf's task sees all it needs: first the balls of the radius found at home, which
+   give the core distances (to the ``min_samples``-th neighbour), then those of the core distances.
+3. The minimum spanning tree of the mutual reachability distances grows by Boruvka rounds. An edge as light as
+   its point's core distance is sure at once. The components that these make keep the least known link to each other one; a
+   round looks for lighter ones only from points whose core distance is less than their component's least link,
+   no further than that, and not among points of the same component. Least links of pairs alone leave a task.
 4. Tree edges are merged in ascending order, in bands of bounded size, into the condensed tree: splits
    with at least ``min_cluster_size`` rows on both sides. Stabilities and the choice of clusters (excess of mass) come
    along on the way up.
@@ -21,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crisismap.operators.clustering import connected_labels
 from crisismap.operators.splits import MAX_LEAVES, SplitTree, sample_points
 from crisismap.session import stored
 
 LEAF_POINTS = 2048
-VISITORS = 8192  # visiting points that one task group compares with a leaf
+CELL_POINTS = 64
+VISITORS = 8192  # boxes of other leaves' cells that one task group compares with a leaf
 BAND_EDGES = 1 << 20
 CELLS = 1 << 21  # numbers in a block of a distance matrix
 SMALLEST = 1e-10  # distances below count as this much when densities are compared
@@ -86,95 +87,148 @@ def _leaf_table(points: DataFrame, dims: int) -> Leaves:
     return Leaves(rows)
 
 
-def _visits(points: DataFrame, chosen, schema: str) -> DataFrame:
-    """Rows of ``chosen(leaf group)`` with the salt that spreads a much visited leaf over several task groups."""
-    visits = stored(points.groupBy("leaf").applyInArrow(chosen, schema), "density")
-    counts = visits.groupBy("at").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("salts"))
-    return visits.join(counts, "at").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
-
-
-def _meet(visits: DataFrame, points: DataFrame, compare, schema: str) -> DataFrame:
-    """``compare(points of a leaf, its visitors)``, in groups of bounded size."""
-    salts = visits.select(F.col("at").alias("leaf"), "salts").distinct()
-    hosts = points.join(salts, "leaf").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    return hosts.groupBy("leaf", "salt").cogroup(visits.drop("salts").groupBy("at", "salt")).applyInArrow(compare, schema)
-
-
 def _within(ordered: np.ndarray, weights: np.ndarray, need: float) -> np.ndarray:
     """First place in each row of sorted weights where their running sum reaches ``need``; the row's length if never."""
     reached = np.cumsum(weights, axis=1) >= need
     return np.where(reached.any(axis=1), reached.argmax(axis=1), ordered.shape[1])
 
 
+def _cells(x: np.ndarray) -> np.ndarray:
+    """Cell number of each point: a leaf's points are halved at their widest axis until ``CELL_POINTS`` are left."""
+    cell, cells, todo = np.zeros(len(x), np.int32), 0, [np.arange(len(x))]
+    while todo:
+        part = todo.pop()
+        if len(part) <= CELL_POINTS:
+            cell[part] = cells
+            cells += 1
+            continue
+        order = part[np.argsort(x[part, np.ptp(x[part], axis=0).argmax()], kind="stable")]
+        todo += [order[:len(order) // 2], order[len(order) // 2:]]
+    return cell
+
+
+def _apart(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: np.ndarray) -> np.ndarray:
+    """Least distance of anything in each box to anything in each other box."""
+    total = np.zeros((len(low), len(other_low)))
+    for axis in range(low.shape[1]):
+        total += np.maximum(0.0, np.maximum(other_low[None, :, axis] - high[:, None, axis], low[:, None, axis] - other_high[None, :, axis])) ** 2
+    return np.sqrt(total) * (1 - 1e-12)
+
+
+def _with_halo(points: DataFrame, leaves: Leaves, dims: int, work, schema: str, alone: np.ndarray | None = None) -> DataFrame:
+    """``work(points of a leaf, points of other leaves)``: of the others all that lie within ``radius`` of a point of the leaf.
+
+    ``points``: row, x, leaf, cell, radius (below 0: asks for nothing) and others. The boxes of cells ask at the leaves that
+    they reach, which hand over the points in question, each once for a leaf. With a column ``comp``, a cell of one
+    component asks for points of others only, and not at all at leaves that hold nothing else (``alone``).
+    """
+    columns = [c for c in points.columns if c not in ("leaf", "cell", "radius")]
+    comp = "comp" in columns
+    bounds = [F.array(*[f(F.col("x")[i]) for i in range(dims)]).alias(name) for name, f in (("low", F.min), ("high", F.max))]
+    only = F.when(F.min("comp") == F.max("comp"), F.min("comp")).otherwise(-2) if comp else F.lit(-2)
+    asking = points.where("radius >= 0").groupBy("leaf", "cell").agg(*bounds, F.max("radius").alias("radius"), only.cast("long").alias("only"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, high = (_matrix(batch.column(c), batch.num_rows) for c in ("low", "high"))
+            radius, own, one = (batch.column(c).to_numpy() for c in ("radius", "leaf", "only"))
+            for block in _blocks(len(low), len(leaves.number)):
+                reached = _apart(low[block], high[block], leaves.low, leaves.high) <= radius[block][:, None]
+                reached &= own[block][:, None] != leaves.number[None, :]
+                if alone is not None:
+                    reached &= alone[None, :] != one[block][:, None]
+                i, at = np.nonzero(reached)
+                yield batch.take(pa.array(i + block.start)).append_column("at", pa.array(leaves.number[at]))
+
+    asked = stored(asking.mapInArrow(ask, "leaf long, cell int, low array<double>, high array<double>, radius double, only long, at long"), "density")
+    salts = asked.groupBy("at").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("salts"))
+    asked = asked.join(salts, "at").withColumn("salt", F.pmod(F.xxhash64("leaf"), F.col("salts")).cast("int")).drop("salts")
+    hosts = points.select("leaf", *columns).join(salts.withColumnRenamed("at", "leaf"), "leaf").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+    def give(here: pa.Table, boxes: pa.Table) -> pa.Table:
+        given = here.select(columns)
+        if not here.num_rows or not boxes.num_rows:
+            return given.slice(0, 0).append_column("to", pa.array([], pa.int64()))
+        x, own = _matrix(here["x"], here.num_rows), here["comp"].to_numpy() if comp else None
+        low, high = (_matrix(boxes[c], boxes.num_rows) for c in ("low", "high"))
+        radius, one, leaf = (boxes[c].to_numpy() for c in ("radius", "only", "leaf"))
+        rows, to = [], []
+        for number in np.unique(leaf):
+            some = np.flatnonzero(leaf == number)
+            for block in _blocks(len(x), len(some)):
+                wanted = _apart(x[block], x[block], low[some], high[some]) <= radius[some][None, :]
+                if comp:
+                    wanted &= own[block][:, None] != one[some][None, :]
+                i = np.flatnonzero(wanted.any(axis=1)) + block.start
+                rows.append(i)
+                to.append(np.full(len(i), number))
+        return given.take(pa.array(np.concatenate(rows))).append_column("to", pa.array(np.concatenate(to)))
+
+    kinds = dict(points.dtypes)
+    halo = hosts.groupBy("leaf", "salt").cogroup(asked.groupBy("at", "salt")).applyInArrow(
+        give, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", to long")
+    return points.groupBy("leaf").cogroup(halo.groupBy("to")).applyInArrow(work, schema)
+
+
+def _both(own: pa.Table, given: pa.Table, *columns: str) -> list[np.ndarray]:
+    """Columns of a leaf's points, followed by those of the points around it."""
+    x = _matrix(own["x"], own.num_rows)
+    if given.num_rows:
+        x = np.concatenate([x, _matrix(given["x"], given.num_rows)])
+    return [x, *(np.concatenate([own[c].to_numpy(), given[c].to_numpy()]) for c in columns)]
+
+
+def _around(own: pa.Table, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Cell by cell: the leaf's points that ask, and all points in reach of any of them."""
+    cell, radius = own["cell"].to_numpy(), own["radius"].to_numpy()
+    for number in np.unique(cell[radius >= 0]):
+        mine = np.flatnonzero((cell == number) & (radius >= 0))
+        low, high = x[mine].min(axis=0)[None], x[mine].max(axis=0)[None]
+        at = np.flatnonzero(_apart(low, high, x, x)[0] <= radius[mine].max())
+        for block in _blocks(len(mine), len(at)):
+            yield mine[block], at
+
+
 def core_distances(points: DataFrame, dims: int, min_samples: int) -> DataFrame:
-    """``points`` (row, x, weight, leaf) with ``core``: the least radius that holds ``min_samples`` other rows.
+    """``points`` (row, x, weight, leaf) with ``core``: the least radius that holds ``min_samples`` other rows; and their ``cell``.
 
-    Infinite if there are no so many. A point visits a leaf only if the leaf's box is nearer than what it has found at home.
+    Infinite if there are no so many. The radius that a point finds at home bounds what it asks other leaves for.
     """
     leaves, need = _leaf_table(points, dims), min_samples + 1.0
 
-    def home(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, list, list]]:
+    def least(apart: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Distance at which the running sum of weights (1 at least) reaches ``need`` in each row."""
+        held = min(int(np.ceil(need)), apart.shape[1])
+        first = np.argpartition(apart, held - 1, axis=1)[:, :held]
+        ordered = np.take_along_axis(apart, first, axis=1)
+        order = np.argsort(ordered, axis=1)
+        ordered = np.take_along_axis(ordered, order, axis=1)
+        end = _within(ordered, weight[np.take_along_axis(first, order, axis=1)], need)
+        return np.where(end < held, ordered[np.arange(len(ordered)), np.minimum(end, held - 1)], np.inf)
+
+    def home(group: pa.Table) -> pa.Table:
         x, weight = _matrix(group["x"], group.num_rows), group["weight"].to_numpy()
+        radius = np.empty(len(x))
         for block in _blocks(len(x), max(len(x), len(leaves.number))):
-            apart = distances(x[block], x)
-            order = np.argsort(apart, axis=1, kind="stable")
-            ordered, held = np.take_along_axis(apart, order, axis=1), weight[order]
-            end = _within(ordered, held, need)
-            radius = np.where(end < ordered.shape[1], ordered[np.arange(len(ordered)), np.minimum(end, ordered.shape[1] - 1)], np.inf)
             far = leaves.far(x[block])  # whole leaves count as reached at their far corner
             by_far = np.argsort(far, axis=1)
             sure = _within(by_far, leaves.weight[by_far], need)
             limit = np.where(sure < far.shape[1], np.take_along_axis(far, by_far[np.arange(len(far)), np.minimum(sure, far.shape[1] - 1)][:, None],
                                                                      axis=1)[:, 0], np.inf)
-            yield block, np.minimum(radius, limit), [o[:e + 1] for o, e in zip(ordered, end)], [h[:e + 1] for h, e in zip(held, end)]
-
-    def lists(group: pa.Table) -> pa.Table:
-        near, held = [], []
-        for _, _, ordered, weights in home(group):
-            near += ordered
-            held += weights
-        return pa.table({"row": group["row"], "near": pa.array(near, pa.list_(pa.float64())), "held": pa.array(held, pa.list_(pa.int64()))})
-
-    def chosen(group: pa.Table) -> pa.Table:
-        x, own = _matrix(group["x"], group.num_rows), group["leaf"][0].as_py()
-        rows, places, radii = [], [], []
-        for block, radius, _, _ in home(group):
-            reached = leaves.near(x[block]) < radius[:, None]
-            reached[:, leaves.number == own] = False
-            i, at = np.nonzero(reached)
-            rows.append(i + block.start)
-            places.append(leaves.number[at])
-            radii.append(radius[i])
-        i = pa.array(np.concatenate(rows))
-        return pa.table({"at": np.concatenate(places), "row": group["row"].take(i), "x": group["x"].take(i), "radius": np.concatenate(radii)})
-
-    def compare(hosts: pa.Table, visitors: pa.Table) -> pa.Table:
-        near, held = [], []
-        if hosts.num_rows and visitors.num_rows:
-            x, weight = _matrix(hosts["x"], hosts.num_rows), hosts["weight"].to_numpy()
-            asking, radius = _matrix(visitors["x"], visitors.num_rows), visitors["radius"].to_numpy()
-            for block in _blocks(len(asking), len(x)):
-                apart = distances(asking[block], x)
-                for row, limit in zip(apart, radius[block]):
-                    at = np.flatnonzero(row <= limit)
-                    at = at[np.argsort(row[at], kind="stable")]
-                    end = int(np.searchsorted(np.cumsum(weight[at]), need)) + 1
-                    near.append(row[at[:end]])
-                    held.append(weight[at[:end]])
-        return pa.table({"row": visitors["row"][:len(near)], "near": pa.array(near, pa.list_(pa.float64())),
-                         "held": pa.array(held, pa.list_(pa.int64()))})
-
-    kinds = "row long, near array<double>, held array<long>"
-    found = points.groupBy("leaf").applyInArrow(lists, kinds)
-    if len(leaves.number) > 1:
-        visits = _visits(points, chosen, "at long, row long, x array<double>, radius double")
-        found = found.unionByName(_meet(visits, points, compare, kinds))
-    pairs = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("near", "held"))))
-    step = lambda a, p: F.when(a["n"] >= need, a).otherwise(F.struct((a["n"] + p["held"]).alias("n"), p["near"].alias("r")))
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(float("inf")).alias("r"))
-    core = found.groupBy("row").agg(pairs.alias("pairs")).select("row", F.aggregate("pairs", start, step).alias("a")).select(
-        "row", F.when(F.col("a.n") >= need, F.col("a.r")).otherwise(F.lit(float("inf"))).alias("core"))
-    return stored(points.join(core, "row"), "density")
+            radius[block] = np.minimum(least(distances(x[block], x), weight), limit)
+        return group.append_column("cell", pa.array(_cells(x))).append_column("radius", pa.array(radius))
+
+    def compare(own: pa.Table, given: pa.Table) -> pa.Table:
+        x, weight = _both(own, given, "weight")
+        core = np.full(own.num_rows, np.inf)
+        for mine, at in _around(own, x):
+            core[mine] = least(distances(x[mine], x[at]), weight[at])
+        return own.drop_columns(["radius"]).append_column("core", pa.array(core))
+
+    kinds = "row long, x array<double>, weight long, leaf long, cell int"
+    homes = stored(points.select("row", "x", "weight", "leaf").groupBy("leaf").applyInArrow(home, f"{kinds}, radius double"), "density")
+    return stored(_with_halo(homes, leaves, dims, compare, f"{kinds}, core double"), "density")
 
 
 EDGE = "a long, b long, w double"
@@ -185,113 +239,140 @@ def _lower(w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.lexsort((np.maximum(a, b), np.minimum(a, b), w))
 
 
-def _best_foreign(x, core, comp, row, other_x, other_core, other_comp, other_row):
-    """(weight, other row) of the nearest point of another component for each point; infinite weight if there is none."""
-    weight, partner = np.full(len(x), np.inf), np.full(len(x), -1, np.int64)
-    for block in _blocks(len(x), len(other_x)):
-        w = np.maximum(distances(x[block], other_x), np.maximum(core[block][:, None], other_core[None, :]))
-        w[comp[block][:, None] == other_comp[None, :]] = np.inf
-        best = w.min(axis=1)
-        mine, theirs = row[block][:, None], other_row[None, :]
-        # among equally near ones the smallest pair of rows
-        tied = w == best[:, None]
-        first = np.where(tied, np.minimum(mine, theirs), np.iinfo(np.int64).max)
-        tied &= first == first.min(axis=1)[:, None]
-        second = np.where(tied, np.maximum(mine, theirs), np.iinfo(np.int64).max)
-        at = second.argmin(axis=1)
-        weight[block], partner[block] = best, other_row[at]
-    return weight, partner
-
-
-def _roots(parent: np.ndarray) -> np.ndarray:
-    while (up := parent[parent]).tolist() != parent.tolist():
-        parent = up
-    return parent
-
-
-def _merge_inside(x, core, row, escape):
-    """Edges that are sure from inside one leaf, and the component of each point.
-
-    A component's nearest foreign point in the leaf is its nearest of all if nothing
-    outside can be as near as that (``escape``: least weight of an edge out of the leaf, for each point).
+def _edges(columns: dict) -> pa.Table:
+    kinds = {"a": pa.int64(), "b": pa.int64(), "w": pa.float64(), "comp": pa.int64(), "to": pa.int64()}
+    return pa.table({c: pa.array(v, kinds[c]) for c, v in columns.items()})
+
+
+def _climbs(own: pa.Table, given: pa.Table) -> pa.Table:
+    """The least edge of each point whose weight is its core distance: as none can be less, it is sure."""
+    x, core, row = _both(own, given, "core", "row")
+    out = {"comp": [], "to": [], "a": [], "b": [], "w": []}
+    for mine, at in _around(own, x):
+        fits = (distances(x[mine], x[at]) <= core[mine][:, None]) & (core[at][None, :] <= core[mine][:, None])
+        fits &= row[mine][:, None] != row[at][None, :]
+        one, two = row[mine][:, None], row[at][None, :]
+        # all of a point's weigh the same: the smallest pair of rows
+        first = np.where(fits, np.minimum(one, two), np.iinfo(np.int64).max)
+        fits &= first == first.min(axis=1)[:, None]
+        second = np.where(fits, np.maximum(one, two), np.iinfo(np.int64).max)
+        some = np.flatnonzero(fits.any(axis=1) & np.isfinite(core[mine]))
+        a, b, chooser = first.min(axis=1)[some], second.min(axis=1)[some], row[mine][some]
+        for c, v in (("comp", chooser), ("to", np.where(a == chooser, b, a)), ("a", a), ("b", b), ("w", core[mine][some])):
+            out[c].append(v)
+    return _edges({c: np.concatenate(v) if v else [] for c, v in out.items()})
+
+
+def _links(own: pa.Table, given: pa.Table) -> pa.Table:
+    """The least edge of each pair of components, of the edges from asking points to foreign points within their radius."""
+    x, core, row, comp = _both(own, given, "core", "row", "comp")
+    radius = own["radius"].to_numpy()
+    found = []
+    for mine, at in _around(own, x):
+        mine = mine[np.argsort(comp[mine], kind="stable")]
+        at = at[np.argsort(comp[at], kind="stable")]
+        if comp[mine[0]] == comp[mine[-1]]:
+            at = at[comp[at] != comp[mine[0]]]
+        if not at.size:
+            continue
+        apart = distances(x[mine], x[at])
+        w = np.maximum(apart, np.maximum(core[mine][:, None], core[at][None, :]))
+        w[(apart > radius[mine][:, None]) | (comp[mine][:, None] == comp[at][None, :])] = np.inf
+        heads = [np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) for c in (comp[mine], comp[at])]
+        least = np.minimum.reduceat(np.minimum.reduceat(w, heads[1], axis=1), heads[0], axis=0)
+        sizes = [np.diff(h, append=n) for h, n in zip(heads, w.shape)]
+        i, j = np.nonzero((w == np.repeat(np.repeat(least, sizes[0], axis=0), sizes[1], axis=1)) & np.isfinite(w))
+        found.append((row[mine[i]], row[at[j]], w[i, j], comp[mine[i]], comp[at[j]]))
+    a, b, w, one, two = (np.concatenate(v) for v in zip(*found)) if found else [np.array([])] * 5
+    swap = one > two
+    one, two, a, b = np.where(swap, two, one), np.where(swap, one, two), np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a, w, two, one))
+    first = order[np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])))] if len(order) else []
+    return _edges({c: v[first] if len(order) else [] for c, v in (("comp", one), ("to", two), ("a", a), ("b", b), ("w", w))})
+
+
+def _renamed(best: DataFrame) -> DataFrame:
+    """(comp, new) of the components that join another one along their least edges (comp, to).
+
+    Edges have a total order, so components that follow their least edges run in trees, each with one pair at its root that
+    chose the same edge; the smaller one names them all. Steps double in each round.
     """
-    comp, edges = np.arange(len(x)), []
+    back = best.select(F.col("comp").alias("to"), F.col("to").alias("again"))
+    root = (F.col("comp") < F.col("to")) & F.coalesce(F.col("again") == F.col("comp"), F.lit(False))
+    up = stored(best.select("comp", "to").join(back, "to", "left").where(~root).select("comp", F.col("to").alias("new")), "density")
     while True:
-        weight, partner = _best_foreign(x, core, comp, row, x, core, comp, row)
-        order = _lower(weight, row, partner)
-        first = order[np.unique(comp[order], return_index=True)[1]]  # each component's best edge
-        out = np.full(len(x), np.inf)
-        np.minimum.at(out, comp, escape)
-        sure = first[np.isfinite(weight[first]) & (weight[first] < out[comp[first]])]
-        if not sure.size:
-            return edges, comp
-        place = {int(r): i for i, r in enumerate(row)}
-        parent = np.arange(len(x))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for i in sure:
-            one, two = root(int(comp[i])), root(int(comp[place[int(partner[i])]]))
-            if one != two:  # both ends may have chosen the same edge
-                parent[max(one, two)] = min(one, two)
-                edges.append((int(row[i]), int(partner[i]), float(weight[i])))
-        comp = _roots(parent)[comp]
+        further = up.select(F.col("comp").alias("new"), F.col("new").alias("end"))
+        longer = stored(up.join(further, "new", "left").select("comp", "new", "end"), "density")
+        if longer.where(F.col("end").isNotNull()).isEmpty():
+            return up
+        up = longer.select("comp", F.coalesce("end", "new").alias("new"))
+
+
+def _named(df: DataFrame, names: DataFrame, column: str = "comp") -> DataFrame:
+    named = df.join(names.withColumnRenamed("comp", column), column, "left")
+    return named.withColumn(column, F.coalesce("new", column)).drop("new")
 
 
 def spanning_tree(points: DataFrame, dims: int) -> DataFrame:
-    """Edges (a, b, w) of the minimum spanning tree of mutual reachability over ``points`` (row, x, core, leaf)."""
+    """Edges (a, b, w) of the minimum spanning tree of mutual reachability over ``points`` (row, x, core, leaf, cell)."""
     leaves = _leaf_table(points, dims)
-
-    def escapes(x: np.ndarray, core: np.ndarray, own: int) -> np.ndarray:
-        escape = np.full(len(x), np.inf)
-        others = leaves.number != own
-        if others.any():
-            for block in _blocks(len(x), len(others)):
-                out = np.maximum(leaves.near(x[block]), np.maximum(core[block][:, None], leaves.least_core[None, :]))
-                escape[block] = out[:, others].min(axis=1)
-        return escape
-
-    def inside(group: pa.Table) -> pa.Table:
-        x, core, row = _matrix(group["x"], group.num_rows), group["core"].to_numpy(), group["row"].to_numpy()
-        edges, comp = _merge_inside(x, core, row, escapes(x, core, group["leaf"][0].as_py()))
-        least = np.full(len(x), np.iinfo(np.int64).max)
-        np.minimum.at(least, comp, row)
-        a, b, w = zip(*edges) if edges else ((), (), ())
-        none = [None] * len(edges)
-        return pa.table({"row": pa.array([*row.tolist(), *none], pa.int64()), "comp": pa.array([*least[comp].tolist(), *none], pa.int64()),
-                         "a": pa.array([*[None] * len(row), *a], pa.int64()), "b": pa.array([*[None] * len(row), *b], pa.int64()),
-                         "w": pa.array([*[None] * len(row), *w], pa.float64())})
-
-    first = stored(points.groupBy("leaf").applyInArrow(inside, f"row long, comp long, {EDGE}"), "density")
-    tree = first.where(F.col("a").isNotNull()).select("a", "b", "w")
-    if len(leaves.number) < 2:
-        return tree
-    state = stored(points.join(first.where(F.col("row").isNotNull()).select("row", "comp"), "row"), "density")
-    while state.select("comp").distinct().limit(2).count() > 1:
-        best = stored(_round(state, leaves), "density")
-        tree = tree.unionByName(best.select("a", "b", "w").distinct())
-        links = best.select(F.col("comp").alias("_cell"), F.col("to").alias("_nb"))
-        both = links.unionByName(links.select(F.col("_nb").alias("_cell"), F.col("_cell").alias("_nb"))).distinct()
-        cells = state.select(F.col("comp").alias("_cell")).distinct()
-        joined = connected_labels(cells, stored(both, "density"))
-        state = stored(state.join(joined.select(F.col("_cell").alias("comp"), "_label"), "comp")
-                            .drop("comp").withColumnRenamed("_label", "comp"), "density")
-    return stored(tree, "density")
-
-
-def _round(state: DataFrame, leaves: Leaves) -> DataFrame:
-    """comp, to, a, b, w: the least edge out of each component (``state``: row, x, core, leaf, comp)."""
-    # leaves that hold a single component have nothing for its points
+    state = points.select("row", "x", "core", "leaf", "cell")
+    near = state.withColumn("radius", F.col("core"))
+    best = stored(_with_halo(near, leaves, dims, _climbs, f"comp long, to long, {EDGE}"), "density")
+    tree = [best.select("a", "b", "w").distinct()]
+    state = stored(_named(state.withColumn("comp", F.col("row")), _renamed(best)), "density")
+    # the least edges known between components: first those within core distances
+    known = stored(_least_links(_found(state, leaves, dims, F.col("core"))), "density")
+    while (ends := state.agg(F.min("comp").alias("one"), F.max("comp").alias("two")).first())["one"] != ends["two"]:
+        upper = _upper_bounds(state, leaves, known)
+        radius = F.when(F.col("core") < F.col("bound"), F.col("bound")).otherwise(-1.0)
+        asking = stored(state.join(upper, "comp").withColumn("radius", radius).drop("bound"), "density")
+        known = stored(_least_links(known.unionByName(_found(asking, leaves, dims, F.col("radius")))), "density")
+        best = stored(_sides(known).groupBy("comp").agg(F.min("e").alias("e")).select("comp", "e.to", "e.a", "e.b", "e.w"), "density")
+        tree.append(best.select("a", "b", "w").distinct())
+        names = _renamed(best)
+        state = stored(_named(state, names), "density")
+        known = _named(_named(known, names), names, "to").where("comp != to")
+        known = stored(_least_links(known.select(F.least("comp", "to").alias("comp"), F.greatest("comp", "to").alias("to"), "a", "b", "w")), "density")
+    whole = tree[0]
+    for part in tree[1:]:
+        whole = whole.unionByName(part)
+    return stored(whole, "density")
+
+
+def _least_links(links: DataFrame) -> DataFrame:
+    return links.groupBy("comp", "to").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("comp", "to", "e.a", "e.b", "e.w")
+
+
+def _sides(links: DataFrame) -> DataFrame:
+    """comp, e: each link as seen from either component."""
+    seen = lambda one, two: links.select(F.col(one).alias("comp"), F.struct("w", "a", "b", F.col(two).alias("to")).alias("e"))
+    return seen("comp", "to").unionByName(seen("to", "comp"))
+
+
+def _alone(state: DataFrame, leaves: Leaves) -> np.ndarray:
+    """The component of each leaf that holds a single one, else -1."""
     pure = {r["leaf"]: r["one"] for r in state.groupBy("leaf").agg(F.min("comp").alias("one"), F.max("comp").alias("two"))
             .where("one = two").collect()}
-    alone = np.array([pure.get(int(n), -1) for n in leaves.number], np.int64)
+    return np.array([pure.get(int(n), -1) for n in leaves.number], np.int64)
+
+
+def _found(state: DataFrame, leaves: Leaves, dims: int, radius) -> DataFrame:
+    """comp, to, a, b, w: links within ``radius`` of each point."""
+    asking = state.withColumn("radius", radius).select("row", "x", "core", "comp", "leaf", "cell", "radius")
+    return _with_halo(asking, leaves, dims, _links, f"comp long, to long, {EDGE}", _alone(state, leaves))
+
+
+def _upper_bounds(state: DataFrame, leaves: Leaves, known: DataFrame) -> DataFrame:
+    """comp, bound: no component's least edge weighs more; by the links known, by boxes where there are none."""
+    sure = _sides(known).groupBy("comp").agg(F.min("e.w").alias("bound"))
+    rest = state.join(sure, "comp", "left_anti").select("leaf", "comp")
+    if rest.isEmpty():
+        return sure
+    alone = _alone(state, leaves)
 
     def bounds(group: pa.Table) -> pa.Table:
-        """Upper bound of each component's least edge, from boxes alone: a leaf of its own and one with others."""
+        """From boxes alone: a leaf of the component and one with others."""
         own = leaves.number == group["leaf"][0].as_py()
         comps = np.unique(group["comp"].to_numpy())
         reach = np.zeros(len(own))
@@ -302,38 +383,8 @@ def _round(state: DataFrame, leaves: Leaves) -> DataFrame:
         least = [reach[order[(alone[order] != c).argmax()]] if (alone != c).any() else np.inf for c in comps]
         return pa.table({"comp": comps, "bound": np.array(least, float)})
 
-    upper = state.select("leaf", "comp").groupBy("leaf").applyInArrow(bounds, "comp long, bound double").groupBy("comp").agg(
-        F.min("bound").alias("bound"))
-    asking = stored(state.join(upper, "comp"), "density")
-
-    def chosen(group: pa.Table) -> pa.Table:
-        x, core, comp, bound = (_matrix(group["x"], group.num_rows), *(group[c].to_numpy() for c in ("core", "comp", "bound")))
-        rows, places = [], []
-        for block in _blocks(len(x), len(leaves.number)):
-            least = np.maximum(leaves.near(x[block]), np.maximum(core[block][:, None], leaves.least_core[None, :]))
-            i, at = np.nonzero((least <= bound[block][:, None]) & (alone[None, :] != comp[block][:, None]))
-            rows.append(i + block.start)
-            places.append(leaves.number[at])
-        i = pa.array(np.concatenate(rows))
-        return pa.table({"at": np.concatenate(places), **{c: group[c].take(i) for c in ("row", "x", "core", "comp")}})
-
-    def compare(hosts: pa.Table, visitors: pa.Table) -> pa.Table:
-        out = {"comp": [], "to": [], "a": [], "b": [], "w": []}
-        if hosts.num_rows and visitors.num_rows:
-            mine, theirs = ({"x": _matrix(t["x"], t.num_rows), **{c: t[c].to_numpy() for c in ("core", "comp", "row")}} for t in (visitors, hosts))
-            w, partner = _best_foreign(mine["x"], mine["core"], mine["comp"], mine["row"], theirs["x"], theirs["core"], theirs["comp"], theirs["row"])
-            order = _lower(w, mine["row"], partner)
-            order = order[np.isfinite(w[order])]
-            first = order[np.unique(mine["comp"][order], return_index=True)[1]]  # the least of each component
-            to = dict(zip(theirs["row"].tolist(), theirs["comp"].tolist()))
-            a, b = np.minimum(mine["row"], partner)[first], np.maximum(mine["row"], partner)[first]
-            out = {"comp": mine["comp"][first], "to": [to[p] for p in partner[first].tolist()], "a": a, "b": b, "w": w[first]}
-        kinds = {"comp": pa.int64(), "to": pa.int64(), "a": pa.int64(), "b": pa.int64(), "w": pa.float64()}
-        return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
-
-    visits = _visits(asking, chosen, "at long, row long, x array<double>, core double, comp long")
-    found = _meet(visits, state.select("row", "x", "core", "leaf", "comp"), compare, f"comp long, to long, {EDGE}")
-    return found.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "to")).alias("e")).select("comp", "e.to", "e.a", "e.b", "e.w")
+    return sure.unionByName(rest.groupBy("leaf").applyInArrow(bounds, "comp long, bound double").groupBy("comp").agg(
+        F.min("bound").alias("bound")))
 
 
 class Forest:

@@ -13,6 +13,7 @@ from crisismap.operators import clustering as C
 from crisismap.operators import scoring as SC
 from crisismap.plans import enrich as E
 from crisismap.plans import fixtures as fx
+from crisismap.session import stored
 from crisismap.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -56,13 +57,14 @@ def _embedded(spark, base):
 @register("hdbscan_topics")
 def hdbscan_topics_q(spark, base):
     """N12 + N14: hierarchical density clusters (at least 100 texts) of 5 components of the embedded documents."""
-    return E.hierarchical_topics(_embedded(spark, base), min_cluster_size=100).select("doc_id", "topic_id")
+    docs = stored(_embedded(spark, base).select("doc_id", "embedding"), "embedded")
+    return E.hierarchical_topics(docs, min_cluster_size=100).select("doc_id", "topic_id")
 
 
 @register("zero_shot_topics")
 def zero_shot_topics_q(spark, base):
     """Documents near a given topic (the mean of each language's texts) go to it, all others are clustered."""
-    docs = _embedded(spark, base)
+    docs = stored(_embedded(spark, base).select("doc_id", "embedding"), "embedded")
     lang = read_table(spark, base, "documents", ["doc_id", "lang"])
     ids = lang.where("lang IS NOT NULL").select("lang").distinct().withColumn("topic_id", F.row_number().over(Window.orderBy("lang")) - 1)
     means = docs.join(lang, "doc_id").join(ids, "lang")
@@ -73,14 +75,14 @@ def zero_shot_topics_q(spark, base):
 @register("topic_grid")
 def topic_grid_q(spark, base):
     """Hdbscan and kmeans x {10, 20, 30} over embedded documents, run side by side."""
-    return E.evaluate_topics(_embedded(spark, base), ks=(10, 20, 30), algos=("hdbscan", "kmeans"), stop=fx.stopwords(spark),
+    return E.evaluate_topics(stored(_embedded(spark, base), "embedded"), ks=(10, 20, 30), algos=("hdbscan", "kmeans"), stop=fx.stopwords(spark),
                              parallel=6, min_cluster_size=100)
 
 
 @register("topic_grid_samples")
 def topic_grid_samples_q(spark, base):
     """The kmeans grid over nested samples of a quarter, a half and all of the documents."""
-    docs = _embedded(spark, base)
+    docs = stored(_embedded(spark, base), "embedded")
     n = docs.count()
     return E.evaluate_topics(docs, ks=(10,), algos=("kmeans",), stop=fx.stopwords(spark), parallel=3,
                              sample_sizes=[max(1, n // 4), max(1, n // 2), n])

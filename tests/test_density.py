@@ -111,6 +111,31 @@ def test_spanning_tree_equals_brute_force(spark):
     assert np.allclose(sorted(e.w for e in edges), [w for w, _, _ in want], rtol=0, atol=1e-12) and len(edges) == rows - 1
 
 
+def test_leaves_get_only_points_within_reach_and_each_once(spark):
+    """Around a leaf lie those points that a ball of one of its points holds, not a row for every visit."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.uniform(0, 1, (150, 2)), rng.uniform(50, 51, (150, 2))])
+    points, _, dims = D.weighted_points(spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>"), "vec", 80)
+    asking = points.withColumn("cell", F.lit(0)).withColumn("radius", F.lit(0.2))
+
+    def met(own, given):
+        import pyarrow as pa
+
+        return pa.table({"leaf": own["leaf"][:1], "rows": [given["row"].to_pylist()]})
+
+    halo = {r.leaf: r.rows for r in D._with_halo(asking, D._leaf_table(points, dims), dims, met, "leaf long, rows array<long>").collect()}
+    rows = points.collect()
+    at, leaf = np.array([r.x for r in rows]), np.array([r.leaf for r in rows])
+    for number, got in halo.items():
+        assert len(got) == len(set(got))
+        apart = D.distances(at[leaf != number], at[leaf == number]).min(axis=1)
+        others = np.array([r.row for r in rows])[leaf != number]
+        assert set(others[apart <= 0.2]) <= set(got) and len(got) < 150  # nothing of the far half
+    assert sum(map(len, halo.values())) > 0
+
+
 def test_copies_odd_rows_and_ties(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(0, 0.1, (60, 2)), rng.normal(3, 0.3, (60, 2)), np.tile([[9.0, 9.0]], (70, 1))])  # a third on one spot
