@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crisismap.session import spread, stored
+from crisismap.session import left_join_spread, spread, stored
 from crisismap.sources.tables import read_table
 
 # Fixed values of the fixtures (FIXTURES.md): emotion multipliers, stop words,
@@ -57,8 +57,8 @@ def posts(spark: SparkSession, base: str) -> DataFrame:
     rows = rows.withColumn("crawl_seq", F.col("doc_id")).unionByName(
         rows.where("doc_id % 7 = 0").withColumn("crawl_seq", F.expr("doc_id + 1000000")))
     rows = (rows.crossJoin(F.broadcast(n_pages))
-            .withColumn("page_id", F.expr("CASE WHEN doc_id % 3 = 0 THEN doc_id % n_pages END"))
-            .join(pages, "page_id", "left"))
+            .withColumn("page_id", F.expr("CASE WHEN doc_id % 3 = 0 THEN doc_id % n_pages END")))
+    rows = left_join_spread(rows, pages, "page_id", "doc_id", "text")
     m = "((doc_id * 37) % 76320)"
     out = rows.selectExpr(
         "concat('c', doc_id) AS cid",
