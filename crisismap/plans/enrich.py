@@ -14,6 +14,7 @@ from threading import Lock
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from crisismap.functions.text import tokens as token_array
 from crisismap.operators import clustering as C
 from crisismap.operators import density as D
 from crisismap.operators import posts as P
@@ -21,7 +22,7 @@ from crisismap.operators import scoring as SC
 from crisismap.operators import similarity as SIM
 from crisismap.operators import topics as T
 from crisismap.schemas import TOPIC_EVALUATION
-from crisismap.session import cut_lineage, stored
+from crisismap.session import cut_lineage, maybe_broadcast, stored
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
@@ -114,8 +115,18 @@ def topic_words_of(clusters: DataFrame, text: str, stop: DataFrame | None, key:
     return stored(T.top_words(T.class_tfidf(toks, clusters, stop, key), 10), "topic-words")
 
 
-def _score(tf: DataFrame, words: DataFrame, key: str):
-    coh = T.topic_coherence(tf, words, True, key)
+def _lengths(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, n): tokens of each row that has any."""
+    return docs.where(F.col(text).isNotNull()).select(key, F.size(token_array(text)).alias("n")).where("n > 0")
+
+
+def _score(tf: DataFrame, lengths: DataFrame, words: DataFrame, key: str, train: DataFrame | None = None):
+    """Coherence and diversity; of the terms only the topics' words are moved. ``train``: rows whose keys count."""
+    wanted, _ = maybe_broadcast(words.select(F.explode("words").alias("word")).distinct())
+    here = tf.join(wanted, "word", "left_semi")
+    if train is not None:
+        here, lengths = (d.join(train.select(key), key, "left_semi") for d in (here, lengths))
+    coh = T.topic_coherence(stored(here, "topic-terms"), words, True, key, lengths.agg(F.sum("n").alias("n")))
     c = coh.agg(F.avg("coherence")).first()[0] or 0.0
     d = T.topic_diversity(words).first()[0] or 0.0
     return float(c), float(d)
@@ -124,17 +135,22 @@ def _score(tf: DataFrame, words: DataFrame, key: str):
 def evaluate_topics(docs: DataFrame, eval_docs: DataFrame | None = None, ks=(10, 20, 30),
                     algos=("kmeans", "density"), stop: DataFrame | None = None, text: str = "cleaned_text",
                     vec: str = "embedding", key: str = "doc_id", parallel: int = 1, sample_sizes=None,
-                    **cluster_args) -> DataFrame:
-    """Algorithms x topic counts (x sample sizes) -> coherence, diversity, quality = c x d."""
+                    bases: dict | None = None, **cluster_args) -> DataFrame:
+    """Algorithms x topic counts (x sample sizes) -> coherence, diversity, quality = c x d.
+
+    ``bases`` takes the hdbscan fit of each sample size, for those that go on with one.
+    """
     spark = docs.sparkSession
     eval_docs = eval_docs if eval_docs is not None else docs
     tf = stored(T.term_counts(T.tokens(docs, text, key), key), "terms")
-    etf = tf if eval_docs is docs else stored(T.term_counts(T.tokens(eval_docs, text, key), key), "terms")
+    lengths = stored(_lengths(docs, text, key), "lengths")
+    etf, elengths = (tf, lengths) if eval_docs is docs else (
+        stored(T.term_counts(T.tokens(eval_docs, text, key), key), "terms"), stored(_lengths(eval_docs, text, key), "lengths"))
     sizes = sorted(sample_sizes or [])
     samples = stored(nested_samples(docs, sizes, key=key), "samples") if sizes else None
     configs = [(a, k, s) for s in (sizes or [None]) for a in algos for k in ks
                if not (a == "kmeans" and k in (None, "auto"))]
-    bases: dict = {}
+    bases = {} if bases is None else bases
     locks = {size: Lock() for size in (sizes or [None])}
 
     def base_of(train, algo, size):
@@ -153,11 +169,10 @@ def evaluate_topics(docs: DataFrame, eval_docs: DataFrame | None = None, ks=(10,
         try:
             train = samples.where(F.col("sample") <= sizes.index(size)).drop("sample") if size else docs
             clusters = stored(fit_topics(train, algo, k, vec, key, **base_of(train, algo, size), **cluster_args), "clusters")
-            tr_tf = tf if size is None else tf.join(train.select(key), key, "left_semi")
             words = topic_words_of(clusters, text, stop, key)
-            c_tr, d_tr = _score(tr_tf, words, key)
+            c_tr, d_tr = _score(tf, lengths, words, key, train if size else None)
             # evaluation on the training documents themselves (the default) is not computed twice
-            c_te, d_te = (c_tr, d_tr) if etf is tf and size is None else _score(etf, words, key)
+            c_te, d_te = (c_tr, d_tr) if etf is tf and size is None else _score(etf, elengths, words, key)
             n_topics = clusters.select("topic_id").distinct().count()
             n_train = train.count()
             return Row(algo, count, int(n_topics), int(n_train), int(eval_docs.count()), c_te, d_te, c_te * d_te,
@@ -198,10 +213,12 @@ def enrich(posts: DataFrame, labelled: DataFrame, stop: DataFrame | None = None,
     cleaned = P.ensure_cleaned(posts.where(F.col("text").isNotNull())).withColumn("doc_id", F.col(key))
     embedded = cut_lineage(SC.hashed_embed(cleaned, text="cleaned_text", dim=dim))
     more = {"min_cluster_size": min_cluster_size, **({} if zero_shot is None else {"zero_shot": zero_shot})}
-    grid = evaluate_topics(embedded, ks=ks, algos=algos, stop=stop, key="doc_id", parallel=6, **more)
+    bases: dict = {}
+    grid = evaluate_topics(embedded, ks=ks, algos=algos, stop=stop, key="doc_id", parallel=6, bases=bases, **more)
     best = best_config(grid).first()
     algo, k = (best["clustering_algorithm"], best["nr_topics"]) if best else ("kmeans", ks[0])
-    clusters = fit_topics(embedded, algo, k, **more)
+    # the winner's clusters; an hdbscan fit is that of the grid
+    clusters = stored(fit_topics(embedded, algo, k, base=bases.get(None), **more), "clusters")
     words = topic_words_of(clusters, "cleaned_text", stop, "doc_id")
     out = T.with_topic_label(clusters, words)
     if emotion_model is not None:
