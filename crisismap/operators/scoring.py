@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from crisismap.functions.text import strip_prefix
+from crisismap.session import keep
 
 
 def threshold_labels(df: DataFrame, prob_cols: list[str], min_score: float = 0.5,
@@ -105,10 +106,12 @@ def train_multilabel(train: DataFrame, labels: list[str], text: str = "text", nu
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
         IDF(inputCol="_tf", outputCol="_feat"),
     ]).fit(rows)
-    seen = features.transform(rows).select("_feat", *labels)
-    return features, {c: LogisticRegression(featuresCol="_feat", labelCol=c, maxIter=max_iter, regParam=0.01,
-                                            probabilityCol="_prob", predictionCol="_pred", rawPredictionCol="_raw").fit(seen)
-                      for c in labels}
+    seen = keep(features.transform(rows).select("_feat", *labels))  # one pass over the texts for all labels
+    models = {c: LogisticRegression(featuresCol="_feat", labelCol=c, maxIter=max_iter, regParam=0.01,
+                                    probabilityCol="_prob", predictionCol="_pred", rawPredictionCol="_raw").fit(seen)
+              for c in labels}
+    seen.unpersist()
+    return features, models
 
 
 def apply_multilabel(model, df: DataFrame, text: str = "text") -> DataFrame:
