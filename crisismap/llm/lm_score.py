@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,10 @@ BATCH = 16384
 RATE = 0.5
 LARGEST = 6.0
 BLOCK = 1 << 11  # rows
+# All other words are told apart by a tree over the bits of their hashes, one for each shape. Counts by the first bits
+# go to all tasks, those further down come with the words. Weights of (context, node) are hashed to so many places.
+HASH_BITS, TOP_BITS, NODE_BITS = 32, 16, 18
+TOPS, NODES = 1 << TOP_BITS, 1 << NODE_BITS
 START_HASH = 0x9E3779B1
 
 
@@ -69,6 +72,16 @@ def _mix(value: np.ndarray, factor: int) -> np.ndarray:
     return ((value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ROW_BITS)).astype(np.uint16)
 
 
+def _mix64(value: np.ndarray, factor: int) -> np.ndarray:
+    value = (value + np.uint64(factor)) * np.uint64(0x9E3779B97F4A7C15)
+    return (value ^ (value >> np.uint64(32))) * np.uint64(factor)
+
+
+def _log_mass(tokens: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Log of the smoothed count of a part of a class: one more place stands for all its unseen words."""
+    return np.log(tokens + ADDED * (words + 1))
+
+
 def contexts(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word before and of the one before that; ``first`` marks the beginnings of documents."""
     one, two = np.roll(hashes, 1), np.roll(hashes, 2)
@@ -80,22 +93,48 @@ def contexts(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return one.astype(np.uint64), two.astype(np.uint64)
 
 
+@dataclass
+class Paths:
+    """Ways of a chunk's words down the trees of their shapes, one after another; frequent words have no steps."""
+
+    starts: np.ndarray
+    sizes: np.ndarray
+    nodes: np.ndarray  # hash of each step's node
+    bias: np.ndarray  # log odds of a right turn there, from counts
+    sign: np.ndarray  # 1 for a right turn, -1 for a left one
+
+    def steps(self, one: np.ndarray, two: np.ndarray, words: np.ndarray) -> tuple:
+        """Of some tokens' steps: where each token's begin, places of the two weights, bias and sign."""
+        sizes = self.sizes[words]
+        begins = np.cumsum(sizes) - sizes
+        at = _runs(self.starts[words], sizes)
+        node = self.nodes[at]
+        places = [((np.repeat(_mix64(x, factor), sizes) ^ node) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - NODE_BITS)).astype(np.int64)
+                  for x, factor in ((one, 0xD6E8FEB86659FD93), (two, 0xA0761D6478BD642F))]
+        return begins, places, self.bias[at], self.sign[at]
+
+
 @dataclass
 class Model:
-    """Weights of class logits and of word logits within a frequent class.
+    """Weights of class logits, of word logits within a frequent class and of turns to all other words.
 
     A feature (the previous word; the word before it, skipping the previous)
     is hashed to a row of ``outer``, with a weight for each class; with the class,
     to a row of ``inner``, with a weight for each word of the class. Rows are kept as
-    exponentials too, so that a token's probabilities are products of its rows.
+    exponentials too, so that a token's probabilities are products of its rows. A class
+    by shape has any number of words: they hang on a binary tree, and with a node of it the
+    feature is hashed to a weight of ``nodes``, for the right turn there.
     """
 
     outer: np.ndarray
     inner: np.ndarray
     class_bias: np.ndarray
     word_bias: np.ndarray
+    nodes: np.ndarray | None = None
 
     def __post_init__(self):
+        if self.nodes is None:
+            self.nodes = np.zeros(NODES, np.float32)
         self.outer_x, self.inner_x = np.exp(self.outer), np.exp(self.inner)
         self.class_x, self.word_x = np.exp(self.class_bias), np.exp(self.word_bias)
 
@@ -109,13 +148,14 @@ class Model:
                    class_bias.astype(np.float32), word_bias.astype(np.float32))
 
     def flat(self) -> np.ndarray:
-        return np.concatenate((self.outer.ravel(), self.inner.ravel(), self.class_bias, self.word_bias.ravel()))
+        return np.concatenate((self.outer.ravel(), self.inner.ravel(), self.class_bias, self.word_bias.ravel(), self.nodes))
 
     @classmethod
     def of(cls, flat: np.ndarray) -> Model:
         a, b = ROWS * CLASSES, ROWS * (CLASSES + WIDTH)
+        c = b + CLASSES + FREQUENT * WIDTH
         return cls(flat[:a].reshape(ROWS, CLASSES).copy(), flat[a:b].reshape(ROWS, WIDTH).copy(),
-                   flat[b:b + CLASSES].copy(), flat[b + CLASSES:].reshape(FREQUENT, WIDTH).copy())
+                   flat[b:b + CLASSES].copy(), flat[b + CLASSES:c].reshape(FREQUENT, WIDTH).copy(), flat[c:].copy())
 
     @staticmethod
     def outer_rows(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +195,32 @@ class Model:
                 _step(self.inner, self.inner_x, sums[1], uses[1], rows, self.word_x[classes[some]], word[some])
 
 
+    def turn_logs(self, one: np.ndarray, two: np.ndarray, words: np.ndarray, paths: Paths) -> np.ndarray:
+        """Natural log probability of the turns to each token's word (its number in the chunk)."""
+        result = np.zeros(words.size)
+        some = np.flatnonzero(paths.sizes[words])
+        for at in range(0, some.size, BATCH):
+            own = some[at:at + BATCH]
+            begins, places, bias, sign = paths.steps(one[own], two[own], words[own])
+            odds = (self.nodes[places[0]] + self.nodes[places[1]] + bias) * sign
+            result[own] = -np.add.reduceat(np.log1p(np.exp(-odds)), begins)
+        return result
+
+    def learn_turns(self, one: np.ndarray, two: np.ndarray, words: np.ndarray, paths: Paths, sums: np.ndarray, uses: np.ndarray) -> None:
+        """As ``learn``, for the turns to words that aren't frequent."""
+        some = np.flatnonzero(paths.sizes[words])
+        for at in range(0, some.size, BATCH):
+            own = some[at:at + BATCH]
+            _, places, bias, sign = paths.steps(one[own], two[own], words[own])
+            error = 1 / (1 + np.exp(-(self.nodes[places[0]] + self.nodes[places[1]] + bias))) - (sign > 0)
+            every = np.concatenate(places)
+            gradient = np.bincount(every, np.concatenate((error, error)), NODES).astype(np.float32)
+            uses += np.bincount(every, minlength=NODES)
+            sums += gradient * gradient
+            self.nodes -= RATE / np.sqrt(sums) * gradient
+            np.clip(self.nodes, -LARGEST, LARGEST, out=self.nodes)
+
+
 def _chosen(table: np.ndarray, rows: tuple[np.ndarray, np.ndarray], bias: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Log of the softmax at the chosen outputs."""
     share = table[rows[0]]
@@ -194,6 +260,8 @@ class Vocabulary:
     shape_words: np.ndarray
     tokens: int
     words: int
+    top_tokens: np.ndarray | None  # running sums by shape over the first bits of the hashes of words that aren't frequent
+    top_words: np.ndarray | None
 
     def code(self, word: bytes) -> int:
         found = self.codes.get(word)
@@ -231,7 +299,8 @@ def chunked(docs: DataFrame, buckets: int) -> DataFrame:
 
         def rows() -> Iterator[tuple]:
             words = list(numbers)
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
+            # words whose hashes begin alike meet in one bucket
+            bucket = np.fromiter(((word_hash(w) >> (HASH_BITS - TOP_BITS)) % buckets for w in words), np.int32, len(words))
             learned = [x for x, a in zip(ids, apart, strict=True) if not a]
             counts = np.bincount(np.concatenate(learned), minlength=len(words)) if learned else np.zeros(len(words))
             yield (part + done, -1, doc_ids, apart, [x.size for x in ids], _packed(np.concatenate(ids), "<i4"),
@@ -268,123 +337,237 @@ def chunked(docs: DataFrame, buckets: int) -> DataFrame:
                   .mapInArrow(run, schema), "lm-chunks")
 
 
-def _add(counts: dict[bytes, int], words: bytes, n: bytes) -> None:
-    for word, c in zip(words.split(b" "), np.frombuffer(n, "<i8").tolist(), strict=True):
-        counts[word] = counts.get(word, 0) + c
+def _counted(rows: Iterator[tuple[bytes, bytes]]) -> tuple[dict[bytes, int], list[np.ndarray], np.ndarray]:
+    """Numbers of the words in packed rows of words and counts, each row's numbers, and the words' sums."""
+    numbers, own, sums = {}, [], np.zeros(1 << 10, np.int64)
+    for words, n in rows:
+        own.append(np.array([numbers.setdefault(w, len(numbers)) for w in words.split(b" ")], np.int32))
+        if len(numbers) > sums.size:
+            sums = np.concatenate((sums, np.zeros(len(numbers), np.int64)))
+        sums[own[-1]] += np.frombuffer(n, "<i8")  # no word comes twice in a row
+    return numbers, own, sums[:len(numbers)]
 
 
 def vocabulary(entries: DataFrame) -> Vocabulary:
     """The most frequent words of all chunks, and sums over all others.
 
     Each task adds up the words of its buckets; of those it hands on the most
-    frequent, as many as the model has places for, and sums by shape.
+    frequent, as many as the model has places for, sums by shape, and sums by shape and the
+    first bits of the words' hashes, at most one for each of the model's tree places.
     """
-    places = FREQUENT * WIDTH
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
-        for batch in batches:
-            for words, n in zip(batch.column("words").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                _add(counts, words, n)
-        sums = np.zeros((SHAPES, 2), np.int64)
-        for word, c in counts.items():
-            if c:
-                sums[shape(word)] += (c, 1)
-        top = heapq.nsmallest(places, ((-c, w) for w, c in counts.items() if c))
+        numbers, _, n = _counted(row for batch in batches for row in
+                                 zip(batch.column("words").to_pylist(), batch.column("n").to_pylist(), strict=True))
+        known = np.flatnonzero(n)
+        words = list(numbers)
+        words, n = [words[i] for i in known.tolist()], n[known]
+        shapes = np.fromiter((shape(w) for w in words), np.int64, len(words))
+        first = np.fromiter((word_hash(w) >> (HASH_BITS - TOP_BITS) for w in words), np.int64, len(words))
+        sums = np.stack([np.bincount(shapes, x, SHAPES).astype(np.int64) for x in (n, np.ones_like(n))], axis=1)
+        places, place = np.unique(shapes * TOPS + first, return_inverse=True)
+        by_place = [np.bincount(place, x, places.size) for x in (n, np.ones_like(n))]
+        top = heapq.nsmallest(FREQUENT * WIDTH, zip((-n).tolist(), words, strict=True))
+        more = SHAPES + len(top)
         yield pa.RecordBatch.from_arrays([
-            pa.array([None] * SHAPES + [w for _, w in top], pa.binary()),
-            pa.array(list(range(SHAPES)) + [None] * len(top), pa.int32()),
-            pa.array(sums[:, 0].tolist() + [-c for c, _ in top], pa.int64()),
-            pa.array(sums[:, 1].tolist() + [1] * len(top), pa.int64())], ["word", "shape", "tokens", "words"])
+            pa.array([None] * SHAPES + [w for _, w in top] + [None], pa.binary()),
+            pa.array(list(range(SHAPES)) + [None] * (len(top) + 1), pa.int32()),
+            pa.array(sums[:, 0].tolist() + [-c for c, _ in top] + [None], pa.int64()),
+            pa.array(sums[:, 1].tolist() + [1] * len(top) + [None], pa.int64()),
+            *[pa.array([None] * more + [_packed(x, "<i8")], pa.binary()) for x in (places, *by_place)]],
+            ["word", "shape", "tokens", "words", "places", "place_tokens", "place_words"])
 
-    parts = stored(entries.select("bucket", "words", "n").repartition("bucket")
-                   .mapInArrow(run, "word binary, shape int, tokens long, words long"), "lm-sums")
+    places = FREQUENT * WIDTH
+    parts = stored(entries.select("bucket", "words", "n").repartition("bucket").mapInArrow(
+        run, "word binary, shape int, tokens long, words long, places binary, place_tokens binary, place_words binary"), "lm-sums")
     top = parts.where("word is not null").orderBy(F.col("tokens").desc(), "word").limit(places).collect()
     by_shape = np.zeros((SHAPES, 2), np.int64)
-    for r in parts.where("word is null").groupBy("shape").agg(F.sum("tokens"), F.sum("words")).collect():
+    for r in parts.where("shape is not null").groupBy("shape").agg(F.sum("tokens"), F.sum("words")).collect():
         by_shape[r[0]] = r[1], r[2]
     total, words = by_shape.sum(axis=0).tolist()
+    by_place = np.zeros((2, SHAPES, TOPS + 1), np.int64)
+    for r in parts.where("places is not null").select("places", "place_tokens", "place_words").collect():
+        at, *sums = (_unpacked(x, "<i8") for x in r)
+        by_place[:, at // TOPS, at % TOPS + 1] += np.stack(sums)
     counts = np.zeros((FREQUENT, WIDTH))
     counts.ravel()[:len(top)] = [r["tokens"] for r in top]
     for r in top:
-        by_shape[shape(bytes(r["word"]))] -= (r["tokens"], 1)
+        word = bytes(r["word"])
+        by_shape[shape(word)] -= (r["tokens"], 1)
+        by_place[:, shape(word), (word_hash(word) >> (HASH_BITS - TOP_BITS)) + 1] -= (r["tokens"], 1)
+    by_place = by_place.cumsum(axis=2)
     return Vocabulary({bytes(r["word"]): i for i, r in enumerate(top)}, counts, by_shape[:, 0].astype(float),
-                      by_shape[:, 1].astype(float), total, words)
+                      by_shape[:, 1].astype(float), total, words, by_place[0], by_place[1])
+
 
+def deep_turns(shapes: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of words that meet with all others whose hashes begin alike: the steps of their paths beyond the first bits.
 
-READY = "chunk long, doc_id array<long>, held_out array<boolean>, sizes array<int>, ids binary, c binary, hash binary, code binary"
+    Shapes are -1 for frequent words. Returns the number of steps and, one word's after another, the log odds of
+    a right turn; then the tokens and the words that each word's leaf has besides. A node of at most one known word is a leaf.
+    """
+    keys = np.maximum(shapes, 0).astype(np.uint64) << np.uint64(HASH_BITS) | hashes.astype(np.uint64)
+    known = np.flatnonzero((counts > 0) & (shapes >= 0))
+    known = known[np.argsort(keys[known], kind="stable")]
+    have, tokens = keys[known], np.concatenate(([0], np.cumsum(counts[known])))
+    own = np.flatnonzero(shapes >= 0)
+    below = np.uint64((1 << (HASH_BITS - TOP_BITS)) - 1)
+    lo, hi = np.searchsorted(have, keys[own] & ~below), np.searchsorted(have, keys[own] | below, "right")
+    steps, sizes = [], np.zeros(shapes.size, np.uint8)
+    for bit in range(HASH_BITS - TOP_BITS - 1, -1, -1):
+        at = np.flatnonzero(hi - lo > 1)
+        if not at.size:
+            break
+        key = keys[own[at]] >> np.uint64(bit)
+        a, b = lo[at], hi[at]
+        middle = np.searchsorted(have, (key | np.uint64(1)) << np.uint64(bit))
+        steps.append((own[at], _log_mass(tokens[b] - tokens[middle], b - middle) - _log_mass(tokens[middle] - tokens[a], middle - a)))
+        sizes[own[at]] += 1
+        right = (key & np.uint64(1)) > 0
+        lo[at], hi[at] = np.where(right, middle, a), np.where(right, b, middle)
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    odds = np.zeros(int(sizes.sum(dtype=np.int64)), np.float16)
+    for i, (which, made) in enumerate(steps):
+        odds[starts[which] + i] = made
+    rest, others = np.zeros(shapes.size, np.int64), np.zeros(shapes.size, np.int32)
+    rest[own] = tokens[hi] - tokens[lo] - counts[own]
+    others[own] = hi - lo - (counts[own] > 0)
+    return sizes, odds, rest, others
+
+
+def paths_of(vocab: Vocabulary, count: np.ndarray, hashes: np.ndarray, codes: np.ndarray, deep: np.ndarray, odds: np.ndarray,
+             rest: np.ndarray, others: np.ndarray) -> tuple[Paths, np.ndarray]:
+    """Paths of a chunk's words, and the natural log of each word's share of its leaf."""
+    rare = np.flatnonzero(codes >= FREQUENT * WIDTH)
+    shapes, own, deep_own = codes[rare] // WIDTH - FREQUENT, hashes[rare], deep[rare].astype(np.int64)
+    row = shapes * (TOPS + 1)
+    tokens, words = vocab.top_tokens.ravel(), vocab.top_words.ravel()
+    begin, end, top, steps = row.copy(), row + TOPS, np.zeros(rare.size, np.int64), []
+    at = np.arange(rare.size)
+    for level in range(TOP_BITS):
+        at = at[words[end[at]] - words[begin[at]] > 1]
+        a, b = begin[at], end[at]
+        middle = (a + b) // 2
+        steps.append((at, _log_mass(tokens[b] - tokens[middle], words[b] - words[middle])
+                      - _log_mass(tokens[middle] - tokens[a], words[middle] - words[a])))
+        right = (own[at] >> (HASH_BITS - 1 - level)) & 1 > 0
+        begin[at], end[at] = np.where(right, middle, a), np.where(right, b, middle)
+        top[at] += 1
+    deep_starts = (np.cumsum(deep, dtype=np.int64) - deep)[rare]
+    for i in range(int(deep_own.max(initial=0))):
+        at = np.flatnonzero(deep_own > i)
+        steps.append((at, odds[deep_starts[at] + i]))
+    sizes = np.zeros(codes.size, np.int64)
+    sizes[rare] = top + deep_own
+    starts = np.cumsum(sizes) - sizes
+    whole = int(sizes.sum())
+    nodes, bias, sign = np.empty(whole, np.uint64), np.empty(whole, np.float32), np.empty(whole, np.float32)
+    for level, (at, made) in enumerate(steps):
+        place, down = starts[rare[at]] + level, own[at] >> (HASH_BITS - 1 - level)
+        nodes[place] = shapes[at] << (HASH_BITS + 1) | 1 << level | down >> 1
+        bias[place] = made
+        sign[place] = (down & 1) * 2 - 1
+    further = deep_own > 0
+    in_leaf = np.where(further, count[rare] + rest[rare], tokens[end] - tokens[begin])
+    known = np.where(further, (count[rare] > 0) + others[rare], words[end] - words[begin])
+    share = np.zeros(codes.size)  # a frequent word's place in its class is in the model's hands
+    share[rare] = np.log(count[rare] + ADDED) - _log_mass(in_leaf, known)
+    return Paths(starts, sizes, _mix64(nodes, 0x8EBC6AF09C88C6E3), bias, sign), share
+
+
+WORD_COLUMNS = (("c", "<i8"), ("hash", "<u4"), ("code", "<u2"), ("deep", "u1"), ("rest", "<i8"), ("others", "<i4"))
+ODDS = "<f2"
+READY = "chunk long, doc_id array<long>, held_out array<boolean>, sizes array<int>, ids binary, " + "".join(f"{n} binary, " for n, _ in WORD_COLUMNS) + "odds binary"
 
 
 def with_counts(parts: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Chunks with the corpus count, hash and output code of each of their words, in one stored table.
+    """Chunks with the corpus count, hash, output code and further path of each of their words, in one stored table.
 
     A bucket's task adds up its words over all chunks and answers each chunk's
     row; the answers meet their chunk again.
     """
-    shared = parts.sparkSession.sparkContext.broadcast(vocab)
+    shared = parts.sparkSession.sparkContext.broadcast(replace(vocab, top_tokens=None, top_words=None))
+    columns = [name for name, _ in WORD_COLUMNS] + ["odds"]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, counts, known = [], {}, {}
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bucket", "words", "n")), strict=True):
-                _add(counts, row[2], row[3])
-                asked.append(row[:3])
+        asked = []
+
+        def rows() -> Iterator[tuple[bytes, bytes]]:
+            for batch in batches:
+                for chunk, bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bucket", "words", "n")), strict=True):
+                    asked.append((chunk, bucket))
+                    yield row
+
+        numbers, own, counts = _counted(rows())
         code = shared.value.code
-        for chunk, bucket, raw in asked:
-            words = raw.split(b" ")
-            for word in words:
-                if word not in known:
-                    known[word] = word_hash(word), code(word)
-            made = [np.array([counts[w] for w in words], "<i8"), np.array([known[w][0] for w in words], "<u4"),
-                    np.array([known[w][1] for w in words], "<u2")]
+        codes = np.fromiter((code(w) for w in numbers), np.int64, len(numbers))
+        hashes = np.fromiter((word_hash(w) for w in numbers), np.int64, len(numbers))
+        deep, odds, rest, others = deep_turns(np.where(codes < FREQUENT * WIDTH, -1, codes // WIDTH - FREQUENT), hashes, counts)
+        starts = np.cumsum(deep, dtype=np.int64) - deep
+        for (chunk, bucket), ids in zip(asked, own, strict=True):
+            made = [_packed(x[ids], kind) for x, (_, kind) in zip((counts, hashes, codes, deep, rest, others), WORD_COLUMNS, strict=True)]
+            made.append(_packed(odds[_runs(starts[ids], deep[ids])], ODDS))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk]), pa.array([bucket], pa.int32()), *[pa.array([_packed(x, x.dtype.str)], pa.binary()) for x in made]],
-                ["of", "bucket", "c", "hash", "code"])
+                [pa.array([chunk]), pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in made]], ["of", "bucket", *columns])
 
     answers = (parts.where("bucket >= 0").select("chunk", "bucket", "words", "n").repartition("bucket")
-               .mapInArrow(look_up, "of long, bucket int, c binary, hash binary, code binary"))
+               .mapInArrow(look_up, "of long, bucket int, " + ", ".join(f"{n} binary" for n in columns)))
 
     def meet(docs: pa.Table, found: pa.Table) -> pa.Table:
         bucket = _unpacked(docs["buckets"][0].as_py(), "<i4")
         order = np.argsort(bucket, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(order.size)
         rows = found.sort_by("bucket")
-        out = []
-        for name, kind in (("c", "<i8"), ("hash", "<u4"), ("code", "<u2")):
-            values = np.empty(bucket.size, kind)
-            values[order] = np.concatenate([_unpacked(x, kind) for x in rows[name].to_pylist()])
-            out.append(pa.array([_packed(values, kind)], pa.binary()))
+        got = {name: np.concatenate([_unpacked(x, kind) for x in rows[name].to_pylist()]) for name, kind in (*WORD_COLUMNS, ("odds", ODDS))}
+        starts = np.cumsum(got["deep"], dtype=np.int64) - got["deep"]
+        out = [pa.array([_packed(got[name][place], kind)], pa.binary()) for name, kind in WORD_COLUMNS]
+        out.append(pa.array([_packed(got["odds"][_runs(starts[place], got["deep"][place])], ODDS)], pa.binary()))
         names = ["chunk", "doc_id", "held_out", "sizes", "ids"]
-        return pa.Table.from_arrays([*(docs[n] for n in names), *out], names=[*names, "c", "hash", "code"])
+        return pa.Table.from_arrays([*(docs[n] for n in names), *out], names=[*names, *columns])
 
     docs = parts.where("bucket < 0").select("chunk", "doc_id", "held_out", "sizes", "ids", "buckets")
     return stored(docs.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(meet, READY), "lm-ready")
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs of these sizes, one after another."""
+    sizes = sizes.astype(np.int64)
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Of each chunk: doc ids, held-out marks, the documents' word numbers, and counts, hashes and codes by number."""
+    """Of each chunk: doc ids, held-out marks, the documents' word numbers, and what ``paths_of`` needs by number."""
     for batch in batches:
         for i in range(batch.num_rows):
             ids = _unpacked(batch.column("ids")[i].as_py(), "<i4")
             sizes = np.array(batch.column("sizes")[i].as_py(), np.int64)
-            yield (batch.column("doc_id")[i].as_py(), np.array(batch.column("held_out")[i].as_py(), bool),
-                   sizes, ids, _unpacked(batch.column("c")[i].as_py(), "<i8"),
-                   _unpacked(batch.column("hash")[i].as_py(), "<u4").astype(np.int64),
-                   _unpacked(batch.column("code")[i].as_py(), "<u2").astype(np.int64))
+            c, hashes, codes, deep, rest, others = (_unpacked(batch.column(n)[i].as_py(), kind) for n, kind in WORD_COLUMNS)
+            yield (batch.column("doc_id")[i].as_py(), np.array(batch.column("held_out")[i].as_py(), bool), sizes, ids,
+                   (c, hashes.astype(np.int64), codes.astype(np.int64), deep, _unpacked(batch.column("odds")[i].as_py(), ODDS), rest, others))
+
 
+MOVED = "block int, outer binary, inner binary, sums binary, uses binary, nodes binary"
 
-MOVED = "block int, outer binary, inner binary, sums binary, uses binary"
 
+def _blocks(outer: np.ndarray, inner: np.ndarray, sums: np.ndarray, uses: np.ndarray,
+            nodes: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Weight rows in blocks, those that no token used left out by blocks.
 
-def _blocks(outer: np.ndarray, inner: np.ndarray, sums: np.ndarray, uses: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Weight rows in blocks, those that no token used left out by blocks."""
+    ``nodes`` has weights, squared gradients and uses of the nodes' places; a block carries its share of them.
+    """
+    nodes = np.zeros((3, NODES), np.float32) if nodes is None else nodes
     for at in range(0, ROWS, BLOCK):
-        rows = slice(at, at + BLOCK)
-        if uses[:, rows].any():
-            made = outer[rows], inner[rows], sums[:, rows], uses[:, rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([at // BLOCK], pa.int32()),
-                 *[pa.array([np.ascontiguousarray(x, k).tobytes()], pa.binary()) for x, k in zip(made, ("<f4", "<f4", "<f4", "<i8"), strict=True)]],
-                ["block", "outer", "inner", "sums", "uses"])
+        rows, places = slice(at, at + BLOCK), slice(at * NODES // ROWS, (at + BLOCK) * NODES // ROWS)
+        if uses[:, rows].any() or nodes[2, places].any():
+            made = outer[rows], inner[rows], sums[:, rows], uses[:, rows], nodes[:, places]
+            yield _block(at // BLOCK, made)
+
+
+def _block(number: int, made: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number], pa.int32()),
+         *[pa.array([np.ascontiguousarray(x, k).tobytes()], pa.binary()) for x, k in zip(made, ("<f4", "<f4", "<f4", "<i8", "<f4"), strict=True)]],
+        ["block", "outer", "inner", "sums", "uses", "nodes"])
 
 
 def _block_of(outer: bytes, inner: bytes, sums: bytes, uses: bytes) -> tuple[np.ndarray, ...]:
@@ -393,21 +576,20 @@ def _block_of(outer: bytes, inner: bytes, sums: bytes, uses: bytes) -> tuple[np.
 
 
 def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's mean over learners, a learner counting as often as its tokens used the row."""
+    """Each row's mean over learners, a learner counting as often as its tokens used the row; likewise of each node's place."""
     total: dict[int, list] = {}
     for batch in batches:
-        for block, *raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for block, *raw, last in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
             outer, inner, sums, uses = _block_of(*raw)
-            have = total.setdefault(block, [0.0, 0.0, 0.0, 0])
-            for i, x in enumerate((outer * uses[0][:, None].astype(float), inner * uses[1][:, None].astype(float), sums * uses.astype(float), uses)):
+            weights, squares, often = np.frombuffer(last, "<f4").reshape(3, -1).astype(float)
+            have = total.setdefault(block, [0.0, 0.0, 0.0, 0, 0.0])
+            for i, x in enumerate((outer * uses[0][:, None].astype(float), inner * uses[1][:, None].astype(float), sums * uses.astype(float), uses,
+                                   np.stack((weights * often, squares * often, often)))):
                 have[i] = have[i] + x
-    for block, (outer, inner, sums, uses) in total.items():
+    for block, (outer, inner, sums, uses, nodes) in total.items():
         often = np.maximum(uses, 1)
-        made = outer / often[0][:, None], inner / often[1][:, None], sums / often, uses
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int32()),
-             *[pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in zip(made, ("<f4", "<f4", "<f4", "<i8"), strict=True)]],
-            ["block", "outer", "inner", "sums", "uses"])
+        nodes[:2] /= np.maximum(nodes[2], 1)
+        yield _block(block, (outer / often[0][:, None], inner / often[1][:, None], sums / often, uses, nodes))
 
 
 def train(ready: DataFrame, vocab: Vocabulary, rounds: int | None = None) -> Model:
@@ -422,30 +604,37 @@ def train(ready: DataFrame, vocab: Vocabulary, rounds: int | None = None) -> Mod
     """
     spark = ready.sparkSession
     model = Model.start(vocab.class_counts(), vocab.counts)
-    sums = np.ones((2, ROWS), np.float32)
+    sums, node_sums = np.ones((2, ROWS), np.float32), np.ones(NODES, np.float32)
+    words = spark.sparkContext.broadcast(vocab)
     rounds = rounds or max(ROUNDS, (vocab.tokens // LEARNER_TOKENS).bit_length())
     learners = max(1, -(-vocab.tokens // (LEARNER_TOKENS * rounds)))
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((model.flat(), sums))
+        shared = spark.sparkContext.broadcast((model.flat(), sums, node_sums))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            flat, before = shared.value
+            flat, before, nodes_before = shared.value
             local, own_sums, uses = Model.of(flat), before.copy(), np.zeros((2, ROWS), np.int64)
-            for _, apart, sizes, ids, _, hashes, codes in _chunks(batches):
+            own_nodes, node_uses = nodes_before.copy(), np.zeros(NODES, np.int64)
+            for _, apart, sizes, ids, entries in _chunks(batches):
                 flat = ids[~np.repeat(apart, sizes)]
                 own = sizes[~apart]
                 if flat.size:
-                    local.learn(*contexts(hashes[flat], np.cumsum(own) - own), codes[flat], own_sums, uses)
-            yield from _blocks(local.outer, local.inner, own_sums, uses)
+                    _, hashes, codes, *_ = entries
+                    one, two = contexts(hashes[flat], np.cumsum(own) - own)
+                    local.learn(one, two, codes[flat], own_sums, uses)
+                    local.learn_turns(one, two, flat, paths_of(words.value, *entries)[0], own_nodes, node_uses)
+            yield from _blocks(local.outer, local.inner, own_sums, uses, np.stack((local.nodes, own_nodes, node_uses.astype(np.float32))))
 
         mine = ready.where(F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == turn).coalesce(learners)
-        for r in (mine.select("doc_id", "held_out", "sizes", "ids", "c", "hash", "code").mapInArrow(run, MOVED)
-                  .repartition("block").mapInArrow(_mean, MOVED).collect()):
-            outer, inner, squares, uses = _block_of(*r[1:])
+        for r in mine.drop("chunk").mapInArrow(run, MOVED).repartition("block").mapInArrow(_mean, MOVED).collect():
+            outer, inner, squares, uses = _block_of(*r[1:5])
             rows = np.arange(r["block"] * BLOCK, r["block"] * BLOCK + BLOCK)
             a, b = uses[0] > 0, uses[1] > 0
             model.outer[rows[a]], model.inner[rows[b]] = outer[a], inner[b]
             sums[0, rows[a]], sums[1, rows[b]] = squares[0][a], squares[1][b]
+            weights, squares, often = np.frombuffer(r["nodes"], "<f4").reshape(3, -1)
+            places = np.flatnonzero(often) + r["block"] * often.size
+            model.nodes[places], node_sums[places] = weights[often > 0], squares[often > 0]
         model = Model.of(model.flat())  # with the exponentials of the new weights
         shared.unpersist()
     return model
@@ -456,9 +645,10 @@ def score(docs: DataFrame, rounds: int | None = None) -> DataFrame:
 
     ``score`` is the base-10 log probability of the whole text, its end
     included: of each token's class given the two words before, then of the word in
-    its class. Within the classes of frequent words that is a softmax too; in
-    the others the smoothed share of the word's count, one more place standing
-    for all unseen words of the class. NULL text counts as empty (the end alone).
+    its class given them too. Within the classes of frequent words that is a softmax; in
+    the others a way down a tree of all words of the class, a logistic choice at each
+    node. A leaf has one known word (or those whose hashes are equal) and one more place
+    that stands for all unseen words there. NULL text counts as empty (the end alone).
     Without training documents every token has its class's even share.
 
     Counts are exact and cover the whole corpus. A word crosses the shuffle
@@ -478,25 +668,24 @@ def score(docs: DataFrame, rounds: int | None = None) -> DataFrame:
         for chunk in _chunks(batches):
             yield from _scored(local, words, *chunk)
 
-    return ready.select("doc_id", "held_out", "sizes", "ids", "c", "hash", "code").mapInArrow(
+    return ready.drop("chunk").mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _scored(model: Model, vocab: Vocabulary, doc_ids: list, apart: np.ndarray, sizes: np.ndarray, ids: np.ndarray,
-            count: np.ndarray, hashes: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+            entries: tuple) -> Iterator[pa.RecordBatch]:
     """Scores of one chunk's documents, in runs of bounded size."""
+    count, hashes, codes, *_ = entries
     base = np.log10((count + ADDED) / (vocab.tokens + ADDED * (vocab.words + 1)))
-    rare = codes // WIDTH - FREQUENT
-    of = np.maximum(rare, 0)
-    share = np.log((count + ADDED) / (vocab.shape_tokens[of] + ADDED * (vocab.shape_words[of] + 1)))
-    share[rare < 0] = 0.0  # a frequent word's place in its class is in the model's hands
+    paths, share = paths_of(vocab, *entries)
     ends = np.cumsum(sizes)
     at = 0
     while at < sizes.size:
         begin = int(ends[at] - sizes[at])
         stop = max(at + 1, int(np.searchsorted(ends, begin + (1 << 18), "right")))
         flat, first = ids[begin:int(ends[stop - 1])], ends[at:stop] - sizes[at:stop] - begin
-        logs = model.logs(*contexts(hashes[flat], first), codes[flat]) + share[flat]
+        one, two = contexts(hashes[flat], first)
+        logs = model.logs(one, two, codes[flat]) + model.turn_logs(one, two, flat, paths) + share[flat]
         n = stop - at
         yield pa.RecordBatch.from_arrays([
             pa.array(doc_ids[at:stop], pa.int64()), pa.array(apart[at:stop]), pa.array(sizes[at:stop]),

@@ -257,3 +257,45 @@ def test_lm_rows_are_weighted_by_their_tokens():
     for batch in M._mean(iter(moved(1.0, 30) + moved(3.0, 10))):
         outer, inner, _, uses = M._block_of(*(batch.column(i)[0].as_py() for i in range(1, 5)))
         assert np.allclose(outer, 1.5) and np.allclose(inner, 1.5) and (uses == 40).all()
+
+
+def test_lm_turns_follow_the_counts_of_all_words():
+    rng = np.random.default_rng(8)
+    hashes = rng.integers(0, 1 << 32, 400)
+    hashes[200:] = (hashes[:200] & ~0xFFFF) | rng.integers(0, 1 << 16, 200)  # pairs that only the last bits tell apart
+    counts = np.concatenate((rng.integers(1, 50, 300), np.zeros(100, np.int64)))  # a quarter is unseen
+    codes = np.full(400, (M.FREQUENT + 3) * M.WIDTH)
+    top = np.zeros((2, M.SHAPES, M.TOPS + 1), np.int64)
+    for h, c in zip(hashes[:300].tolist(), counts.tolist()):
+        top[:, 3, (h >> 16) + 1] += (c, 1)
+    vocab = M.Vocabulary({}, np.zeros((M.FREQUENT, M.WIDTH)), np.zeros(M.SHAPES), np.zeros(M.SHAPES), 0, 0, *top.cumsum(axis=2))
+    paths, share = M.paths_of(vocab, counts, hashes, codes, *M.deep_turns(np.full(400, 3), hashes, counts))
+    model = M.Model.start(np.ones(M.CLASSES), np.ones((M.FREQUENT, M.WIDTH)))
+    context = np.full(400, 12345, np.uint64)
+    got = model.turn_logs(context, context, np.arange(400), paths) + share
+    known = list(zip(hashes[:300].tolist(), counts.tolist()))
+    for h, c, log in zip(hashes.tolist(), counts.tolist(), got.tolist()):
+        inside, bit, want = known, 31, 0.0
+        while len(inside) > 1 and bit >= 0:
+            sides = [[x for x in inside if x[0] >> bit & 1 == side] for side in (0, 1)]
+            mass = [sum(n for _, n in s) + 0.1 * (len(s) + 1) for s in sides]
+            side = h >> bit & 1
+            want += math.log(mass[side] / sum(mass))
+            inside, bit = sides[side], bit - 1
+        want += math.log((c + 0.1) / (sum(n for _, n in inside) + 0.1 * (len(inside) + 1)))
+        assert abs(log - want) < 0.01
+
+
+def test_lm_words_of_one_shape_depend_on_their_contexts(spark):
+    """Words of one shape beyond the frequent ones: pairs as learned outscore the same words with other partners."""
+    def word(head, i):
+        return head + "".join(chr(97 + i // 26 ** k % 26) for k in range(3))
+
+    n = 100
+    learned, apart = ([i for i in range(20_000) if (zlib.crc32(str(i).encode()) % 10 == 0) == held] for held in (False, True))
+    rows = [(learned[i], " ".join(word("a", k) for k in range(256))) for i in range(40)]  # these take the frequent places
+    rows += [(learned[40 + 20 * i + k], f"{word('y', i)} {word('z', i)}") for i in range(n) for k in range(20)]
+    right = [(apart[i], f"{word('y', i)} {word('z', i)}") for i in range(n)]
+    wrong = [(apart[n + i], f"{word('y', i)} {word('z', (i + 1) % n)}") for i in range(n)]
+    got = {r.doc_id: r.score for r in M.score(spark.createDataFrame(rows + right + wrong, "doc_id long, text string").coalesce(1), 8).collect()}
+    assert sum(got[i] for i, _ in right) - sum(got[i] for i, _ in wrong) > 0.3 * n
