@@ -7,9 +7,8 @@ as the gazetteer's longest name, longest match first. Words of a name may be
 parted by one space, hyphen or apostrophe, or a full stop and a space, and a text
 must part them alike.
 
-A text is cut into alternating word and non-word runs, whose ends are summed up
-within the row, so its n-grams with their offsets leave it without any window
-or shuffle. They meet the gazetteer in an equi join (broadcast if it is proven
+A text's words are found in one pass over it, so its n-grams with their offsets leave
+it without any window or shuffle; those shorter than any name of as many words stay behind. They meet the gazetteer in an equi join (broadcast if it is proven
 small), and only the hits shuffle by text: a match inside a longer one is
 dropped (running max of match ends in start order), an ambiguous name resolves
 to its most populous entry, and matches are collected per text in offset order.
@@ -17,16 +16,21 @@ to its most populous entry, and matches are collected per text in offset order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+from functools import cache
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from crisismap.functions.text import RUNS
 from crisismap.session import keep, maybe_broadcast, spread
 
 WORD_START = r"^[\p{L}\p{N}_]"
 WORD = r"[\p{L}\p{N}_]+"
-# Runs whose lengths are summed up together, and how many first words of names are worth a filter.
-BLOCK_RUNS = 64
+# How many first words of names are worth a filter, and candidates that leave a task at once.
+BATCH_ROWS = 50_000
 FIRST_WORDS = 10_000
 GAPS = (" ", "-", "'", "\u2019", ". ")
 
@@ -44,59 +48,91 @@ def resolve_gazetteer(gazetteer: DataFrame) -> DataFrame:
     return g.groupBy("norm").agg(best.alias("g")).select("norm", "g.*")
 
 
-def _sums(values: Column) -> Column:
-    """0 and the running sums of an array."""
-    return F.aggregate(values, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+@cache
+def word_class(spark: SparkSession) -> str:
+    """Word characters as ranges of a Python pattern, as Spark sees them (its Unicode version may be another one)."""
+    code = F.col("id")
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    of = spark.range(0, 0x110000, 1, 4).where((code < 0xD800) | (code > 0xDFFF)).where(char.rlike(WORD_START))
+    codes = [r[0] for r in of.collect()]
+    begins = [c for c, before in zip(codes, [-2, *codes], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2], strict=True) if c != after - 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(begins, ends, strict=True))
+
+
+def least_lengths(gazetteer: DataFrame, longest: int) -> list[float]:
+    """Length of the shortest name of 1 to ``longest`` words (infinite where there is none)."""
+    words = F.size(F.regexp_extract_all("norm", F.lit(WORD), F.lit(0)))
+    # a capital I with a dot becomes two characters, of which the dot is no part of a word
+    dotted = F.contains("norm", F.lit("\u0307"))
+    least = [float("inf")] * longest
+    for n, two, length in gazetteer.groupBy(words.alias("n"), dotted.alias("d")).agg(F.min(F.length("norm"))).collect():
+        for i in range(longest):
+            if two:
+                least[i] = min(least[i], length // 2)
+            elif i + 1 == max(n, 1):
+                least[i] = min(least[i], length)
+    return least
 
 
 def candidates(df: DataFrame, key: str, text: str = "text", longest: int = 3,
-               first_words: list[str] | None = None) -> DataFrame:
+               first_words: list[str] | None = None, least: list[float] | None = None) -> DataFrame:
     """(key, start, end, ngram, norm) for all n-grams of 1 to ``longest`` words of each text.
 
-    With ``first_words`` (normalised) only those that begin with one of them.
+    With ``first_words`` (normalised) only those that may begin with one of them, with ``least`` only those
+    that are as long as that for their number of words.
     """
-    cut = spread(df.select(key, F.col(text).alias("_text"))).where(F.col("_text").isNotNull()).select(
-        key, F.regexp_extract_all("_text", F.lit(RUNS), F.lit(0)).alias("_r"))
-    # Runs are summed up in blocks, as an array that grows is copied at each step. Projections are merged, and an
-    # array then worked out again for each element, where a lambda is the only one to name it: each is an argument
-    # of its function or is named twice.
-    blocks = F.sequence(F.lit(0), F.greatest(F.size("_r") - 1, F.lit(0)), F.lit(BLOCK_RUNS))
-    cut = cut.select(key, "_r", F.transform("_r", lambda r: r.rlike(WORD_START)).alias("_word"),
-                     F.transform("_r", lambda r: r.isin(*GAPS)).alias("_gap"), F.transform("_r", F.length).alias("_n"))
-    cut = cut.select("*", F.transform(blocks, lambda b: _sums(F.slice(
-        "_n", b + 1, F.least(F.lit(BLOCK_RUNS), F.greatest(F.size("_n") - b, F.lit(0)))))).alias("_in"))
-    cut = cut.select("*", _sums(F.transform("_in", lambda s: F.element_at(s, -1))).alias("_before"))
-    cut = cut.select("*", F.concat(F.flatten(F.zip_with(
-        "_in", F.slice("_before", 1, F.size("_before") - 1),
-        lambda s, b: F.transform(F.slice(s, 1, F.size(s) - 1), lambda x: x + b))), F.slice("_before", -1, 1)).alias("_end"))
-
-    def grams(i: Column) -> Column:
-        whole, out = F.lit(True), []
-        for n in range(longest):
-            if n:
-                # past the text's last word, get() is NULL and so is the condition
-                whole = whole & F.get("_gap", i + 2 * n - 1) & F.get("_word", i + 2 * n)
-            gram = F.array_join(F.slice("_r", i + 1, 2 * n + 1), "") if n else F.get("_r", i)
-            out.append(F.when(whole, F.struct(F.get("_end", i).alias("s"), F.get("_end", i + 2 * n + 1).alias("e"),
-                                              gram.alias("g"))))
-        return F.array_compact(F.array(*out))
-
-    def begins(i: Column) -> Column:
-        return i.isNotNull() if first_words is None else i.isNotNull() & _norm(F.get("_r", i)).isin(first_words)
-
-    cut = cut.select("*", F.filter(F.transform("_word", lambda w, i: F.when(w, i)), begins).alias("_starts"))
-    ex = cut.select(key, F.explode(F.flatten(F.transform("_starts", grams))).alias("x"))
-    return ex.select(key, F.col("x.s").cast("long").alias("start"), F.col("x.e").cast("long").alias("end"),
-                     F.col("x.g").alias("ngram"), _norm(F.col("x.g")).alias("norm"))
+    pattern = f"[{word_class(df.sparkSession)}]+"
+    first = None if first_words is None else frozenset(first_words)
+    least = least or [0] * longest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, gaps = re.compile(pattern), frozenset(GAPS)
+        for batch in batches:
+            rows, starts, ends, grams = [], [], [], []
+
+            def made() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()),  # noqa: B023
+                                                   pa.array(ends, pa.int64()), pa.array(grams, pa.string())], names)  # noqa: B023
+
+            for row in range(batch.num_rows):
+                whole = batch.column(1)[row].as_py()
+                spans = [m.span() for m in words.finditer(whole)]
+                floor = [n / 2 for n in least] if "\u0130" in whole else least
+                for i, (start, end) in enumerate(spans):
+                    # what isn't ASCII may be lowered in other ways than here: the join decides
+                    if first is not None and (head := whole[start:end]).isascii() and head.lower() not in first:
+                        continue
+                    for n in range(longest):
+                        if n:
+                            if i + n == len(spans) or whole[end:spans[i + n][0]] not in gaps:
+                                break
+                            end = spans[i + n][1]
+                        if end - start >= floor[n]:
+                            rows.append(row)
+                            starts.append(start)
+                            ends.append(end)
+                            grams.append(whole[start:end])
+                if len(rows) > BATCH_ROWS:
+                    yield made()
+                    rows, starts, ends, grams = [], [], [], []
+            if rows:
+                yield made()
+
+    names = ["key", "start", "end", "ngram"]
+    source = spread(df.select(F.col(key).alias("key"), F.col(text).alias("_text"))).where(F.col("_text").isNotNull())
+    schema = StructType([source.schema["key"], StructField("start", LongType()), StructField("end", LongType()), StructField("ngram", StringType())])
+    return source.mapInArrow(run, schema).select(F.col("key").alias(key), "start", "end", "ngram", _norm(F.col("ngram")).alias("norm"))
 
 
 def toponym_rows(df: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per resolved toponym (key, start_char, end_char, text, loc_name, ...)."""
-    gaz = keep(resolve_gazetteer(gazetteer))  # read four times
+    gaz = keep(resolve_gazetteer(gazetteer))  # read five times
     longest = gaz.agg(F.max(F.size(F.regexp_extract_all("norm", F.lit(WORD), F.lit(0))))).first()[0] or 1
     # a short list of first words goes along as a filter; a longer one would weigh more than it saves
     first = [r[0] for r in gaz.select(F.regexp_extract("norm", WORD, 0)).distinct().limit(FIRST_WORDS + 1).collect()]
-    hits = candidates(df, key, text, longest, first if len(first) <= FIRST_WORDS else None).join(maybe_broadcast(gaz)[0], "norm")
+    hits = candidates(df, key, text, longest, first if len(first) <= FIRST_WORDS else None,
+                      least_lengths(gaz, longest)).join(maybe_broadcast(gaz)[0], "norm")
     w = Window.partitionBy(key).orderBy(F.col("start"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     hits = hits.withColumn("_cover", F.max("end").over(w))
     kept = hits.where(F.col("_cover").isNull() | (F.col("_cover") < F.col("end")))

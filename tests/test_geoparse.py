@@ -40,3 +40,25 @@ def test_shuffled_gazetteer_matches(spark, monkeypatch):
     b = GP.toponym_rows(docs, gaz)
     assert a.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_only_ngrams_as_long_as_a_name_leave_a_text(spark):
+    docs = spark.createDataFrame([(1, "Oslo to San Juan, a fine day by the sea"), (2, None)], "doc_id long, text string")
+    gaz = GP.resolve_gazetteer(spark.createDataFrame([("Oslo", "N", 1.0, 2.0, 1), ("San Juan", "P", 1.0, 2.0, 1)],
+                               "name string, country_name string, latitude double, longitude double, population long"))
+    least = GP.least_lengths(gaz, 2)
+    assert least == [4, 8]
+    rows = GP.candidates(docs, "doc_id", longest=2, least=least).collect()
+    assert {(r.start, r.end, r.ngram) for r in rows} == {(0, 4, "Oslo"), (8, 16, "San Juan"), (12, 16, "Juan"), (20, 24, "fine"), (20, 28, "fine day")}
+
+
+def test_letters_of_all_scripts(spark):
+    names = ["İstanbul", "Москва", "\U00010400\U00010401\U00010402", "東京"]
+    text = "İSTANBUL, МОСКВА; \U0001f30d \U00010400\U00010401\U00010402 東京!"
+    docs = spark.createDataFrame([(None, text)], "doc_id long, text string")
+    gaz = spark.createDataFrame([(n, "C", 1.0, 2.0, 10) for n in names],
+                                "name string, country_name string, latitude double, longitude double, population long")
+    least = GP.least_lengths(GP.resolve_gazetteer(gaz), 2)
+    found = {r.norm: text[r.start:r.end] for r in GP.candidates(docs, "doc_id", longest=2, least=least).collect()}
+    norms = [r.norm for r in GP.resolve_gazetteer(gaz).collect()]
+    assert set(norms) <= set(found) and found["москва"] == "МОСКВА"
