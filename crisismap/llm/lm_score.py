@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ ROWS = 1 << ROW_BITS
 ROUNDS = 2
 LEARNER_TOKENS = 2_000_000
 BATCH = 16384
+PART = 4096  # tokens of a score in work at once
+SHORT_RUN = 8
 RATE = 0.5
 LARGEST = 6.0
 BLOCK = 1 << 11  # rows
@@ -47,6 +50,17 @@ def tokens(text: str) -> list[bytes]:
     return words
 
 
+class Numbers(dict):
+    """Numbers of words by their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
 def shape(word: bytes) -> int:
     """Class of a word that isn't frequent, from its bytes alone: ending, alphabet and length."""
     last = word[-1:]
@@ -109,8 +123,13 @@ class Paths:
         begins = np.cumsum(sizes) - sizes
         at = _runs(self.starts[words], sizes)
         node = self.nodes[at]
-        places = [((np.repeat(_mix64(x, factor), sizes) ^ node) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - NODE_BITS)).astype(np.int64)
-                  for x, factor in ((one, 0xD6E8FEB86659FD93), (two, 0xA0761D6478BD642F))]
+        places = []
+        for x, factor in ((one, 0xD6E8FEB86659FD93), (two, 0xA0761D6478BD642F)):
+            place = np.repeat(_mix64(x, factor), sizes)
+            place ^= node
+            place *= np.uint64(0x9E3779B97F4A7C15)
+            place >>= np.uint64(64 - NODE_BITS)
+            places.append(place.view(np.int64))
         return begins, places, self.bias[at], self.sign[at]
 
 
@@ -169,15 +188,15 @@ class Model:
     def logs(self, one: np.ndarray, two: np.ndarray, out: np.ndarray) -> np.ndarray:
         """Natural log probability of the output codes: of the class, and of the word if its class is frequent."""
         result = np.empty(out.size)
-        for at in range(0, out.size, BATCH):
-            a, b, code = one[at:at + BATCH], two[at:at + BATCH], out[at:at + BATCH]
+        for at in range(0, out.size, PART):
+            a, b, code = one[at:at + PART], two[at:at + PART], out[at:at + PART]
             classes, word = code // WIDTH, code % WIDTH
             got = _chosen(self.outer_x, self.outer_rows(a, b), self.class_x, classes)
             some = np.flatnonzero(classes < FREQUENT)
             if some.size:
                 rows = self.inner_rows(a[some], b[some], classes[some])
                 got[some] += _chosen(self.inner_x, rows, self.word_x[classes[some]], word[some])
-            result[at:at + BATCH] = got
+            result[at:at + PART] = got
         return result
 
     def learn(self, one: np.ndarray, two: np.ndarray, out: np.ndarray, sums: np.ndarray, uses: np.ndarray) -> None:
@@ -199,11 +218,15 @@ class Model:
         """Natural log probability of the turns to each token's word (its number in the chunk)."""
         result = np.zeros(words.size)
         some = np.flatnonzero(paths.sizes[words])
-        for at in range(0, some.size, BATCH):
-            own = some[at:at + BATCH]
+        for at in range(0, some.size, PART):
+            own = some[at:at + PART]
             begins, places, bias, sign = paths.steps(one[own], two[own], words[own])
-            odds = (self.nodes[places[0]] + self.nodes[places[1]] + bias) * sign
-            result[own] = -np.add.reduceat(np.log1p(np.exp(-odds)), begins)
+            odds = np.take(self.nodes, places[0])
+            odds += np.take(self.nodes, places[1])
+            odds += bias
+            odds *= sign
+            np.exp(np.negative(odds, out=odds), out=odds)
+            result[own] = -np.add.reduceat(np.log1p(odds, out=odds), begins)
         return result
 
     def learn_turns(self, one: np.ndarray, two: np.ndarray, words: np.ndarray, paths: Paths, sums: np.ndarray, uses: np.ndarray) -> None:
@@ -212,10 +235,18 @@ class Model:
         for at in range(0, some.size, BATCH):
             own = some[at:at + BATCH]
             _, places, bias, sign = paths.steps(one[own], two[own], words[own])
-            error = 1 / (1 + np.exp(-(self.nodes[places[0]] + self.nodes[places[1]] + bias))) - (sign > 0)
-            every = np.concatenate(places)
-            gradient = np.bincount(every, np.concatenate((error, error)), NODES).astype(np.float32)
-            uses += np.bincount(every, minlength=NODES)
+            error = np.take(self.nodes, places[0])
+            error += np.take(self.nodes, places[1])
+            error += bias
+            np.exp(np.negative(error, out=error), out=error)
+            error += 1
+            np.divide(1, error, out=error)
+            error -= sign > 0
+            gradient, error = np.zeros(NODES), error.astype(float)
+            for place in places:
+                np.add.at(gradient, place, error)
+                np.add.at(uses, place, 1)
+            gradient = gradient.astype(np.float32)
             sums += gradient * gradient
             self.nodes -= RATE / np.sqrt(sums) * gradient
             np.clip(self.nodes, -LARGEST, LARGEST, out=self.nodes)
@@ -223,8 +254,8 @@ class Model:
 
 def _chosen(table: np.ndarray, rows: tuple[np.ndarray, np.ndarray], bias: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Log of the softmax at the chosen outputs."""
-    share = table[rows[0]]
-    share *= table[rows[1]]
+    share = np.take(table, rows[0], axis=0)
+    share *= np.take(table, rows[1], axis=0)
     share *= bias
     return np.log(share[np.arange(chosen.size), chosen].astype(float) / share.sum(axis=1))
 
@@ -232,8 +263,8 @@ def _chosen(table: np.ndarray, rows: tuple[np.ndarray, np.ndarray], bias: np.nda
 def _step(weights: np.ndarray, table: np.ndarray, sums: np.ndarray, uses: np.ndarray, rows: tuple[np.ndarray, np.ndarray],
           bias: np.ndarray, chosen: np.ndarray) -> None:
     """A gradient step on the rows that a batch uses."""
-    error = table[rows[0]]
-    error *= table[rows[1]]
+    error = np.take(table, rows[0], axis=0)
+    error *= np.take(table, rows[1], axis=0)
     error *= bias
     error /= error.sum(axis=1, keepdims=True)
     error[np.arange(chosen.size), chosen] -= 1
@@ -241,15 +272,37 @@ def _step(weights: np.ndarray, table: np.ndarray, sums: np.ndarray, uses: np.nda
     order = np.argsort(every, kind="stable")
     ordered = every[order]
     heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    gradient = np.add.reduceat(error[order % chosen.size], heads, axis=0)
-    used = ordered[heads]
-    uses[used] += np.diff(heads, append=every.size)
+    lengths = np.diff(heads, append=every.size)
+    which, gradient = _run_sums(error, order % chosen.size, heads, lengths)
+    used = ordered[heads[which]]
+    uses[used] += lengths[which]
     sums[used] += np.einsum("ij,ij->i", gradient, gradient)
     fresh = weights[used] - (RATE / np.sqrt(sums[used]))[:, None] * gradient
     weights[used] = fresh = np.clip(fresh, -LARGEST, LARGEST)
     table[used] = np.exp(fresh)
 
 
+def _run_sums(values: np.ndarray, order: np.ndarray, heads: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows of ``values`` that each run of ``order`` names: numbers of the runs, in some order, and their sums.
+
+    Most runs are short; those are added up side by side, a row of each at a time, as ``reduceat`` adds those of one.
+    """
+    long, short = np.flatnonzero(lengths > SHORT_RUN), np.flatnonzero(lengths <= SHORT_RUN)
+    short = short[np.argsort(-lengths[short], kind="stable")]
+    first, size = heads[short], lengths[short]
+    more = np.searchsorted(-size, -np.arange(SHORT_RUN), side="left")  # runs of more than so many rows come first
+    sums = np.take(values, order[first], axis=0)
+    rest = np.take(values, order[first[:more[1]] + 1], axis=0)
+    for k in range(2, SHORT_RUN):
+        rest[:more[k]] += np.take(values, order[first[:more[k]] + k], axis=0)
+    sums[:more[1]] += rest
+    if long.size:
+        sizes = lengths[long]
+        of_long = np.add.reduceat(np.take(values, order[_runs(heads[long], sizes)], axis=0), np.cumsum(sizes) - sizes, axis=0)
+        sums = np.concatenate((of_long, sums))
+    return np.concatenate((long, short)), sums
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Frequent words with their output codes, and the training counts of everything else by shape."""
@@ -267,6 +320,33 @@ class Vocabulary:
         found = self.codes.get(word)
         return (FREQUENT + shape(word)) * WIDTH if found is None else found
 
+    @cached_property
+    def top(self) -> tuple[np.ndarray, ...]:
+        """The trees' upper part, by shape: of each node, the log odds of a right turn; of the hashes' first bits, how
+        many steps their words have there, and the tokens and words of the node at which those end.
+        """
+        odds = np.zeros((SHAPES, TOPS), np.float32)  # a level's nodes follow those of the levels above, from 1 on
+        depth, tokens, words = np.zeros((SHAPES, TOPS), np.uint8), *(np.zeros((SHAPES, TOPS), np.int64) for _ in range(2))
+        going = np.ones((SHAPES, 1), bool)
+        for level in range(TOP_BITS + 1):
+            span = TOPS >> level
+            own, known = (np.diff(x[:, ::span], axis=1) for x in (self.top_tokens, self.top_words))
+            further = going & (known > 1) if level < TOP_BITS else np.zeros_like(going)
+            for ended, made in ((tokens, own), (words, known)):
+                np.copyto(ended.reshape(SHAPES, -1, span), made[:, :, None], where=(going & ~further)[:, :, None])
+            if level < TOP_BITS:
+                depth.reshape(SHAPES, -1, span)[:] += further[:, :, None]
+                half, half_known = (np.diff(x[:, ::span // 2], axis=1) for x in (self.top_tokens, self.top_words))
+                odds[:, 1 << level:2 << level] = _log_mass(half[:, 1::2], half_known[:, 1::2]) - _log_mass(half[:, ::2], half_known[:, ::2])
+                going = np.repeat(further, 2, axis=1)
+        return odds, depth, tokens, words
+
+    def sent(self) -> Vocabulary:
+        """What tasks need of it to find words' paths."""
+        out = replace(self, top_tokens=None, top_words=None)
+        out.__dict__["top"] = self.top
+        return out
+
     def class_counts(self) -> np.ndarray:
         return np.concatenate((self.counts.sum(axis=1), self.shape_tokens))
 
@@ -295,7 +375,7 @@ def chunked(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId() << 32, 0
-        numbers, ids, doc_ids, apart, size = {}, [], [], [], 0
+        numbers, ids, doc_ids, apart, size = Numbers(), [], [], [], 0
 
         def rows() -> Iterator[tuple]:
             words = list(numbers)
@@ -320,14 +400,14 @@ def chunked(docs: DataFrame, buckets: int) -> DataFrame:
             for start, texts in text_slices(batch, "text"):
                 for i, text in enumerate(texts, start):
                     words = tokens(text)
-                    ids.append(np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32))
+                    ids.append(numbers.of(words))
                     doc_ids.append(own[i])
                     apart.append(held[i])
                     size += len(words)
                 if len(numbers) > CHUNK_WORDS or size > CHUNK_TOKENS:
                     yield batch_of(rows())
                     done += 1
-                    numbers, ids, doc_ids, apart, size = {}, [], [], [], 0
+                    numbers, ids, doc_ids, apart, size = Numbers(), [], [], [], 0
         if ids:
             yield batch_of(rows())
 
@@ -339,9 +419,9 @@ def chunked(docs: DataFrame, buckets: int) -> DataFrame:
 
 def _counted(rows: Iterator[tuple[bytes, bytes]]) -> tuple[dict[bytes, int], list[np.ndarray], np.ndarray]:
     """Numbers of the words in packed rows of words and counts, each row's numbers, and the words' sums."""
-    numbers, own, sums = {}, [], np.zeros(1 << 10, np.int64)
+    numbers, own, sums = Numbers(), [], np.zeros(1 << 10, np.int64)
     for words, n in rows:
-        own.append(np.array([numbers.setdefault(w, len(numbers)) for w in words.split(b" ")], np.int32))
+        own.append(numbers.of(words.split(b" ")))
         if len(numbers) > sums.size:
             sums = np.concatenate((sums, np.zeros(len(numbers), np.int64)))
         sums[own[-1]] += np.frombuffer(n, "<i8")  # no word comes twice in a row
@@ -439,39 +519,31 @@ def paths_of(vocab: Vocabulary, count: np.ndarray, hashes: np.ndarray, codes: np
     """Paths of a chunk's words, and the natural log of each word's share of its leaf."""
     rare = np.flatnonzero(codes >= FREQUENT * WIDTH)
     shapes, own, deep_own = codes[rare] // WIDTH - FREQUENT, hashes[rare], deep[rare].astype(np.int64)
-    row = shapes * (TOPS + 1)
-    tokens, words = vocab.top_tokens.ravel(), vocab.top_words.ravel()
-    begin, end, top, steps = row.copy(), row + TOPS, np.zeros(rare.size, np.int64), []
-    at = np.arange(rare.size)
-    for level in range(TOP_BITS):
-        at = at[words[end[at]] - words[begin[at]] > 1]
-        a, b = begin[at], end[at]
-        middle = (a + b) // 2
-        steps.append((at, _log_mass(tokens[b] - tokens[middle], words[b] - words[middle])
-                      - _log_mass(tokens[middle] - tokens[a], words[middle] - words[a])))
-        right = (own[at] >> (HASH_BITS - 1 - level)) & 1 > 0
-        begin[at], end[at] = np.where(right, middle, a), np.where(right, b, middle)
-        top[at] += 1
-    deep_starts = (np.cumsum(deep, dtype=np.int64) - deep)[rare]
-    for i in range(int(deep_own.max(initial=0))):
-        at = np.flatnonzero(deep_own > i)
-        steps.append((at, odds[deep_starts[at] + i]))
+    top_odds, depth, tokens, words = (x.ravel() for x in vocab.top)
+    place = shapes * TOPS + (own >> (HASH_BITS - TOP_BITS))
+    top = depth[place].astype(np.int64)
     sizes = np.zeros(codes.size, np.int64)
     sizes[rare] = top + deep_own
     starts = np.cumsum(sizes) - sizes
-    whole = int(sizes.sum())
-    nodes, bias, sign = np.empty(whole, np.uint64), np.empty(whole, np.float32), np.empty(whole, np.float32)
-    for level, (at, made) in enumerate(steps):
-        place, down = starts[rare[at]] + level, own[at] >> (HASH_BITS - 1 - level)
-        nodes[place] = shapes[at] << (HASH_BITS + 1) | 1 << level | down >> 1
-        bias[place] = made
-        sign[place] = (down & 1) * 2 - 1
+    # a word's steps on end; those beyond the first bits are in the order of ``odds``
+    size = sizes[rare]
+    level = _runs(np.zeros_like(size), size)
+    down = np.repeat(own, size)
+    down >>= HASH_BITS - 1 - level
+    node = np.left_shift(1, level)
+    node |= down >> 1
+    upper = level < np.repeat(top, size)
+    bias = np.empty(level.size, np.float32)
+    bias[upper] = top_odds[np.repeat(shapes * TOPS, top) + node[upper]]
+    bias[~upper] = odds
+    node |= np.repeat(shapes << (HASH_BITS + 1), size)
+    sign = ((down & 1) * 2 - 1).astype(np.float32)
     further = deep_own > 0
-    in_leaf = np.where(further, count[rare] + rest[rare], tokens[end] - tokens[begin])
-    known = np.where(further, (count[rare] > 0) + others[rare], words[end] - words[begin])
+    in_leaf = np.where(further, count[rare] + rest[rare], tokens[place])
+    known = np.where(further, (count[rare] > 0) + others[rare], words[place])
     share = np.zeros(codes.size)  # a frequent word's place in its class is in the model's hands
     share[rare] = np.log(count[rare] + ADDED) - _log_mass(in_leaf, known)
-    return Paths(starts, sizes, _mix64(nodes, 0x8EBC6AF09C88C6E3), bias, sign), share
+    return Paths(starts, sizes, _mix64(node.view(np.uint64), 0x8EBC6AF09C88C6E3), bias, sign), share
 
 
 WORD_COLUMNS = (("c", "<i8"), ("hash", "<u4"), ("code", "<u2"), ("deep", "u1"), ("rest", "<i8"), ("others", "<i4"))
@@ -605,7 +677,7 @@ def train(ready: DataFrame, vocab: Vocabulary, rounds: int | None = None) -> Mod
     spark = ready.sparkSession
     model = Model.start(vocab.class_counts(), vocab.counts)
     sums, node_sums = np.ones((2, ROWS), np.float32), np.ones(NODES, np.float32)
-    words = spark.sparkContext.broadcast(vocab)
+    words = spark.sparkContext.broadcast(vocab.sent())
     rounds = rounds or max(ROUNDS, (vocab.tokens // LEARNER_TOKENS).bit_length())
     learners = max(1, -(-vocab.tokens // (LEARNER_TOKENS * rounds)))
     for turn in range(rounds):
@@ -660,7 +732,7 @@ def score(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     vocab = vocabulary(parts.where("bucket >= 0"))
     ready = with_counts(parts, vocab)
     model = train(ready, vocab, rounds)
-    shared = docs.sparkSession.sparkContext.broadcast((model.flat(), vocab))
+    shared = docs.sparkSession.sparkContext.broadcast((model.flat(), vocab.sent()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, words = shared.value

@@ -299,3 +299,36 @@ def test_lm_words_of_one_shape_depend_on_their_contexts(spark):
     wrong = [(apart[n + i], f"{word('y', i)} {word('z', (i + 1) % n)}") for i in range(n)]
     got = {r.doc_id: r.score for r in M.score(spark.createDataFrame(rows + right + wrong, "doc_id long, text string").coalesce(1), 8).collect()}
     assert sum(got[i] for i, _ in right) - sum(got[i] for i, _ in wrong) > 0.3 * n
+
+
+def test_lm_run_sums_equal_those_of_whole_runs():
+    """Runs of few and of many rows, bit by bit as one ``reduceat`` over all has them."""
+    rng = np.random.default_rng(9)
+    for lengths in (np.array([1]), np.array([9, 40]), np.ones(5, np.int64), np.concatenate((rng.integers(1, 13, 300), [500, 8, 9, 2]))):
+        values = rng.normal(0, 1, (int(lengths.sum()), 7)).astype(np.float32)
+        order, heads = rng.permutation(len(values)), np.cumsum(lengths) - lengths
+        which, sums = M._run_sums(values, order, heads, lengths)
+        assert sorted(which.tolist()) == list(range(lengths.size))
+        assert np.array_equal(sums, np.add.reduceat(values[order], heads, axis=0)[which])
+
+
+def test_lm_upper_trees_follow_the_words_way():
+    """Log odds, steps and leaves of hashes' first bits, each by going down from the root."""
+    rng = np.random.default_rng(10)
+    top = np.zeros((2, M.SHAPES, M.TOPS + 1), np.int64)
+    for place in rng.integers(0, M.TOPS, 300).tolist() + [5, 5, 4]:
+        top[:, 3, place + 1] += (int(rng.integers(1, 50)), 1)
+    top[:, 7, 10] += (4, 1)
+    vocab = M.Vocabulary({}, np.zeros((M.FREQUENT, M.WIDTH)), np.zeros(M.SHAPES), np.zeros(M.SHAPES), 0, 0, *top.cumsum(axis=2)).sent()
+    odds, depth, *leaf = vocab.top
+    assert vocab.top_tokens is None
+    for shape, place in [(s, p) for s in (0, 3, 7) for p in [4, 5, 9, *rng.integers(0, M.TOPS, 50).tolist()]]:
+        a, b, level = 0, M.TOPS, 0
+        while level < M.TOP_BITS and top[1, shape, a + 1:b + 1].sum() > 1:
+            middle = (a + b) // 2
+            left, right = (top[:, shape, x + 1:y + 1].sum(axis=1) for x, y in ((a, middle), (middle, b)))
+            want = math.log(right[0] + 0.1 * (right[1] + 1)) - math.log(left[0] + 0.1 * (left[1] + 1))
+            assert abs(odds[shape, (1 << level) + (place >> (M.TOP_BITS - level))] - want) < 1e-5
+            a, b, level = (middle, b, level + 1) if place >= middle else (a, middle, level + 1)
+        assert depth[shape, place] == level
+        assert [x[shape, place] for x in leaf] == top[:, shape, a + 1:b + 1].sum(axis=1).tolist()
