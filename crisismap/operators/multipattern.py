@@ -3,22 +3,34 @@
 The keywords are compiled into an Aho-Corasick automaton of flat arrays, broadcast once. Texts
 are run over it as UTF-8 bytes, cut into windows that advance in lockstep, so a step is
 a few array operations for thousands of windows and the time for a text doesn't depend on the number of keywords.
+
+A list as long as the corpus is joined instead (``keyword_counts``): texts are cut at the characters that no keyword
+has, the distinct runs between them are matched once, and what they contain goes back to the texts by chunks.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crisismap.session import stored
+
 # Bytes of keywords in one automaton (about 20 bytes of arrays for each); longer lists make several.
 AUTOMATON_BYTES = 4 << 20
 WINDOW = 512  # bytes of text that a window owns
 SHORT_LIST = 100_000  # keywords that are fetched at once
 SLICE_BYTES = 4 << 20  # bytes of text in lockstep at once
+# A chunk of texts shares one dictionary of runs; it ends at so many runs, their uses or characters.
+CHUNK_RUNS, CHUNK_USES, CHUNK_CHARS = 250_000, 1_500_000, 16 << 20
+PIECE = 24  # characters; longer keywords are found by their first ones
+PIECE_ROWS = 1 << 16
+PAIRS = 1 << 21  # of text and keyword in work at once
 
 
 class Automaton:
@@ -168,3 +180,139 @@ def keywords_in(text: Column, keywords: DataFrame, column: str = "keyword", auto
     if block or not parts:
         close()
     return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+
+def keyword_counts(texts: DataFrame, column: str, keywords: DataFrame, keyword: str = "keyword") -> DataFrame:
+    """``keyword`` and ``documents``: in how many rows the lower-cased text contains each lower-cased keyword, if in any.
+
+    A list that fits one automaton is matched by ``keywords_in``. A longer one meets the
+    distinct runs of its characters: every piece of a run, up to ``PIECE`` characters, is joined with the keywords, longer
+    keywords by their first characters and then tested. Work grows with texts and keywords, not with their product.
+    """
+    words = stored(keywords.select(F.lower(F.col(keyword)).alias("keyword")).where("keyword is not null").distinct(), "keywords")
+    size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("keyword")), F.lit(0))).first()
+    if size[0] <= SHORT_LIST and size[1] <= AUTOMATON_BYTES:
+        found = texts.select(F.explode(keywords_in(F.col(column), words)).alias("keyword"))
+        return found.groupBy("keyword").agg(F.count("*").alias("documents"))
+    least, most, letters = _extent(words)
+    lowered = texts.select(F.lower(F.col(column)).alias("text")).where("text is not null")
+    parts = stored(lowered.mapInArrow(_chunked(letters, least), "chunk long, sizes binary, ids binary, runs array<string>"), "keyword-chunks")
+    used = parts.select("chunk", F.posexplode("runs").alias("n", "run"))
+    runs = stored(used.select("run").distinct().withColumn("id", F.monotonically_increasing_id()), "keyword-runs")
+    hits = runs.mapInArrow(_pieces(least, PIECE), "id long, piece string").join(words, F.col("piece") == F.col("keyword")).select("id", "keyword")
+    if most > PIECE:
+        firsts = runs.where(F.length("run") > PIECE).mapInArrow(_pieces(PIECE, PIECE), "id long, piece string")
+        long = words.where(F.length("keyword") > PIECE).withColumn("piece", F.substring("keyword", 1, PIECE))
+        # a block of a run has a piece once, the run may have it in many blocks
+        pairs = firsts.distinct().join(long, "piece").select("id", "keyword").join(runs, "id")
+        hits = hits.unionByName(pairs.where(F.contains("run", "keyword")).select("id", "keyword"))
+    by_run = hits.groupBy("id").agg(F.collect_set("keyword").alias("found")).join(runs, "id").select("run", "found")
+    found = used.join(by_run, "run").select(F.col("chunk").alias("of"), "n", "found")
+    counts = parts.select("chunk", "sizes", "ids").groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(_counted, "keyword string, documents long")
+    every = words.where("keyword = ''").crossJoin(lowered.agg(F.count("*").alias("documents"))).where("documents > 0")
+    return counts.groupBy("keyword").agg(F.sum("documents").alias("documents")).unionByName(every)
+
+
+def _extent(words: DataFrame) -> tuple[int, int, str]:
+    """Least and most characters of the keywords, and all characters they have; the empty one doesn't count."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, letters = set(), set()
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            sizes.update(map(len, own))
+            letters.update("".join(own))
+        sizes.discard(0)
+        if sizes:
+            yield pa.RecordBatch.from_pydict({"least": [min(sizes)], "most": [max(sizes)], "letters": ["".join(sorted(letters))]})
+
+    rows = words.mapInArrow(run, "least long, most long, letters string").collect()
+    return (min((r["least"] for r in rows), default=1), max((r["most"] for r in rows), default=1),
+            "".join(sorted(set().union(*(r["letters"] for r in rows)))))
+
+
+def _chunked(letters: str, least: int):
+    """Texts as numbers of the runs that each has, once each, and the chunk's runs in the order of their numbers."""
+    pattern = f"[{''.join(map(re.escape, letters))}]{{{least},}}" if letters else "(?!)"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, part, done = re.compile(pattern).findall, TaskContext.get().partitionId() << 32, 0
+        numbers, ids, uses, chars = {}, [], 0, 0
+
+        def chunk() -> pa.RecordBatch:
+            sizes = np.array([x.size for x in ids], "<i4")
+            return pa.RecordBatch.from_pydict({
+                "chunk": pa.array([part + done]), "sizes": pa.array([sizes.tobytes()], pa.binary()),
+                "ids": pa.array([np.concatenate(ids).tobytes()], pa.binary()), "runs": pa.array([list(numbers)], pa.list_(pa.string()))})
+
+        for batch in batches:
+            for text in batch.column(0):
+                own, known = set(find(text.as_py())), len(numbers)
+                ids.append(np.array([numbers.setdefault(x, len(numbers)) for x in own], "<i4"))
+                uses += len(own)
+                if len(numbers) > known:
+                    chars += sum(map(len, own))
+                if len(numbers) > CHUNK_RUNS or uses > CHUNK_USES or chars > CHUNK_CHARS:
+                    yield chunk()
+                    numbers, ids, uses, chars, done = {}, [], 0, 0, done + 1
+        if uses:
+            yield chunk()
+
+    return run
+
+
+def _pieces(least: int, most: int):
+    """Each run's distinct pieces of ``least`` to ``most`` characters; of a long run, those of a block of it at a time."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, set[str]]]:
+        for batch in batches:
+            for run, number in zip(batch.column("run"), batch.column("id").to_pylist(), strict=True):
+                run = run.as_py()
+                for at in range(0, len(run) - least + 1, PIECE_ROWS):
+                    stop = min(at + PIECE_ROWS, len(run))
+                    yield number, {run[i:i + n] for n in range(least, min(most, len(run)) + 1) for i in range(at, min(stop, len(run) - n + 1))}
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, out = [], [], []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(out, pa.string())], ["id", "piece"])
+
+        for number, pieces in rows(batches):
+            ids.append(number)
+            sizes.append(len(pieces))
+            out.extend(pieces)
+            if len(out) >= PIECE_ROWS:
+                yield made()
+                ids, sizes, out = [], [], []
+        if out:
+            yield made()
+
+    return make
+
+
+def _counted(docs: pa.Table, found: pa.Table) -> pa.Table:
+    """Of one chunk: the texts that have each keyword, from the runs of each text and the keywords of each run."""
+    if not docs.num_rows or not found.num_rows:
+        return pa.table({"keyword": pa.array([], pa.string()), "documents": pa.array([], pa.int64())})
+    sizes, ids = np.frombuffer(docs["sizes"][0].as_py(), "<i4").astype(np.int64), np.frombuffer(docs["ids"][0].as_py(), "<i4")
+    found = found.sort_by("n")
+    lists = found["found"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy().astype(np.int64)
+    has = np.zeros(int(ids.max()) + 1, np.int64)
+    has[found["n"].to_numpy()] = lists.value_lengths().to_numpy()
+    begins = np.cumsum(has) - has
+    ends = np.cumsum(sizes)
+    pairs = np.concatenate(([0], np.cumsum(has[ids])))[ends]  # of all texts up to each
+    before, total, at = 0, np.zeros(len(coded.dictionary), np.int64), 0
+    while at < sizes.size:
+        start = int(ends[at] - sizes[at])
+        stop = max(at + 1, int(np.searchsorted(pairs, before + PAIRS, "right")))
+        own = ids[start:int(ends[stop - 1])]
+        if own.size:
+            n = has[own]
+            place = np.arange(int(n.sum())) + np.repeat(begins[own] - (np.cumsum(n) - n), n)
+            text = np.repeat(np.repeat(np.arange(stop - at), sizes[at:stop]), n)
+            each = np.unique(text * total.size + codes[place])
+            total += np.bincount(each % total.size, minlength=total.size)
+        before, at = int(pairs[stop - 1]), stop
+    return pa.table({"keyword": coded.dictionary, "documents": total})

@@ -29,3 +29,24 @@ def test_keywords_in_any_number_of_automata(spark, automaton_bytes):
     assert got == {1: ["", "fire é", "flood", "flooding", "oo"], 2: None, 3: [""], 4: ["", "flood", "oo"]}
     none = texts.withColumn("k", M.keywords_in(F.col("text"), words.limit(0))).collect()
     assert [r.k for r in none] == [[], None, [], []]
+
+
+@pytest.mark.parametrize("limits", [{}, {"PIECE": 4, "PIECE_ROWS": 3, "CHUNK_RUNS": 2, "PAIRS": 1}, {"PIECE": 4, "CHUNK_USES": 0}, {"SHORT_LIST": 100}])
+def test_a_list_as_long_as_the_corpus_is_joined_with_its_runs(spark, monkeypatch, limits):
+    """Rows that contain each keyword, without a text being run over the list; with SHORT_LIST the automaton does the same."""
+    for name, value in {"SHORT_LIST": 0, **limits}.items():
+        monkeypatch.setattr(M, name, value)
+    words = ["Flood", "flood", "lood", "floodplain", "oo", "é1", "İ", "abcabcabcabcabc", "abcabcabcabcabcx", "zzz", "-]", "😀😀", "o" * 30, "", None]
+    texts = ["FLOODING flood", "floodplain, flood é1", "xé1x", None, "", "abc" * 40, "a\\-]^b", "é\u0000😀😀😀", "o" * 1000, "nİn", "flood", "flood"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    got = M.keyword_counts(rows, "t", spark.createDataFrame([(w,) for w in words], "keyword string")).collect()
+    plain = {w: sum(w in t.lower() for t in texts if t is not None) for w in {w.lower() for w in words if w is not None}}
+    assert sorted((r.keyword, r.documents) for r in got) == sorted((w, n) for w, n in plain.items() if n)
+
+
+def test_no_keyword_or_no_text(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHORT_LIST", -1)
+    rows, none = spark.createDataFrame([("ab",), (None,)], "t string"), spark.createDataFrame([], "keyword string")
+    assert M.keyword_counts(rows, "t", none).collect() == []
+    assert M.keyword_counts(rows.limit(0), "t", rows.withColumnRenamed("t", "keyword")).collect() == []
+    assert [tuple(r) for r in M.keyword_counts(rows, "t", spark.createDataFrame([("",)], "keyword string")).collect()] == [("", 1)]
