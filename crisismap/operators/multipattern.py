@@ -30,6 +30,7 @@ SLICE_BYTES = 4 << 20  # bytes of text in lockstep at once
 CHUNK_RUNS, CHUNK_USES, CHUNK_CHARS = 250_000, 1_500_000, 16 << 20
 PIECE = 24  # characters; longer keywords are found by their first ones
 PIECE_ROWS = 1 << 16
+TASK_BYTES = 8 << 20  # of keywords that a task of the join holds, in a table of some ten times as much
 PAIRS = 1 << 21  # of text and keyword in work at once
 
 
@@ -199,7 +200,11 @@ def keyword_counts(texts: DataFrame, column: str, keywords: DataFrame, keyword:
     parts = stored(lowered.mapInArrow(_chunked(letters, least), "chunk long, sizes binary, ids binary, runs array<string>"), "keyword-chunks")
     used = parts.select("chunk", F.posexplode("runs").alias("n", "run"))
     runs = stored(used.select("run").distinct().withColumn("id", F.monotonically_increasing_id()), "keyword-runs")
-    hits = runs.mapInArrow(_pieces(least, PIECE), "id long, piece string").join(words, F.col("piece") == F.col("keyword")).select("id", "keyword")
+    # pieces far outnumber keywords: those are hashed, few enough in a task, and nothing is sorted
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size[1] // TASK_BYTES))
+    pieces = runs.mapInArrow(_pieces(least, PIECE), "id long, piece string").repartition(tasks, "piece")
+    hashed = words.select("keyword", F.col("keyword").alias("piece")).repartition(tasks, "piece").hint("shuffle_hash")
+    hits = pieces.join(hashed, "piece").select("id", "keyword")
     if most > PIECE:
         firsts = runs.where(F.length("run") > PIECE).mapInArrow(_pieces(PIECE, PIECE), "id long, piece string")
         long = words.where(F.length("keyword") > PIECE).withColumn("piece", F.substring("keyword", 1, PIECE))
@@ -312,7 +317,8 @@ def _counted(docs: pa.Table, found: pa.Table) -> pa.Table:
             n = has[own]
             place = np.arange(int(n.sum())) + np.repeat(begins[own] - (np.cumsum(n) - n), n)
             text = np.repeat(np.repeat(np.arange(stop - at), sizes[at:stop]), n)
-            each = np.unique(text * total.size + codes[place])
+            each = np.sort(text * total.size + codes[place])
+            each = each[np.concatenate(([True], each[1:] != each[:-1]))[:each.size]]
             total += np.bincount(each % total.size, minlength=total.size)
         before, at = int(pairs[stop - 1]), stop
     return pa.table({"keyword": coded.dictionary, "documents": total})
