@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ SLICE_BYTES = 4 << 20  # bytes of text in lockstep at once
 CHUNK_RUNS, CHUNK_USES, CHUNK_CHARS = 250_000, 1_500_000, 16 << 20
 PIECE = 24  # characters; longer keywords are found by their first ones
 PIECE_ROWS = 1 << 16
+# Hashes of keywords set a bit each, among 16 times as many or more, but at most 2 ** MARK_BITS; tasks set blocks of them.
+MARK_BITS, BLOCK_BITS = 28, 20
 TASK_BYTES = 8 << 20  # of keywords that a task of the join holds, in a table of some ten times as much
 PAIRS = 1 << 21  # of text and keyword in work at once
 
@@ -202,7 +205,7 @@ def keyword_counts(texts: DataFrame, column: str, keywords: DataFrame, keyword:
     runs = stored(used.select("run").distinct().withColumn("id", F.monotonically_increasing_id()), "keyword-runs")
     # pieces far outnumber keywords: those are hashed, few enough in a task, and nothing is sorted
     tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size[1] // TASK_BYTES))
-    pieces = runs.mapInArrow(_pieces(least, PIECE), "id long, piece string").repartition(tasks, "piece")
+    pieces = runs.mapInArrow(_pieces(least, PIECE, _marks(words, size[0])), "id long, piece string").repartition(tasks, "piece")
     hashed = words.select("keyword", F.col("keyword").alias("piece")).repartition(tasks, "piece").hint("shuffle_hash")
     hits = pieces.join(hashed, "piece").select("id", "keyword")
     if most > PIECE:
@@ -265,8 +268,32 @@ def _chunked(letters: str, least: int):
     return run
 
 
-def _pieces(least: int, most: int):
-    """Each run's distinct pieces of ``least`` to ``most`` characters; of a long run, those of a block of it at a time."""
+def _marks(words: DataFrame, count: int) -> Broadcast:
+    """Bits at the first bits of the keywords' hashes, of bounded size: a piece whose bit isn't set is no keyword."""
+    bits = min(max(BLOCK_BITS, (16 * count).bit_length()), MARK_BITS)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block, at = (batch.column(i).to_numpy() for i in range(2))
+            for one in set(block.tolist()):
+                marked.setdefault(one, np.zeros(1 << BLOCK_BITS, bool))[at[block == one] & ((1 << BLOCK_BITS) - 1)] = True
+        for one, some in marked.items():
+            yield pa.RecordBatch.from_pydict({"block": [one], "marks": pa.array([np.packbits(some, bitorder="little").tobytes()], pa.binary())})
+
+    places = words.select(F.shiftrightunsigned(F.xxhash64("keyword"), 64 - bits).alias("at"))
+    blocks = places.select(F.shiftright("at", BLOCK_BITS).alias("block"), "at").repartition("block").mapInArrow(mark, "block long, marks binary")
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for row in blocks.toLocalIterator():
+        out[row["block"] << (BLOCK_BITS - 3):(row["block"] + 1) << (BLOCK_BITS - 3)] = np.frombuffer(row["marks"], np.uint8)
+    return words.sparkSession.sparkContext.broadcast(out)
+
+
+def _pieces(least: int, most: int, marks: Broadcast | None = None):
+    """Each run's distinct pieces of ``least`` to ``most`` characters; of a long run, those of a block of it at a time.
+
+    Pieces that ``marks`` prove to be no keyword are left out.
+    """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, set[str]]]:
         for batch in batches:
             for run, number in zip(batch.column("run"), batch.column("id").to_pylist(), strict=True):
@@ -279,7 +306,13 @@ def _pieces(least: int, most: int):
         ids, sizes, out = [], [], []
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(out, pa.string())], ["id", "piece"])
+            batch = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(out, pa.string())], ["id", "piece"])
+            if marks is None:
+                return batch
+            held = marks.value
+            hashes = np.fromiter((xxhash.xxh64_intdigest(piece, 42) for piece in out), np.uint64, len(out))  # as Spark's xxhash64
+            at = (hashes >> np.uint64(64 - 3 - (held.size.bit_length() - 1))).astype(np.int64)
+            return batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
 
         for number, pieces in rows(batches):
             ids.append(number)
