@@ -3,7 +3,8 @@
 The evaluation grid is a driver loop over Spark jobs that share one stored
 token table; each configuration returns a handful of scalars. Configurations
 can run concurrently from a thread pool (Spark schedules their jobs side by
-side); a failing configuration is reported in ``status`` and skipped.
+side). A configuration whose algorithm doesn't exist is reported in ``status``;
+any other failure ends the grid, as the best of what is left would look like the best of all.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ from crisismap.schemas import TOPIC_EVALUATION
 from crisismap.session import cut_lineage, maybe_broadcast, stored
 
 
+ALGORITHMS = ("kmeans", "hdbscan", "density")
+
+
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """K4 / K5: reproducible sample of n rows (hash order, independent of partitioning); keyed rows keep
     their vectors aligned."""
@@ -138,6 +142,7 @@ def evaluate_topics(docs: DataFrame, eval_docs: DataFrame | None = None, ks=(10,
                     bases: dict | None = None, **cluster_args) -> DataFrame:
     """Algorithms x topic counts (x sample sizes) -> coherence, diversity, quality = c x d.
 
+    A failed job raises: only algorithms that don't exist get a ``status`` that isn't 'ok'.
     ``bases`` takes the hdbscan fit of each sample size, for those that go on with one.
     """
     spark = docs.sparkSession
@@ -166,20 +171,19 @@ def evaluate_topics(docs: DataFrame, eval_docs: DataFrame | None = None, ks=(10,
     def run(cfg):
         algo, k, size = cfg
         count = k if isinstance(k, int) else None  # density also takes None and 'auto'
-        try:
-            train = samples.where(F.col("sample") <= sizes.index(size)).drop("sample") if size else docs
-            clusters = stored(fit_topics(train, algo, k, vec, key, **base_of(train, algo, size), **cluster_args), "clusters")
-            words = topic_words_of(clusters, text, stop, key)
-            c_tr, d_tr = _score(tf, lengths, words, key, train if size else None)
-            # evaluation on the training documents themselves (the default) is not computed twice
-            c_te, d_te = (c_tr, d_tr) if etf is tf and size is None else _score(etf, elengths, words, key)
-            n_topics = clusters.select("topic_id").distinct().count()
-            n_train = train.count()
-            return Row(algo, count, int(n_topics), int(n_train), int(eval_docs.count()), c_te, d_te, c_te * d_te,
-                       c_tr, d_tr, c_tr * d_tr, "ok")
-        except Exception as e:  # noqa: BLE001 — a failed configuration is reported, the grid goes on
+        if algo not in ALGORITHMS:
             return Row(algo, count, None, None, None, None, None, None, None, None, None,
-                       f"failed: {type(e).__name__}: {str(e)[:200]}")
+                       f"failed: ValueError: unknown clustering algorithm {algo!r}")
+        train = samples.where(F.col("sample") <= sizes.index(size)).drop("sample") if size else docs
+        clusters = stored(fit_topics(train, algo, k, vec, key, **base_of(train, algo, size), **cluster_args), "clusters")
+        words = topic_words_of(clusters, text, stop, key)
+        c_tr, d_tr = _score(tf, lengths, words, key, train if size else None)
+        # evaluation on the training documents themselves (the default) is not computed twice
+        c_te, d_te = (c_tr, d_tr) if etf is tf and size is None else _score(etf, elengths, words, key)
+        n_topics = clusters.select("topic_id").distinct().count()
+        n_train = train.count()
+        return Row(algo, count, int(n_topics), int(n_train), int(eval_docs.count()), c_te, d_te, c_te * d_te,
+                   c_tr, d_tr, c_tr * d_tr, "ok")
 
     if parallel > 1:
         with ThreadPoolExecutor(max_workers=parallel) as pool:
@@ -206,6 +210,8 @@ def enrich(posts: DataFrame, labelled: DataFrame, stop: DataFrame | None = None,
     each emotion) rows that the emotion scorer is fitted on; ``emotion_model`` is a user model instead
     (see ``score_texts``). With ``zero_shot`` topics (see ``fit_topics``) only the posts that none of them fits are clustered.
     """
+    if missing := [a for a in algos if a not in ALGORITHMS]:
+        raise ValueError(f"unknown clustering algorithms {missing}")
     if "crawl_seq" in posts.columns:
         posts = P.dedupe_keep_first(posts, key, "crawl_seq")
     if not posts.groupBy(key).count().where("count > 1").isEmpty():
@@ -216,7 +222,9 @@ def enrich(posts: DataFrame, labelled: DataFrame, stop: DataFrame | None = None,
     bases: dict = {}
     grid = evaluate_topics(embedded, ks=ks, algos=algos, stop=stop, key="doc_id", parallel=6, bases=bases, **more)
     best = best_config(grid).first()
-    algo, k = (best["clustering_algorithm"], best["nr_topics"]) if best else ("kmeans", ks[0])
+    if best is None:
+        raise ValueError("no configuration of topics to choose from")
+    algo, k = best["clustering_algorithm"], best["nr_topics"]
     # the winner's clusters; an hdbscan fit is that of the grid
     clusters = stored(fit_topics(embedded, algo, k, base=bases.get(None), **more), "clusters")
     words = topic_words_of(clusters, "cleaned_text", stop, "doc_id")

@@ -27,6 +27,35 @@ def test_grid_reports_failures_and_counts_noise(spark):
     assert E.best_config(spark.createDataFrame(rows)).first().status == "ok"
 
 
+@pytest.mark.parametrize("parallel", [1, 3])
+def test_grid_ends_where_a_fit_fails(spark, monkeypatch, parallel):
+    def lost(*args, **kwargs):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(E, "hierarchical_topics", lost)
+    with pytest.raises(RuntimeError, match="executor lost"):  # the kmeans rows alone must not pass for the whole grid
+        E.evaluate_topics(_docs(spark), ks=(3,), algos=("kmeans", "hdbscan"), parallel=parallel)
+
+
+def test_best_config_and_enrich_need_the_whole_grid(spark, monkeypatch):
+    from crisismap.plans import q_topics
+
+    def lost(*args, **kwargs):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(E, "hierarchical_topics", lost)
+    with pytest.raises(RuntimeError, match="executor lost"):
+        q_topics.best_topic_config_q(spark, SF_SMALL).collect()
+    posts = _docs(spark).selectExpr("string(doc_id) AS cid", "cleaned_text AS text", "0 AS disaster_related")
+    labelled = posts.selectExpr("text", "int(text LIKE 'flood%') AS label")
+    emotions = labelled.selectExpr("text", "label AS anger")
+    more = {"ks": (2,), "dim": 16, "emotions": emotions, "emotion_labels": ("anger",)}
+    with pytest.raises(RuntimeError, match="executor lost"):
+        E.enrich(posts, labelled, **more)
+    with pytest.raises(ValueError, match="unknown clustering"):
+        E.enrich(posts, labelled, algos=("kmeans", "nothing"), **more)
+
+
 def test_sample_is_reproducible(spark):
     docs = _docs(spark)
     a = [r.doc_id for r in E.sample_rows(docs, 7).collect()]
