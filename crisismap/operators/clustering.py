@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crisismap.session import cut_lineage, stored
+from crisismap.session import cut_lineage, maybe_broadcast, stored
 
 
 def _vectors(df: DataFrame, vec: str):
@@ -31,14 +31,20 @@ def _vectors(df: DataFrame, vec: str):
     return df.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
 
 
+def kmeans_model(df: DataFrame, k: int, vec: str = "embedding", seed: int = 42, max_iter: int = 20):
+    from pyspark.ml.clustering import KMeans
+
+    return KMeans(k=k, seed=seed, featuresCol="_v", maxIter=max_iter).fit(_vectors(df, vec))
+
+
+def kmeans_labels(model, df: DataFrame, vec: str = "embedding", out: str = "topic_id") -> DataFrame:
+    return model.setPredictionCol(out).transform(_vectors(df, vec)).drop("_v").withColumn(out, F.col(out).cast("int"))
+
+
 def cluster_kmeans(df: DataFrame, k: int, vec: str = "embedding", seed: int = 42, out: str = "topic_id",
                    max_iter: int = 20) -> DataFrame:
     """KMeans with ``k`` clusters and a fixed seed."""
-    from pyspark.ml.clustering import KMeans
-
-    v = _vectors(df, vec)
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol=out, maxIter=max_iter).fit(v)
-    return model.transform(v).drop("_v").withColumn(out, F.col(out).cast("int"))
+    return kmeans_labels(kmeans_model(df, k, vec, seed, max_iter), df, vec, out)
 
 
 def _offsets(d: int) -> str:
@@ -122,6 +128,12 @@ def topic_vectors(df: DataFrame, vec: str = "embedding", label: str = "topic_id"
     return vecs.select(label, F.expr("transform(_s, e -> e._x)").alias("vec")).join(size, label)
 
 
+def relabelled(df: DataFrame, mapping: DataFrame, label: str = "topic_id") -> DataFrame:
+    """Topics renamed by ``mapping`` (old, new), -1 where it has none. Rows stay where they are if the mapping is small."""
+    new = maybe_broadcast(mapping.select(F.col("old").alias(label), F.col("new").alias("_new")))[0]
+    return df.join(new, label, "left").withColumn(label, F.coalesce("_new", F.lit(-1)).cast("int")).drop("_new")
+
+
 def reduce_topics(df: DataFrame, n: int, vec: str = "embedding", label: str = "topic_id") -> tuple[DataFrame, DataFrame]:
     """N18 (re-aimed): merge topics that are each other's most similar one until ``n`` remain.
 
@@ -131,9 +143,15 @@ def reduce_topics(df: DataFrame, n: int, vec: str = "embedding", label: str = "t
     from both sides. Summed vectors stay in tables; the driver sees counts only.
     Topic ids are renumbered 0..n-1 by size (largest first) at the end.
     """
+    mapping = reduced(topic_vectors(df, vec, label), n, label)
+    return relabelled(df, mapping, label), mapping
+
+
+def reduced(vectors: DataFrame, n: int, label: str = "topic_id") -> DataFrame:
+    """The mapping (old, new) of ``reduce_topics``, from ``topic_vectors``."""
     from crisismap.operators.similarity import cosine
 
-    tv = cut_lineage(topic_vectors(df, vec, label))
+    tv = cut_lineage(vectors)
     mapping = tv.select(F.col(label).alias("old"), F.col(label).alias("new"))
     while (left := tv.count()) > max(n, 1):
         one = tv.select(F.col(label).alias("_a"), F.col("vec").alias("_va"))
@@ -154,9 +172,7 @@ def reduce_topics(df: DataFrame, n: int, vec: str = "embedding", label: str = "t
                               .select("old", F.coalesce("_into", "new").alias("new")))
     order = tv.select(label, (F.row_number().over(Window.orderBy(F.desc("size"), label)) - 1).alias("_rank"))
     mapping = mapping.join(order.withColumnRenamed(label, "new"), "new").select("old", F.col("_rank").alias("new"))
-    out = df.join(mapping.withColumnRenamed("old", label), label, "left").withColumn(
-        label, F.coalesce(F.col("new"), F.lit(-1)).cast("int")).drop("new")
-    return out, mapping
+    return stored(mapping, "topic-map")
 
 
 def merge_alike(df: DataFrame, vec: str = "embedding", label: str = "topic_id") -> DataFrame:
@@ -165,9 +181,13 @@ def merge_alike(df: DataFrame, vec: str = "embedding", label: str = "topic_id")
     Groups come from hierarchical density clustering of the topics with a least size of 2; a topic
     outside of all groups stays. Topics are numbered anew by size, the largest first.
     """
+    return relabelled(df, alike(topic_vectors(df, vec, label), label), label)
+
+
+def alike(topics: DataFrame, label: str = "topic_id") -> DataFrame:
+    """The mapping (old, new) of ``merge_alike``, from ``topic_vectors``."""
     from crisismap.operators.density import cluster_hdbscan
 
-    topics = topic_vectors(df, vec, label)
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     unit = topics.withColumn("_n", length).withColumn("_u", F.transform("vec", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0)))
     grouped = stored(cluster_hdbscan(unit.select(F.col(label).alias("_t"), "size", "_u"), "_t", "_u", 2, out="_group"), "topic-groups")
@@ -176,5 +196,4 @@ def merge_alike(df: DataFrame, vec: str = "embedding", label: str = "topic_id")
     merged = grouped.withColumn("_into", into)
     order = merged.groupBy("_into").agg(F.sum("size").alias("_s")).select(
         "_into", (F.row_number().over(Window.orderBy(F.desc("_s"), "_into")) - 1).cast("int").alias("_new"))
-    mapping = merged.select("_t", "_into").join(order, "_into").select(F.col("_t").alias(label), "_new")
-    return df.join(mapping, label, "left").withColumn(label, F.coalesce("_new", F.lit(-1)).cast("int")).drop("_new")
+    return stored(merged.select("_t", "_into").join(order, "_into").select(F.col("_t").alias("old"), F.col("_new").alias("new")), "topic-map")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crisismap.operators.splits import MAX_LEAVES, SplitTree, sample_points
-from crisismap.session import stored
+from crisismap.session import maybe_broadcast, stored
 
 LEAF_POINTS = 2048
 CELL_POINTS = 64
@@ -567,4 +567,4 @@ def cluster_hdbscan(df: DataFrame, key: str, vec: str, min_cluster_size: int = 1
     tagged = stored(tagged, "density")
     sizes = tagged.where(F.col("_cluster").isNotNull()).groupBy("_cluster").agg(F.count("*").alias("_n"), F.min(key).alias("_k"))
     ids = sizes.select(F.col("_cluster"), (F.row_number().over(Window.orderBy(F.desc("_n"), "_k")) - 1).cast("int").alias(out))
-    return tagged.drop(*[out]).join(ids, "_cluster", "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1))).drop("_cluster")
+    return tagged.drop(*[out]).join(maybe_broadcast(ids)[0], "_cluster", "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1))).drop("_cluster")

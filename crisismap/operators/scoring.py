@@ -64,19 +64,25 @@ def score_texts(df: DataFrame, make_predict_fn: Callable, labels: list[str], tex
 
 def train_text_classifier(train: DataFrame, text: str = "text", label: str = "label", num_features: int = 1 << 18,
                           max_iter: int = 50):
-    """In-repo default scorer: RegexTokenizer -> HashingTF -> IDF -> LogisticRegression (distributed fit)."""
-    from pyspark.ml import Pipeline
+    """In-repo default scorer: RegexTokenizer -> HashingTF -> IDF -> LogisticRegression (distributed fit).
+
+    Both fits read the kept word counts, so texts are cut into words once.
+    """
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 
-    stages = [
+    rows = train.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
+    words = PipelineModel([
         RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False, toLowercase=True),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_feat"),
-        LogisticRegression(featuresCol="_feat", labelCol=label, maxIter=max_iter, probabilityCol="_prob",
-                           predictionCol="_pred", rawPredictionCol="_raw"),
-    ]
-    return Pipeline(stages=stages).fit(train.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double")))
+    ])
+    seen = keep(words.transform(rows).select("_tf", label))
+    idf = IDF(inputCol="_tf", outputCol="_feat").fit(seen)
+    model = LogisticRegression(featuresCol="_feat", labelCol=label, maxIter=max_iter, probabilityCol="_prob",
+                               predictionCol="_pred", rawPredictionCol="_raw").fit(idf.transform(seen))
+    seen.unpersist()
+    return PipelineModel([*words.stages, idf, model])
 
 
 def apply_classifier(model, df: DataFrame, labels: list[str]) -> DataFrame:
@@ -95,23 +101,24 @@ def train_multilabel(train: DataFrame, labels: list[str], text: str = "text", nu
 
     Returns ``(features, {label: model})``, both fitted by Spark ML over all rows; NULL labels count as 0.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 
     rows = train.where(F.col(text).isNotNull()).select(text, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
                                                                for c in labels])
-    features = Pipeline(stages=[
+    words = PipelineModel([
         RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False, toLowercase=True),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_feat"),
-    ]).fit(rows)
-    seen = keep(features.transform(rows).select("_feat", *labels))  # one pass over the texts for all labels
+    ])
+    seen = keep(words.transform(rows).select("_tf", *labels))  # one pass over the texts for all fits
+    idf = IDF(inputCol="_tf", outputCol="_feat").fit(seen)
+    weighed = idf.transform(seen).select("_feat", *labels)
     models = {c: LogisticRegression(featuresCol="_feat", labelCol=c, maxIter=max_iter, regParam=0.01,
-                                    probabilityCol="_prob", predictionCol="_pred", rawPredictionCol="_raw").fit(seen)
+                                    probabilityCol="_prob", predictionCol="_pred", rawPredictionCol="_raw").fit(weighed)
               for c in labels}
     seen.unpersist()
-    return features, models
+    return PipelineModel([*words.stages, idf]), models
 
 
 def apply_multilabel(model, df: DataFrame, text: str = "text") -> DataFrame:

@@ -1,21 +1,21 @@
 """Topic model selection and the text enrichment flow.
 
-The evaluation grid is a driver loop over Spark jobs that share one stored
-token table; each configuration returns a handful of scalars. Configurations
-can run concurrently from a thread pool (Spark schedules their jobs side by
-side). A configuration whose algorithm doesn't exist is reported in ``status``;
+The evaluation grid fits its configurations from a thread pool (Spark schedules their jobs side by side) and puts
+their topics into columns of one table, so that the texts are read twice, however many configurations there are: to
+count the words of all topics of all configurations, and to count the best words of these in each document.
+A configuration whose algorithm doesn't exist is reported in ``status``;
 any other failure ends the grid, as the best of what is left would look like the best of all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from threading import Lock
+from functools import reduce
 
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from crisismap.functions.text import tokens as token_array
 from crisismap.operators import clustering as C
 from crisismap.operators import density as D
 from crisismap.operators import posts as P
@@ -23,7 +23,7 @@ from crisismap.operators import scoring as SC
 from crisismap.operators import similarity as SIM
 from crisismap.operators import topics as T
 from crisismap.schemas import TOPIC_EVALUATION
-from crisismap.session import cut_lineage, maybe_broadcast, stored
+from crisismap.session import cut_lineage, stored
 
 
 ALGORITHMS = ("kmeans", "hdbscan", "density")
@@ -75,14 +75,12 @@ def hierarchical_topics(docs: DataFrame, vec: str = "embedding", key: str = "doc
 
 def fit_topics(docs: DataFrame, algo: str, k: int | str | None, vec: str = "embedding", key: str = "doc_id",
                min_cluster_size: int = 10, eps: float | None = None, min_pts: int = 5, seed: int = 42,
-               min_samples: int | None = None, zero_shot: DataFrame | None = None, least_similarity: float = 0.5,
-               base: DataFrame | None = None) -> DataFrame:
+               min_samples: int | None = None, zero_shot: DataFrame | None = None, least_similarity: float = 0.5) -> DataFrame:
     """Cluster documents with one configuration; ``topic_id`` per document (-1 = noise).
 
     N16: with ``zero_shot`` topics (topic_id, embedding; ids from 0), each document goes to the most similar
     one if the cosine is at least ``least_similarity`` (the smaller id wins ties); only the others are clustered, and
-    their topics are numbered after the given ones. ``base``: clusters of the same documents fitted before
-    (``hdbscan`` fits once for any ``k``, which only says how far topics are merged; 'auto': those that belong together).
+    their topics are numbered after the given ones. ``k`` says how far topics are merged ('auto': those that belong together).
     """
     if zero_shot is not None:
         given = F.broadcast(zero_shot.agg((F.max("topic_id") + 1).alias("_given")))
@@ -97,100 +95,149 @@ def fit_topics(docs: DataFrame, algo: str, k: int | str | None, vec: str = "embe
     if algo == "kmeans":
         return C.cluster_kmeans(docs, k, vec, seed)
     if algo == "hdbscan":
-        out = base if base is not None else hierarchical_topics(docs, vec, key, min_cluster_size, min_samples)
+        out = hierarchical_topics(docs, vec, key, min_cluster_size, min_samples)
     elif algo == "density":
         # density clustering runs on 2 leading components (the reference clusters a reduced copy too)
         red = SC.reduce_dims(docs, k=2, col=vec, out="_reduced")
         out = C.cluster_density(red, key, "_reduced", eps or 0.5, min_pts, min_cluster_size).drop("_reduced")
     else:
         raise ValueError(f"unknown clustering algorithm {algo!r}")
-    if k == "auto" and algo == "hdbscan":
-        return C.merge_alike(out, vec)
-    n = out.where(F.col("topic_id") >= 0).select("topic_id").distinct().count()
-    if isinstance(k, int) and n > k:
-        out, _ = C.reduce_topics(out, k, vec)
-    return out
-
+    mapping = topic_mapping(out, algo, k, vec)
+    return out if mapping is None else C.relabelled(out, mapping)
 
-def topic_words_of(clusters: DataFrame, text: str, stop: DataFrame | None, key: str) -> DataFrame:
-    """Top-10 c-TF-IDF words of each topic, the noise topic -1 included (it gets words and scores like any
-    other); stored (a topics x 10 table read several times)."""
-    toks = T.tokens(clusters, text, key, also=("topic_id",))
-    return stored(T.top_words(T.class_tfidf(toks, clusters, stop, key), 10), "topic-words")
 
+def topic_mapping(clusters: DataFrame, algo: str, k: int | str | None, vec: str, vectors: DataFrame | None = None) -> DataFrame | None:
+    """How topics are merged (old, new) for ``k``; None if they stay. ``vectors``: those of the topics, if known."""
+    if k == "auto" and algo == "hdbscan":
+        return C.alike(C.topic_vectors(clusters, vec) if vectors is None else vectors)
+    n = (clusters.where(F.col("topic_id") >= 0).select("topic_id").distinct() if vectors is None else vectors).count()
+    if isinstance(k, int) and n > k:
+        return C.reduced(C.topic_vectors(clusters, vec) if vectors is None else vectors, k)
+    return None
 
-def _lengths(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, n): tokens of each row that has any."""
-    return docs.where(F.col(text).isNotNull()).select(key, F.size(token_array(text)).alias("n")).where("n > 0")
 
+def _side_by_side(train: DataFrame, configs: dict[int, tuple], vec: str, key: str, seed: int, least: dict,
+                  run) -> tuple[DataFrame, dict[int, str]]:
+    """The rows with topics, stored, and the column of each configuration; ``configs``: i -> (kmeans or hdbscan, k).
 
-def _score(tf: DataFrame, lengths: DataFrame, words: DataFrame, key: str, train: DataFrame | None = None):
-    """Coherence and diversity; of the terms only the topics' words are moved. ``train``: rows whose keys count."""
-    wanted, _ = maybe_broadcast(words.select(F.explode("words").alias("word")).distinct())
-    here = tf.join(wanted, "word", "left_semi")
-    if train is not None:
-        here, lengths = (d.join(train.select(key), key, "left_semi") for d in (here, lengths))
-    coh = T.topic_coherence(stored(here, "topic-terms"), words, True, key, lengths.agg(F.sum("n").alias("n")))
-    c = coh.agg(F.avg("coherence")).first()[0] or 0.0
-    d = T.topic_diversity(words).first()[0] or 0.0
-    return float(c), float(d)
+    hdbscan is fitted once, as it doesn't depend on the number of topics; configurations that merge none of its topics share
+    a column. ``run`` maps a function over a list, in order.
+    """
+    merged = {i: k for i, (a, k) in configs.items() if a == "hdbscan"}
+    means = {i: k for i, (a, k) in configs.items() if a == "kmeans"}
+
+    def fit(i):
+        if i is not None:
+            return C.kmeans_model(train, means[i], vec, seed)
+        base = stored(hierarchical_topics(train, vec, key, **least), "base")
+        return base, stored(C.topic_vectors(base, vec), "topic-vectors")
+
+    fitted = dict(zip([None] * bool(merged) + [*means], run(fit, [None] * bool(merged) + [*means])))
+    rows, labels = train, {}
+    if merged:
+        rows, vectors = fitted.pop(None)
+        mappings = run(lambda k: topic_mapping(rows, "hdbscan", k, vec, vectors), merged.values())
+        rows = rows.withColumnRenamed("topic_id", "_t")
+        for i, mapping in zip(merged, mappings):
+            labels[i] = "_t" if mapping is None else f"_t{i}"
+            rows = rows if mapping is None else C.relabelled(rows.withColumn(f"_t{i}", F.col("_t")), mapping, f"_t{i}")
+        rows = rows if "_t" in labels.values() else rows.drop("_t")
+    for i, model in fitted.items():
+        labels[i] = f"_t{i}"
+        rows = C.kmeans_labels(model, rows, vec, f"_t{i}")
+    return stored(rows, "clusters"), labels
+
+
+def _score(counted: DataFrame, words: DataFrame, key: str) -> dict[int, tuple[float, float]]:
+    """config -> coherence and diversity, from the terms that ``T.counted_terms`` kept of the documents."""
+    terms, n = T.known_terms(counted)
+    coh = T.topic_coherence(terms, words, True, key, n, T.cooccurrence_in_tasks).groupBy(F.col("topic_id.config").alias("config")).agg(F.avg("coherence").alias("c"))
+    div = T.topic_diversity(words.withColumn("config", F.col("topic_id.config")), "config")
+    return {r["config"]: (float(r["c"] or 0.0), float(r["diversity"] or 0.0)) for r in coh.join(div, "config").collect()}
 
 
 def evaluate_topics(docs: DataFrame, eval_docs: DataFrame | None = None, ks=(10, 20, 30),
                     algos=("kmeans", "density"), stop: DataFrame | None = None, text: str = "cleaned_text",
-                    vec: str = "embedding", key: str = "doc_id", parallel: int = 1, sample_sizes=None,
-                    bases: dict | None = None, **cluster_args) -> DataFrame:
+                    vec: str = "embedding", key: str = "doc_id", parallel: int = 1, sample_sizes=None, **cluster_args) -> DataFrame:
     """Algorithms x topic counts (x sample sizes) -> coherence, diversity, quality = c x d.
 
     A failed job raises: only algorithms that don't exist get a ``status`` that isn't 'ok'.
-    ``bases`` takes the hdbscan fit of each sample size, for those that go on with one.
     """
-    spark = docs.sparkSession
-    eval_docs = eval_docs if eval_docs is not None else docs
-    tf = stored(T.term_counts(T.tokens(docs, text, key), key), "terms")
-    lengths = stored(_lengths(docs, text, key), "lengths")
-    etf, elengths = (tf, lengths) if eval_docs is docs else (
-        stored(T.term_counts(T.tokens(eval_docs, text, key), key), "terms"), stored(_lengths(eval_docs, text, key), "lengths"))
+    rows, _ = topic_grid(docs, eval_docs, ks, algos, stop, text, vec, key, parallel, sample_sizes, **cluster_args)
+    return docs.sparkSession.createDataFrame(rows, TOPIC_EVALUATION)
+
+
+def topic_grid(docs: DataFrame, eval_docs: DataFrame | None, ks, algos, stop: DataFrame | None, text: str, vec: str, key: str,
+               parallel: int, sample_sizes=None, **cluster_args) -> tuple[list[Row], Callable[[Row], tuple[DataFrame, DataFrame]]]:
+    """Rows of ``evaluate_topics``, and a function from such a row to the clusters and topic words of its configuration."""
     sizes = sorted(sample_sizes or [])
     samples = stored(nested_samples(docs, sizes, key=key), "samples") if sizes else None
-    configs = [(a, k, s) for s in (sizes or [None]) for a in algos for k in ks
-               if not (a == "kmeans" and k in (None, "auto"))]
-    bases = {} if bases is None else bases
-    locks = {size: Lock() for size in (sizes or [None])}
-
-    def base_of(train, algo, size):
-        """hdbscan doesn't depend on the number of topics: one fit for each sample."""
-        if algo != "hdbscan" or "zero_shot" in cluster_args:
-            return {}
-        with locks[size]:
-            if size not in bases:
-                least = {c: cluster_args[c] for c in ("min_cluster_size", "min_samples") if c in cluster_args}
-                bases[size] = stored(hierarchical_topics(train, vec, key, **least), "base")
-        return {"base": bases[size]}
-
-    def run(cfg):
-        algo, k, size = cfg
+    trains = {s: samples.where(F.col("sample") <= sizes.index(s)).drop("sample") for s in sizes} or {None: docs}
+    every = [(a, k, s) for s in trains for a in algos for k in ks if not (a == "kmeans" and k in (None, "auto"))]
+    configs = {i: c for i, c in enumerate(every) if c[0] in ALGORITHMS}
+    least = {c: cluster_args[c] for c in ("min_cluster_size", "min_samples") if c in cluster_args}
+
+    def run(what, items):
+        items = list(items)
+        if parallel > 1 and len(items) > 1:
+            with ThreadPoolExecutor(max_workers=parallel) as pool:
+                return list(pool.map(what, items))
+        return [what(x) for x in items]
+
+    # tables of documents with the topics of one or several configurations: (rows, {configuration: column})
+    together = [i for i, (a, _, _) in configs.items() if a != "density" and "zero_shot" not in cluster_args]
+    by_size = {s: [i for i in together if configs[i][2] == s] for s in trains}
+
+    def family(what):
+        if what in by_size:
+            mine = {i: configs[i][:2] for i in by_size[what]}
+            return _side_by_side(trains[what], mine, vec, key, cluster_args.get("seed", 42), least, run)
+        i = what[0]
+        algo, k, size = configs[i]
+        one = fit_topics(trains[size], algo, k, vec, key, **cluster_args)
+        return stored(one.withColumnRenamed("topic_id", f"_t{i}"), "clusters"), {i: f"_t{i}"}
+
+    families = run(family, [s for s in trains if by_size[s]] + [(i,) for i in configs if i not in together])
+    # equal columns are counted and scored once, for the first configuration that has them
+    alike = {i: next(j for j in labels if labels[j] == labels[i]) for _, labels in families for i in labels}
+    columns = [(table, {i: c for i, c in labels.items() if alike[i] == i}) for table, labels in families]
+    scores, n_topics, n_docs = {}, {}, {s: d.count() for s, d in trains.items()}
+    n_eval = n_docs[None] if eval_docs is None and None in n_docs else (docs if eval_docs is None else eval_docs).count()
+    if configs:
+        best = reduce(DataFrame.unionByName, [T.best_class_words(table, labels, text, stop) for table, labels in columns])
+        # the noise topic -1 gets words and scores like any other
+        words = stored(T.top_words(best.withColumn("topic_id", F.struct("config", "topic_id")), 10), "topic-words")
+        counted = T.counted_terms(T.tokens(docs, text, key), words, key)
+        counted_eval = counted if eval_docs is None else T.counted_terms(T.tokens(eval_docs, text, key), words, key)
+        for size, train in trains.items():
+            mine = words.where(F.col("topic_id.config").isin([i for i in configs if configs[i][2] == size]))
+            here = counted if size is None else stored(counted.join(train.select(key), key, "left_semi"), "topic-terms")
+            scored = _score(here, mine, key)
+            # evaluation on the training documents themselves (the default) is not computed twice
+            tested = scored if here is counted_eval else _score(counted_eval, mine, key)
+            scores |= {i: (*scored.get(i, (0.0, 0.0)), *tested.get(i, (0.0, 0.0))) for i in configs if configs[i][2] == size}
+        for table, labels in columns:
+            found = table.select(*labels.values()).distinct().agg(*[F.count_distinct(c).alias(c) for c in labels.values()]).first()
+            n_topics |= {i: found[c] for i, c in labels.items()}
+
+    def row(i):
+        algo, k, size = every[i]
         count = k if isinstance(k, int) else None  # density also takes None and 'auto'
-        if algo not in ALGORITHMS:
+        if i not in configs:
             return Row(algo, count, None, None, None, None, None, None, None, None, None,
                        f"failed: ValueError: unknown clustering algorithm {algo!r}")
-        train = samples.where(F.col("sample") <= sizes.index(size)).drop("sample") if size else docs
-        clusters = stored(fit_topics(train, algo, k, vec, key, **base_of(train, algo, size), **cluster_args), "clusters")
-        words = topic_words_of(clusters, text, stop, key)
-        c_tr, d_tr = _score(tf, lengths, words, key, train if size else None)
-        # evaluation on the training documents themselves (the default) is not computed twice
-        c_te, d_te = (c_tr, d_tr) if etf is tf and size is None else _score(etf, elengths, words, key)
-        n_topics = clusters.select("topic_id").distinct().count()
-        n_train = train.count()
-        return Row(algo, count, int(n_topics), int(n_train), int(eval_docs.count()), c_te, d_te, c_te * d_te,
-                   c_tr, d_tr, c_tr * d_tr, "ok")
-
-    if parallel > 1:
-        with ThreadPoolExecutor(max_workers=parallel) as pool:
-            rows = list(pool.map(run, configs))
-    else:
-        rows = [run(c) for c in configs]
-    return spark.createDataFrame(rows, TOPIC_EVALUATION)
+        c_tr, d_tr, c_te, d_te = scores[alike[i]]
+        return Row(algo, count, n_topics[alike[i]], n_docs[size], n_eval, c_te, d_te, c_te * d_te, c_tr, d_tr, c_tr * d_tr, "ok")
+
+    rows = [row(i) for i in range(len(every))]
+
+    def topics_of(chosen: Row) -> tuple[DataFrame, DataFrame]:
+        i = next(i for i, r in enumerate(rows) if tuple(r) == tuple(chosen))
+        table, labels = next(f for f in families if i in f[1])
+        return (table.drop(*[c for c in labels.values() if c != labels[i]]).withColumnRenamed(labels[i], "topic_id"),
+                words.where(F.col("topic_id.config") == alike[i]).select("topic_id.topic_id", "words"))
+
+    return rows, topics_of
 
 
 def best_config(grid: DataFrame) -> DataFrame:
@@ -213,21 +260,17 @@ def enrich(posts: DataFrame, labelled: DataFrame, stop: DataFrame | None = None,
     if missing := [a for a in algos if a not in ALGORITHMS]:
         raise ValueError(f"unknown clustering algorithms {missing}")
     if "crawl_seq" in posts.columns:
-        posts = P.dedupe_keep_first(posts, key, "crawl_seq")
-    if not posts.groupBy(key).count().where("count > 1").isEmpty():
+        posts = P.dedupe_keep_first(posts, key, "crawl_seq")  # one row for each key
+    elif not posts.groupBy(key).count().where("count > 1").isEmpty():
         raise ValueError(f"{key} repeats: tokens of such posts would count once for every pair of copies")
     cleaned = P.ensure_cleaned(posts.where(F.col("text").isNotNull())).withColumn("doc_id", F.col(key))
     embedded = cut_lineage(SC.hashed_embed(cleaned, text="cleaned_text", dim=dim))
     more = {"min_cluster_size": min_cluster_size, **({} if zero_shot is None else {"zero_shot": zero_shot})}
-    bases: dict = {}
-    grid = evaluate_topics(embedded, ks=ks, algos=algos, stop=stop, key="doc_id", parallel=6, bases=bases, **more)
-    best = best_config(grid).first()
+    rows, topics_of = topic_grid(embedded, None, ks, algos, stop, "cleaned_text", "embedding", "doc_id", 6, **more)
+    best = best_config(posts.sparkSession.createDataFrame(rows, TOPIC_EVALUATION)).first()
     if best is None:
         raise ValueError("no configuration of topics to choose from")
-    algo, k = best["clustering_algorithm"], best["nr_topics"]
-    # the winner's clusters; an hdbscan fit is that of the grid
-    clusters = stored(fit_topics(embedded, algo, k, base=bases.get(None), **more), "clusters")
-    words = topic_words_of(clusters, "cleaned_text", stop, "doc_id")
+    clusters, words = topics_of(best)
     out = T.with_topic_label(clusters, words)
     if emotion_model is not None:
         out = SC.score_texts(out, emotion_model, list(emotion_labels), text="cleaned_text")

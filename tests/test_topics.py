@@ -50,3 +50,37 @@ def test_plurals_count_as_their_singular(spark):
     stop = spark.createDataFrame([("the",), ("this",)], "word string")
     got = {r.word: r["count"] for r in T.word_counts(posts, stop).collect()}
     assert got == {"flood": 4, "glass": 1, "glas": 1, "bus": 1, "buses": 1, "rivers": 1}
+
+
+def test_pairs_formed_in_tasks_equal_joined_ones(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = [(None if d % 9 == 0 else d % 40, f"w{rng.randrange(12)}", 1 + rng.randrange(4)) for d in range(400)]
+    tf = spark.createDataFrame(rows, "doc_id int, word string, tf long").groupBy("doc_id", "word").agg(F.sum("tf").alias("tf"))
+    places = [((c, t), i, w) for c in range(2) for t in (-1, 5) for i, w in enumerate(rng.sample([f"w{n}" for n in range(15)], 6) + ["w1"])]
+    words = spark.createDataFrame(places, "topic_id struct<config: int, topic_id: int>, idx int, word string")
+    want = sorted(map(str, T.cooccurrence(tf, words).collect()))
+    for size in (1 << 20, 30, 1):  # several tasks, several slices of a task
+        monkeypatch.setattr(T, "WORD_ROWS", size)
+        assert sorted(map(str, T.cooccurrence_in_tasks(tf, words).collect())) == want and len(want) >= 50
+    assert T.cooccurrence_in_tasks(tf.limit(0), words).count() == T.cooccurrence_in_tasks(tf, words.limit(0)).count() == 0
+
+
+def test_best_words_of_several_labels_equal_those_of_each(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"word{int(rng.expovariate(0.05))}" for _ in range(30)) if i % 7 else None, i % 3 - 1, i % 5) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, a int, b int")
+    stop = spark.createDataFrame([("word1",)], "word string")
+    for size in (1 << 20, 50):
+        monkeypatch.setattr(T, "WORD_ROWS", size)
+        got = T.best_class_words(docs, {0: "a", 4: "b"}, "text", stop, 4).withColumn("topic_id", F.struct("config", "topic_id"))
+        mine = {(r.topic_id.config, r.topic_id.topic_id): r.words for r in T.top_words(got, 4).collect()}
+        want = {}
+        for config, column in ((0, "a"), (4, "b")):
+            one = docs.withColumnRenamed(column, "topic_id")
+            words = T.top_words(T.class_tfidf(T.tokens(one, also=("topic_id",)), one, stop), 4).collect()
+            want |= {(config, r.topic_id): r.words for r in words}
+        assert mine == want and len(want) == 8
