@@ -27,6 +27,7 @@ from crisismap.session import maybe_broadcast, stored
 
 LEAF_POINTS = 2048
 CELL_POINTS = 64
+FEW_POINTS = 16  # points of a cell that are compared at a time
 VISITORS = 8192  # boxes of other leaves' cells that one task group compares with a leaf
 BAND_EDGES = 1 << 20
 CELLS = 1 << 21  # numbers in a block of a distance matrix
@@ -93,17 +94,23 @@ def _within(ordered: np.ndarray, weights: np.ndarray, need: float) -> np.ndarray
     return np.where(reached.any(axis=1), reached.argmax(axis=1), ordered.shape[1])
 
 
-def _cells(x: np.ndarray) -> np.ndarray:
-    """Cell number of each point: a leaf's points are halved at their widest axis until ``CELL_POINTS`` are left."""
-    cell, cells, todo = np.zeros(len(x), np.int32), 0, [np.arange(len(x))]
+def _halved(x: np.ndarray, rows: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """``rows`` of ``x`` in parts: halved at their widest axis until ``most`` are left."""
+    todo = [rows]
     while todo:
         part = todo.pop()
-        if len(part) <= CELL_POINTS:
-            cell[part] = cells
-            cells += 1
+        if len(part) <= most:
+            yield part
             continue
         order = part[np.argsort(x[part, np.ptp(x[part], axis=0).argmax()], kind="stable")]
         todo += [order[:len(order) // 2], order[len(order) // 2:]]
+
+
+def _cells(x: np.ndarray) -> np.ndarray:
+    """Cell number of each point of a leaf; a cell has ``CELL_POINTS`` at most."""
+    cell = np.zeros(len(x), np.int32)
+    for number, part in enumerate(_halved(x, np.arange(len(x)), CELL_POINTS)):
+        cell[part] = number
     return cell
 
 
@@ -179,15 +186,22 @@ def _both(own: pa.Table, given: pa.Table, *columns: str) -> list[np.ndarray]:
     return [x, *(np.concatenate([own[c].to_numpy(), given[c].to_numpy()]) for c in columns)]
 
 
+def _reached(x: np.ndarray, part: np.ndarray, radius: float, of: np.ndarray) -> np.ndarray:
+    """Those of the points ``of`` that lie within ``radius`` of the box of ``part``."""
+    low, high = x[part].min(axis=0)[None], x[part].max(axis=0)[None]
+    return of[_apart(low, high, x[of], x[of])[0] <= radius]
+
+
 def _around(own: pa.Table, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Cell by cell: the leaf's points that ask, and all points in reach of any of them."""
+    """A few of the leaf's points that ask at a time, of one cell, and all points in reach of any of them."""
     cell, radius = own["cell"].to_numpy(), own["radius"].to_numpy()
     for number in np.unique(cell[radius >= 0]):
         mine = np.flatnonzero((cell == number) & (radius >= 0))
-        low, high = x[mine].min(axis=0)[None], x[mine].max(axis=0)[None]
-        at = np.flatnonzero(_apart(low, high, x, x)[0] <= radius[mine].max())
-        for block in _blocks(len(mine), len(at)):
-            yield mine[block], at
+        reached = _reached(x, mine, radius[mine].max(), np.arange(len(x)))
+        for part in _halved(x, mine, FEW_POINTS):  # a smaller box reaches less, all of it in reach of the cell
+            at = _reached(x, part, radius[part].max(), reached)
+            for block in _blocks(len(part), len(at)):
+                yield part[block], at
 
 
 def core_distances(points: DataFrame, dims: int, min_samples: int) -> DataFrame:
